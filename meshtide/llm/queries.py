@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshtide.llm import chat, exact_dedup, mixing, packing, simhash
+from meshtide.llm import ann, chat, exact_dedup, html_text, mixing, packing, pii, simhash, toxicity
 from meshtide.session import table
 
 
@@ -32,10 +32,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.calibrated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.equal_groups(table(spark, sf_dir, "documents")).drop("rid").withColumnRenamed("id", "doc_id")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.histogram_packs(table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,14 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"), hashed(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_binary_packs, op3_mixing, op6_exact_dedup, op8_packing, op9_chat)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda c: ~toxicity.held_out(c))
+    s = toxicity.scored(docs, model)
+    return s.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_binary_packs, op3_mixing, op4_pii, op5_ann, op6_exact_dedup, op7_html_text, op8_packing, op9_chat, op10_toxicity)}
 
 _OP6 = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
