@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Null ends and self loops contribute a node each but no link. An empty table
     gives an empty result. Columns of the result: ``node``, ``component``.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    pairs = checkpointed(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))  # the edges may be costly to make
     alone = pairs.select(F.coalesce("u", "v").alias("node")).where(F.col("node").isNotNull())
     e = checkpointed(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if e.isEmpty():
