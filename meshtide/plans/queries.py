@@ -253,9 +253,9 @@ def mesh_triangle_geometry(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mesh.triangle_geometry(*V.mesh(spark, sf)))
 
 
-@query(f"WITH {V.MESH} SELECT lo, hi, \"left\", \"right\", n, CASE n WHEN 1 THEN 'boundary' WHEN 2 THEN 'interior' ELSE 'nonmanifold' END AS kind FROM edge")
+@query(f"WITH {V.MESH} SELECT lo, hi, \"left\", coalesce(\"right\", -1) AS \"right\", n, CASE n WHEN 1 THEN 'boundary' WHEN 2 THEN 'interior' ELSE 'nonmanifold' END AS kind FROM edge")
 def mesh_edge_incidence(spark: SparkSession, sf: str) -> DataFrame:
-    return mesh.edge_incidence(V.mesh(spark, sf)[0])
+    return mesh.edge_incidence(V.mesh(spark, sf)[0]).withColumn("right", F.coalesce("right", F.lit(-1)))
 
 
 @query(f"WITH {V.MESH} SELECT cell_id, count(*) AS n, min(o) AS least, max(o) AS largest FROM (SELECT \"left\" AS cell_id, \"right\" AS o FROM edge WHERE n = 2 UNION ALL SELECT \"right\", \"left\" FROM edge WHERE n = 2) GROUP BY 1")
@@ -275,10 +275,10 @@ def mesh_closure_check(spark: SparkSession, sf: str) -> DataFrame:
 z AS (SELECT id, x / 16 AS x, y / 40 AS y FROM points),
 h AS (SELECT id, min(cell_id) AS cell_id FROM z JOIN t ON z.x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND z.y BETWEEN least(ay, by_, cy) AND greatest(ay, by_, cy)
  WHERE ((bx - x) * (cy - y) - (by_ - y) * (cx - x)) / d >= -1e-12 AND ((cx - x) * (ay - y) - (cy - y) * (ax - x)) / d >= -1e-12 AND 1 - ((bx - x) * (cy - y) - (by_ - y) * (cx - x)) / d - ((cx - x) * (ay - y) - (cy - y) * (ax - x)) / d >= -1e-12 GROUP BY id)
-SELECT id AS point_id, cell_id FROM z LEFT JOIN h USING (id)""")
+SELECT id AS point_id, coalesce(cell_id, -1) AS cell_id FROM z LEFT JOIN h USING (id)""")
 def mesh_locate(spark: SparkSession, sf: str) -> DataFrame:
     p = V.points(spark, sf).select(F.col("id").alias("point_id"), (F.col("x") / 16).alias("x"), (F.col("y") / 40).alias("y"))
-    return mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0)
+    return mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0).withColumn("cell_id", F.coalesce("cell_id", F.lit(-1)))
 
 
 @query()
