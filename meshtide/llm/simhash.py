@@ -113,27 +113,32 @@ def masks(bits: int, budget: int) -> list[int]:
 
 def trie_levels(keys: np.ndarray, bits: int):
     """For each level of the trie over sorted distinct keys: the child of each node by 0 and by 1, or -1."""
-    nodes = np.zeros(1, np.uint64)
+    node = np.zeros(len(keys), np.int32)  # of each key
     for level in range(1, bits + 1):
-        below = np.unique(keys >> np.uint64(bits - level))
-        child = np.full((2, len(nodes)), -1, np.int64)
-        child[(below & np.uint64(1)).astype(np.int64), np.searchsorted(nodes, below >> np.uint64(1))] = np.arange(len(below))
+        prefix = keys >> np.uint64(bits - level)
+        first = np.ones(len(keys), bool)
+        np.not_equal(prefix[1:], prefix[:-1], out=first[1:])
+        child = np.full((2, node[-1] + 1 if len(node) else 1), -1, np.int32)
+        at = np.flatnonzero(first)
+        child[(prefix[at] & np.uint64(1)).astype(np.intp), node[at]] = np.arange(len(at), dtype=np.int32)
         yield child
-        nodes = below
+        node = np.cumsum(first, dtype=np.int32) - 1
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two sorted distinct key arrays that differ in at most ``budget`` bits."""
-    i, j, d = (np.zeros(1, t) for t in (np.int64, np.int64, np.int8))
+    i, j, d = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int8)
     for ca, cb in zip(trie_levels(a, bits), trie_levels(b, bits), strict=True):
+        left, right = (ca[0][i], ca[1][i]), (cb[0][j], cb[1][j])
+        near = d < budget  # may differ once more
         parts = []
         for x in (0, 1):
-            left = ca[x][i]
             for y in (0, 1):
-                right = cb[y][j]
-                far = d + np.int8(x != y)
-                ok = np.flatnonzero((left >= 0) & (right >= 0) & (far <= budget))
-                parts.append((left[ok], right[ok], far[ok]))
+                ok = (left[x] >= 0) & (right[y] >= 0)
+                if x != y:
+                    ok &= near
+                ok = np.flatnonzero(ok)
+                parts.append((left[x][ok], right[y][ok], d[ok] + np.int8(x != y)))
         i, j, d = (np.concatenate(p) for p in zip(*parts, strict=True))
     return i, j
 
@@ -244,7 +249,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: What one-of-each-group dedup uses: five-word shingles, 512-bit signatures, eight tries over 32 bits each.
-NEAR = {"size": 5, "tables": 8, "bits": 32, "budget": 4, "words": 8}
+NEAR = {"size": 5, "tables": 8, "bits": 32, "budget": 3, "words": 8}
 
 
 def allowed_bits(similarity: float, words: int) -> int:
