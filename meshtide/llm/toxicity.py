@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WINDOW, STRIDE = 32, 24
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1200, 2000, 10_000
 DIM, HIDDEN, EPOCHS, LEAST_STEPS, BATCH, RATE, SEED = 8, 8, 14, 400, 128, 0.01, 5
 #: A word or piece counts from so many training documents on; how many of each are kept at most, by evidence; strength of the prior in it.
 LEAST_DOCS, MOST_NAMES, PRIOR = 4, 16384, 10.0
@@ -229,6 +230,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     cache: dict[str, tuple] = {}
     look = lambda w: cache.get(w) or cache.setdefault(w, net.lookup(w))
     nums = [np.array([look(w) for w in d], np.int32).reshape(-1, 6) for d in docs]
+    del docs, own, pieces_of, known, cache
     sets_w, sets_p = [np.unique(n[:, 0]) for n in nums], [np.unique(n[:, 1:]) for n in nums]
     rng = np.random.default_rng(seed)
     half = rng.permutation(len(y)) % 2
@@ -371,9 +373,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     return model
 
 
-def scored(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score`` for every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def with_scores(rows: DataFrame, text_col: str, model, below: float | None = None) -> DataFrame:
+    """``rows`` with a last column ``score``, or only the rows that score below ``below``, in one pass."""
+    held, at_text = rows.sparkSession.sparkContext.broadcast(model), rows.columns.index(text_col)
 
     def run(batches):
         net = held.value
@@ -381,11 +383,18 @@ def scored(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                score = np.full(part.num_rows, net) if scorer is None else scorer.scores(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["id", "score"])
+                score = np.full(part.num_rows, net) if scorer is None else scorer.scores([t or "" for t in part.column(at_text).to_pylist()])
+                if below is None:
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, "score"])
+                else:
+                    yield part.filter(pa.array(score < below))
+
+    return rows.mapInArrow(run, rows.schema if below is not None else StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+
+def scored(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, score`` for every row."""
+    return with_scores(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", model).select("id", "score")
 
 
 def held_out(column):
@@ -395,6 +404,4 @@ def held_out(column):
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that score below ``threshold``; trained on labels outside the held-out third."""
-    model = fit(docs, labels, lambda c: ~held_out(c), id_col, text_col)
-    gone = scored(docs, model, id_col, text_col).where(F.col("score") >= threshold).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
+    return with_scores(docs, text_col, fit(docs, labels, lambda c: ~held_out(c), id_col, text_col), below=threshold)
