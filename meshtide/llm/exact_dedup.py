@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from meshtide.session import written
 
 HEAD, GROWTH, MAX_CHUNK = 32, 8, 1 << 20
+NUMBER = "_meshtide_row_number"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -53,12 +54,12 @@ def split_rounds(rows: DataFrame, head: int = HEAD, growth: int = GROWTH) -> Dat
         pos, size = pos + size, min(size * growth, MAX_CHUNK)
 
 
-def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``id, keep_id, group_size, kept, text_sha256, rid``.
 
-    ``docs`` may carry a column ``rid`` of stable row numbers of its own.
+    ``number_col`` names a column of stable, distinct row numbers, if there is one.
     """
-    rid = F.col("rid") if "rid" in docs.columns else F.monotonically_increasing_id()
+    rid = F.col(number_col) if number_col else F.monotonically_increasing_id()
     base = written(docs.select(rid.alias("rid"), F.col(id_col).alias("id"), normalised(text_col).alias("body")), "bodies")
     groups = split_rounds(base.withColumn("body", F.encode("body", "UTF-8")))
     # of rows that share a group's smallest id, the first row stays
@@ -73,8 +74,6 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) that stay, one of each group of equal texts."""
-    numbered = written(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
-    gone = equal_groups(numbered, id_col, text_col).where("not kept").select("rid")
-    return numbered.join(gone, "rid", "left_anti").select(*docs.columns)
-
-
+    numbered = written(docs.withColumn(NUMBER, F.monotonically_increasing_id()), "numbered")
+    gone = equal_groups(numbered, id_col, text_col, NUMBER).where("not kept").select(F.col("rid").alias(NUMBER))
+    return numbered.join(gone, NUMBER, "left_anti").select(*docs.columns)
