@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.session import written
+from meshtide.session import checkpointed, written
 
 HEAD, GROWTH, MAX_CHUNK = 32, 8, 1 << 20
 NUMBER = "_meshtide_row_number"
@@ -44,6 +44,7 @@ def split_rounds(rows: DataFrame, head: int = HEAD, growth: int = GROWTH) -> Dat
         chunk = F.substring("body", pos, size)
         cut = state.select("rid", "id", "gid", "body", chunk.alias("chunk"), (F.length("body") < pos + size).alias("ended"))
         sizes = cut.groupBy("gid", "chunk", "ended").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("next"), F.min("id").alias("low")).where("n > 1")
+        sizes = checkpointed(sizes)  # both sides of the join then have an exchange of their own, which a hot group may split
         on = cut.join(sizes, ["gid", "chunk", "ended"])
         state = written(on.select("rid", "id", F.col("next").alias("gid"), "low", "n", "ended", F.when(~F.col("ended"), F.col("body")).alias("body")), "radix")
         done = state.where("ended").select("rid", "id", "gid", "low", "n")
