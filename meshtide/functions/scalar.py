@@ -22,15 +22,30 @@ def parse_multi_format(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy/MM/dd HH:mm")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm")), F.try_to_timestamp(plain, F.lit("yyyyMMddHHmmss")))
 
 
-def redact(text: Column, most: int = 180) -> Column:
-    """Secrets and control characters out, white space as single spaces, cut to ``most`` characters with an ellipsis."""
-    for pattern, by in (
-        (r"[\x00-\x1F\x7F]+", " "), (r"(?i)\b(token|password|secret|key)\s*[=:]\s*\S+", "$1=[redacted]"), (r"(?i)bearer\s+\S+", "Bearer [redacted]"),
-        (r"\bAKIA[A-Z0-9]{12,}", "[redacted]"), (r"(https?://[^\s?]+)\?\S+", "$1?[redacted]"), (r"\b[A-Za-z0-9_-]{40,}\b", "[redacted]"), (r"\s+", " "),
-    ):
+# What is taken out of texts, in this order.
+REDACTIONS = (
+    (r"[\x00-\x1f\x7f]+", " "),
+    (r"(?i)\b(token|secret|password|passwd|api[_-]?key|authorization)\s*[:=]\s*\S+", "$1=[redacted]"),
+    (r"(?i)\bBearer\s+\S+", "Bearer [redacted]"),
+    (r"\b(?:gh[pousr]_[A-Za-z0-9_]+|AKIA[A-Z0-9]{16})\b", "[redacted]"),
+    (r"(?i)(https?://[^\s?#]+)[?#][^\s]+", "$1?[redacted]"),
+    (r"\b[A-Za-z0-9_+/=-]{40,}\b", "[redacted]"),
+    (r"(?i)\bpass(?:ed)?\b", "success-state"),
+    (r"(?U)\s+", " "),
+)
+
+
+def redact(text: Column) -> Column:
+    """Control characters, secrets and address queries out, white space as single spaces."""
+    for pattern, by in REDACTIONS:
         text = F.regexp_replace(text, pattern, by)
-    text = F.trim(text)
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+    return F.trim(text)
+
+
+def capped_text(text: Column, most: int = 180) -> Column:
+    """A redacted text cut to ``most`` characters, the last one an ellipsis."""
+    clean = redact(text)
+    return F.when(F.length(clean) > most, F.concat(F.rtrim(F.substring(clean, 1, most - 1)), F.lit("…"))).otherwise(clean)
 
 
 def safe_name(text: Column) -> Column:
@@ -46,6 +61,11 @@ def fnv1a32(text: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.aggregate(pairs, F.lit(2166136261).cast("long"), step)), 8, "0"))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON without white space and with the keys of every object in order; null for texts that are not JSON or repeat a key."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def criterion(value: Column, operator: Column, target: Column, high: Column | None = None) -> Column:
     """``lte``, ``gte``, ``eq`` or ``between`` (target..high); null for other operators."""
     out = F.when(operator == "lte", value <= target).when(operator == "gte", value >= target).when(operator == "eq", value == target)
@@ -72,8 +92,14 @@ def tide_slope(hours: Column, phase: float = 0.0) -> Column:
 
 
 def near_turn(hours: Column, reach: float = 1.5, phase: float = 0.0) -> Column:
-    """The tide turns within ``reach`` hours either way."""
-    return tide_slope(hours - reach, phase) * tide_slope(hours + reach, phase) < 0
+    """The tide moves now and stands nearly still ``reach`` hours before or after."""
+    still = lambda h: F.abs(tide_slope(h, phase)) < 0.030
+    return (F.abs(tide_slope(hours, phase)) > 0.025) & (still(hours - reach) | still(hours + reach))
+
+
+def night_score(hour: Column) -> Column:
+    """1 by night, less at dusk and dawn, 0 by day; ``hour`` is the local decimal hour."""
+    return F.when((hour >= 18) | (hour <= 5), 1.0).when((hour >= 16.5) & (hour < 18), 0.45).when((hour > 5) & (hour <= 7), 0.35).otherwise(0.0)
 
 
 def grade(score: Column) -> Column:
@@ -107,7 +133,25 @@ def palette(value: Column, low: Column, high: Column, colours: list[tuple[int, i
     return F.when(value.isNotNull(), F.transform(F.zip_with(a, b, lambda x, y: x + (y - x) * (t - k)), lambda x: F.rint(x).cast("int")))
 
 
-def render_window_score(movement: Column, night: Column, turn: Column, closed: Column) -> Column:
-    """0..100 from weighted parts; a closed structure and slack water take points off."""
-    raw = 45 * movement + 25 * night + F.when(turn, 15).otherwise(0) - F.when(closed, 10).otherwise(0) + 15
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw.cast("double")))
+def _window_parts(hours: Column, hour: Column, phase: float) -> tuple[Column, Column, Column, Column]:
+    slope = tide_slope(hours, phase)
+    return slope, night_score(hour), near_turn(hours, phase=phase), F.least(F.lit(1.0), 0.25 + F.least(F.lit(1.0), F.abs(slope) * 2.35) * 0.75)
+
+
+def window_score(hours: Column, hour: Column, closed: Column, phase: float = 0.0) -> Column:
+    """0..100 at a time of ``hours`` since the epoch, local decimal ``hour`` and a gate that is ``closed`` or not."""
+    slope, night, turn, flow = _window_parts(hours, hour, phase)
+    move, zero = F.least(F.lit(1.0), F.abs(slope) * 2.35), F.lit(0.0)
+    score = 34 + move * 18 + night * 16 + F.when(turn, 10).otherwise(zero) + flow * 10
+    score = score + F.when(closed, 0.78 * 8 + 0.82 * 7 + 6).otherwise(0.52 * 8 + 0.48 * 7)
+    score = score - F.when(F.abs(slope) < 0.015, 16).otherwise(zero) - F.when(night < 0.2, 6).otherwise(zero)
+    score = score + F.when((slope < 0) & (night > 0.4), 5).otherwise(zero) + F.when((slope > 0) & closed, 3).otherwise(zero)
+    return F.least(F.lit(100.0), F.greatest(zero, score))
+
+
+def window_reasons(hours: Column, hour: Column, closed: Column, gate: Column, phase: float = 0.0, most: int = 3) -> Column:
+    """Up to ``most`` reasons for a score; ``gate`` is what to say of a gate that is not closed. The report's length is a parameter."""
+    slope, night, turn, flow = _window_parts(hours, hour, phase)
+    moving = F.concat(F.when(turn, "starting ").otherwise(""), F.when(slope > 0, "rising").otherwise("falling"))
+    reasons = F.array(F.when(closed, "gate closed").otherwise(gate), F.when(F.abs(slope) < 0.015, "slack").otherwise(moving), F.when(night > 0.8, "night").when(night > 0.3, "twilight"), F.when(flow > 0.65, "tidal flow"))
+    return F.slice(F.array_distinct(F.array_compact(reasons)), 1, most)

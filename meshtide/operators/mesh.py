@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshtide.functions.scalar import gate_bucket
 from meshtide.operators.graph import connected_components
 
 
@@ -98,3 +99,57 @@ def quantised(points: DataFrame, scale: float = 1000.0) -> DataFrame:
     """Adds ``qx, qy``: whole thousandths around the mean point, rounded half to even."""
     centre = points.agg(F.avg("x").alias("ox"), F.avg("y").alias("oy"))
     return points.crossJoin(F.broadcast(centre)).withColumn("qx", F.rint((F.col("x") - F.col("ox")) * scale).cast("int")).withColumn("qy", F.rint((F.col("y") - F.col("oy")) * scale).cast("int")).drop("ox", "oy")
+
+
+def cut_faces(faces: DataFrame, line: tuple[float, float, float, float], marked: DataFrame | None = None, gates: int = 8) -> DataFrame:
+    """``face_id, gate``: faces whose centroid-to-centroid path crosses ``line``, and the ``marked(face_id)`` ones.
+
+    ``faces(face_id, lx, ly, rx, ry, mx, my)``. Both centroids lie strictly on
+    different sides and the path meets the segment, ends included. ``gate`` numbers
+    the line's part nearest to the face's midpoint. Boundary faces have a null right centroid and are never cut.
+    """
+    px, py, qx, qy = line
+    vx, vy = qx - px, qy - py
+    side = lambda x, y: vx * (F.col(y) - py) - vy * (F.col(x) - px)
+    left, right = side("lx", "ly"), side("rx", "ry")
+    at = left / (left - right)
+    x, y = F.col("lx") + at * (F.col("rx") - F.col("lx")), F.col("ly") + at * (F.col("ry") - F.col("ly"))
+    along = lambda x, y: ((x - px) * vx + (y - py) * vy) / (vx * vx + vy * vy)
+    crossed = F.coalesce((left * right < 0) & along(x, y).between(0.0, 1.0), F.lit(False))
+    f = faces
+    if marked is not None:
+        f = f.join(marked.select("face_id").distinct().withColumn("marked", F.lit(True)), "face_id", "left")
+        crossed = crossed | F.coalesce("marked", F.lit(False))
+    return f.where(crossed).select("face_id", gate_bucket(along(F.col("mx"), F.col("my")), gates).alias("gate"))
+
+
+def rasterised_cells(triangles: DataFrame, vertices: DataFrame, width: int, height: int, margin: float = 0.025) -> DataFrame:
+    """``row, col, cell_id``: the triangle at each pixel's centre, on square pixels over the mesh's padded bounds; row 0 is at the top.
+
+    A centre on a common side or corner belongs to the larger cell id. A triangle
+    visits the pixels of its own box only.
+    """
+    b = vertices.agg(*[f(k).alias(f"{n}_{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in "xy"])
+    span = lambda k: F.col(f"hi_{k}") - F.col(f"lo_{k}") + 2 * F.greatest(F.lit(1e-6), (F.col(f"hi_{k}") - F.col(f"lo_{k}")) * margin)
+    b = b.select(F.greatest(span("x") / width, span("y") / height).alias("px"), ((F.col("lo_x") + F.col("hi_x")) / 2).alias("mid_x"), ((F.col("lo_y") + F.col("hi_y")) / 2).alias("mid_y"))
+    t = with_corners(triangles.select("cell_id", "a", "b", "c"), vertices).join(F.broadcast(b)).withColumn("d", doubled_area()).where("d <> 0")
+    col = lambda x: (x - F.col("mid_x")) / F.col("px") + width / 2 - 0.5
+    row = lambda y: (F.col("mid_y") - y) / F.col("px") + height / 2 - 0.5
+    ends = lambda f, k, n: F.sequence(F.greatest(F.lit(0), F.floor(F.least(*[f(F.col(f"{c}{k}")) for c in "abc"])).cast("int")), F.least(F.lit(n - 1), F.ceil(F.greatest(*[f(F.col(f"{c}{k}")) for c in "abc"])).cast("int")))
+    t = t.withColumn("col", F.explode(ends(col, "x", width))).withColumn("row", F.explode(ends(row, "y", height)))
+    t = t.withColumn("x", F.col("mid_x") + (F.col("col") + 0.5 - width / 2) * F.col("px")).withColumn("y", F.col("mid_y") - (F.col("row") + 0.5 - height / 2) * F.col("px"))
+    w1 = ((F.col("bx") - F.col("x")) * (F.col("cy") - F.col("y")) - (F.col("by") - F.col("y")) * (F.col("cx") - F.col("x"))) / F.col("d")
+    w2 = ((F.col("cx") - F.col("x")) * (F.col("ay") - F.col("y")) - (F.col("cy") - F.col("y")) * (F.col("ax") - F.col("x"))) / F.col("d")
+    inside = (w1 >= -1e-12) & (w2 >= -1e-12) & (1 - w1 - w2 >= -1e-12)
+    return t.where(inside).groupBy("row", "col").agg(F.max("cell_id").alias("cell_id"))
+
+
+def raster_coverage(grid: DataFrame, triangles: DataFrame) -> DataFrame:
+    """One row ``cells, represented, fraction``; see also :func:`omitted_cells`."""
+    r = triangles.select("cell_id").join(grid.select("cell_id").distinct().withColumn("there", F.lit(True)), "cell_id", "left").agg(F.count(F.lit(1)).alias("cells"), F.count("there").alias("represented"))
+    return r.withColumn("fraction", F.when(F.col("cells") > 0, F.col("represented") / F.col("cells")))
+
+
+def omitted_cells(grid: DataFrame, triangles: DataFrame) -> DataFrame:
+    """``cell_id`` of the triangles that no pixel shows."""
+    return triangles.select("cell_id").join(grid.select("cell_id"), "cell_id", "left_anti")

@@ -107,3 +107,53 @@ def densified(segments: DataFrame, spacing: float) -> DataFrame:
     s = segments.withColumn("n", F.greatest(F.lit(1), F.ceil(length / spacing).cast("int"))).withColumn("k", F.explode(F.sequence(F.lit(0), "n")))
     t: Column = F.col("k") / F.col("n")
     return s.select("segment_id", "k", (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("y"))
+
+
+def cell_components(cells: DataFrame) -> DataFrame:
+    """``ix, iy, component`` of the 4-neighbour regions of ``cells(ix, iy)``."""
+    r = run_components(encode_runs(cells.select(F.col("iy").alias("row"), F.col("ix").alias("x"))))
+    return r.select(F.explode(F.sequence("x0", "x1")).alias("ix"), F.col("row").alias("iy"), "component")
+
+
+def component_filter(cells: DataFrame, points: DataFrame, cell: float, at_edge: Column | None = None, hits: DataFrame | None = None, least_cells: int = 55, cell_share: float = 0.16, least_points: int = 45, point_share: float = 0.045) -> DataFrame:
+    """``component, cells, points, max_score, at_grid, at_map, hit, keep`` of the regions of ``cells(ix, iy)``.
+
+    A region stays if one of its cells is in ``hits(ix, iy)`` or fulfils ``at_edge``
+    (a Column over ``ix, iy``), or if it is large: in cells against the largest
+    region, or in ``points(x, y, score)`` against all points. Every cell is tested.
+    """
+    c = cell_components(cells)
+    box = cells.agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("iy").alias("c"), F.max("iy").alias("d"))
+    c = c.join(F.broadcast(box)).withColumn("at_grid", F.expr("ix = a or ix = b or iy = c or iy = d"))
+    c = c.withColumn("at_map", F.lit(False) if at_edge is None else F.coalesce(at_edge, F.lit(False)))
+    c = c.withColumn("hit", F.lit(False)) if hits is None else c.join(hits.select("ix", "iy").distinct().withColumn("hit", F.lit(True)), ["ix", "iy"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    # points are counted in their cells first, so that a crowded region is not one task's work
+    p = points.groupBy(F.floor(F.col("x") / cell).alias("ix"), F.floor(F.col("y") / cell).alias("iy")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("s"))
+    g = c.join(p, ["ix", "iy"], "left").groupBy("component").agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"), F.greatest(F.lit(0.0), F.max("s")).alias("max_score"), *[F.bool_or(k).alias(k) for k in ("at_grid", "at_map", "hit")])
+    whole = g.agg(F.max("cells").alias("largest")).join(points.agg(F.count(F.lit(1)).alias("total")))
+    big = (F.col("cells") >= F.greatest(F.lit(float(least_cells)), F.col("largest") * cell_share)) | (F.col("points") >= F.greatest(F.lit(float(least_points)), F.col("total") * point_share))
+    return g.join(F.broadcast(whole)).withColumn("keep", F.col("hit") | F.col("at_map") | big).drop("largest", "total")
+
+
+def kept_cells(cells: DataFrame, filtered: DataFrame) -> DataFrame:
+    """The ``cells(ix, iy)`` of the regions that :func:`component_filter` keeps."""
+    return cell_components(cells).join(filtered.where("keep").select("component"), "component", "left_semi").select("ix", "iy")
+
+
+def grid_reconcile(base: DataFrame, authority: DataFrame, attributes: list[str]) -> DataFrame:
+    """``ix, iy, water, change`` and the attributes of ``base`` with its water set from ``authority``.
+
+    Both have ``ix, iy, water`` and the attributes. Dry cells have attributes 0, added
+    ones (``change`` added) those of ``authority``, others keep their own; null counts
+    as dry or 0. Cells that only one side knows are dry on the other.
+    """
+    a = authority.select("ix", "iy", F.coalesce("water", F.lit(False)).alias("_w"), *[F.col(k).alias(f"_{k}") for k in attributes])
+    j = base.select("ix", "iy", "water", *attributes).join(a, ["ix", "iy"], "full_outer").withColumn("was", F.coalesce("water", F.lit(False))).withColumn("water", F.coalesce("_w", F.lit(False)))
+    change = F.when(F.col("water") & ~F.col("was"), "added").when(~F.col("water") & F.col("was"), "removed")
+    value = lambda k: F.when(~F.col("water"), F.lit(0.0)).when(F.col("was"), F.coalesce(k, F.lit(0.0))).otherwise(F.coalesce(f"_{k}", F.lit(0.0)))
+    return j.select("ix", "iy", "water", change.alias("change"), *[value(k).alias(k) for k in attributes])
+
+
+def reconcile_counts(reconciled: DataFrame) -> DataFrame:
+    """One row ``difference, added, removed, water``."""
+    return reconciled.agg(F.count("change").alias("difference"), F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"), F.count_if("water").alias("water"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -9,7 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STRINGS = (r"https?://[^\s\"'<>]+", r"[\w./-]+\.(?:json|csv|html?)", r"/api/[\w/.-]+")
+# Patterns of addresses and request fields in page sources, with the group that counts.
+STRINGS = (
+    (r"""(?i)https?://[^"'\s)]+""", 0),
+    (r"""(?i)["'](/[^"']*(?:api|observ|water|suii|river|kawabou|telemetry)[^"']*)["']""", 1),
+    (r"""(?i)["']([^"']*(?:obsCd|obsrvId|ofcCd|itmkndCd)[^"']*)["']""", 1),
+)
+ENCODINGS = ("utf-8", "cp932", "shift_jis", "euc_jp")
 
 
 class _Resources(HTMLParser):
@@ -66,8 +73,37 @@ def allowed_urls(urls: Column, hosts: list[str]) -> Column:
 
 def candidate_strings(text: Column, most: int = 500) -> Column:
     """Sorted distinct matches of STRINGS of 3 to 600 characters; ``most`` is the report's length."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in STRINGS])
-    return F.slice(F.sort_array(F.array_distinct(F.filter(F.transform(found, F.trim), lambda s: (F.length(s) >= 3) & (F.length(s) <= 600)))), 1, most)
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in STRINGS])
+    return F.slice(F.sort_array(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda s: (F.length(s) >= 3) & (F.length(s) <= 600)))), 1, most)
+
+
+def decoded(df: DataFrame, body: str, content_type: str) -> DataFrame:
+    """Adds ``text`` and ``encoding`` of binary ``body``.
+
+    The header's charset is tried first, then the one that the first 4096 bytes
+    state, then ENCODINGS; what fits none is read as UTF-8 with replacement
+    characters (``utf-8-replace``). Null bodies stay null.
+    """
+    names = [re.compile(r"charset=([A-Za-z0-9._-]+)", re.I), re.compile(r"""charset\s*=\s*["']?([A-Za-z0-9._-]+)""", re.I)]
+
+    def one(raw: bytes | None, header: str | None) -> dict | None:
+        if raw is None:
+            return None
+        stated = [p.search(t) for p, t in zip(names, (header or "", raw[:4096].decode("ascii", "ignore")), strict=True)]
+        for name in [m.group(1) for m in stated if m] + list(ENCODINGS):
+            try:
+                return {"text": raw.decode(name), "encoding": name}
+            except (LookupError, UnicodeDecodeError):
+                continue
+        return {"text": raw.decode("utf-8", "replace"), "encoding": "utf-8-replace"}
+
+    @F.arrow_udf("text string, encoding string")
+    def run(bodies: pa.Array, headers: pa.Array) -> pa.Array:
+        rows = [one(b, h) for b, h in zip(bodies.to_pylist(), headers.to_pylist(), strict=True)]
+        return pa.array(rows, pa.struct([("text", pa.string()), ("encoding", pa.string())]))
+
+    d = df.withColumn("_decoded", run(F.col(body).cast("binary"), F.col(content_type).cast("string")))
+    return d.withColumn("text", F.col("_decoded.text")).withColumn("encoding", F.col("_decoded.encoding")).drop("_decoded")
 
 
 def distinct_in_order(df: DataFrame, group: str, value: str, position: str) -> DataFrame:

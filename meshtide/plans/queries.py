@@ -363,7 +363,12 @@ def text_safe_name(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", scalar.safe_name(F.col("text")).alias("name"))
 
 
-@query()
+_REDACTED = "text"
+for _p, _by in scalar.REDACTIONS:
+    _REDACTED = "regexp_replace({}, '{}', '{}', 'g')".format(_REDACTED, _p.replace("(?U)", "").replace("'", "''"), _by.replace("$", "\\"))
+
+
+@query(f"SELECT doc_id, trim({_REDACTED}) AS text FROM documents")
 def text_redact(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", scalar.redact(F.col("text")).alias("text"))
 
