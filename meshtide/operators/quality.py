@@ -97,3 +97,30 @@ def check_references(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     used, listed = candidates.select("source_id").distinct(), sources.select("source_id")
     dup = listed.groupBy("source_id").count().where("count > 1").select("source_id", F.lit("duplicate").alias("problem"))
     return used.join(listed, "source_id", "left_anti").select("source_id", F.lit("unknown").alias("problem")).union(listed.distinct().join(used, "source_id", "left_anti").select("source_id", F.lit("unused"))).union(dup)
+
+
+def threshold_rules(steps: int, cfl: float = 0.95, mass: float = 1e-8) -> list[tuple[str, str, Column]]:
+    """Rules for :func:`blockers` on case results (steps, nan_count, negative_depths, max_cfl, mass_error, min_depth, simulated_s, min_step_s, max_step_s)."""
+    value = F.col
+    finite = [(f"{k} finite", f"$.{k}", value(k).isNotNull() & ~F.isnan(k) & (F.abs(k) < float("inf"))) for k in ("max_cfl", "mass_error", "min_depth", "simulated_s", "min_step_s", "max_step_s")]
+    return [
+        ("steps", "$.steps", value("steps") == steps), ("nan", "$.nan_count", value("nan_count") == 0), ("negative", "$.negative_depths", value("negative_depths") == 0), *finite,
+        ("cfl", "$.max_cfl", value("max_cfl").between(0.0, cfl)), ("mass", "$.mass_error", F.abs("mass_error") <= mass), ("depth", "$.min_depth", value("min_depth") >= 0),
+        ("time", "$.simulated_s", value("simulated_s") > 0), ("step", "$.min_step_s", value("min_step_s") > 0), ("step range", "$.max_step_s", value("max_step_s") >= value("min_step_s")),
+    ]
+
+
+def station_identity(master: DataFrame, expected: DataFrame) -> DataFrame:
+    """``code, name_ok, river_ok, ok`` of each ``expected(code, name, river)`` in ``master(code, name, river)``; unknown codes and nulls are not ok.
+
+    Of several master rows with a code one has to fit.
+    """
+    m = master.select("code", F.col("name").alias("m_name"), F.col("river").alias("m_river"))
+    name, river = F.coalesce(F.col("name") == F.col("m_name"), F.lit(False)), F.coalesce(F.col("river") == F.col("m_river"), F.lit(False))
+    j = expected.select("code", "name", "river").join(m, "code", "left").groupBy("code", "name", "river")
+    return j.agg(F.bool_or(name).alias("name_ok"), F.bool_or(river).alias("river_ok"), F.bool_or(name & river).alias("ok")).select("code", "name_ok", "river_ok", "ok")
+
+
+def key_differences(found: Column, wanted: Column) -> tuple[Column, Column]:
+    """Missing and unexpected keys of a key array against the wanted ones; both are empty if the sets are equal."""
+    return F.array_except(wanted, found), F.array_except(found, wanted)

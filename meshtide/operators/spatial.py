@@ -53,8 +53,15 @@ def blocked_points(points: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 
 def blocked_paths(paths: DataFrame, lines: DataFrame) -> DataFrame:
-    """``paths`` (with px, py, qx, qy) that cross a segment of ``lines(ax, ay, bx, by)``."""
-    return paths.join(lines.select("ax", "ay", "bx", "by"), segments_cross(*(F.col(c) for c in ("px", "py", "qx", "qy", "ax", "ay", "bx", "by"))), "left_semi")
+    """``paths`` (with px, py, qx, qy) that cross a segment of ``lines(ax, ay, bx, by[, buffer])`` or come within its ``buffer``; null or no buffer: crossing only."""
+    names = ("px", "py", "qx", "qy", "ax", "ay", "bx", "by")
+    px, py, qx, qy, ax, ay, bx, by = (F.col(c) for c in names)
+    hit, columns = segments_cross(px, py, qx, qy, ax, ay, bx, by), list(names[4:])
+    if "buffer" in lines.columns:
+        columns.append("buffer")
+        apart = F.least(segment_distance(px, py, ax, ay, bx, by)[0], segment_distance(qx, qy, ax, ay, bx, by)[0], segment_distance(ax, ay, px, py, qx, qy)[0], segment_distance(bx, by, px, py, qx, qy)[0])
+        hit = hit | F.coalesce(apart <= F.col("buffer"), F.lit(False))
+    return paths.join(lines.select(*columns), hit, "left_semi")
 
 
 def stand_weight(d: Column) -> Column:

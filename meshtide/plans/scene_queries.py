@@ -337,3 +337,33 @@ SELECT series_id, epoch_us(w) // 1000000 AS begin, count(*) AS n, round(avg(valu
 def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "events").select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return rounded(stateful.stream_summary(s).withColumn("begin", F.unix_seconds("begin")))
+
+
+@query(f"""WITH {V.CASES} SELECT case_id, code, path FROM (SELECT *, unnest([CASE WHEN case_id % 50 = 0 THEN 'steps' END, CASE WHEN NOT (cfl BETWEEN 0 AND 0.95) THEN 'cfl' END, CASE WHEN abs(mass_error) > 4.5e-9 THEN 'mass' END, CASE WHEN min_depth < 0 THEN 'depth' END]) AS code,
+ unnest(['$.steps', '$.max_cfl', '$.mass_error', '$.min_depth']) AS path FROM cases) WHERE code IS NOT NULL""")
+def quality_threshold_rules(spark: SparkSession, sf: str) -> DataFrame:
+    c = V.cases(spark, sf).withColumnRenamed("cfl", "max_cfl").withColumn("steps", F.when(F.col("case_id") % 50 == 0, 499).otherwise(500))
+    c = c.withColumns({"nan_count": F.lit(0), "negative_depths": F.lit(0), "simulated_s": F.lit(1.0), "min_step_s": F.lit(0.1), "max_step_s": F.lit(0.2)})
+    return quality.blockers(c, "case_id", quality.threshold_rules(500, mass=4.5e-9))
+
+
+@query("""SELECT s_suppkey AS code, s_nationkey % 3 > 0 AS name_ok, s_suppkey % 2 = 0 AS river_ok, s_nationkey % 3 > 0 AND s_suppkey % 2 = 0 AS ok FROM supplier""")
+def quality_station_identity(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("river"), "s_nationkey")
+    expected = s.withColumn("name", F.when(F.col("s_nationkey") % 3 == 0, "other").otherwise(F.col("name"))).withColumn("river", F.when(F.col("code") % 2 == 1, "other").otherwise(F.col("river")))
+    return quality.station_identity(s, expected)
+
+
+@query("""SELECT count(*) * len(any_value(embedding)) AS n, count(*) AS cases, 0::BIGINT AS not_finite, sum(len(list_filter(embedding, lambda x: x < 0)))::BIGINT AS negative_depth, 0::BIGINT AS uneven FROM embeddings""")
+def source_field_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.field_problems(V.field(spark, sf).withColumn("depth", F.col("u")))
+
+
+@query(f"""WITH {V.MESH} SELECT cell_id AS ix, 'cell' AS kind, 'Polygon' AS geom_type, 4::BIGINT AS n FROM tri""")
+def source_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    tri, v = V.mesh(spark, sf)
+    t = mesh.with_corners(tri, v).select(F.col("cell_id").alias("ix"), F.lit("cell").alias("kind"), F.lit("Polygon").alias("geom_type"), F.lit(0).alias("ring"), F.posexplode(F.array(*[F.struct(F.col(f"{c}x").alias("lng"), F.col(f"{c}y").alias("lat")) for c in "abc"])).alias("k", "p"))
+    f = tables.geojson_features(t.select("ix", "kind", "geom_type", "ring", "k", "p.lng", "p.lat"))
+    one = tables.FEATURES.removeprefix("features array<").removesuffix(">")
+    r = f.select("ix", F.from_json("feature", one).alias("f")).select("ix", F.col("f.properties")["kind"].alias("kind"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    return tables.rings(r).groupBy("ix").agg(F.count(F.lit(1)).alias("n")).join(r.select("ix", "kind", "geom_type"), "ix").select("ix", "kind", "geom_type", "n")

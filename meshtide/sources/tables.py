@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,93 @@ def closed_segments(points: DataFrame) -> DataFrame:
     return points.select(F.col("ix").alias("feature"), "ring", F.col("lng").alias("ax"), F.col("lat").alias("ay"), nxt("lng").alias("bx"), nxt("lat").alias("by")).where("ax <> bx or ay <> by")
 
 
+def geojson_features(points: DataFrame) -> DataFrame:
+    """``ix, feature`` (JSON text) from ``points(ix, kind, geom_type, ring, k, lng, lat)``; rings of polygons are closed."""
+    rings_ = points.groupBy("ix", "kind", "geom_type", "ring").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lng", "lat"))), lambda p: F.array(p["lng"], p["lat"])).alias("line"))
+    ends_meet = F.element_at("line", 1) == F.element_at("line", -1)
+    rings_ = rings_.withColumn("line", F.when((F.col("geom_type") == "Polygon") & ~ends_meet, F.concat("line", F.slice("line", 1, 1))).otherwise(F.col("line")))
+    f = rings_.groupBy("ix", "kind", "geom_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "line"))), lambda r: r["line"]).alias("rings"))
+    first = F.element_at("rings", 1)
+    coordinates = F.when(F.col("geom_type") == "Polygon", F.to_json("rings")).when(F.col("geom_type") == "LineString", F.to_json(first)).otherwise(F.to_json(F.element_at(first, 1)))
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("kind").alias("properties")))
+    geometry = F.concat(F.lit(',"geometry":{"type":"'), "geom_type", F.lit('","coordinates":'), coordinates, F.lit("}}"))
+    return f.withColumn("_h", head).withColumn("_g", geometry).select("ix", F.concat(F.expr("left(_h, length(_h) - 1)"), "_g").alias("feature"))
+
+
+def write_geojson(points: DataFrame, path: str) -> None:
+    """One GeoJSON feature a line below ``path``; refuses an existing target. :func:`read_features` reads it."""
+    geojson_features(points).select(F.col("feature").alias("value")).write.mode("errorifexists").text(path)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """``kind, props, geom_type, coordinates`` of line-wise features."""
+    one = FEATURES.removeprefix("features array<").removesuffix(">")
+    f = spark.read.text(path).select(F.from_json("value", one).alias("f"))
+    return f.select(F.col("f.properties")["kind"].alias("kind"), F.col("f.properties").alias("props"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
+def read_field_archive(spark: SparkSession, path: str, ids: str = "case_ids", depth: str = "water_depth_m", u: str = "velocity_u_ms", v: str = "velocity_v_ms") -> DataFrame:
+    """``path, case_id, cell_id, depth, u, v`` from numpy archives of case x cell arrays; one archive at a time in a task.
+
+    An archive with other types or shapes than (cases, cells) of 64-bit floats fails the job.
+    """
+
+    def run(batches):
+        for b in batches:
+            for name, body in zip(b["path"], b["content"], strict=True):
+                with np.load(io.BytesIO(bytes(body)), allow_pickle=False) as f:
+                    cases, fields = f[ids].astype(str), [f[k] for k in (depth, u, v)]
+                if any(x.dtype != np.float64 or x.ndim != 2 or x.shape != (len(cases), fields[0].shape[1]) for x in fields):
+                    raise ValueError(f"{name}: the fields are not (cases, cells) of 64-bit floats")
+                for k, case in enumerate(cases):
+                    yield pd.DataFrame({"path": name, "case_id": case, "cell_id": np.arange(fields[0].shape[1]), "depth": fields[0][k], "u": fields[1][k], "v": fields[2][k]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, case_id string, cell_id long, depth double, u double, v double")
+
+
+def field_problems(field: DataFrame) -> DataFrame:
+    """One row ``n, cases, not_finite, negative_depth, uneven``: values that are not finite, depths below 0, cells that not every case has."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    cells = field.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad("depth") | bad("u") | bad("v")).alias("bad"), F.count_if(F.col("depth") < 0).alias("negative"))
+    cases = field.agg(F.count_distinct("case_id").alias("cases"))
+    r = cells.join(F.broadcast(cases)).agg(F.sum("n").alias("n"), F.max("cases").alias("cases"), F.sum("bad").alias("not_finite"), F.sum("negative").alias("negative_depth"), F.count_if(F.col("n") != F.col("cases")).alias("uneven"))
+    return r.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in r.columns])
+
+
+def mesh_row_problems(cells: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """``kind, index, problem`` of rows that break a rule.
+
+    ``cells(index, a, b, c)``: repeated or unknown vertices; ``vertices(index, x, y)``:
+    coordinates that are not finite; ``faces(index, a, b, left, right, length)``: equal
+    ends, unknown vertices or cells (a null ``right`` is the boundary), lengths that are not positive.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    row = lambda d, kind, problem: d.select(F.lit(kind).alias("kind"), F.col("index").cast("long").alias("index"), F.lit(problem).alias("problem"))
+
+    def unknown(d: DataFrame, kind: str, columns: list[str], there: DataFrame, what: str) -> DataFrame:
+        used = d.select("index", F.explode(F.array(*[F.col(c).cast("long") for c in columns])).alias("ref")).where("ref is not null")
+        return row(used.join(there.select(F.col("index").cast("long").alias("ref")), "ref", "left_anti").distinct(), kind, what)
+
+    parts = [
+        row(cells.where("a = b or b = c or a = c"), "cell", "repeated vertex"), unknown(cells, "cell", ["a", "b", "c"], vertices, "unknown vertex"),
+        row(vertices.where(~(finite("x") & finite("y"))), "vertex", "not finite"), row(faces.where("a = b"), "face", "repeated vertex"),
+        unknown(faces, "face", ["a", "b"], vertices, "unknown vertex"), unknown(faces, "face", ["left", "right"], cells, "unknown cell"), row(faces.where(~(finite("length") & (F.col("length") > 0))), "face", "length"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def packed_problems(parts: DataFrame, expected: DataFrame) -> DataFrame:
+    """``archive, problem``: packed archives whose joined size or SHA-256 differs from ``expected(archive, size, sha256)``, and missing ones."""
+    body = F.unbase64(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "part"))), lambda x: x["part"]), ""))
+    whole = parts.groupBy("archive").agg(body.alias("body")).select("archive", F.octet_length("body").alias("n"), F.sha2("body", 256).alias("digest"))
+    j = expected.select("archive", "size", "sha256").join(whole, "archive", "left")
+    return j.select("archive", F.when(F.col("n").isNull(), "missing").when(F.col("n") != F.col("size"), "size").when(F.col("digest") != F.col("sha256"), "digest").alias("problem")).where("problem is not null")
+
+
 def packed_arrays(parts: DataFrame, layout: list[tuple[str, str, int, int, int]]) -> DataFrame:
     """``name, row, col, value`` from gzip archives in base64 parts ``(archive, ix, part)``; layout rows are name, dtype, offset, rows, columns."""
 

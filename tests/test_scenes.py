@@ -1,13 +1,17 @@
 """Sites, flows, grids and bytes on small fixtures with known answers."""
 
+import base64
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshtide.functions import flow, scalar
-from meshtide.operators import mesh, raster, sites, spatial, web
+from meshtide.operators import mesh, quality, raster, sites, spatial, web
+from meshtide.sources import tables
 
 CONTROL = "tri int, ax double, ay double, bx double, by double, cx double, cy double, ux double, uy double, vx double, vy double, wx double, wy double"
 
@@ -197,6 +201,47 @@ def test_window_score(spark):
     assert all(x["why"][0] == "gates" and 2 <= len(x["why"]) <= 3 for x in r)
 
 
+def test_paths_with_buffers(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 0.0, 5.0, 10.0, 5.0), (3, 0.0, 9.0, 10.0, 9.0)], "id int, px double, py double, qx double, qy double")
+    lines = spark.createDataFrame([(5.0, -1.0, 5.0, 1.0, None), (4.0, 6.5, 6.0, 8.0, 1.5)], "ax double, ay double, bx double, by double, buffer double")
+    assert {r["id"] for r in spatial.blocked_paths(p, lines).collect()} == {1, 2, 3}
+    assert {r["id"] for r in spatial.blocked_paths(p, lines.withColumn("buffer", F.col("buffer") - 0.6)).collect()} == {1}
+    assert {r["id"] for r in spatial.blocked_paths(p, lines.drop("buffer")).collect()} == {1}
+
+
+def test_archives_and_features(spark, tmp_path):
+    depth = np.arange(6.0).reshape(2, 3) - 1
+    np.savez(tmp_path / "f.npz", case_ids=np.array(["a", "b"]), water_depth_m=depth, velocity_u_ms=depth * 2, velocity_v_ms=np.where(depth > 3, np.nan, depth))
+    f = tables.read_field_archive(spark, str(tmp_path / "f.npz"))
+    assert got(f.select("case_id", "cell_id", "depth", "u"), "case_id", "cell_id") == [(c, k, depth[i, k], depth[i, k] * 2) for i, c in enumerate("ab") for k in range(3)]
+    assert tuple(tables.field_problems(f).first()) == (6, 2, 1, 1, 0) and tables.field_problems(f.where("case_id = 'a' or cell_id > 0")).first()["uneven"] == 1
+    assert tuple(tables.field_problems(f.where("cell_id > 9")).first()) == (0, 0, 0, 0, 0)
+    np.savez(tmp_path / "g.npz", case_ids=np.array(["a"]), water_depth_m=depth, velocity_u_ms=depth, velocity_v_ms=depth)
+    with pytest.raises(Exception, match="64-bit floats"):
+        tables.read_field_archive(spark, str(tmp_path / "g.npz")).count()
+    pts = [(1, "w", "Polygon", 0, k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)])] + [(2, "l", "LineString", 0, k, float(k), 2.0) for k in range(2)] + [(3, "p", "Point", 0, 0, 5.0, 6.0)]
+    tables.write_geojson(spark.createDataFrame(pts, "ix int, kind string, geom_type string, ring int, k int, lng double, lat double"), str(tmp_path / "out"))
+    back = tables.read_features(spark, str(tmp_path / "out"))
+    assert got(back.select("kind", "geom_type", "coordinates"), "kind") == [("l", "LineString", "[[0.0,2.0],[1.0,2.0]]"), ("p", "Point", "[5.0,6.0]"), ("w", "Polygon", "[[[0.0,0.0],[1.0,0.0],[1.0,1.0],[0.0,0.0]]]")]
+    raw = base64.b64encode(b"hello world").decode()
+    parts = spark.createDataFrame([("a", 0, raw[:6]), ("a", 1, raw[6:]), ("b", 0, raw)], "archive string, ix int, part string")
+    expected = spark.createDataFrame([("a", 11, hashlib.sha256(b"hello world").hexdigest()), ("b", 11, "0"), ("c", 1, "0")], "archive string, size int, sha256 string")
+    assert got(tables.packed_problems(parts, expected), "archive") == [("b", "digest"), ("c", "missing")]
+
+
+def test_rules(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, float("nan")), (2, 0.0, 1.0)], "index int, x double, y double")
+    c = spark.createDataFrame([(0, 0, 1, 2), (1, 0, 0, 9)], "index int, a int, b int, c int")
+    f = spark.createDataFrame([(0, 0, 1, 0, None, 1.0), (1, 2, 2, 0, 7, 0.0)], "index int, a int, b int, left int, right int, length double")
+    want = {("cell", 1, "repeated vertex"), ("cell", 1, "unknown vertex"), ("vertex", 1, "not finite"), ("face", 1, "repeated vertex"), ("face", 1, "unknown cell"), ("face", 1, "length")}
+    assert {tuple(r) for r in tables.mesh_row_problems(c, v, f).collect()} == want
+    m = spark.createDataFrame([("1", "A", "r"), ("1", "B", "r"), ("2", "C", None)], "code string, name string, river string")
+    e = spark.createDataFrame([("1", "B", "r"), ("2", "C", "r"), ("3", "D", "r")], "code string, name string, river string")
+    assert got(quality.station_identity(m, e), "code") == [("1", True, True, True), ("2", True, False, False), ("3", False, False, False)]
+    missing, extra = quality.key_differences(F.array(F.lit("a"), F.lit("x")), F.array(F.lit("a"), F.lit("b")))
+    assert tuple(spark.range(1).select(missing, extra).first()) == (["b"], ["x"])
+
+
 @pytest.mark.parametrize("name", ["sites_cast_ring", "flow_site_scores", "raster_component_filter", "mesh_raster", "web_decode", "stream_summary"])
 def test_scene_queries_run(spark, sf, name):
     from meshtide.plans import scene_queries
