@@ -52,8 +52,8 @@ def blocked_points(points: DataFrame, exclusions: DataFrame) -> DataFrame:
     return points.join(exclusions.select("ax", "ay", "bx", "by", "buffer"), d <= F.col("buffer"), "left_semi").select("id")
 
 
-def blocked_paths(paths: DataFrame, lines: DataFrame) -> DataFrame:
-    """``paths`` (with px, py, qx, qy) that cross a segment of ``lines(ax, ay, bx, by[, buffer])`` or come within its ``buffer``; null or no buffer: crossing only."""
+def path_conflict(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """``lines`` reduced to what a path (px, py, qx, qy) is tested against, and the test."""
     names = ("px", "py", "qx", "qy", "ax", "ay", "bx", "by")
     px, py, qx, qy, ax, ay, bx, by = (F.col(c) for c in names)
     hit, columns = segments_cross(px, py, qx, qy, ax, ay, bx, by), list(names[4:])
@@ -61,7 +61,12 @@ def blocked_paths(paths: DataFrame, lines: DataFrame) -> DataFrame:
         columns.append("buffer")
         apart = F.least(segment_distance(px, py, ax, ay, bx, by)[0], segment_distance(qx, qy, ax, ay, bx, by)[0], segment_distance(ax, ay, px, py, qx, qy)[0], segment_distance(bx, by, px, py, qx, qy)[0])
         hit = hit | F.coalesce(apart <= F.col("buffer"), F.lit(False))
-    return paths.join(lines.select(*columns), hit, "left_semi")
+    return lines.select(*columns), hit
+
+
+def blocked_paths(paths: DataFrame, lines: DataFrame) -> DataFrame:
+    """``paths`` (with px, py, qx, qy) that cross a segment of ``lines(ax, ay, bx, by[, buffer])`` or come within its ``buffer``; null or no buffer: crossing only."""
+    return paths.join(*path_conflict(lines), "left_semi")
 
 
 def stand_weight(d: Column) -> Column:
@@ -69,14 +74,18 @@ def stand_weight(d: Column) -> Column:
 
 
 def best_stand(targets: DataFrame, samples: DataFrame, reach: float = 100.0, least: float = 2.0, weight=stand_weight, blocked_by: DataFrame | None = None) -> DataFrame:
-    """``target, stand, d, score``: for each ``targets(id, x, y, score)`` the sample with the best weighted score; the smaller sample id wins ties."""
-    p = pairs_within(targets, samples, reach).where(F.col("d") >= least).join(targets.select("id", "x", "y", F.col("score").alias("s")), "id")
+    """``target, stand, d, score``: for each ``targets(id, x, y, score)`` the sample with the best weighted score; the smaller sample id wins ties.
+
+    Pairs meet in grid buckets and are reduced where they arise, so that only the
+    best of each task and target is shuffled.
+    """
+    t = spread(bucketed(targets.select("id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("score").alias("s")), reach, "px", "py"))
+    p = t.join(bucketed(samples.select(F.col("id").alias("other"), F.col("x").alias("qx"), F.col("y").alias("qy")), reach, "qx", "qy"), ["gx", "gy"])
+    p = p.withColumn("d", F.sqrt(F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2))).where(F.col("d").between(least, reach))
     if blocked_by is not None:
-        ends = p.join(samples.select(F.col("id").alias("other"), F.col("x").alias("qx"), F.col("y").alias("qy")), "other").withColumnsRenamed({"x": "px", "y": "py"})
-        p = ends.join(blocked_paths(ends, blocked_by).select("id", "other"), ["id", "other"], "left_anti")
-    p = p.withColumn("score", F.col("s") * weight(F.col("d")))
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return p.withColumn("k", rank).where("k = 1").select(F.col("id").alias("target"), F.col("other").alias("stand"), "d", "score")
+        p = p.join(*path_conflict(blocked_by), "left_anti")
+    best = p.where("s is not null").groupBy("id").agg(F.min(F.struct((-F.col("s") * weight(F.col("d"))).alias("k"), "other", "d")).alias("b"))
+    return best.select(F.col("id").alias("target"), F.col("b.other").alias("stand"), "b.d", (-F.col("b.k")).alias("score"))
 
 
 def polyline_measure(vertices: DataFrame) -> DataFrame:
