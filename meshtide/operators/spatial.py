@@ -97,13 +97,14 @@ def polyline_measure(vertices: DataFrame) -> DataFrame:
 
 
 def nearest_axis(points: DataFrame, measured: DataFrame) -> DataFrame:
-    """``id, line_id, ix, d, offset, progress``: nearest segment of the measured polylines; offset is positive to its left."""
+    """``id, line_id, ix, d, offset, progress, tx, ty, nx, ny``: nearest segment of the measured polylines with its tangent and left normal; offset is positive to its left."""
     d, t = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     j = points.select("id", "x", "y").crossJoin(measured)  # every point with the few axes of a scene
     side = F.signum((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax")))
-    j = j.select("id", "line_id", "ix", d.alias("d"), (side * d).alias("offset"), ((F.col("start") + t * F.col("length")) / F.col("total")).alias("progress"))
-    best = F.min_by(F.struct("line_id", "ix", "d", "offset", "progress"), F.struct("d", "line_id", "ix"))
-    return j.groupBy("id").agg(best.alias("b")).select("id", "b.*")
+    tx, ty = F.try_divide(F.col("bx") - F.col("ax"), F.col("length")), F.try_divide(F.col("by") - F.col("ay"), F.col("length"))
+    facts = F.struct(d.alias("d"), "line_id", "ix", (side * d).alias("offset"), ((F.col("start") + t * F.col("length")) / F.col("total")).alias("progress"), tx.alias("tx"), ty.alias("ty"))
+    n = j.groupBy("id").agg(F.min(facts).alias("b"))  # reduced in each task before the shuffle
+    return n.select("id", "b.line_id", "b.ix", "b.d", "b.offset", "b.progress", "b.tx", "b.ty", (-F.col("b.ty")).alias("nx"), F.col("b.tx").alias("ny"))
 
 
 def nearest_boundary(stations: DataFrame, boundary: DataFrame, radius: float = 6371008.8) -> DataFrame:

@@ -322,10 +322,17 @@ def spatial_within_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.blocked_points(V.points(spark, sf), spark.createDataFrame(_RULES, "ax double, ay double, bx double, by double, buffer double"))
 
 
-@query()
+_AXES = [(k, i, float(x), float(y)) for k, line in enumerate((((0, 0), (400, 300), (900, 350)), ((0, 800), (500, 700), (1000, 990)))) for i, (x, y) in enumerate(line)]
+
+
+@query(f"""WITH {V.POINTS}, v(line_id, ix, x, y) AS (VALUES {", ".join(map(str, _AXES))}), e AS (SELECT line_id, ix, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM v WINDOW w AS (PARTITION BY line_id ORDER BY ix)),
+l AS (SELECT *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) AS len FROM e WHERE bx IS NOT NULL), m AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY line_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(len) OVER (PARTITION BY line_id) AS total FROM l),
+t AS (SELECT *, least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / len ** 2)) AS t FROM points, m), d AS (SELECT *, sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2) AS d, (start + t * len) / total AS progress FROM t),
+n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, line_id, ix) = 1)
+SELECT id, line_id, {R("d")}, {R("sign((bx - ax) * (y - ay) - (by_ - ay) * (x - ax)) * d", "offset")}, {R("progress")} FROM n""".replace('AS offset', 'AS "offset"'))
 def spatial_nearest_axis(spark: SparkSession, sf: str) -> DataFrame:
-    v = spark.createDataFrame([(k, i, float(x), float(y)) for k, line in enumerate((((0, 0), (400, 300), (900, 350)), ((0, 800), (500, 700), (1000, 990)))) for i, (x, y) in enumerate(line)], "line_id int, ix int, x double, y double")
-    return spatial.nearest_axis(V.points(spark, sf), spatial.polyline_measure(v))
+    v = spark.createDataFrame(_AXES, "line_id int, ix int, x double, y double")
+    return rounded(spatial.nearest_axis(V.points(spark, sf), spatial.polyline_measure(v)).select("id", "line_id", "d", "offset", "progress"))
 
 
 @query()
