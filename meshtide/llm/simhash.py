@@ -158,16 +158,16 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tuple[int, int]]:
-    """Spanning-forest links (node, node) between the rows of one shard and of its neighbours.
+def close_rows(home: tuple, near: tuple, bits: int, budget: int, far: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """For each block of one shard's rows, index pairs of rows (home, near) of different nodes within ``budget`` and ``far``.
 
     ``home`` and ``near``: (key, node, signature words) arrays, ``near`` with the
     shard itself. ``far``: differing bits allowed in whole signatures.
     """
     keys, start = np.unique(near[0], return_index=True)
     count = np.diff(np.append(start, len(near[0])))
-    pairs_u, pairs_v = [], []
     for at in range(0, len(home[0]), BLOCK):
+        found = []
         own, first = np.unique(home[0][at : at + BLOCK], return_index=True)
         size = np.diff(np.append(first, len(home[0][at : at + BLOCK])))
         i, j = trie_pairs(own, keys, bits, budget)
@@ -181,8 +181,16 @@ def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tup
             x, y = at + first[ii][pick] + off // count[jj][pick], start[jj][pick] + off % count[jj][pick]
             ok = home[1][x] != near[1][y]
             ok &= np.bitwise_count(home[2][x] ^ near[2][y]).sum(axis=1) <= far
-            pairs_u.append(home[1][x[ok]])
-            pairs_v.append(near[1][y[ok]])
+            found.append((x[ok], y[ok]))
+        yield found
+
+
+def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tuple[int, int]]:
+    """Spanning-forest links (node, node) between the rows of one shard and of its neighbours."""
+    pairs_u, pairs_v = [], []
+    for found in close_rows(home, near, bits, budget, far):
+        pairs_u += [home[1][x] for x, _ in found]
+        pairs_v += [near[1][y] for _, y in found]
         if pairs_u:  # keep a forest only
             u, v = np.concatenate(pairs_u), np.concatenate(pairs_v)
             names, ids = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -192,40 +200,65 @@ def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tup
     return list(zip(np.concatenate(pairs_u).tolist(), np.concatenate(pairs_v).tolist(), strict=True)) if pairs_u else []
 
 
-def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int) -> DataFrame:
+def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, number: int, bits: int, budget: int, far: int, similarity: float) -> list[tuple[int, int]]:
+    """All pairs (node, node) of :func:`close_rows` whose sets' ``sizes`` allow the ``similarity``, each once over all tables.
+
+    ``apart``: whether a near row is of another shard; ``number``: the table's. A
+    pair that an earlier table finds as well is left to that table.
+    """
+    out = []
+    for found in close_rows(home, near, bits, budget, far):
+        for x, y in found:
+            a, b = sizes[0][x], sizes[1][y]
+            ok = (apart[y] | (home[1][x] < near[1][y])) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+            x, y = x[ok], y[ok]
+            differ = (home[2][x] ^ near[2][y]).view(f"<u{bits // 8}")[:, :number]
+            first = ~(np.bitwise_count(differ) <= budget).any(axis=1)
+            out += zip(home[1][x[first]].tolist(), near[1][y[first]].tolist(), strict=True)
+    return out
+
+
+def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, similarity: float | None = None) -> DataFrame:
     """Links ``src, dst`` (a spanning forest for each task) between the rows of ``nodes(node long, sig binary)``.
 
     Table t's key is the t-th ``bits``-wide little-endian slice of the signature.
+    With a ``similarity`` the nodes also have ``n``, the size of their shingle
+    sets, and all pairs come back that may be so similar, each once.
     """
     width = bits // 8
-    keyed = nodes.select("node", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("table", "key"))
+    size = F.lit(0) if similarity is None else F.col("n")
+    keyed = nodes.select("node", "sig", size.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("table", "key"))
     top_bits, top = TOP_BITS, F.conv(F.hex(F.substring("key", width, 1)), 16, 10).cast("int")
     if nodes.count() > SHARD_ROWS:  # a row for each top byte at most
         most = keyed.groupBy("table", top.alias("s")).count().agg(F.max("count")).first()[0]
         top_bits = min(16, TOP_BITS + max(0, math.ceil(math.log2(most / SHARD_ROWS))))
     if tables > 1:
-        top_bits = max(3, top_bits - 5)  # many tables spread the work already
+        top_bits = max(2, top_bits - 5)  # many tables spread the work already
     wide = F.conv(F.hex(F.concat(F.substring("key", width, 1), F.substring("key", width - 1, 1))), 16, 10).cast("int")
     shard = F.shiftright(wide, 16 - top_bits)
     # each unordered pair of shards is walked by one of the two
     near = F.array(*[F.lit(m) for m in masks(top_bits, budget)])
     own = F.col("shard")
     there = F.filter(F.transform(near, lambda m: own.bitwiseXOR(m)), lambda s: (s == own) | ((F.pmod(F.least(s, own) * 31 + F.greatest(s, own) * 17, F.lit(8)) < 4) == (s < own)))
-    rows = keyed.withColumn("shard", shard).select("table", "shard", "node", "key", "sig", F.explode(there).alias("at"))
+    rows = keyed.withColumn("shard", shard).select("table", "shard", "node", "key", "sig", "n", F.explode(there).alias("at"))
 
     def run(key, group):
-        cols = group.select(["shard", "node", "key", "sig"]).combine_chunks()
+        cols = group.select(["shard", "node", "key", "sig", "n"]).combine_chunks()
         n = cols.num_rows
-        shard_, node = cols["shard"].to_numpy(), cols["node"].to_numpy()
+        shard_, node, count = cols["shard"].to_numpy(), cols["node"].to_numpy(), cols["n"].to_numpy()
         raw = np.frombuffer(b"".join(cols["key"].to_pylist()), np.uint8).reshape(n, width)
         k = np.zeros((n, 8), np.uint8)
         k[:, :width] = raw
         k = k.view("<u8").ravel()
         sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), "<u8").reshape(n, -1)
         order = np.lexsort((node, k))
-        k, node, sig, shard_ = k[order], node[order], sig[order], shard_[order]
+        k, node, sig, shard_, count = k[order], node[order], sig[order], shard_[order], count[order]
         own = shard_ == key[1].as_py()
-        found = walk((k[own], node[own], sig[own]), (k, node, sig), bits, budget, far)
+        home = (k[own], node[own], sig[own])
+        if similarity is None:
+            found = walk(home, (k, node, sig), bits, budget, far)
+        else:
+            found = candidates(home, (k, node, sig), ~own, (count[own], count), key[0].as_py(), bits, budget, far, similarity)
         return pa.table({"src": pa.array([x for x, _ in found], pa.int64()), "dst": pa.array([y for _, y in found], pa.int64())})
 
     return rows.groupBy("table", "at").applyInArrow(run, "src long, dst long")
@@ -249,23 +282,110 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: What one-of-each-group dedup uses: five-word shingles, 512-bit signatures, eight tries over 32 bits each.
-NEAR = {"size": 5, "tables": 8, "bits": 32, "budget": 3, "words": 8}
+NEAR = {"size": 5, "tables": 8, "bits": 32, "budget": 4, "words": 8}
+#: Standard deviations that a candidate's differing bits may lie above the expected ones.
+SLACK = 6
+#: Narrow rows (some 40 bytes) that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def allowed_bits(similarity: float, words: int) -> int:
-    """Differing bits expected at a shingle-set (Jaccard) similarity: cosine 2j/(1+j), angle over pi."""
+    """Differing bits that a pair of a shingle-set (Jaccard) similarity stays within, SLACK deviations above the expected ones.
+
+    Expected: cosine 2j/(1+j), angle over pi. Sets of a few shingles differ more; the slack covers them.
+    """
     cosine = 2 * similarity / (1 + similarity)
-    return math.floor(64 * words * math.acos(cosine) / math.pi)
+    n, p = 64 * words, math.acos(cosine) / math.pi
+    return math.floor(n * p + SLACK * math.sqrt(n * p * (1 - p)))
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def set_name(hashes: np.ndarray) -> bytes:
+    """Equal sets have equal names (128 bits)."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def set_signatures(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
+    """``id, same, sig, n`` for every row: the shingle set's name, its signature (each shingle once) and its size."""
+
+    def run(batches):
+        for b in batches:
+            same, sig, n = [], [], []
+            for t in b.column(1).cast(pa.binary()):
+                h = shingle_set(t.as_py(), size)
+                ones = np.zeros(64 * words, np.int64)
+                for at in range(0, len(h), 1 << 15):
+                    ones += bit_sums(widen(h[at : at + (1 << 15)], words))
+                same.append(set_name(h))
+                sig.append(np.packbits(ones * 2 > len(h), bitorder="little").tobytes())
+                n.append(len(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(n, pa.int32())], ["id", "same", "sig", "n"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, same binary, sig binary, n int")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``node, shingles`` (sorted uint64 in bytes) for each of ``wanted(node, same, low)``; ``low`` is the id of a row with that set."""
+
+    def run(batches):
+        for b in batches:
+            keep, sets = [], []
+            for k, (t, same) in enumerate(zip(b.column(1).cast(pa.binary()), b.column(2), strict=True)):
+                h = shingle_set(t.as_py(), size)
+                if set_name(h) == same.as_py():  # ids may repeat with other texts
+                    keep.append(k)
+                    sets.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    few = wanted.count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("low"))).select("node", "text", "same")
+    return found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(src, dst)`` whose shingle sets have exactly at least the Jaccard ``similarity``."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], ["src", "dst"])
+
+    of = lambda k, name: sets.select(F.col("node").alias(k), F.col("shingles").alias(name))
+    return pairs.join(of("src", "x"), "src").join(of("dst", "y"), "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: of each group of near copies the one with the smallest id.
 
-    Documents link if their signatures estimate a Jaccard similarity of
-    five-word shingles of at least ``similarity``; candidates come from the
-    tries. Repeated rows of the id that stays all stay; rows with a null id stay.
+    Documents link if the Jaccard similarity of their sets of five-word shingles
+    (as 64-bit hashes) is at least ``similarity``. Candidates come from the tries
+    over signatures of the sets; each is confirmed by the sets themselves, so
+    that a candidate may be missed, but no link is wrong. Repeated rows of the
+    id that stays all stay; rows with a null id stay.
     """
     how = NEAR | options
-    c = components(docs, id_col, text_col, far=allowed_bits(similarity, how["words"]), **how)
-    gone = c.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
+    size, words = how["size"], how["words"]
+    sigs = checkpointed(set_signatures(docs, id_col, text_col, size, words))
+    nodes = sigs.groupBy("same").agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n"))  # rows with equal sets are one node
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    pairs = checkpointed(links(nodes.select("node", "sig", "n"), how["tables"], how["bits"], how["budget"], allowed_bits(similarity, words), similarity))
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    wanted = checkpointed(nodes.select("node", "same", "low").join(ends, "node"))
+    label = connected_components(confirmed(pairs, shingle_sets(docs, wanted, id_col, text_col, size), similarity))
+    member = nodes.select("node", "same", "low").join(label, "node")
+    smallest = member.groupBy("component").agg(F.min("low").alias("component_id"))
+    of = nodes.select("node", "same", "low").join(member.join(smallest, "component").select("node", "component_id"), "node", "left")
+    of = of.select("same", F.coalesce("component_id", "low").alias("component_id"))
+    gone = sigs.join(of, "same").where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -55,6 +55,23 @@ def test_simhash_edges(spark, odd):
     assert {r["doc_id"] for r in simhash.near_dedup(many).collect()} == {0, 99}
 
 
+def test_near_dedup_is_jaccard(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 9000, 240)]
+        v = list(w)
+        for at in rng.choice(48, 2 + k % 6, replace=False):  # each changes five shingles: 0.94 to 0.75
+            v[at * 5 + 2] += "x"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    # the same majority shingle, but other sets
+    rows += [(1000 + k, " ".join(["a"] * 200 + [f"z{k}{j}" for j in range(40)])) for k in range(2)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = {b for a, b in [(i, i + 1) for i, _ in rows[::2]] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    gone = {i for i, _ in rows} - {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 80 < len(near) < 140 and gone <= near and len(gone) >= 0.98 * len(near)
+
+
 def test_trie_pairs():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**32, 300).astype(np.uint64))
