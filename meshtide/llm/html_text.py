@@ -12,8 +12,9 @@ and the contents of the blocks below it. With m pages:
 
 A branch counts as noise only if its composite and all that stands below it
 (the content importance) are low, so the larger of the two is its importance;
-inline elements belong to the branch around them. The importance is smoothed towards 1 as if PRIOR_PAGES more pages
-had held main text, so that hosts with few pages or many copies keep their articles. Branches
+inline elements belong to the branch around them. Pages of equal content count as one, so that copies do not
+lose their articles, and the importance is smoothed towards 1 as if PRIOR_PAGES more pages had held main text: a
+branch can go from five differing pages on. Branches
 below THRESHOLD, and elements whose tag, class, id or role names page furniture,
 are removed from each page. Counts are combined on the map side; what goes back
 to the pages is one short row for each host that has such branches.
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from meshtide.session import written
 
-GAMMA, THRESHOLD, PRIOR_PAGES, MAX_DEPTH = 0.9, 0.3, 20, 24
+GAMMA, THRESHOLD, PRIOR_PAGES, MAX_DEPTH = 0.9, 0.3, 2, 24
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes"))
@@ -199,23 +199,25 @@ def walk(start: Node, removed: frozenset, visit=None) -> list[str]:
     return blocks
 
 
-def page_counts(text: str) -> Counter:
-    """(path, kind, feature): 1 for a page's nodes ('m'), presentation styles ('s') and contents ('c')."""
-    seen: Counter = Counter()
+def page_features(text: str) -> tuple[int, set]:
+    """A hash of a page's content, and (path, kind, feature) of its nodes ('m'), presentation styles ('s') and contents ('c')."""
+    seen: set = set()
+    content = xxhash.xxh64()
 
     def visit(paths, node, block):
         if node is None:
             feature = xxhash.xxh64_intdigest(block) >> 1
+            content.update(feature.to_bytes(8, "little"))
             for p in paths:
-                seen[p, "c", feature] = 1
+                seen.add((p, "c", feature))
         else:
             style = xxhash.xxh64_intdigest(" ".join(c.tag for c in node.children if isinstance(c, Node))) >> 1
-            seen[paths[-1], "m", 0] = 1
-            seen[paths[-1], "s", style] = 1
+            seen.add((paths[-1], "m", 0))
+            seen.add((paths[-1], "s", style))
 
     for r in roots(parse(text)):
         walk(r, frozenset(), visit)
-    return seen
+    return content.intdigest() >> 1, seen
 
 
 def main_text(text: str, removed: frozenset = frozenset()) -> str:
@@ -232,15 +234,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            counts: Counter = Counter()
+            found: set = set()
             for host, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                counts.update({(host, *k): n for k, n in page_counts(text.as_py()).items()})
-            columns = list(zip(*counts, strict=True)) if counts else [[]] * 4
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array(list(counts.values()), pa.int64())], ["host", "path", "kind", "feature", "n"])
-
-    rows = pages.select("host", "html").mapInArrow(run, "host string, path long, kind string, feature long, n long")
-    rows = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+                content, seen = page_features(text.as_py())
+                found.update((host, *k, content) for k in seen)
+            columns = list(zip(*found, strict=True)) if found else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "kind", "feature", "content"])
+
+    rows = pages.select("host", "html").mapInArrow(run, "host string, path long, kind string, feature long, content long")
+    rows = rows.groupBy("host", "path", "kind", "feature").agg(F.countDistinct("content").alias("n"))
     kind = lambda k, x: F.when(F.col("kind") == k, x)
     n = F.col("n").cast("double")
     node = rows.groupBy("host", "path").agg(

@@ -242,6 +242,14 @@ def test_style_tree_removes_repeats(spark):
     assert all(x["text"] == f"text number {x['page_id']} of its own" for x in r)
 
 
+@pytest.mark.parametrize("n", [5, 20, 46])
+def test_style_tree_on_small_hosts(spark, n):
+    page = '<body><div class="z">same line</div><div class="y"><p>text number {} of its own</p></div></body>'
+    pages = [(k, f"https://h{n}.org/{k}", page.format(k)) for k in range(n)] + [(100 + k, "https://copies.org/", page.format(7)) for k in range(n)]
+    r = html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(x["text"] == (f"text number {x['page_id']} of its own" if x["page_id"] < 100 else "same line text number 7 of its own") for x in r)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "[#INST] <##s>"), (2, 0, "assistant", "x"), (2, 1, None, None), (2, 1, "tool", "a b "), (3, 0, "system", ""), (3, 1, "user", " "), (None, None, "user", "q")]
     t = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, valid int")
