@@ -15,7 +15,7 @@ A branch counts as noise only if its composite and all that stands below it
 inline elements belong to the branch around them. Pages of equal content count as one, so that copies do not
 lose their articles, and the importance is smoothed towards 1 as if PRIOR_PAGES more pages had held main text: a
 branch can go from five differing pages on. Branches
-below THRESHOLD, and elements whose tag, class, id or role names page furniture,
+below THRESHOLD, and elements whose tag, whole class or id, or role names page furniture,
 are removed from each page. Counts are combined on the map side; what goes back
 to the pages is one short row for each host that has such branches.
 
@@ -47,12 +47,24 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Furniture whatever its class.
 FURNITURE = frozenset("head nav footer aside form script style noscript template iframe button select option textarea input svg canvas menu dialog title object embed video audio map xmp noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that name furniture.
+#: Whole classes or ids that name furniture. Words that also name content (banner, menu, share, login, legal, related ...) are left to the style tree.
 NAMES = frozenset((
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu sidebar aside"
-    " footer header masthead breadcrumb breadcrumbs comment comments replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay"
-    " newsletter subscribe signup login share sharing social related recommended recommendations widget toolbar pagination pager copyright legal"
+    "ad ads adv advert adverts advertisement advertising sponsored promo navbar submenu sidebar masthead breadcrumb breadcrumbs"
+    " comments disqus gdpr newsletter pagination pager toolbar"
 ).split())
+#: Known compounds, whole as well, written with - or _.
+COMPOUNDS = frozenset(f"{a}-{b}" for a, b in (
+    *((a, b) for a in ("cookie", "cookies", "gdpr", "consent") for b in ("bar", "banner", "notice", "notices", "popup", "modal", "overlay", "alert")),
+    *((a, b) for a in ("ad", "ads", "advert") for b in ("box", "banner", "slot", "unit", "container", "wrapper", "block")),
+    *((a, b) for a in ("share", "sharing", "social") for b in ("bar", "buttons", "links", "icons", "widget")),
+    *((a, b) for a in ("nav", "navigation", "site", "main", "top") for b in ("menu", "nav", "navbar", "navigation")),
+    *((a, b) for a in ("comment", "comments", "disqus") for b in ("list", "form", "section", "area", "thread")),
+    *((a, b) for a in ("site", "page") for b in ("footer", "sidebar", "breadcrumbs", "masthead")),
+    *((a, b) for a in ("newsletter", "subscribe", "signup", "login") for b in ("form", "box", "popup", "modal", "overlay", "banner")),
+    *((a, b) for a in ("related", "recommended") for b in ("posts", "articles", "links", "stories")),
+))
+#: Never furniture by a class or id: the page, its content roots and headings; nor are inline elements.
+NEVER = frozenset("html body main article h1 h2 h3 h4 h5 h6 hgroup".split())
 #: An open p ends where one of these starts.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: start tag -> open elements it ends, up to the nearest of the barriers
@@ -61,7 +73,6 @@ BARRIERS = frozenset("article section main div td th table body li ul ol dl bloc
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 
@@ -74,9 +85,9 @@ class Node:
         self.path = 0
 
 
-def attributes(text: str) -> tuple[str, bool]:
+def attributes(text: str, tag: str) -> tuple[str, bool]:
     """The class name that goes into the node's name, and whether an attribute names furniture."""
-    label, bad = "", False
+    label, bad, named = "", False, tag not in NEVER and tag not in INLINE
     for key, *values in ATTRIBUTE.findall(text):
         value, key = max(values, key=len).lower(), key.lower()
         if key == "class":
@@ -84,7 +95,7 @@ def attributes(text: str) -> tuple[str, bool]:
         if key == "role":
             bad |= value.strip() in ROLES
         else:
-            bad |= any(w in NAMES for token in value.split() for w in WORD.findall(token))
+            bad |= named and any(token in NAMES or token.replace("_", "-") in COMPOUNDS for token in value.split())
     return label, bad
 
 
@@ -112,7 +123,7 @@ def parse(text: str) -> Node:
             if x.tag in ended:
                 node = x.parent
             x = x.parent
-        label, bad = attributes(m[3]) if m[3] else ("", False)
+        label, bad = attributes(m[3], tag) if m[3] else ("", False)
         child = Node(tag, f"{tag}.{label}" if label else tag, bad or tag in FURNITURE, node)
         node.children.append(child)
         if tag in RAW:

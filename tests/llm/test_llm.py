@@ -242,6 +242,13 @@ def test_style_tree_removes_repeats(spark):
     assert all(x["text"] == f"text number {x['page_id']} of its own" for x in r)
 
 
+def test_names_spare_content():
+    for page in ('<body class="has-sidebar"><p>text</p>', '<body class="sidebar"><article class="post no-comments comments"><p>text</p></article>', '<html class="ads"><body><main id="newsletter"><p>text</p></main>'):
+        assert html_text.main_text(page) == "text"
+    page = '<article><h2 id="related-work">R</h2><section id="legal-notice-of-1998"><h3 class="comments">L</h3>a <b class="promo">b</b></section>' + "".join(f'<section id="{k}">{k} </section>' for k in ("share", "login", "banner", "menu")) + '<div class="ad">x</div><div class="share_buttons">x</div><div id="cookie-banner">x</div></article>'
+    assert html_text.main_text(page) == "R L a b share login banner menu"
+
+
 @pytest.mark.parametrize("n", [5, 20, 46])
 def test_style_tree_on_small_hosts(spark, n):
     page = '<body><div class="z">same line</div><div class="y"><p>text number {} of its own</p></div></body>'
