@@ -1,29 +1,39 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one style tree. A node is a branch of the
-DOM named by its path of tags and classes below the content root (the page's
-article or main element, else its body). For each node the tree counts on how
-many pages it occurs, its presentation styles (the sequence of its child tags)
-and the contents of the blocks below it. With m pages:
+The pages of a host are merged into one style tree, from the whole body of each
+page. A node is a branch of the DOM named by its path of tags and classes;
+headings and inline elements belong to the branch around them. A page's text is
+a sequence of blocks, each of which stands in one node. For each node the tree
+counts the pages it occurs on, its presentation styles (the sequence of its
+child tags) and the contents of its own blocks (cut at signs such as ``|``).
+With m pages:
 
 * presentation importance: -sum p log_m p over the styles, p their page shares;
-* content importance: 1 - mean over the contents of log_m (pages with it);
-* composite: (1 - g^l) presentation + g^l content, for l styles and g = 0.9.
-
-A branch counts as noise only if its composite and all that stands below it
-(the content importance) are low, so the larger of the two is its importance;
-inline elements belong to the branch around them. Pages of equal content count as one, so that copies do not
-lose their articles, and the importance is smoothed towards 1 as if PRIOR_PAGES more pages had held main text: a
-branch can go from five differing pages on. Branches
-below THRESHOLD, and elements whose tag, whole class or id, or role names page furniture,
-are removed from each page. Counts are combined on the map side; what goes back
-to the pages is one short row for each host that has such branches.
+* content importance: 1 - mean over all occurrences of contents of log_m (pages with it);
+* composite: (1 - g^l) presentation + g^l content, for l styles and g = 0.9;
+  the larger of it and the content importance counts.
+
+Few hosts have pages enough to judge a branch, so the host's tree is smoothed
+towards the tree of all hosts (the same counts by path alone) as if HOST_PRIOR
+pages of it had been seen, and that one towards 1 as if PRIOR pages of main text
+had: where all hosts agree, a branch can go from five differing pages on. Pages
+of a host with the same longest block count as one, so that copies do not lose
+their articles. Text in nodes whose importance is below THRESHOLD is removed; a
+branch goes when all its nodes do.
+
+What the tree has not seen often enough is left to names: after it, elements
+whose tag, role or whole class or id names page furniture are dropped, and if a
+page has an article or main element, so is all outside it. Markup that is never
+text (scripts, styles, form controls) is not in the DOM at all.
+
+Counts are combined on the map side, and only hashes are shuffled; what goes back
+to the pages is one short row for each host, broadcast up to BROADCAST_ROWS.
 
 Defined results: null or empty html gives empty text; null url is a host of its
 own; broken and truncated markup is read as far as it goes; repeated rows give
 repeated rows; an empty table gives an empty result; other columns are not
 looked at. Nodes deeper than MAX_DEPTH count as their ancestor there; their text
-is kept whole.
+is kept whole. Where the tree would leave nothing of a page, the page is left to names.
 """
 
 from __future__ import annotations
@@ -36,16 +46,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.session import written
+from meshtide.session import checkpointed
 
-GAMMA, THRESHOLD, PRIOR_PAGES, MAX_DEPTH = 0.9, 0.3, 2, 24
+GAMMA, THRESHOLD, PRIOR, HOST_PRIOR, MAX_DEPTH = 0.9, 0.8, 16, 200, 24
+#: Hosts whose lists of low nodes (some 100 bytes each) may be broadcast.
+BROADCAST_ROWS = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes"))
 #: Elements that do not break a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-#: Furniture whatever its class.
-FURNITURE = frozenset("head nav footer aside form script style noscript template iframe button select option textarea input svg canvas menu dialog title object embed video audio map xmp noframes".split())
+#: Never text, whatever the page.
+MARKUP = frozenset("head script style noscript template iframe button select option textarea input svg canvas title object embed video audio map xmp noframes".split())
+#: Furniture by its tag, where the tree left it.
+FURNITURE = frozenset("nav footer aside form menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Whole classes or ids that name furniture. Words that also name content (banner, menu, share, login, legal, related ...) are left to the style tree.
 NAMES = frozenset((
@@ -74,15 +89,16 @@ BARRIERS = frozenset("article section main div td th table body li ul ol dl bloc
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
+#: Signs between the contents of one block.
+CUT = re.compile(r"\s[|·•»]\s")
 
 
 class Node:
-    __slots__ = ("children", "furniture", "name", "parent", "path", "tag")
+    __slots__ = ("children", "furniture", "name", "parent", "tag")
 
     def __init__(self, tag: str, name: str, furniture: bool, parent: Node | None):
         self.tag, self.name, self.furniture, self.parent = tag, name, furniture, parent
         self.children: list[Node | str] = []
-        self.path = 0
 
 
 def attributes(text: str, tag: str) -> tuple[str, bool]:
@@ -156,132 +172,141 @@ def roots(top: Node) -> list[Node]:
     return [top]
 
 
-def walk(start: Node, removed: frozenset, visit=None) -> list[str]:
-    """Blocks of text below ``start`` in page order, without furniture and removed branches.
+def blocks_of(top: Node):
+    """``(block, path, named)`` of all text in page order: the node it stands in, and whether names drop it.
 
-    ``visit(paths, node, text)`` sees each node once (text None) and each block.
+    With a block of None: one row for each node, its child tags in place of ``named``.
     """
-    blocks: list[str] = []
+    inside = {id(r) for r in roots(top)}
+    within_article = all(r.tag in ("article", "main") for r in roots(top))
     current: list[str] = []
-    paths: list[int] = []
+    paths, named, root = [0], [], []  # of the open elements
 
-    def flush() -> None:
-        if block := SPACE.sub(" ", "".join(current)).strip():
-            blocks.append(block)
-            if visit:
-                visit(paths, None, block)
+    def flush():
+        block = SPACE.sub(" ", "".join(current)).strip()
         current.clear()
+        return [(block, paths[-1], any(named) or not any(root))] if block else []
 
-    stack: list = [(start, False)]
-    depth = 0
+    stack: list = [(top, False)]
     while stack:
         x, leaving = stack.pop()
         if isinstance(x, str):
             current.append(x)
             continue
+        nested = x.tag in INLINE and not x.furniture
         if leaving:
-            flush()
-            depth -= 1
-            if depth < MAX_DEPTH:
-                paths.pop()
+            yield from flush()
+            for held in (paths, named, root):
+                held.pop()
             continue
-        if x is not start and (x.furniture or (x.tag == "header" and start.tag not in ("article", "main"))):
+        if x.tag in MARKUP:
             if x.tag not in INLINE:
-                flush()
+                yield from flush()
             continue
-        if x.tag in INLINE and x is not start:
+        if nested:
             if x.tag == "br":
                 current.append(" ")
             stack += [(c, False) for c in reversed(x.children)]
             continue
-        path = paths[-1] if depth >= MAX_DEPTH else xxhash.xxh64_intdigest(f"{paths[-1] if paths else 0}>{x.name}") >> 1
-        if path in removed:
-            flush()
-            continue
-        flush()
-        if depth < MAX_DEPTH:
-            paths.append(path)
-        depth += 1
-        if visit:
-            visit(paths, x, None)
+        yield from flush()
+        deep = x.tag in HEADINGS or len(paths) > MAX_DEPTH
+        paths.append(paths[-1] if deep else xxhash.xxh64_intdigest(f"{paths[-1]}>{x.name}") >> 1)
+        named.append(x.furniture or (x.tag == "header" and not (within_article and any(root))))
+        root.append(id(x) in inside)
+        if not deep:
+            yield None, paths[-1], " ".join(c.tag for c in x.children if isinstance(c, Node))
         stack.append((x, True))
         stack += [(c, False) for c in reversed(x.children)]
-    flush()
-    return blocks
+    yield from flush()
+
+
+def short_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
 def page_features(text: str) -> tuple[int, set]:
-    """A hash of a page's content, and (path, kind, feature) of its nodes ('m'), presentation styles ('s') and contents ('c')."""
+    """A 32-bit hash of a page's longest block, and (path, kind, feature) of its nodes ('m'), presentation styles ('s') and contents ('c')."""
     seen: set = set()
-    content = xxhash.xxh64()
-
-    def visit(paths, node, block):
-        if node is None:
-            feature = xxhash.xxh64_intdigest(block) >> 1
-            content.update(feature.to_bytes(8, "little"))
-            for p in paths:
-                seen.add((p, "c", feature))
+    longest = ""
+    for block, path, style in blocks_of(parse(text)):
+        if block is None:
+            seen.add((path, "m", 0))
+            seen.add((path, "s", short_hash(style)))
         else:
-            style = xxhash.xxh64_intdigest(" ".join(c.tag for c in node.children if isinstance(c, Node))) >> 1
-            seen.add((paths[-1], "m", 0))
-            seen.add((paths[-1], "s", style))
+            seen.update((path, "c", short_hash(part)) for part in CUT.split(block))
+            if len(block) > len(longest):
+                longest = block
+    return xxhash.xxh32_intdigest(longest) >> 1, seen
 
-    for r in roots(parse(text)):
-        walk(r, frozenset(), visit)
-    return content.intdigest() >> 1, seen
 
-
-def main_text(text: str, removed: frozenset = frozenset()) -> str:
-    """The text of a page without furniture and the given branches."""
-    return " ".join(b for r in roots(parse(text)) for b in walk(r, removed))
+def main_text(text: str, removed: frozenset = frozenset(), names: bool = True) -> str:
+    """The text of a page without the blocks of the ``removed`` nodes and, after that, without what ``names`` drop."""
+    every = [row for row in blocks_of(parse(text)) if row[0] is not None]
+    left = [row for row in every if row[1] not in removed] or every
+    if names:
+        left = [row for row in left if not row[2]] or [row for row in every if not row[2]]
+    return " ".join(row[0] for row in left)
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, pages, styles, presentation, content, importance`` from ``pages(host, html)``."""
-
-    def run(batches):
-        for b in batches:
-            found: set = set()
-            for host, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                content, seen = page_features(text.as_py())
-                found.update((host, *k, content) for k in seen)
-            columns = list(zip(*found, strict=True)) if found else [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "kind", "feature", "content"])
-
-    rows = pages.select("host", "html").mapInArrow(run, "host string, path long, kind string, feature long, content long")
-    rows = rows.groupBy("host", "path", "kind", "feature").agg(F.countDistinct("content").alias("n"))
+def importance(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, pages, presentation, content, importance`` of nodes from ``rows(keys, kind, feature, n)``, n the pages with a feature."""
     kind = lambda k, x: F.when(F.col("kind") == k, x)
     n = F.col("n").cast("double")
-    node = rows.groupBy("host", "path").agg(
+    node = rows.groupBy(*keys).agg(
         F.max(kind("m", F.col("n"))).alias("pages"), F.count(kind("s", n)).alias("styles"),
         F.sum(kind("s", n)).alias("s"), F.sum(kind("s", n * F.log(n))).alias("s_log"),
-        F.count(kind("c", n)).alias("c"), F.sum(kind("c", F.log(n))).alias("c_log"))
-    many = F.col("pages") > 1
-    base = F.log(F.col("pages").cast("double"))
+        F.sum(kind("c", n)).alias("c"), F.sum(kind("c", n * F.log(n))).alias("c_log"))
+    many, base = F.col("pages") > 1, F.log(F.col("pages").cast("double"))
     presentation = F.when(many, F.least(F.lit(1.0), (F.log("s") - F.col("s_log") / F.col("s")) / base)).otherwise(1.0)
-    content = F.when(F.col("c") == 0, 1.0).when(many, 1 - F.col("c_log") / F.col("c") / base).otherwise(1.0)
+    content = F.when(many & (F.col("c") > 0), 1 - F.col("c_log") / F.col("c") / base).otherwise(1.0)
     g = F.pow(F.lit(GAMMA), "styles")
     node = node.withColumn("presentation", presentation).withColumn("content", content)
-    own = (1 - g) * F.col("presentation") + g * F.col("content")
-    own = F.greatest(own, F.col("content"))
-    return node.select("host", "path", "pages", "styles", "presentation", "content", ((F.col("pages") * own + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)).alias("importance"))
+    own = F.greatest((1 - g) * F.col("presentation") + g * F.col("content"), F.col("content"))
+    return node.select(*keys, "pages", "presentation", "content", own.alias("importance"))
+
 
+def style_tree(pages: DataFrame) -> DataFrame:
+    """``site, path, pages, presentation, content, own, everywhere, importance`` of the nodes that bear text, from ``pages(site long, html)``.
+
+    ``own``: the importance in the host's tree; ``everywhere``: in that of all hosts, smoothed; ``importance``: both together.
+    """
 
-def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
-    """``page_id, url, text, n_chars`` for every page."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
-    low = style_tree(rows).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("removed"))
-    low = written(low, "low-branches")
+    def run(batches):
+        for b in batches:
+            found: set = set()
+            for site, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                page, seen = page_features(text.as_py())
+                found.update((site, *k, page) for k in seen)
+            columns = list(zip(*found, strict=True)) if found else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["site", "path", "kind", "feature", "page"])
+
+    rows = pages.select("site", "html").mapInArrow(run, "site long, path long, kind string, feature long, page int")
+    rows = checkpointed(rows.groupBy("site", "path", "kind", "feature").agg(F.countDistinct("page").alias("n")))
+    hosts = importance(rows, ["site", "path"])
+    everywhere = importance(rows.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n")), ["path"])
+    smoothed = (F.col("pages") * F.col("importance") + PRIOR) / (F.col("pages") + PRIOR)
+    everywhere = everywhere.select("path", smoothed.alias("everywhere"))
+    bearing = rows.where("kind = 'c'").select("site", "path").distinct()
+    both = (F.col("pages") * F.col("own") + HOST_PRIOR * F.col("everywhere")) / (F.col("pages") + HOST_PRIOR)
+    return hosts.withColumnRenamed("importance", "own").join(bearing, ["site", "path"]).join(everywhere, "path").select("site", "path", "pages", "presentation", "content", "own", "everywhere", both.alias("importance"))
+
+
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, names: bool = True) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every page; without ``names`` the tree alone decides."""
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("site", F.xxhash64(host_of(F.col("url"))))
+    low = style_tree(rows).where(F.col("importance") < threshold).groupBy("site").agg(F.collect_set("path").alias("removed"))
+    low = checkpointed(low)
+    few = low.count() <= BROADCAST_ROWS
     page_kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            texts = [main_text(t.as_py(), frozenset(r.as_py() or ())) for t, r in zip(b.column(2), b.column(3), strict=True)]
+            texts = [main_text(t.as_py(), frozenset(r.as_py() or ()), names) for t, r in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "removed").mapInArrow(run, f"page_id {page_kind}, url string, text string, n_chars long")
+    return rows.join(F.broadcast(low) if few else low, "site", "left").select("page_id", "url", "html", "removed").mapInArrow(run, f"page_id {page_kind}, url string, text string, n_chars long")

@@ -236,6 +236,71 @@ def test_html(spark, sf):
     assert [(r["page_id"], r["text"]) for r in html_text.extracted(odd).orderBy("page_id").collect()] == [(1, ""), (2, ""), (3, "x"), (3, "x"), (4, "deep")]
 
 
+def test_html_tree_alone(spark):
+    """Ablation: without names, the tree alone finds the articles of a whole table."""
+    p = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    named, alone = ({r["page_id"]: r["text"] for r in html_text.extracted(p, names=n).collect()} for n in (True, False))
+    assert len(named) == p.count() and sum(alone[k] == named[k] for k in named) >= 0.99 * len(named)
+    untouched = {r["page_id"]: html_text.main_text(r["html"], names=False) for r in p.collect()}
+    assert all(len(untouched[k]) > len(alone[k]) for k in named)
+
+
+def test_style_tree_brute_force(spark):
+    """Importances of every node that bears text, from nested tuples of tags instead of markup."""
+    rng = np.random.default_rng(3)
+    pages = []
+    for k in range(60):
+        items = [("li", f"link {x}") for x in rng.integers(0, 9, rng.integers(1, 4))]
+        body = [("ul", items), ("div.x", [("p", f"own words {k} {j}") for j in range(rng.integers(1, 4))]), ("div.ad", f"buy | {rng.integers(0, 5)}")]
+        pages.append((f"h{k % 4}", ("body", body)))
+
+    def nodes(node, path):
+        path = (*path, node[0])
+        yield path, "s", " ".join(c[0].split(".")[0] for c in node[1]) if isinstance(node[1], list) else ""
+        yield path, "m", ""
+        if isinstance(node[1], str):
+            for part in node[1].split(" | "):
+                yield path, "c", part
+        else:
+            for c in node[1]:
+                yield from nodes(c, path)
+
+    def markup(node):
+        tag, _, label = node[0].partition(".")
+        return f'<{tag}{" class=" + label if label else ""}>{node[1] if isinstance(node[1], str) else "".join(map(markup, node[1]))}</{tag}>'
+
+    def brute(keyed):
+        sets = {}
+        for k, (key, tree) in enumerate(keyed):
+            for path, kind, x in nodes(tree, ()):
+                sets.setdefault((key, path), {}).setdefault((kind, x), set()).add(k)
+        out = {}
+        for at, found in sets.items():
+            count = lambda kind: np.array([len(p) for (k, _), p in found.items() if k == kind], float)  # noqa: E731, B023
+            m, s, c = count("m")[0], count("s"), count("c")
+            shares = s / s.sum()
+            look = 1.0 if m == 1 else min(1.0, -(shares * np.log(shares)).sum() / np.log(m))
+            body = 1.0 if m == 1 or not len(c) else 1 - (c * np.log(c)).sum() / c.sum() / np.log(m)
+            g = html_text.GAMMA ** len(s)
+            out[at] = (m, max((1 - g) * look + g * body, body), len(c) > 0)
+        return out
+
+    hosts, everywhere = brute(pages), brute([("", t) for _, t in pages])
+    want = {}
+    for (host, path), (m, own, bears) in hosts.items():
+        if bears:
+            n, e, _ = everywhere["", path]
+            e = (n * e + html_text.PRIOR) / (n + html_text.PRIOR)
+            at = 0
+            for name in path:
+                at = xxhash.xxh64_intdigest(f"{at}>{name}") >> 1
+            want[host, at] = (m * own + html_text.HOST_PRIOR * e) / (m + html_text.HOST_PRIOR)
+    rows = spark.createDataFrame([(h, markup(t)) for h, t in pages], "host string, html string").withColumn("site", F.xxhash64("host"))
+    site = {r["site"]: r["host"] for r in rows.select("site", "host").distinct().collect()}
+    got = {(site[r["site"]], r["path"]): r["importance"] for r in html_text.style_tree(rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and min(want.values()) < html_text.THRESHOLD < max(want.values())
+
+
 def test_style_tree_removes_repeats(spark):
     pages = [(k, "https://h.org/a", f'<body><div class="z">same line</div><div class="y"><p>text number {k} of its own</p></div></body>') for k in range(200)]
     r = html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
