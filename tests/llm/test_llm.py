@@ -292,7 +292,7 @@ def test_style_tree_brute_force(spark):
             n, e, _ = everywhere["", path]
             e = (n * e + html_text.PRIOR) / (n + html_text.PRIOR)
             at = 0
-            for name in path:
+            for name in ("", *path):  # from the document itself
                 at = xxhash.xxh64_intdigest(f"{at}>{name}") >> 1
             want[host, at] = (m * own + html_text.HOST_PRIOR * e) / (m + html_text.HOST_PRIOR)
     rows = spark.createDataFrame([(h, markup(t)) for h, t in pages], "host string, html string").withColumn("site", F.xxhash64("host"))
