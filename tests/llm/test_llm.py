@@ -204,23 +204,49 @@ def test_base_spans_are_the_patterns(docs):
         assert pii.base_spans(x) == sorted(want, key=lambda s: (s[0], pii.KINDS.index(s[2])))
 
 
-def test_ann(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = ann.nearest(e, F.col("vec_id") % 10 == 0).toPandas()
-    rows = e.toPandas()
+def recall(rows, got, k=10):
+    """Share of the true ``k`` nearest rows of each query that ``got`` has; checks its scores and ranks."""
     v, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
     hit = total = 0
     for q, g in got.groupby("query_id"):
         d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
         d[ids == q] = np.inf
-        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g.vec_id))
-        total += 10
-        assert np.allclose(sorted(g.score), g.sort_values("rank").score) and np.allclose(g.score, [d[ids == x][0] for x in g.vec_id])
-    assert hit / total >= 0.9
-    bad = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0], 1), (3, [float("nan"), 1.0], 1), (4, [1.0, 0.0], 1), (100, [1.0, 0.1], 1), (None, [1.0, 1.0], 1)], "vec_id long, embedding array<float>, row_ids int")
+        hit += len(set(ids[np.lexsort((ids, d))[:k]]) & set(g.vec_id))
+        total += k
+        g = g.sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, len(g) + 1)) and np.allclose(sorted(g.score), g.score) and np.allclose(g.score, [d[ids == x][0] for x in g.vec_id])
+    return hit / total
+
+
+@pytest.mark.parametrize(("size", "every"), [("sf0.001", 10), ("sf0.01", 100), ("sf0.01", 10), ("sf0.1", 100)])
+def test_ann(spark, size, every):
+    e = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    got = ann.nearest(e, F.col("vec_id") % every == 0).toPandas()
+    rows = e.toPandas()
+    assert recall(rows, got) >= 0.9 and got.query_id.nunique() == (rows.vec_id % every == 0).sum()
+
+
+def test_ann_reranks_few_where_neighbours_are_near(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(100, 64))[rng.integers(0, 100, 3000)] + 0.02 * rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0).toPandas()
+    assert recall(df.toPandas(), got) >= 0.9
+    rows = ann.usable(df, "vec_id", "embedding").withColumn("rid", F.col("vec_id")).cache()
+    packed = ann.blocks(rows.where("vec_id % 100 = 0"))
+    c = ann.candidates(rows, packed, ann.fitted_width(rows, 10, ann.WIDTH), ann.TABLES, ann.PROJECTIONS, ann.PROBES, ann.SEED)
+    pairs = c.select(sum(F.bit_count(w) for w in ann.WORDS).alias("n")).agg(F.sum("n")).first()[0]
+    assert pairs < 0.1 * 3000 * 30
+
+
+def test_ann_edges(spark):
+    bad = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, None, 1), (2, [0.0, 0.0], 1), (3, [float("nan"), 1.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (100, [1.0, 0.1], 1), (None, [1.0, 1.0], 1)], "vec_id long, embedding array<float>, rid int")
     r = ann.nearest(bad, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
-    assert [(x["query_id"], x["vec_id"]) for x in r] == [(0, 4), (0, 100), (100, 0), (100, 4)]
+    assert [(x["query_id"], x["vec_id"]) for x in r] == [(0, 4), (0, 4), (0, 100), (100, 0), (100, 4), (100, 4)]
     assert ann.nearest(bad.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    same = spark.createDataFrame([(k % 250, [1.0, 2.0]) for k in range(500)], "vec_id long, embedding array<double>")
+    r = ann.nearest(same, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [x["vec_id"] for x in r[:10]] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and len(r) == 30
 
 
 def test_html(spark, sf):
@@ -317,7 +343,7 @@ def test_names_spare_content():
 @pytest.mark.parametrize("n", [5, 20, 46])
 def test_style_tree_on_small_hosts(spark, n):
     page = '<body><div class="z">same line</div><div class="y"><p>text number {} of its own</p></div></body>'
-    pages = [(k, f"https://h{n}.org/{k}", page.format(k)) for k in range(n)] + [(100 + k, "https://copies.org/", page.format(7)) for k in range(n)]
+    pages = [(k, f"https://h{n}.org/{k}", page.format(k)) for k in range(n)] + [(100 + k, "https://copies.org/", page.format(7).replace('"z"', '"w"')) for k in range(n)]
     r = html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert all(x["text"] == (f"text number {x['page_id']} of its own" if x["page_id"] < 100 else "same line text number 7 of its own") for x in r)
 
