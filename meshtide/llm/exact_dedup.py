@@ -36,18 +36,18 @@ def normalised(text_col: str = "text"):
 def split_rounds(rows: DataFrame, head: int = HEAD, growth: int = GROWTH) -> DataFrame | None:
     """Groups of equal ``body`` in ``rows(rid long, id, body binary)``.
 
-    Returns ``rid, id, gid, low, n`` for every row of a group of two and more
-    (``low``: the group's smallest id, ``gid``: its smallest rid).
+    Returns ``rid, low, n, first`` for every row of a group of two and more
+    (``low``: the group's smallest id, ``first``: the first row that has it).
     """
     state, pos, size, found, old = rows.withColumn("gid", F.lit(0).cast("long")), 1, head, None, None
     while True:
         chunk = F.substring("body", pos, size)
         cut = state.select("rid", "id", "gid", "body", chunk.alias("chunk"), (F.length("body") < pos + size).alias("ended"))
-        sizes = cut.groupBy("gid", "chunk", "ended").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("next"), F.min("id").alias("low")).where("n > 1")
+        sizes = cut.groupBy("gid", "chunk", "ended").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best")).where("n > 1")
         sizes = checkpointed(sizes)  # both sides of the join then have an exchange of their own, which a hot group may split
         on = cut.join(sizes, ["gid", "chunk", "ended"])
-        state = written(on.select("rid", "id", F.col("next").alias("gid"), "low", "n", "ended", F.when(~F.col("ended"), F.col("body")).alias("body")), "radix")
-        done = state.where("ended").select("rid", "id", "gid", "low", "n")
+        state = written(on.select("rid", "id", F.col("best.rid").alias("gid"), F.col("best.id").alias("low"), "n", "ended", F.when(~F.col("ended"), F.col("body")).alias("body")), "radix")
+        done = state.where("ended").select("rid", "low", "n", F.col("gid").alias("first"))
         found = done if found is None else found.union(done)
         state = state.where("not ended").select("rid", "id", "body", "gid")
         if state.isEmpty():
@@ -63,9 +63,7 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rid = F.col(number_col) if number_col else F.monotonically_increasing_id()
     base = written(docs.select(rid.alias("rid"), F.col(id_col).alias("id"), normalised(text_col).alias("body")), "bodies")
     groups = split_rounds(base.withColumn("body", F.encode("body", "UTF-8")))
-    # of rows that share a group's smallest id, the first row stays
-    first = groups.where(F.col("id").eqNullSafe(F.col("low"))).groupBy("gid").agg(F.min("rid").alias("first"))
-    groups = groups.join(first, "gid").select("rid", "low", "n", (F.col("rid") == F.col("first")).alias("stays"))
+    groups = groups.select("rid", "low", "n", (F.col("rid") == F.col("first")).alias("stays"))  # of rows that share a group's smallest id, the first stays
     all_rows = base.select("rid", "id", F.sha2(F.encode("body", "UTF-8"), 256).alias("text_sha256"))
     alone = F.col("n").isNull()
     return all_rows.join(groups, "rid", "left").select(

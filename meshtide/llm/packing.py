@@ -26,14 +26,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from meshtide.llm.tokens import RANKS, VOCABULARY, ids
 from meshtide.session import checkpointed
 
-CAPACITY, RANK_BUCKET, BATCH_TOKENS = 2048, 1024, 1 << 21
+CAPACITY, RANK_BUCKET, BATCH_TOKENS = 2048, 512, 1 << 21
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,10 +111,13 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 
 def ranked(parts: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """Adds ``rank`` (from 0) among the pieces of the same length, by buckets."""
+    """Adds ``rank`` (from 0) among the pieces of the same length, by buckets.
+
+    ``parts`` is checkpointed, so its row numbers are stable: they keep rows that repeat out of one bucket.
+    """
     spark = parts.sparkSession
     buckets = spark.createDataFrame([(k, -(-n // RANK_BUCKET)) for k, n in histogram.items()], "length long, buckets long")
-    dealt = parts.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))).drop("buckets")
+    dealt = parts.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.col("buckets"))).drop("buckets")
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     inside = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32"))
@@ -221,6 +225,21 @@ def binary_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(rows.schema["doc_id"].dataType)
     schema = pa.schema([("input_ids", pa.binary()), ("n_tokens", pa.int64()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(arrow)), ("starts", pa.list_(pa.int64()))])
     return rows.mapInArrow(run, f"input_ids binary, n_tokens long, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, starts array<long>")
+
+
+def write_packs(packs: DataFrame, path: str) -> None:
+    """Writes what :func:`binary_packs` returns as Parquet: one row a sequence, ids and positions as raw numbers."""
+    packs.write.mode("errorifexists").parquet(path)
+
+
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_packs` wrote; :func:`matrix` turns a batch of it into arrays."""
+    return spark.read.parquet(path)
+
+
+def matrix(rows, column: str = "input_ids") -> np.ndarray:
+    """The (rows, capacity) matrix of a binary column of collected rows."""
+    return np.stack([np.frombuffer(r[column], "<u4") for r in rows]) if rows else np.zeros((0, 0), "<u4")

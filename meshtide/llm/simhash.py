@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.operators.graph import connected_components
-from meshtide.session import checkpointed
+from meshtide.session import checkpointed, written
 
 SEED = 42
 #: Top trie levels that are spread over the cluster; deeper only where a shard would hold more than SHARD_ROWS.
 TOP_BITS, SHARD_ROWS = 8, 1 << 18
-#: Rows of one side that are walked at once.
-BLOCK = 2048
+#: Rows of one side that are walked at once; pairs of rows that are compared at once.
+BLOCK, PAIRS = 2048, 1 << 19
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:
@@ -158,8 +158,8 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def close_rows(home: tuple, near: tuple, bits: int, budget: int, far: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each block of one shard's rows, index pairs of rows (home, near) of different nodes within ``budget`` and ``far``.
+def close_rows(home: tuple, near: tuple, bits: int, budget: int, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of rows (home, near) of different nodes within ``budget`` and ``far``, and their differing bits, at most PAIRS at once.
 
     ``home`` and ``near``: (key, node, signature words) arrays, ``near`` with the
     shard itself. ``far``: differing bits allowed in whole signatures.
@@ -167,31 +167,28 @@ def close_rows(home: tuple, near: tuple, bits: int, budget: int, far: int) -> It
     keys, start = np.unique(near[0], return_index=True)
     count = np.diff(np.append(start, len(near[0])))
     for at in range(0, len(home[0]), BLOCK):
-        found = []
         own, first = np.unique(home[0][at : at + BLOCK], return_index=True)
         size = np.diff(np.append(first, len(home[0][at : at + BLOCK])))
         i, j = trie_pairs(own, keys, bits, budget)
-        for cut in range(0, len(i), 1 << 16):  # rows with equal keys: every row of one side with every row of the other
-            ii, jj = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-            n = size[ii] * count[jj]
-            if not n.sum():
-                continue
-            pick = np.repeat(np.arange(len(ii)), n)
-            off = np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)
-            x, y = at + first[ii][pick] + off // count[jj][pick], start[jj][pick] + off % count[jj][pick]
-            ok = home[1][x] != near[1][y]
-            ok &= np.bitwise_count(home[2][x] ^ near[2][y]).sum(axis=1) <= far
-            found.append((x[ok], y[ok]))
-        yield found
+        ends = np.cumsum(size[i].astype(np.int64) * count[j])  # rows with equal keys: every row of one side with every row of the other
+        for cut in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            number = np.arange(cut, min(cut + PAIRS, int(ends[-1])))
+            pick = np.searchsorted(ends, number, "right")
+            ii, jj = i[pick], j[pick]
+            off = number - (ends[pick] - size[ii] * count[jj])
+            x, y = at + first[ii] + off // count[jj], start[jj] + off % count[jj]
+            d = np.bitwise_count(home[2][x] ^ near[2][y]).sum(axis=1)
+            ok = (home[1][x] != near[1][y]) & (d <= far)
+            yield x[ok], y[ok], d[ok]
 
 
 def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tuple[int, int]]:
     """Spanning-forest links (node, node) between the rows of one shard and of its neighbours."""
     pairs_u, pairs_v = [], []
-    for found in close_rows(home, near, bits, budget, far):
-        pairs_u += [home[1][x] for x, _ in found]
-        pairs_v += [near[1][y] for _, y in found]
-        if pairs_u:  # keep a forest only
+    for x, y, _ in close_rows(home, near, bits, budget, far):
+        pairs_u.append(home[1][x])
+        pairs_v.append(near[1][y])
+        if len(x):  # keep a forest only
             u, v = np.concatenate(pairs_u), np.concatenate(pairs_v)
             names, ids = np.unique(np.concatenate([u, v]), return_inverse=True)
             root = forest(len(names), ids[: len(u)], ids[len(u) :])
@@ -200,34 +197,59 @@ def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tup
     return list(zip(np.concatenate(pairs_u).tolist(), np.concatenate(pairs_v).tolist(), strict=True)) if pairs_u else []
 
 
-def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, number: int, bits: int, budget: int, far: int, similarity: float) -> list[tuple[int, int]]:
-    """All pairs (node, node) of :func:`close_rows` whose sets' ``sizes`` allow the ``similarity``, each once over all tables.
+#: Which candidate pairs come back: two for each row (its nearest and its smallest partner), one for each row and other component, or all.
+FEW, ONE_A_COMPONENT, ALL = range(3)
 
-    ``apart``: whether a near row is of another shard; ``number``: the table's. A
-    pair that an earlier table finds as well is left to that table.
-    """
-    out = []
-    for found in close_rows(home, near, bits, budget, far):
-        for x, y in found:
-            a, b = sizes[0][x], sizes[1][y]
-            ok = (apart[y] | (home[1][x] < near[1][y])) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
-            x, y = x[ok], y[ok]
-            differ = (home[2][x] ^ near[2][y]).view(f"<u{bits // 8}")[:, :number]
-            first = ~(np.bitwise_count(differ) <= budget).any(axis=1)
-            out += zip(home[1][x[first]].tolist(), near[1][y[first]].tolist(), strict=True)
-    return out
+
+def least(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Index of the least ``value`` of each group."""
+    order = np.lexsort((value, group))
+    return order[np.append(True, group[order][1:] != group[order][:-1])] if len(order) else order
 
 
-def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, similarity: float | None = None) -> DataFrame:
+def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, comps: tuple, number: int, bits: int, budget: int, far: int, similarity: float, which: int) -> np.ndarray:
+    """Pairs (2, n) of nodes of :func:`close_rows` whose sets' ``sizes`` allow the ``similarity`` and whose components (``comps``) differ.
+
+    ``apart``: whether a near row is of another shard; ``number``: the table's. Of
+    ALL pairs, one that an earlier table finds as well is left to that table.
+    """
+    out = [np.zeros((2, 0), np.int64)]
+    for x, y, d in close_rows(home, near, bits, budget, far):
+        a, b = sizes[0][x], sizes[1][y]
+        ok = (apart[y] | (home[1][x] < near[1][y])) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+        if which != FEW:
+            ok &= comps[0][x] != comps[1][y]
+        if which == ALL:
+            differ = (home[2][x] ^ near[2][y]).view(f"<u{bits // 8}")[:, :number]
+            ok &= ~(np.bitwise_count(differ) <= budget).any(axis=1)
+        x, y, d = x[ok], y[ok], d[ok]
+        u, v = home[1][x], near[1][y]
+        if which == ALL:
+            out.append(np.stack([u, v]))
+            continue
+        for own, other, comp in ((u, v, comps[1][y]), (v, u, comps[0][x])):
+            if which == FEW:
+                keep = np.concatenate([least(own, d), least(own, other)])
+            else:
+                pair = np.unique(np.stack([own, comp]), axis=1, return_inverse=True)[1].ravel() if len(own) else own
+                keep = least(pair, d)
+            out.append(np.stack([u[keep], v[keep]]))
+        if len(out) > 64:
+            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
+    found = np.concatenate(out, axis=1)
+    return np.unique(found, axis=1) if found.shape[1] else found
+
+
+def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, similarity: float | None = None, which: int = ALL) -> DataFrame:
     """Links ``src, dst`` (a spanning forest for each task) between the rows of ``nodes(node long, sig binary)``.
 
     Table t's key is the t-th ``bits``-wide little-endian slice of the signature.
     With a ``similarity`` the nodes also have ``n``, the size of their shingle
-    sets, and all pairs come back that may be so similar, each once.
+    sets, and ``comp``, their component so far, and pairs come back that may be so similar.
     """
     width = bits // 8
-    size = F.lit(0) if similarity is None else F.col("n")
-    keyed = nodes.select("node", "sig", size.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("table", "key"))
+    extra = [F.lit(0).alias("n"), F.lit(0).cast("long").alias("comp")] if similarity is None else [F.col("n"), F.col("comp")]
+    keyed = nodes.select("node", "sig", *extra, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("table", "key"))
     top_bits, top = TOP_BITS, F.conv(F.hex(F.substring("key", width, 1)), 16, 10).cast("int")
     if nodes.count() > SHARD_ROWS:  # a row for each top byte at most
         most = keyed.groupBy("table", top.alias("s")).count().agg(F.max("count")).first()[0]
@@ -240,26 +262,26 @@ def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, simil
     near = F.array(*[F.lit(m) for m in masks(top_bits, budget)])
     own = F.col("shard")
     there = F.filter(F.transform(near, lambda m: own.bitwiseXOR(m)), lambda s: (s == own) | ((F.pmod(F.least(s, own) * 31 + F.greatest(s, own) * 17, F.lit(8)) < 4) == (s < own)))
-    rows = keyed.withColumn("shard", shard).select("table", "shard", "node", "key", "sig", "n", F.explode(there).alias("at"))
+    rows = keyed.withColumn("shard", shard).select("table", "shard", "node", "key", "sig", "n", "comp", F.explode(there).alias("at"))
 
     def run(key, group):
-        cols = group.select(["shard", "node", "key", "sig", "n"]).combine_chunks()
+        cols = group.select(["shard", "node", "key", "sig", "n", "comp"]).combine_chunks()
         n = cols.num_rows
-        shard_, node, count = cols["shard"].to_numpy(), cols["node"].to_numpy(), cols["n"].to_numpy()
+        shard_, node, count, comp = (cols[c].to_numpy() for c in ("shard", "node", "n", "comp"))
         raw = np.frombuffer(b"".join(cols["key"].to_pylist()), np.uint8).reshape(n, width)
         k = np.zeros((n, 8), np.uint8)
         k[:, :width] = raw
         k = k.view("<u8").ravel()
         sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), "<u8").reshape(n, -1)
         order = np.lexsort((node, k))
-        k, node, sig, shard_, count = k[order], node[order], sig[order], shard_[order], count[order]
+        k, node, sig, shard_, count, comp = (v[order] for v in (k, node, sig, shard_, count, comp))
         own = shard_ == key[1].as_py()
         home = (k[own], node[own], sig[own])
         if similarity is None:
-            found = walk(home, (k, node, sig), bits, budget, far)
+            found = np.array(walk(home, (k, node, sig), bits, budget, far), np.int64).reshape(-1, 2).T
         else:
-            found = candidates(home, (k, node, sig), ~own, (count[own], count), key[0].as_py(), bits, budget, far, similarity)
-        return pa.table({"src": pa.array([x for x, _ in found], pa.int64()), "dst": pa.array([y for _, y in found], pa.int64())})
+            found = candidates(home, (k, node, sig), ~own, (count[own], count), (comp[own], comp), key[0].as_py(), bits, budget, far, similarity, which)
+        return pa.table({"src": pa.array(found[0]), "dst": pa.array(found[1])})
 
     return rows.groupBy("table", "at").applyInArrow(run, "src long, dst long")
 
@@ -371,21 +393,33 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents link if the Jaccard similarity of their sets of five-word shingles
     (as 64-bit hashes) is at least ``similarity``. Candidates come from the tries
     over signatures of the sets; each is confirmed by the sets themselves, so
-    that a candidate may be missed, but no link is wrong. Repeated rows of the
-    id that stays all stay; rows with a null id stay.
+    that a candidate may be missed, but no link is wrong. A group of g near copies
+    is not expanded into its pairs: a first walk over all rows returns two
+    candidates for each row, a second one, over the rows that have candidates,
+    one for each other component, and a last one all that still join two
+    components, so that none is left out. Repeated rows of the id that stays all
+    stay; rows with a null id stay.
     """
     how = NEAR | options
     size, words = how["size"], how["words"]
     sigs = checkpointed(set_signatures(docs, id_col, text_col, size, words))
     nodes = sigs.groupBy("same").agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n"))  # rows with equal sets are one node
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    pairs = checkpointed(links(nodes.select("node", "sig", "n"), how["tables"], how["bits"], how["budget"], allowed_bits(similarity, words), similarity))
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    wanted = checkpointed(nodes.select("node", "same", "low").join(ends, "node"))
-    label = connected_components(confirmed(pairs, shingle_sets(docs, wanted, id_col, text_col, size), similarity))
-    member = nodes.select("node", "same", "low").join(label, "node")
+    active, label, joined, sets = nodes.select("node", "sig", "n", F.lit(0).cast("long").alias("comp")), None, None, None
+    for which in (FEW, ONE_A_COMPONENT, ALL):
+        pairs = checkpointed(links(active, how["tables"], how["bits"], how["budget"], allowed_bits(similarity, words), similarity, which).distinct())
+        if sets is None:
+            ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+            wanted = checkpointed(nodes.join(ends, "node"))
+            sets = written(shingle_sets(docs, wanted.select("node", "same", "low"), id_col, text_col, size), "sets")
+        good = confirmed(pairs, sets, similarity)
+        joined = checkpointed(good if joined is None else joined.union(good))
+        label = checkpointed(connected_components(joined))
+        active = wanted.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"))
+    member = wanted.select("node", "low").join(label, "node")
     smallest = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = nodes.select("node", "same", "low").join(member.join(smallest, "component").select("node", "component_id"), "node", "left")
-    of = of.select("same", F.coalesce("component_id", "low").alias("component_id"))
-    gone = sigs.join(of, "same").where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
+    better = member.join(smallest, "component").where("low <> component_id").select("node")  # sets whose rows all go
+    lasting = wanted.select("node", "same", "low").join(better, "node", "left_semi").select("same", F.lit(True).alias("all_go"))
+    of = nodes.select("same", "low").join(lasting, "same", "left")
+    gone = sigs.join(of, "same").where(F.coalesce("all_go", F.lit(False)) | (F.col("id") != F.col("low"))).where(F.col("id").isNotNull()).select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")

@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public byte-level BPE vocabulary.
 
 The ids are those of the ``tokenizers`` file; the rank file of the same
-vocabulary gives them several times faster, and a text that its regex engine
-refuses goes through ``tokenizers``. Vocabulary files are read on each worker,
+vocabulary gives them several times faster, and a text that holds a special token
+or that its regex engine refuses goes through ``tokenizers``. Vocabulary files are read on each worker,
 where they are installed, and kept for its life; they are a parameter.
 """
 
@@ -33,9 +33,13 @@ def json_encoder(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+@functools.cache
+def special(name: str) -> tuple[str, ...]:
+    """Texts that the file names as tokens of their own."""
+    return tuple(t.content for t in json_encoder(name).get_added_tokens_decoder().values())
 
 
 def plain_ids(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
@@ -45,7 +49,7 @@ def plain_ids(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
 
 def ids(text: str, vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> np.ndarray:
     """Ids of a text and the ending id, as little-endian unsigned 32-bit numbers."""
-    if ranks is None:
+    if ranks is None or any(t in text for t in special(vocabulary)):
         found = plain_ids(text, vocabulary)
     else:
         try:

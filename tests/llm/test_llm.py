@@ -55,6 +55,25 @@ def test_simhash_edges(spark, odd):
     assert {r["doc_id"] for r in simhash.near_dedup(many).collect()} == {0, 99}
 
 
+def test_near_dedup_edges(spark, odd):
+    kept = simhash.near_dedup(odd)
+    assert kept.columns == odd.columns and simhash.near_dedup(odd.limit(0)).count() == 0
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(str(i) for i in ids) == sorted(["1", "4", "4", "5", "6", "7", "None"])
+
+
+def test_near_dedup_expands_no_group(spark):
+    """Of a large group of near copies a walk returns a few candidates for each row, and the group still becomes one."""
+    base = [f"w{j}" for j in range(300)]
+    rows = [(k, " ".join([*base[: k % 290], f"edit{k}", *base[k % 290 + 1 :]])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = simhash.set_signatures(df, "doc_id", "text", 5, 8).select(F.col("id").alias("node"), "sig", "n", F.col("id").alias("comp"))
+    far = simhash.allowed_bits(0.8, 8)
+    few, every = (simhash.links(sigs, 8, 32, 4, far, 0.8, w).distinct().count() for w in (simhash.FEW, simhash.ALL))
+    assert every > 50_000 and few < 400 * 4 * 8 * 3
+    assert [r["doc_id"] for r in simhash.near_dedup(df).collect()] == [0]
+
+
 def test_near_dedup_is_jaccard(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -156,6 +175,45 @@ def test_binary_packs(docs, odd):
     assert sum(r["n_tokens"] for r in packing.binary_packs(odd).collect()) == sum(len(tokens.ids(t or "")) for _, t in ODD)
 
 
+def test_binary_packs_types_and_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b c"), (None, None), (1, "a b c")], "doc_id smallint, text string")
+    packs = packing.binary_packs(rows, capacity=8)
+    packing.write_packs(packs, f"file://{tmp_path}/packs")
+    back = packing.read_packs(spark, f"file://{tmp_path}/packs").collect()
+    ids = packing.matrix(back)
+    assert ids.shape[1] == 8 and sum(r["n_tokens"] for r in back) == 2 * len(tokens.ids("a b c")) + 1 and {d for r in back for d in r["doc_ids"]} == {1, None}
+    assert all((ids[k, r["n_tokens"] :] == 0).all() for k, r in enumerate(back))
+    assert packing.binary_packs(rows.limit(0)).count() == 0 and packing.matrix([]).size == 0
+
+
+def test_mixing_brute_force(docs):
+    """Weights by raking a plain dict of cells, draws by the hash of the id."""
+    cells, rows = {}, docs.select("doc_id", "text", "source", "lang", F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11).alias("draw")).collect()
+    of = {}
+    for r in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        topic = "record" if re.search("[0-9]", r["text"] or "") else "short" if n < 100 else "prose" if n < 1500 else "long"
+        of[r["doc_id"]] = cell = ("src0" if r["source"] == "src0" else "other", r["lang"] if r["lang"] in ("en", "de", "fr", "es") else "other", topic)
+        cells[cell] = cells.get(cell, 0) + n
+    total = sum(cells.values())
+    fit = {c: n / total for c, n in cells.items()}
+    for _ in range(200):
+        for axis, key in enumerate(("source", "lang", "topic")):
+            there = {c[axis] for c, n in cells.items() if n}
+            wanted = {k: v for k, v in mixing.TARGETS[key].items() if k in there}
+            for name in there:
+                now = sum(v for c, v in fit.items() if c[axis] == name)
+                for c in fit:
+                    if c[axis] == name:
+                        fit[c] *= wanted.get(name, 0) / sum(wanted.values()) / now if now else 0
+    weight = {c: fit[c] / (n / total) if n else 1.0 for c, n in cells.items()}
+    top = max(weight[c] for c, n in cells.items() if n)
+    got = {r["id"]: r for r in mixing.calibrated(docs).collect()}
+    for r in rows:
+        w = weight[of[r["doc_id"]]]
+        assert abs(got[r["doc_id"]]["weight"] - w) < 1e-9 and got[r["doc_id"]]["kept"] == (r["draw"] / 2**53 < min(1.0, w / top))
+
+
 def test_best_fit():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 65, 300)
@@ -175,7 +233,7 @@ def test_mixing(docs, odd):
     for a in range(3):
         assert np.allclose(fit.sum(axis=tuple(x for x in range(3) if x != a)), m[a], atol=1e-9)
     c = mixing.calibrated(docs).toPandas()
-    assert abs((c.weight * c.tokens)[c.source == "src0"].sum() / (c.weight * c.tokens).sum() - 0.33) < 1e-6 and c.probability.between(0, 1).all()
+    assert abs((c.weight * c.tokens)[c.source == "src0"].sum() / (c.weight * c.tokens).sum() - 0.25) < 1e-6 and c.probability.between(0, 1).all()
     assert set(mixing.mixed(docs).select("doc_id").toPandas().doc_id) == set(c[c.kept].id)
     extra = odd.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("src0"))
     assert mixing.calibrated(extra).count() == len(ODD) and mixing.calibrated(extra.limit(0)).count() == 0
