@@ -43,16 +43,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what :func:`written` wrote, once nothing reads it any more."""
-    spark, base = df.sparkSession, shared_dir(df.sparkSession).split(":")[-1].rstrip("/")
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if base in path:
+def _tables(spark: SparkSession) -> list[str]:
+    """Paths that :func:`written` made in this application."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_meshtide_tables"):
+        sc._meshtide_tables = []
+    return sc._meshtide_tables
+
+
+def spark_gc(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffle files of jobs that are over."""
+    spark._jvm.System.gc()
+
+
+def sweep(df: DataFrame) -> None:
+    """Deletes the tables that :func:`written` made and ``df`` does not read, and frees the shuffles of jobs that are over.
+
+    For a chain of jobs whose results are stored one by one, before each next job.
+    """
+    spark, needed = df.sparkSession, df.inputFiles()
+    for path in list(_tables(spark)):
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in needed):
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _tables(spark).remove(path)
+    spark_gc(spark)
 
 
 def ship(spark: SparkSession) -> None:
