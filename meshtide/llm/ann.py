@@ -203,7 +203,7 @@ def nearest(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector
     """``query_id, rank, vec_id, score``: the k nearest found of each row for which ``is_query`` (a condition on ``vec_id``) holds."""
     rows = written(usable(df, id_col, vector_col).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     queries = rows.where(is_query).dropDuplicates(["vec_id", "v"])
-    packed = checkpointed(blocks(queries.repartition(-(-queries.count() // BLOCK) or 1, "vec_id")))  # full blocks, however the table is dealt
+    packed = checkpointed(blocks(queries.repartition(-(-queries.count() // BLOCK) or 1)))  # full blocks, however the table is dealt
     found = checkpointed(candidates(rows, packed, fitted_width(rows, k, width), tables, count, probes, seed))
     salts = -(-rows.count() // CHUNK) or 1
     dealt = found.join(rows, "rid").select("block", F.pmod(F.xxhash64("rid"), F.lit(salts)).alias("salt"), "vec_id", "v", *WORDS)

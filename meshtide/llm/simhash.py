@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.operators.graph import connected_components
-from meshtide.session import checkpointed, written
+from meshtide.session import checkpointed, spark_gc, written
 
 SEED = 42
 #: Top trie levels that are spread over the cluster; deeper only where a shard would hold more than SHARD_ROWS.
 TOP_BITS, SHARD_ROWS = 8, 1 << 18
 #: Rows of one side that are walked at once; pairs of rows that are compared at once.
-BLOCK, PAIRS = 2048, 1 << 19
+BLOCK, PAIRS = 2048, 1 << 17
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:
@@ -197,8 +197,8 @@ def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tup
     return list(zip(np.concatenate(pairs_u).tolist(), np.concatenate(pairs_v).tolist(), strict=True)) if pairs_u else []
 
 
-#: Which candidate pairs come back: two for each row (its nearest and its smallest partner), one for each row and other component, or all.
-FEW, ONE_A_COMPONENT, ALL = range(3)
+#: Which candidate pairs come back: two for each row (its nearest and its smallest partner), one for each row (the nearest in another component), or all between components.
+FEW, ONE, ALL = range(3)
 
 
 def least(group: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -208,12 +208,12 @@ def least(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, comps: tuple, number: int, bits: int, budget: int, far: int, similarity: float, which: int) -> np.ndarray:
-    """Pairs (2, n) of nodes of :func:`close_rows` whose sets' ``sizes`` allow the ``similarity`` and whose components (``comps``) differ.
+    """Rows (node, other node, differing bits) for pairs of :func:`close_rows` whose sets' ``sizes`` allow the ``similarity`` and whose components (``comps``) differ.
 
     ``apart``: whether a near row is of another shard; ``number``: the table's. Of
     ALL pairs, one that an earlier table finds as well is left to that table.
     """
-    out = [np.zeros((2, 0), np.int64)]
+    out = [np.zeros((3, 0), np.int64)]
     for x, y, d in close_rows(home, near, bits, budget, far):
         a, b = sizes[0][x], sizes[1][y]
         ok = (apart[y] | (home[1][x] < near[1][y])) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
@@ -222,18 +222,14 @@ def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, comps:
         if which == ALL:
             differ = (home[2][x] ^ near[2][y]).view(f"<u{bits // 8}")[:, :number]
             ok &= ~(np.bitwise_count(differ) <= budget).any(axis=1)
-        x, y, d = x[ok], y[ok], d[ok]
+        x, y, d = x[ok], y[ok], d[ok].astype(np.int64)
         u, v = home[1][x], near[1][y]
         if which == ALL:
-            out.append(np.stack([u, v]))
+            out.append(np.stack([u, v, d]))
             continue
-        for own, other, comp in ((u, v, comps[1][y]), (v, u, comps[0][x])):
-            if which == FEW:
-                keep = np.concatenate([least(own, d), least(own, other)])
-            else:
-                pair = np.unique(np.stack([own, comp]), axis=1, return_inverse=True)[1].ravel() if len(own) else own
-                keep = least(pair, d)
-            out.append(np.stack([u[keep], v[keep]]))
+        for own, other in ((u, v), (v, u)):
+            keep = np.concatenate([least(own, d), least(own, other)]) if which == FEW else least(own, d)
+            out.append(np.stack([own[keep], other[keep], d[keep]]))
         if len(out) > 64:
             out = [np.unique(np.concatenate(out, axis=1), axis=1)]
     found = np.concatenate(out, axis=1)
@@ -245,7 +241,8 @@ def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, simil
 
     Table t's key is the t-th ``bits``-wide little-endian slice of the signature.
     With a ``similarity`` the nodes also have ``n``, the size of their shingle
-    sets, and ``comp``, their component so far, and pairs come back that may be so similar.
+    sets, and ``comp``, their component so far, and pairs come back that may be so
+    similar, with the bits ``d`` in which they differ.
     """
     width = bits // 8
     extra = [F.lit(0).alias("n"), F.lit(0).cast("long").alias("comp")] if similarity is None else [F.col("n"), F.col("comp")]
@@ -279,11 +276,12 @@ def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, simil
         home = (k[own], node[own], sig[own])
         if similarity is None:
             found = np.array(walk(home, (k, node, sig), bits, budget, far), np.int64).reshape(-1, 2).T
+            found = np.concatenate([found, np.zeros_like(found[:1])])
         else:
             found = candidates(home, (k, node, sig), ~own, (count[own], count), (comp[own], comp), key[0].as_py(), bits, budget, far, similarity, which)
-        return pa.table({"src": pa.array(found[0]), "dst": pa.array(found[1])})
+        return pa.table({"src": found[0], "dst": found[1], "d": found[2]})
 
-    return rows.groupBy("table", "at").applyInArrow(run, "src long, dst long")
+    return rows.groupBy("table", "at").applyInArrow(run, "src long, dst long, d long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tables: int = 1, bits: int = 64, budget: int = 3, words: int = 1, far: int | None = None) -> DataFrame:
@@ -306,19 +304,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: What one-of-each-group dedup uses: five-word shingles, 512-bit signatures, eight tries over 32 bits each.
 NEAR = {"size": 5, "tables": 8, "bits": 32, "budget": 4, "words": 8}
 #: Standard deviations that a candidate's differing bits may lie above the expected ones.
-SLACK = 6
+SLACK = 5
+#: Signature words and deviations for the rows that have candidates: four times the bits tell a similarity of 0.7 from 0.8.
+WIDE, WIDE_SLACK = 32, 3.5
 #: Narrow rows (some 40 bytes) that may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def allowed_bits(similarity: float, words: int) -> int:
-    """Differing bits that a pair of a shingle-set (Jaccard) similarity stays within, SLACK deviations above the expected ones.
+def allowed_bits(similarity: float, words: int, slack: float = SLACK) -> int:
+    """Differing bits that a pair of a shingle-set (Jaccard) similarity stays within, ``slack`` deviations above the expected ones.
 
     Expected: cosine 2j/(1+j), angle over pi. Sets of a few shingles differ more; the slack covers them.
     """
     cosine = 2 * similarity / (1 + similarity)
     n, p = 64 * words, math.acos(cosine) / math.pi
-    return math.floor(n * p + SLACK * math.sqrt(n * p * (1 - p)))
+    return math.floor(n * p + slack * math.sqrt(n * p * (1 - p)))
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -331,6 +331,14 @@ def set_name(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
+def set_signature(h: np.ndarray, words: int) -> bytes:
+    """A bit is 1 if set in over half of the set's hashes; the first words are those of a narrower signature."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        ones += bit_sums(widen(h[at : at + (1 << 15)], words))
+    return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
+
+
 def set_signatures(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
     """``id, same, sig, n`` for every row: the shingle set's name, its signature (each shingle once) and its size."""
 
@@ -339,11 +347,8 @@ def set_signatures(docs: DataFrame, id_col: str, text_col: str, size: int, words
             same, sig, n = [], [], []
             for t in b.column(1).cast(pa.binary()):
                 h = shingle_set(t.as_py(), size)
-                ones = np.zeros(64 * words, np.int64)
-                for at in range(0, len(h), 1 << 15):
-                    ones += bit_sums(widen(h[at : at + (1 << 15)], words))
                 same.append(set_name(h))
-                sig.append(np.packbits(ones * 2 > len(h), bitorder="little").tobytes())
+                sig.append(set_signature(h, words))
                 n.append(len(h))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(n, pa.int32())], ["id", "same", "sig", "n"])
 
@@ -352,22 +357,24 @@ def set_signatures(docs: DataFrame, id_col: str, text_col: str, size: int, words
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``node, shingles`` (sorted uint64 in bytes) for each of ``wanted(node, same, low)``; ``low`` is the id of a row with that set."""
+    """``node, shingles`` (sorted uint64 in bytes), ``sig`` (WIDE words) and ``n`` for each of ``wanted(node, same, low)``; ``low`` is the id of a row with that set."""
 
     def run(batches):
         for b in batches:
-            keep, sets = [], []
+            keep, sets, sig, n = [], [], [], []
             for k, (t, same) in enumerate(zip(b.column(1).cast(pa.binary()), b.column(2), strict=True)):
                 h = shingle_set(t.as_py(), size)
                 if set_name(h) == same.as_py():  # ids may repeat with other texts
                     keep.append(k)
                     sets.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    sig.append(set_signature(h, WIDE))
+                    n.append(len(h))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), pa.array(n, pa.int32())], ["node", "shingles", "sig", "n"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     few = wanted.count() <= BROADCAST_ROWS
     found = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("low"))).select("node", "text", "same")
-    return found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return found.mapInArrow(run, "node long, shingles binary, sig binary, n int").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -387,6 +394,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(of("src", "x"), "src").join(of("dst", "y"), "dst").select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
 
 
+def chosen(found: DataFrame, which: int) -> DataFrame:
+    """The pairs ``src, dst`` to test, each once, from what all tables found."""
+    nearest = F.min(F.struct("d", "dst"))["dst"]
+    if which == FEW:
+        found = found.groupBy("src").agg(F.array(nearest, F.min("dst")).alias("dst")).select("src", F.explode("dst").alias("dst"))
+    elif which == ONE:
+        found = found.groupBy("src").agg(nearest.alias("dst"))
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: of each group of near copies the one with the smallest id.
 
@@ -395,8 +412,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     over signatures of the sets; each is confirmed by the sets themselves, so
     that a candidate may be missed, but no link is wrong. A group of g near copies
     is not expanded into its pairs: a first walk over all rows returns two
-    candidates for each row, a second one, over the rows that have candidates,
-    one for each other component, and a last one all that still join two
+    candidates for each row, two more, over the rows that have candidates, the
+    nearest one in another component, and a last one all that still join two
     components, so that none is left out. Repeated rows of the id that stays all
     stay; rows with a null id stay.
     """
@@ -406,8 +423,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = sigs.groupBy("same").agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n"))  # rows with equal sets are one node
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     active, label, joined, sets = nodes.select("node", "sig", "n", F.lit(0).cast("long").alias("comp")), None, None, None
-    for which in (FEW, ONE_A_COMPONENT, ALL):
-        pairs = checkpointed(links(active, how["tables"], how["bits"], how["budget"], allowed_bits(similarity, words), similarity, which).distinct())
+    for which in (FEW, ONE, ONE, ALL):
+        far = allowed_bits(similarity, words) if which == FEW else allowed_bits(similarity, WIDE, WIDE_SLACK)
+        pairs = checkpointed(chosen(links(active, how["tables"], how["bits"], how["budget"], far, similarity, which), which))
         if sets is None:
             ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
             wanted = checkpointed(nodes.join(ends, "node"))
@@ -415,7 +433,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         good = confirmed(pairs, sets, similarity)
         joined = checkpointed(good if joined is None else joined.union(good))
         label = checkpointed(connected_components(joined))
-        active = wanted.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"))
+        spark_gc(docs.sparkSession)
+        active = sets.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"))
     member = wanted.select("node", "low").join(label, "node")
     smallest = member.groupBy("component").agg(F.min("low").alias("component_id"))
     better = member.join(smallest, "component").where("low <> component_id").select("node")  # sets whose rows all go
