@@ -52,6 +52,12 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def mean_latitude_distance(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Metres on a plane with METRES_PER_LNG for each degree, longitudes narrowed at the mean latitude."""
+    east = (lng1 - lng2) * METRES_PER_LNG * F.cos(F.radians((lat1 + lat2) * 0.5))
+    return F.hypot(east, (lat1 - lat2) * METRES_PER_LNG)
+
+
 def two_point_similarity(x: Column, y: Column, src: tuple, dst: tuple) -> tuple[Column, Column]:
     """The similarity that takes two source points to two targets; both pairs as ((x, y), (x, y))."""
     (ax, ay), (bx, by) = src

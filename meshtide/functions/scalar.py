@@ -9,6 +9,34 @@ from pyspark.sql import functions as F
 
 TIDE_HOURS = 12.42
 
+# The score of a time window as (least, most, terms); a term is a coefficient and the facts it is multiplied with.
+WINDOW = (0, 100, (
+    (34,), (18, "move"), (16, "night"), (10, "turn"), (10, "flow"), (0.78 * 8 + 0.82 * 7 + 6, "shut"), (0.52 * 8 + 0.48 * 7, "open"),
+    (-16, "slack"), (-6, "day"), (5, "night ebb"), (3, "shut flood"),
+))
+
+
+def flag(condition: Column) -> Column:
+    """1 where the condition holds, else 0; null counts as not."""
+    return F.when(condition, 1.0).otherwise(0.0)
+
+
+def rated(table: tuple, facts: dict[str, Column]) -> Column:
+    """Value of a rating table ``(least, most, terms)``; a fact ``place/scale`` is 1 / (1 + facts[place] / scale)."""
+    least, most, terms = table
+
+    def fact(name: str) -> Column:
+        place, _, scale = name.partition("/")
+        return 1 / (1 + facts[place] / float(scale)) if scale else facts[place]
+
+    total = None
+    for coefficient, *names in terms:
+        value = F.lit(float(coefficient))
+        for name in names:
+            value = value * fact(name)
+        total = value if total is None else total + value
+    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), total))
+
 
 def parse_iso_with_zone(text: Column) -> Column:
     """Epoch seconds of an ISO time that states its zone; null otherwise."""
@@ -141,12 +169,10 @@ def _window_parts(hours: Column, hour: Column, phase: float) -> tuple[Column, Co
 def window_score(hours: Column, hour: Column, closed: Column, phase: float = 0.0) -> Column:
     """0..100 at a time of ``hours`` since the epoch, local decimal ``hour`` and a gate that is ``closed`` or not."""
     slope, night, turn, flow = _window_parts(hours, hour, phase)
-    move, zero = F.least(F.lit(1.0), F.abs(slope) * 2.35), F.lit(0.0)
-    score = 34 + move * 18 + night * 16 + F.when(turn, 10).otherwise(zero) + flow * 10
-    score = score + F.when(closed, 0.78 * 8 + 0.82 * 7 + 6).otherwise(0.52 * 8 + 0.48 * 7)
-    score = score - F.when(F.abs(slope) < 0.015, 16).otherwise(zero) - F.when(night < 0.2, 6).otherwise(zero)
-    score = score + F.when((slope < 0) & (night > 0.4), 5).otherwise(zero) + F.when((slope > 0) & closed, 3).otherwise(zero)
-    return F.least(F.lit(100.0), F.greatest(zero, score))
+    return rated(WINDOW, {
+        "move": F.least(F.lit(1.0), F.abs(slope) * 2.35), "night": night, "turn": flag(turn), "flow": flow, "shut": flag(closed), "open": 1 - flag(closed),
+        "slack": flag(F.abs(slope) < 0.015), "day": flag(night < 0.2), "night ebb": flag((slope < 0) & (night > 0.4)), "shut flood": flag((slope > 0) & closed),
+    })
 
 
 def window_reasons(hours: Column, hour: Column, closed: Column, gate: Column, phase: float = 0.0, most: int = 3) -> Column:

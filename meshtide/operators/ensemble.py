@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,11 +54,14 @@ def cell_statistics(field: DataFrame, profile: Activity = WET_6, dry: float = 1e
 
 
 def halfplane_agreement(field: DataFrame, by: str = "cell_id") -> DataFrame:
-    """Share of a cell's cases that do not point away from the summed vector; 0 if the sum vanishes."""
-    w = W.partitionBy(by)
-    rows = field.select(by, "u", "v", F.sum("u").over(w).alias("su"), F.sum("v").over(w).alias("sv"))
+    """Share of a cell's cases that do not point away from the summed vector; 0 if the sum vanishes.
+
+    Two partial sums for each cell, joined back: no cell is collected in one task.
+    """
+    sums = field.groupBy(F.col(by).alias("_by")).agg(F.sum("u").alias("su"), F.sum("v").alias("sv"))
+    rows = field.select(by, "u", "v").join(sums, F.col(by).eqNullSafe(F.col("_by")))
     agrees = (F.col("u") * F.col("su") + F.col("v") * F.col("sv") >= 0).cast("double")
-    norm = F.sqrt(F.first("su") * F.first("su") + F.first("sv") * F.first("sv"))
+    norm = F.sqrt(F.max("su") * F.max("su") + F.max("sv") * F.max("sv"))
     return rows.groupBy(by).agg(F.when(norm > 1e-12, F.avg(agrees)).otherwise(0.0).alias("halfplane_agreement"))
 
 
@@ -73,12 +77,46 @@ def field_bounds(stats: DataFrame, columns: list[str]) -> DataFrame:
     return stats.agg(*[f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
+def exact_percentiles(rows: DataFrame, column: str, probabilities: tuple[float, ...], small: int = 100_000, cuts: int = 200) -> list[float | None]:
+    """Exact percentiles (linear between neighbours) of a whole column; null values and NaN take no part, no values give None.
+
+    Equal values are counted first. Cuts from a sketch split the distinct values
+    into parts, whose counts tell the part that holds a percentile; that part is
+    split again until at most ``small`` distinct values are left to be ordered.
+    Only cuts and counts (``cuts`` of each) reach the driver.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    return [None if total["n"] == 0 else _at_position(values, p * (total["n"] - 1), total["low"], total["high"], small, cuts) for p in probabilities]
+
+
+def _at_position(values: DataFrame, at: float, low: float, high: float, small: int, cuts: int) -> float:
+    """The value at position ``at`` (from 0) of the counted ``values(v, n)``; it lies in low..high, all of them."""
+    first, last, below = math.floor(at), math.ceil(at), 0
+    while (inside := values.where(F.col("v").between(low, high))).count() > small:
+        ends = inside.agg(F.percentile_approx("v", [k / cuts for k in range(1, cuts)]).alias("p")).first()["p"]
+        part = F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda x: x < F.col("v")))
+        parts = inside.groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("part").collect()
+        upto, before = below, below
+        for p in parts:
+            if upto <= first < upto + p["n"]:
+                low, before = p["low"], upto
+            if upto <= last < upto + p["n"]:
+                high = p["high"]
+            upto += p["n"]
+        below = before
+    upto = inside.withColumn("upto", F.sum("n").over(W.orderBy("v")) + below)  # at most ``small`` rows
+    a, b = upto.agg(F.min(F.when(F.col("upto") > first, F.col("v"))), F.min(F.when(F.col("upto") > last, F.col("v")))).first()
+    return a + (b - a) * (at - first)
+
+
 def color_range(stats: DataFrame, column: str, eligible: Column | None = None) -> DataFrame:
     """One row ``low, high``: 2nd and 98th percentile of eligible values, or their extremes where those coincide."""
     rows = stats if eligible is None else stats.where(eligible)
-    r = rows.agg(F.percentile(column, F.array(F.lit(0.02), F.lit(0.98))).alias("p"), F.min(column).alias("a"), F.max(column).alias("b"))
-    wide = F.col("p")[1] > F.col("p")[0]
-    return r.select(F.when(wide, F.col("p")[0]).otherwise(F.col("a")).alias("low"), F.when(wide, F.col("p")[1]).otherwise(F.col("b")).alias("high"))
+    a, b = exact_percentiles(rows, column, (0.02, 0.98))
+    if a is None or b > a:
+        return stats.sparkSession.createDataFrame([(a, b)], "low double, high double")
+    return rows.agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
 
 
 def reconcile_cases(expected: DataFrame, results: DataFrame) -> DataFrame:

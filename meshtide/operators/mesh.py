@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.functions.scalar import gate_bucket
@@ -74,25 +75,79 @@ def locate_in_mesh(points: DataFrame, triangles: DataFrame, vertices: DataFrame,
     return points.select("point_id").join(hit, "point_id", "left")
 
 
-def compare_faces(exported: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """One row: matched, missing and extra faces, cell mismatches and the largest relative length error of ``(a, b, left, right, length)`` tables."""
-    key = lambda d, s: d.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.least("left", "right").alias(f"{s}1"), F.greatest("left", "right").alias(f"{s}2"), F.col("length").alias(f"{s}_length"))
-    j = key(exported, "e").join(key(rebuilt, "r"), ["lo", "hi"], "full_outer")
-    e, r = F.col("e_length"), F.col("r_length")
-    both = e.isNotNull() & r.isNotNull()
+def _keyed(faces: DataFrame, side: str, by: tuple[str, ...]) -> DataFrame:
+    """Faces under their sorted vertex pair and ``by``, every other column named after its side; columns that are not there are null."""
+    given = lambda k, kind: F.col(k).cast(kind) if k in faces.columns else F.lit(None).cast(kind)
+    cells = (F.least("left", "right").alias(f"{side}1"), F.greatest("left", "right").alias(f"{side}2"))
+    rest = [given(k, kind).alias(f"{side}_{k}") for k, kind in (("length", "double"), ("centre_distance", "double"), ("mx", "double"), ("my", "double"), ("marker", "string"))]
+    return faces.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), *by, *cells, *rest, F.lit(True).alias(f"{side}_there"))
+
+
+def compare_faces(exported: DataFrame, rebuilt: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row about two ``(a, b, left, right, length[, centre_distance, mx, my, marker])`` tables, matched by unordered vertex pair.
+
+    ``matched``, ``missing`` and ``extra`` faces, ``duplicate`` exported rows, ``cell_mismatch``,
+    ``marker_mismatch``, and the largest relative length, relative centre distance and
+    absolute midpoint errors of matched rows (null where nothing can be compared).
+    ``rebuilt`` has each pair once. With ``by`` there is a row for each value of those columns, by which faces are matched too.
+    """
+    again = F.row_number().over(W.partitionBy("lo", "hi", *by).orderBy(F.col("e1").asc_nulls_last(), F.col("e2").asc_nulls_last())) > 1
+    j = _keyed(exported, "e", by).withColumn("again", again).join(_keyed(rebuilt, "r", by), ["lo", "hi", *by], "full_outer")
+    e, r = F.col("e_there").isNotNull(), F.col("r_there").isNotNull()
+    relative = lambda k: F.abs(F.col(f"e_{k}") - F.col(f"r_{k}")) / F.greatest(F.lit(1.0), F.abs(f"e_{k}"), F.abs(f"r_{k}"))
     off = ~(F.col("e1").eqNullSafe(F.col("r1")) & F.col("e2").eqNullSafe(F.col("r2")))
-    return j.agg(F.count_if(both).alias("matched"), F.count_if(e.isNotNull() & r.isNull()).alias("extra"), F.count_if(e.isNull() & r.isNotNull()).alias("missing"), F.count_if(both & off).alias("cell_mismatch"), F.max(F.when(both, F.abs(e - r) / F.greatest(F.lit(1.0), F.abs(e), F.abs(r)))).alias("length_error"))
+    return j.groupBy(*by).agg(
+        F.count_if(e & r).alias("matched"), F.count_if(e & ~r).alias("extra"), F.count_if(~e & r).alias("missing"), F.count_if(e & r & F.col("again")).alias("duplicate"), F.count_if(e & r & off).alias("cell_mismatch"),
+        F.count_if(e & r & ~F.col("e_marker").eqNullSafe(F.col("r_marker"))).alias("marker_mismatch"), F.max(relative("length")).alias("length_error"), F.max(relative("centre_distance")).alias("centre_error"),
+        F.max(F.hypot(F.col("e_mx") - F.col("r_mx"), F.col("e_my") - F.col("r_my"))).alias("midpoint_error"))
+
 
+def mesh_audit(triangles: DataFrame, vertices: DataFrame, exported: dict[str, DataFrame] | None = None, tolerance: float = 1e-9, markers: DataFrame | None = None) -> DataFrame:
+    """``check, value, expected, ok`` of a mesh and of what was exported from it.
 
-def mesh_audit(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """``check, value, expected, ok``: degenerate cells, nonmanifold edges, connected parts, least area."""
-    g = triangle_geometry(triangles, vertices)
-    e = edge_incidence(triangles)
+    Always: bad cells, nonmanifold edges, components, least and total area. With
+    ``exported`` also the other named checks: ``vertices``, ``triangles(cell_id, a, b, c)`` and
+    ``faces(a, b, left, right, length, centre_distance, mx, my, marker)``, where a face without a
+    right cell lies on the boundary. ``markers(a, b, marker)`` names the boundary's edges. An empty
+    mesh has null areas, which are not ok.
+    """
+    g, e = triangle_geometry(triangles, vertices), edge_incidence(triangles)
     parts = connected_components(e.where("kind = 'interior'").select(F.col("left").alias("src"), F.col("right").alias("dst")).union(triangles.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"))))
-    row = lambda d, name, value, expected: d.agg(value.cast("double").alias("value")).select(F.lit(name).alias("check"), "value", F.lit(expected).cast("double").alias("expected"))
-    checks = row(g, "bad cells", F.count_if(F.col("reason").isNotNull()), 0).union(row(e, "nonmanifold edges", F.count_if(F.col("kind") == "nonmanifold"), 0)).union(row(parts, "components", F.countDistinct("component"), 1))
-    checks = checks.withColumn("ok", F.col("value") == F.col("expected"))
-    return checks.union(row(g, "least area", F.min("area"), 0).withColumn("ok", F.col("value") > 0))
+    num = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
+
+    def checks(facts: DataFrame, *rules: tuple) -> DataFrame:
+        """Rows of one-row ``facts`` for (name, value, comparison, expected)."""
+        fits = {"=": lambda v, x: v == x, "<=": lambda v, x: v <= x, ">": lambda v, x: v > x}
+        rows = [F.struct(F.lit(name).alias("check"), num(v).alias("value"), num(x).alias("expected"), F.coalesce(fits[how](num(v), num(x)), F.lit(False)).alias("ok")) for name, v, how, x in rules]
+        return facts.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+
+    out = checks(g.agg(F.count_if(F.col("reason").isNotNull()).alias("bad"), F.min("area").alias("least"), F.sum("area").alias("total")), ("bad cells", F.col("bad"), "=", 0), ("least area", F.col("least"), ">", 0), ("total area", F.col("total"), ">", 0))
+    out = out.union(checks(e.agg(F.count_if(F.col("kind") == "nonmanifold").alias("n")), ("nonmanifold edges", F.col("n"), "=", 0)))
+    out = out.union(checks(parts.agg(F.count_distinct("component").alias("n")), ("components", F.col("n"), "=", 1)))
+    if exported is None:
+        return out
+    size = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    sizes = size(vertices, "v").join(size(exported["vertices"], "ev")).join(size(triangles, "t")).join(size(exported["triangles"], "et"))
+    out = out.union(checks(sizes, ("vertex count", F.col("v"), "=", F.col("ev")), ("cell count", F.col("t"), "=", F.col("et"))))
+    corners = lambda d, name: d.select("cell_id", F.array_sort(F.array("a", "b", "c")).alias(name))
+    sets = corners(triangles, "p").join(corners(exported["triangles"], "q"), "cell_id", "full_outer").agg(F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("n"))
+    out = out.union(checks(sets, ("triangle vertex sets", F.col("n"), "=", 0)))
+    rebuilt = face_geometry(e, vertices, g).withColumnsRenamed({"lo": "a", "hi": "b"})
+    if markers is not None:
+        rebuilt = rebuilt.join(markers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "marker").distinct(), ["a", "b"], "left")
+    theirs = exported["faces"].withColumn("kind", F.when(F.col("right").isNull(), "boundary").otherwise("interior"))
+    found = compare_faces(theirs, rebuilt.where("kind <> 'nonmanifold'"), ("kind",))
+    facts = found.agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct(*found.columns[1:]).alias("f")))).alias("of"))  # two rows
+    rules = []
+    for kind in ("interior", "boundary"):
+        count = lambda k, kind=kind: F.coalesce(F.col("of")[kind][k], F.lit(0))
+        # without matched faces there is nothing to measure, hence no error
+        error = lambda k, kind=kind: F.when(F.coalesce(F.col("of")[kind]["matched"], F.lit(0)) == 0, 0.0).otherwise(F.col("of")[kind][k])
+        rules += [
+            (f"{kind} face count", count("matched") - count("duplicate") + count("missing"), "=", count("matched") + count("extra")), (f"{kind} edges", count("missing") + count("extra") + count("duplicate"), "=", 0),
+            (f"{kind} cells", count("cell_mismatch"), "=", 0), (f"{kind} length error", error("length_error"), "<=", tolerance), (f"{kind} midpoint error", error("midpoint_error"), "<=", tolerance),
+            (f"{kind} centre distance error", error("centre_error"), "<=", tolerance) if kind == "interior" else (f"{kind} markers", count("marker_mismatch"), "=", 0)]
+    return out.union(checks(facts, *rules))
 
 
 def quantised(points: DataFrame, scale: float = 1000.0) -> DataFrame:

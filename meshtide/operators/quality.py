@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshtide.functions.scalar import criterion
+
 
 def error_norms(samples: DataFrame, group: str = "group") -> DataFrame:
     """Weighted L1, L2 and Linf of ``samples(group, numerical, reference, weight)``; null where the weights do not sum to more than zero."""
@@ -70,12 +72,15 @@ def tier_evaluation(results: DataFrame, tiers: DataFrame) -> DataFrame:
 
 
 def suitability(candidates: DataFrame, weights: DataFrame) -> DataFrame:
-    """Ranks ``candidates(candidate, objective, capability)`` (full 1, partial 0.35, none 0) by ``weights(objective, weight)``."""
+    """Ranks ``candidates(candidate, objective, capability)`` (full 1, partial 0.35, none 0) by ``weights(objective, weight)``.
+
+    Scores that agree to nine digits share a rank. One row a candidate is ranked, not the rows of objectives.
+    """
     value = F.when(F.col("capability") == "full", 1.0).when(F.col("capability") == "partial", 0.35).otherwise(0.0)
     names = candidates.select("candidate").distinct()
     every = names.crossJoin(F.broadcast(weights)).join(candidates, ["candidate", "objective"], "left").withColumn("v", value)
     r = every.groupBy("candidate").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("score"), F.count_if(F.col("v") == 0).alias("unmet"), F.count_if(F.col("v") == 0.35).alias("partial"))
-    return r.withColumn("rank", F.rank().over(W.orderBy(F.desc("score"))))
+    return r.withColumn("rank", F.rank().over(W.orderBy(F.desc(F.round("score", 9)))))
 
 
 def evaluate_registry(registry: DataFrame, results: DataFrame, track: str) -> DataFrame:
@@ -86,8 +91,7 @@ def evaluate_registry(registry: DataFrame, results: DataFrame, track: str) -> Da
     """
     need = registry.where(F.array_contains("required_for", track)).select("id", F.col("purpose").alias("wanted"), F.explode_outer("criteria").alias("c"))
     j = need.join(results, "id", "left")
-    v, t = F.col("metrics")[F.col("c.metric")], F.col("c.target")
-    ok = F.when(F.col("c").isNull(), True).when(F.col("c.operator") == "lte", v <= t).when(F.col("c.operator") == "gte", v >= t).when(F.col("c.operator") == "eq", v == t).when(F.col("c.operator") == "between", (v >= t) & (v <= F.col("c.high")))
+    ok = F.when(F.col("c").isNull(), True).otherwise(criterion(F.col("metrics")[F.col("c.metric")], F.col("c.operator"), F.col("c.target"), F.col("c.high")))
     g = j.groupBy("id").agg(F.first("metrics").isNull().alias("none"), F.bool_and(F.col("purpose").eqNullSafe(F.col("wanted"))).alias("valid"), F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok"))
     return g.select("id", F.when(F.col("none"), "missing").when(~F.col("valid"), "invalid").when(~F.col("ok"), "failed").otherwise("passed").alias("status"))
 

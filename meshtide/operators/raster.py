@@ -1,4 +1,8 @@
-"""Run-length rasters: ``runs(row, x0, x1)`` with inclusive ends; ``tile`` keys may be added by the caller."""
+"""Run-length rasters: ``runs(row, x0, x1)`` with inclusive ends.
+
+Tiled rasters name their columns in ``keys``, such as ``("tile", "row")``; tiles do not touch
+each other there. Jobs without ``keys`` take one raster in whole coordinates.
+"""
 
 from __future__ import annotations
 
@@ -17,23 +21,36 @@ def pixel_count(runs: DataFrame) -> DataFrame:
     return runs.agg(F.coalesce(F.sum(F.col("x1") - F.col("x0") + 1), F.lit(0)).alias("pixels"))
 
 
-def decode_runs(runs: DataFrame) -> DataFrame:
+def decode_runs(runs: DataFrame, keys: tuple[str, ...] = ("row",)) -> DataFrame:
     """``row, x`` of every pixel."""
-    return runs.select("row", F.explode(F.sequence("x0", "x1")).alias("x"))
+    return runs.select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
-def encode_runs(pixels: DataFrame) -> DataFrame:
+def encode_runs(pixels: DataFrame, keys: tuple[str, ...] = ("row",)) -> DataFrame:
     """Maximal runs of ``pixels(row, x)``; repeated pixels count once."""
-    island = F.col("x") - F.row_number().over(W.partitionBy("row").orderBy("x"))
-    return pixels.select("row", "x").distinct().withColumn("island", island).groupBy("row", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
+    island = F.col("x") - F.row_number().over(W.partitionBy(*keys).orderBy("x"))
+    return pixels.select(*keys, "x").distinct().withColumn("island", island).groupBy(*keys, "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def merged_runs(runs: DataFrame, gap: int = 0) -> DataFrame:
+def merged_runs(runs: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("row",)) -> DataFrame:
     """Union of overlapping or touching runs, and of runs at most ``gap`` pixels apart."""
-    w = W.partitionBy("row").orderBy("x0", "x1")
+    w = W.partitionBy(*keys).orderBy("x0", "x1")
     reach = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("x0") > reach + 1 + gap, 1).otherwise(0)
-    return runs.select("row", "x0", "x1").withColumn("new", new).withColumn("k", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("row", "k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("k")
+    k = F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))
+    return runs.select(*keys, "x0", "x1").withColumn("new", new).withColumn("k", k).groupBy(*keys, "k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("k")
+
+
+def patched_runs(base: DataFrame, patch: DataFrame, keys: tuple[str, ...] = ("row",)) -> DataFrame:
+    """``base`` with every row that ``patch`` has taken from there instead, merged."""
+    kept = base.select(*keys, "x0", "x1").join(patch.select(*keys).distinct(), list(keys), "left_anti")
+    return merged_runs(kept.union(patch.select(*keys, "x0", "x1")), keys=keys)
+
+
+def only_added(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("row",)) -> DataFrame:
+    """One row ``added, removed, additive``: whether ``after`` has every pixel of ``before``."""
+    d = raster_diff(before, after, keys).agg(F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed"))
+    return d.withColumn("additive", F.col("removed") == 0)
 
 
 def run_validity(runs: DataFrame, width: int, height: int) -> DataFrame:
@@ -43,13 +60,15 @@ def run_validity(runs: DataFrame, width: int, height: int) -> DataFrame:
     return runs.withColumn("reason", reason).where("reason is not null")
 
 
-def raster_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+def raster_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("row",)) -> DataFrame:
     """``row, added, removed`` pixel counts of the rows that changed, by sweeping run ends; nothing is expanded."""
-    ends = lambda r, a, b: r.select("row", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(a).alias("da"), F.lit(b).alias("db")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-a).alias("da"), F.lit(-b).alias("db")))).alias("e")).select("row", "e.*")
-    e = ends(merged_runs(before), 1, 0).union(ends(merged_runs(after), 0, 1)).groupBy("row", "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = W.partitionBy("row").orderBy("x")
-    e = e.select("row", "x", F.sum("da").over(w).alias("a"), F.sum("db").over(w).alias("b"), (F.lead("x").over(w) - F.col("x")).alias("n"))
-    r = e.groupBy("row").agg(F.coalesce(F.sum(F.when((F.col("a") == 0) & (F.col("b") > 0), F.col("n"))), F.lit(0)).alias("added"), F.coalesce(F.sum(F.when((F.col("a") > 0) & (F.col("b") == 0), F.col("n"))), F.lit(0)).alias("removed"))
+    end = lambda x, a, b: F.struct(x.alias("x"), F.lit(a).alias("da"), F.lit(b).alias("db"))
+    ends = lambda r, a, b: r.select(*keys, F.explode(F.array(end(F.col("x0"), a, b), end(F.col("x1") + 1, -a, -b))).alias("e")).select(*keys, "e.*")
+    e = ends(merged_runs(before, keys=keys), 1, 0).union(ends(merged_runs(after, keys=keys), 0, 1)).groupBy(*keys, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    w = W.partitionBy(*keys).orderBy("x")
+    e = e.select(*keys, "x", F.sum("da").over(w).alias("a"), F.sum("db").over(w).alias("b"), (F.lead("x").over(w) - F.col("x")).alias("n"))
+    only = lambda here: F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0))
+    r = e.groupBy(*keys).agg(only((F.col("a") == 0) & (F.col("b") > 0)).alias("added"), only((F.col("a") > 0) & (F.col("b") == 0)).alias("removed"))
     return r.where("added > 0 or removed > 0")
 
 

@@ -95,3 +95,12 @@ def prime_windows(scores: DataFrame, now: Column | None = None, step: int = 1800
     second = others.groupBy("series_id").agg(F.min_by("t", F.struct((~F.col("far")).alias("a"), F.col("ix").alias("b"))).alias("second_t"))
     avoid = w.groupBy("series_id").agg(F.min_by("t", F.struct(F.col("single").alias("a"), F.col("t").alias("b"))).alias("avoid_t"))
     return best.join(second, "series_id", "left").join(avoid, "series_id", "left")
+
+
+def with_parameter(rows: DataFrame, name: str, value: DataFrame | Column | float | None, extrapolation: str = "hold") -> DataFrame:
+    """``rows(series_id, t, ...)`` with ``name`` from a number, a Column or samples ``(series_id, t, value)`` read at each row's time."""
+    if not isinstance(value, DataFrame):
+        return rows.withColumn(name, value if isinstance(value, Column) else F.lit(value))
+    at = interpolate_at(value, rows.select("series_id", "t").distinct(), extrapolation).withColumnRenamed("value", name)
+    at = at.withColumnsRenamed({"series_id": "_s", "t": "_t"})
+    return rows.join(at, F.col("series_id").eqNullSafe(F.col("_s")) & F.col("t").eqNullSafe(F.col("_t")), "left").drop("_s", "_t")

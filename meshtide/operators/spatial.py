@@ -156,3 +156,15 @@ def hotspots(candidates: DataFrame, n: int = 8, stand_gap: float = 85.0, target_
     rows = candidates.withColumn("k", cut).where(F.col("k") <= most).drop("k")
     scene, key = (candidates.schema[c].dataType.simpleString() for c in ("scene", "id"))
     return rows.groupBy("scene").applyInPandas(pick, f"scene {scene}, id {key}, score double, rank long")
+
+
+def safe_hotspots(spots: DataFrame, exclusions: DataFrame, lines: DataFrame) -> DataFrame:
+    """``spots(scene, id, tx, ty, sx, sy, score)`` with a rank anew, without those whose target or stand is excluded or whose path is blocked.
+
+    ``exclusions(ax, ay, bx, by, buffer)`` as in :func:`blocked_points`, ``lines`` as in
+    :func:`blocked_paths`. Ids are unique; a spot with a null place is never excluded.
+    """
+    for x, y in (("tx", "ty"), ("sx", "sy")):
+        spots = spots.join(blocked_points(spots.select("id", F.col(x).alias("x"), F.col(y).alias("y")), exclusions), "id", "left_anti")
+    paths = spots.select("id", F.col("sx").alias("px"), F.col("sy").alias("py"), F.col("tx").alias("qx"), F.col("ty").alias("qy"))
+    return ranked(spots.join(blocked_paths(paths, lines).select("id"), "id", "left_anti").drop("rank"), "scene")

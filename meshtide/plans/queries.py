@@ -149,25 +149,25 @@ def raster_components(spark: SparkSession, sf: str) -> DataFrame:
     return raster.run_components(V.runs(spark, sf))
 
 
-_CELLS = "cells AS (SELECT DISTINCT floor(x / 18)::BIGINT AS ix, floor(y / 18)::BIGINT AS iy FROM points WHERE score > 0.9)"
+_CELLS = "cells AS (SELECT DISTINCT floor(x / 18)::BIGINT AS ix, floor(y / 18)::BIGINT AS iy FROM points WHERE score > 0.035)"
 
 
 @query(f"""WITH {V.POINTS}, {_CELLS} SELECT DISTINCT ix + a AS ix, iy + b AS iy FROM cells, (VALUES (-1), (0), (1)) t(a), (VALUES (-1), (0), (1)) s(b)""")
 def raster_bin_and_dilate(spark: SparkSession, sf: str) -> DataFrame:
-    return raster.dilated(V.points(spark, sf).where("score > 0.9"), 18)
+    return raster.dilated(V.points(spark, sf).where("score > 0.035"), 18)
 
 
 @query(f"""WITH {V.POINTS}, {_CELLS}, n AS (SELECT ix + a AS ix, iy + b AS iy FROM cells, (VALUES (-1), (0), (1)) t(a), (VALUES (-1), (0), (1)) s(b) WHERE a <> 0 OR b <> 0),
 f AS (SELECT ix, iy FROM n GROUP BY 1, 2 HAVING count(*) >= 5), x AS (SELECT min(ix) a, max(ix) b, min(iy) c, max(iy) d FROM cells)
 SELECT ix, iy FROM cells UNION SELECT ix, iy FROM f, x WHERE ix > a AND ix < b AND iy > c AND iy < d""")
 def raster_close_holes(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.points(spark, sf).where("score > 0.9").select(F.floor(F.col("x") / 18).alias("ix"), F.floor(F.col("y") / 18).alias("iy")).distinct()
+    c = V.points(spark, sf).where("score > 0.035").select(F.floor(F.col("x") / 18).alias("ix"), F.floor(F.col("y") / 18).alias("iy")).distinct()
     return raster.closed_holes(c)
 
 
 @query(f"""WITH {V.POINTS}, {_CELLS} SELECT ix, iy, dx, dy FROM cells c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy) WHERE NOT EXISTS (SELECT 1 FROM cells o WHERE o.ix = c.ix + dx AND o.iy = c.iy + dy)""")
 def raster_region_outline(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.points(spark, sf).where("score > 0.9").select(F.floor(F.col("x") / 18).alias("ix"), F.floor(F.col("y") / 18).alias("iy")).distinct()
+    c = V.points(spark, sf).where("score > 0.035").select(F.floor(F.col("x") / 18).alias("ix"), F.floor(F.col("y") / 18).alias("iy")).distinct()
     return raster.region_outline(c)
 
 
@@ -281,9 +281,33 @@ def mesh_locate(spark: SparkSession, sf: str) -> DataFrame:
     return mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0).withColumn("cell_id", F.coalesce("cell_id", F.lit(-1)))
 
 
-@query()
+_KINDS = (("interior", "r IS NOT NULL"), ("boundary", "r IS NULL"))
+_AUDIT = [("bad cells", "(SELECT count(*) FROM cen WHERE area = 0)", "=", "0"), ("least area", "(SELECT min(area) FROM cen)", ">", "0"), ("total area", "(SELECT sum(area) FROM cen)", ">", "0"), ("nonmanifold edges", "(SELECT count(*) FROM edge WHERE n > 2)", "=", "0"),
+    ("components", "(SELECT CASE WHEN (SELECT count(*) FROM reach) = count(*) THEN 1 ELSE -1 END FROM tri)", "=", "1"), ("vertex count", "(SELECT count(*) FROM vert)", "=", "(SELECT count(*) FROM vert WHERE vertex_id % 29 > 0)"), ("cell count", "(SELECT count(*) FROM tri)", "=", "(SELECT count(*) FROM tri)"),
+    ("triangle vertex sets", "(SELECT count(*) FROM tri WHERE cell_id % 31 = 0)", "=", "0")]
+for _kind, _there in _KINDS:
+    _of = lambda x, t="j", there=_there: f"(SELECT {x} FROM {t} WHERE {there})"
+    _AUDIT += [(f"{_kind} face count", _of("count(*)", "f"), "=", _of("count(*)", "e")), (f"{_kind} edges", _of("count(*) FILTER (again IS NULL OR again = 1)"), "=", "0"), (f"{_kind} cells", _of("count(*) FILTER (again IS NOT NULL AND lo % 7 = 0)"), "=", "0"),
+        (f"{_kind} length error", _of("max(abs(elen - len) / greatest(1, elen, len))"), "<=", "1e-9"), (f"{_kind} midpoint error", _of("max(abs(emx - mx))"), "<=", "1e-9")]
+    _AUDIT.append((f"{_kind} centre distance error", _of("max(abs(ecd - cd) / greatest(1, ecd, cd))"), "<=", "1e-9") if _kind == "interior" else (f"{_kind} markers", _of("count(*) FILTER (again IS NOT NULL AND lo % 13 = 0)"), "=", "0"))
+
+
+@query(f"""WITH RECURSIVE {V.MESH}, adjacent AS (SELECT "left" AS p, "right" AS q FROM edge WHERE n = 2 UNION ALL SELECT "right", "left" FROM edge WHERE n = 2), reach(c) AS (SELECT min(cell_id) FROM tri UNION SELECT q FROM reach JOIN adjacent ON p = c),
+cen AS (SELECT cell_id, (p.x + q.x + r.x) / 3 AS x, (p.y + q.y + r.y) / 3 AS y, abs((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) / 2 AS area FROM tri JOIN vert p ON p.vertex_id = a JOIN vert q ON q.vertex_id = b JOIN vert r ON r.vertex_id = c),
+f AS (SELECT lo, hi, "right" AS r, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS len, sqrt((u.x - w.x) ** 2 + (u.y - w.y) ** 2) AS cd, (p.x + q.x) / 2 AS mx FROM edge JOIN vert p ON p.vertex_id = lo JOIN vert q ON q.vertex_id = hi JOIN cen u ON u.cell_id = "left" LEFT JOIN cen w ON w.cell_id = "right"),
+g AS (SELECT lo, hi, r, len * CASE WHEN lo % 17 = 0 THEN 1.5 ELSE 1 END AS elen, cd + CASE WHEN lo % 19 = 0 THEN 0.25 ELSE 0 END AS ecd, mx + CASE WHEN lo % 23 = 0 THEN 0.5 ELSE 0 END AS emx, 0 AS again FROM f WHERE lo % 50 > 0),
+e AS (FROM g UNION ALL SELECT lo, hi, r, elen, ecd, emx, 1 FROM g WHERE lo % 11 = 3), j AS (SELECT f.*, elen, ecd, emx, again FROM f LEFT JOIN e ON e.lo = f.lo AND e.hi = f.hi)
+{" UNION ALL ".join(f"SELECT '{name}' AS name, round({v}::DOUBLE, 6) + 0.0 AS value, round({x}::DOUBLE, 6) + 0.0 AS expected, {v} {how} {x} AS ok" for name, v, how, x in _AUDIT)}""")
 def mesh_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return mesh.mesh_audit(*V.mesh(spark, sf))
+    """The mesh against an export with faces, cells, lengths, places, markers, corners and vertices spoilt by rule."""
+    tri, v = V.mesh(spark, sf)
+    f = mesh.face_geometry(mesh.edge_incidence(tri), v, mesh.triangle_geometry(tri, v)).withColumnsRenamed({"lo": "a", "hi": "b"}).withColumn("marker", F.col("a") % 3)
+    spoilt = lambda k, value: F.when(F.col("a") % k == 0, value)
+    e = f.where("a % 50 > 0").withColumns({
+        "left": spoilt(7, F.col("left") + 1_000_000_000).otherwise(F.col("left")), "length": spoilt(17, F.col("length") * 1.5).otherwise(F.col("length")), "centre_distance": spoilt(19, F.col("centre_distance") + 0.25).otherwise(F.col("centre_distance")),
+        "mx": spoilt(23, F.col("mx") + 0.5).otherwise(F.col("mx")), "marker": spoilt(13, F.lit(9)).otherwise(F.col("marker"))})
+    exported = {"faces": e.union(e.where("a % 11 = 3")), "vertices": v.where("vertex_id % 29 > 0"), "triangles": tri.withColumn("a", F.when(F.col("cell_id") % 31 == 0, F.col("a") + 1_000_000).otherwise(F.col("a")))}
+    return rounded(mesh.mesh_audit(tri, v, exported, markers=f.where("kind = 'boundary'")).withColumnRenamed("check", "name"))
 
 
 _POLY = [(0, 0, 100.0, 100.0, 800.0, 140.0), (0, 0, 800.0, 140.0, 620.0, 700.0), (0, 0, 620.0, 700.0, 100.0, 100.0), (0, 1, 400.0, 200.0, 500.0, 200.0), (0, 1, 500.0, 200.0, 450.0, 300.0), (0, 1, 450.0, 300.0, 400.0, 200.0), (1, 0, 50.0, 600.0, 300.0, 600.0), (1, 0, 300.0, 600.0, 300.0, 900.0), (1, 0, 300.0, 900.0, 50.0, 600.0)]
@@ -301,10 +325,10 @@ _DIST = "sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2)"
 
 
 @query(f"""WITH {V.POINTS}, c AS (SELECT p.id AS target, s.id AS stand, {_DIST} AS d, p.score * (0.70 + 0.30 * exp(-0.5 * (({_DIST} - 34) / 30) ** 2)) AS score FROM points p JOIN points s ON abs(p.x - s.x) <= 100 AND abs(p.y - s.y) <= 100 WHERE p.scene = 'click' AND s.scene = 'view' AND {_DIST} <= 100 AND {_DIST} >= 2)
-SELECT target, round(d, 6) + 0.0 AS d, round(score, 6) + 0.0 AS score FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, stand) = 1""")
+SELECT target, stand, round(d, 6) + 0.0 AS d, round(score, 6) + 0.0 AS score FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, stand) = 1""")
 def spatial_best_stand(spark: SparkSession, sf: str) -> DataFrame:
     p = V.points(spark, sf)
-    return rounded(spatial.best_stand(p.where("scene = 'click'"), p.where("scene = 'view'"))).select("target", "d", "score")
+    return rounded(spatial.best_stand(p.where("scene = 'click'"), p.where("scene = 'view'"))).select("target", "stand", "d", "score")
 
 
 @query(f"""WITH {V.POINTS} SELECT id FROM points p WHERE scene = 'error' AND NOT EXISTS (SELECT 1 FROM points s WHERE s.scene = 'signup' AND {_DIST} <= 22)""")

@@ -87,11 +87,11 @@ _TIER = "SELECT p.id AS target, s.id AS stand, {d} AS d, p.score * {w} AS weight
 
 @query(f"""WITH {V.POINTS}, t AS (SELECT * FROM points WHERE scene = 'click'), a AS ({_TIER.format(d=_DIST, t="t", scene="view", w=f"((0.66 + 0.34 * exp(-0.5 * (({_DIST} - 34) / 30) ** 2)) * CASE WHEN {_DIST} < 5 THEN 0.55 ELSE 1 END)")}),
 u AS (SELECT * FROM t WHERE id NOT IN (SELECT target FROM a)), b AS ({_TIER.format(d=_DIST, t="u", scene="signup", w=f"(0.7 + 0.3 * exp(-0.5 * (({_DIST} - 35) / 32) ** 2))")})
-SELECT target, round(d, 6) + 0.0 AS d, round(weighted, 6) + 0.0 AS score, 0 AS tier FROM a UNION ALL SELECT target, round(d, 6) + 0.0, round(weighted * 0.92, 6) + 0.0, 1 FROM b""")
+SELECT target, stand, round(d, 6) + 0.0 AS d, round(weighted, 6) + 0.0 AS score, 0 AS tier FROM a UNION ALL SELECT target, stand, round(d, 6) + 0.0, round(weighted * 0.92, 6) + 0.0, 1 FROM b""")
 def sites_tiered_stands(spark: SparkSession, sf: str) -> DataFrame:
     p = V.points(spark, sf)
     layers = [(p.where("scene = 'view'"), sites.near_stand_weight, 1.0), (p.where("scene = 'signup'"), sites.wide_stand_weight, 0.92)]
-    return rounded(sites.tiered_stands(p.where("scene = 'click'"), layers, 6.0, 1.5)).select("target", "d", "score", "tier")
+    return rounded(sites.tiered_stands(p.where("scene = 'click'"), layers, 6.0, 1.5)).select("target", "stand", "d", "score", "tier")
 
 
 _LINES = [(k, i, float(x), float(y)) for k, line in enumerate((((0, 0), (400, 300), (900, 350)), ((0, 800), (500, 700), (1000, 990)))) for i, (x, y) in enumerate(line)]
@@ -111,11 +111,11 @@ def sites_nearest_axis_normalized(spark: SparkSession, sf: str) -> DataFrame:
 _RING = ", ".join(f"({i * 7 + j}, {r}, cos({i} * 0.22) * {r}, sin({i} * 0.22) * {r})" for i in range(29) for j, r in enumerate(sites.RADII))
 
 
-@query(f"""WITH {V.POINTS}, {_POLY_SQL}, ring(k, r, dx, dy) AS (VALUES {_RING}), c AS (SELECT p.id AS target, p.id * 1000 + k AS id, k, r, x + dx AS x, y + dy AS y FROM points p, ring WHERE score > 0.99 AND scene <> 'view'), {_INSIDE.format("c")},
+@query(f"""WITH {V.POINTS}, {_POLY_SQL}, ring(k, r, dx, dy) AS (VALUES {_RING}), c AS (SELECT p.id AS target, p.id * 1000 + k AS id, k, r, x + dx AS x, y + dy AS y FROM points p, ring), {_INSIDE.format("c")},
 o AS (SELECT *, abs(r - 70.0) + CASE WHEN sqrt((x - 500) ** 2 + (y - 400) ** 2) < 90 THEN 60 ELSE 0 END AS cost FROM c WHERE id NOT IN (SELECT id FROM inside) QUALIFY row_number() OVER (PARTITION BY target ORDER BY cost, k) = 1)
 SELECT target AS id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, r::DOUBLE AS d, cost::DOUBLE AS cost FROM o""")
 def sites_cast_ring(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sites.cast_candidate_ring(V.points(spark, sf).where("score > 0.99 and scene <> 'view'"), spark.createDataFrame(_POLY, _POLY_TYPE), 50.0, (500.0, 400.0)))
+    return rounded(sites.cast_candidate_ring(V.points(spark, sf), spark.createDataFrame(_POLY, _POLY_TYPE), 50.0, (500.0, 400.0)))
 
 
 @query(f"""WITH {V.MESH}, {_CORNERS}, c AS (SELECT cell_id, (ax + bx + cx) / 3 AS x, (ay + by_ + cy) / 3 AS y FROM corners), s AS (SELECT n_nationkey AS id, n_nationkey * 2.0 AS x, n_nationkey * 0.5 + 1.0 AS y, n_nationkey * 14.5 AS bearing FROM nation),
@@ -136,7 +136,7 @@ _LL = "33.85 + id % 500 / 10000.0 AS lat, 130.65 + id % 700 / 10000.0 AS lng"
 
 
 def _metres(a: float, b: float) -> str:
-    return f"2 * 6371000.0 * asin(sqrt(least(1, pow(sin(radians({a} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({a})) * pow(sin(radians({b} - lng) / 2), 2))))"
+    return f"sqrt(((lng - {b}) * 111320.0 * cos(radians((lat + {a}) * 0.5))) ** 2 + ((lat - {a}) * 111320.0) ** 2)"
 
 
 @query(f"""WITH {V.POINTS}, p AS (SELECT id, id % 10 / 10.0 AS rain, id % 7 / 10.0 - 0.3 AS slope, id % 2 = 0 AS night, id % 3 = 0 AS winter, {_LL} FROM points),
@@ -184,8 +184,9 @@ def series_window_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.series(spark, sf).select("ordinal", score.alias("score"), scalar.grade(score).alias("grade"), scalar.near_turn(h).alias("turn"), scalar.night_score(hour).alias("night")), 5)
 
 
-def _occupied(spark: SparkSession, sf: str, least: float) -> DataFrame:
-    return V.points(spark, sf).where(F.col("score") > least).select(F.floor(F.col("x") / 18).alias("ix"), F.floor(F.col("y") / 18).alias("iy")).distinct()
+def _occupied(spark: SparkSession, sf: str, least: float, scene: str | None = None) -> DataFrame:
+    wanted = F.lit(True) if scene is None else F.col("scene") == scene
+    return V.points(spark, sf).where((F.col("score") > least) & wanted).select(F.floor(F.col("x") / 18).alias("ix"), F.floor(F.col("y") / 18).alias("iy")).distinct()
 
 
 @query()
@@ -204,11 +205,11 @@ def raster_grid_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(raster.grid_reconcile(grid(0.6, "click"), grid(0.5, "view"), ["depth"]).withColumn("change", F.coalesce("change", F.lit("-"))))
 
 
-@query(f"""WITH {V.POINTS}, a AS (SELECT DISTINCT floor(x / 18) AS ix, floor(y / 18) AS iy FROM points WHERE score > 0.5), b AS (SELECT DISTINCT floor(x / 18) AS ix, floor(y / 18) AS iy FROM points WHERE score > 0.6)
-SELECT count(*) FILTER (b.ix IS NULL) AS different, count(*) FILTER (b.ix IS NULL) AS false_negative, 0::BIGINT AS false_positive FROM a LEFT JOIN b USING (ix, iy)""")
+@query(f"""WITH {V.POINTS}, a AS (SELECT DISTINCT floor(x / 18) AS ix, floor(y / 18) AS iy FROM points WHERE score > 0.5 AND scene = 'click'), b AS (SELECT DISTINCT floor(x / 18) AS ix, floor(y / 18) AS iy FROM points WHERE score > 0.6 AND scene = 'view')
+SELECT count(*) FILTER (a.ix IS NULL OR b.ix IS NULL) AS different, count(*) FILTER (b.ix IS NULL) AS false_negative, count(*) FILTER (a.ix IS NULL) AS false_positive FROM a FULL JOIN b ON a.ix = b.ix AND a.iy = b.iy""")
 def raster_grid_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    flagged = lambda least: _occupied(spark, sf, least).withColumn("flag", F.lit(True))
-    return raster.grid_confusion(flagged(0.5), flagged(0.6))
+    flagged = lambda least, scene: _occupied(spark, sf, least, scene).withColumn("flag", F.lit(True))
+    return raster.grid_confusion(flagged(0.5, "click"), flagged(0.6, "view"))
 
 
 _LINE = (-0.5, 4.01, 33.3, 20.2)
@@ -284,19 +285,19 @@ def graph_edge_multipliers(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edge_multipliers(e, gates, openings).select("edge_id", "multiplier")
 
 
-@query(f"""WITH {V.MESH} SELECT count(*) FILTER (lo % 50 > 0) AS matched, 0::BIGINT AS extra, count(*) FILTER (lo % 50 = 0) AS missing, count(*) FILTER (lo % 50 > 0 AND lo % 7 = 0) AS cell_mismatch, 0.0::DOUBLE AS length_error FROM edge""")
+@query(f"""WITH {V.MESH} SELECT count(*) FILTER (lo % 50 > 0) + count(*) FILTER (lo % 50 > 0 AND lo % 11 = 3) AS matched, 0::BIGINT AS extra, count(*) FILTER (lo % 50 = 0) AS missing, count(*) FILTER (lo % 50 > 0 AND lo % 11 = 3) AS duplicate, count(*) FILTER (lo % 50 > 0 AND lo % 7 = 0) + count(*) FILTER (lo % 50 > 0 AND lo % 77 = 14) AS cell_mismatch, count(*) FILTER (lo % 50 > 0 AND lo % 13 = 0) + count(*) FILTER (lo % 50 > 0 AND lo % 13 = 0 AND lo % 11 = 3) AS marker_mismatch, 0.0::DOUBLE AS length_error, 0.0::DOUBLE AS centre_error, 0.0::DOUBLE AS midpoint_error FROM edge""")
 def mesh_compare_faces(spark: SparkSession, sf: str) -> DataFrame:
     tri, v = V.mesh(spark, sf)
-    f = mesh.face_geometry(mesh.edge_incidence(tri), v, mesh.triangle_geometry(tri, v)).select(F.col("lo").alias("a"), F.col("hi").alias("b"), "left", "right", "length")
-    exported = f.where("a % 50 > 0").withColumn("left", F.when(F.col("a") % 7 == 0, F.col("left") + 1_000_000_000).otherwise(F.col("left")))
-    return rounded(mesh.compare_faces(exported, f))
+    f = mesh.face_geometry(mesh.edge_incidence(tri), v, mesh.triangle_geometry(tri, v)).withColumnsRenamed({"lo": "a", "hi": "b"}).withColumn("marker", F.col("a") % 3)
+    exported = f.where("a % 50 > 0").withColumn("left", F.when(F.col("a") % 7 == 0, F.col("left") + 1_000_000_000).otherwise(F.col("left"))).withColumn("marker", F.when(F.col("a") % 13 == 0, 9).otherwise(F.col("marker")))
+    return rounded(mesh.compare_faces(exported.union(exported.where("a % 11 = 3")), f))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS g, cos(2 * pi() * l_quantity / 50) AS c, l_extendedprice AS v, l_discount + 0.01 AS w FROM lineitem), s AS (SELECT g, sum(w) AS w, sum(w * c) AS c, sum(w * c * c) AS cc, sum(w * v) AS v, sum(w * v * c) AS vc, count(*) AS n FROM c GROUP BY 1)
-SELECT g AS "group", round(v / w, 6) + 0.0 AS mean FROM s""")
+@query("""WITH c AS (SELECT l_suppkey AS g, cos(2 * pi() * l_quantity / 50) AS c, l_extendedprice AS v, l_discount + 0.01 AS w FROM lineitem), s AS (SELECT g, sum(w) AS w, sum(w * c) AS c, sum(w * c * c) AS cc, sum(w * v) AS v, sum(w * v * c) AS vc, count(*) AS n FROM c GROUP BY 1)
+SELECT g AS "group", round((w * vc - c * v) / (w * cc - c * c), 4) + 0.0 AS amplitude, round(v / w, 4) + 0.0 AS mean FROM s""")
 def quality_mode_projection(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("value"), (F.col("l_discount") + 0.01).alias("weight"))
-    return rounded(quality.mode_projection(p, 2, 50.0).select("group", "mean"))
+    p = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("group"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("value"), (F.col("l_discount") + 0.01).alias("weight"))
+    return rounded(quality.mode_projection(p, 2, 50.0), 4)
 
 
 @query("""SELECT l_suppkey AS "group", count(*) FILTER (l_discount <= 0.08) AS passed, count(*) AS total, CASE WHEN count(*) FILTER (l_discount <= 0.08) = count(*) THEN 'passed' ELSE 'failed' END AS status FROM lineitem GROUP BY 1""")
