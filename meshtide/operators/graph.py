@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.session import checkpointed, digest
+from meshtide.session import checkpointed, digest, spark_gc
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     under smaller nodes, so long chains shrink geometrically and no node's
     neighbours are ever collected; both steps are a ``min`` per node (combined
     before the shuffle) and an equi-join that adaptive execution may split.
-    Each round is checkpointed; the loop ends when the edges no longer change.
+    Each round is checkpointed and frees the shuffles of the one before; the loop ends when the edges no longer change.
 
     Null ends and self loops contribute a node each but no link. An empty table
     gives an empty result. Columns of the result: ``node``, ``component``.
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now == last:
             break
         last = now
+        spark_gc(e.sparkSession)  # a round's shuffles are small, but their files are many
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
