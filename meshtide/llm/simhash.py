@@ -207,6 +207,17 @@ def least(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     return order[np.append(True, group[order][1:] != group[order][:-1])] if len(order) else order
 
 
+def best(found: np.ndarray, which: int) -> np.ndarray:
+    """Of rows (node, other node, differing bits) each once, and for FEW and ONE those alone that :func:`chosen` may pick of a node."""
+    if which == ALL or not found.shape[1]:
+        return np.unique(found, axis=1) if found.shape[1] else found
+    keep = []
+    for order in (np.lexsort((found[1], found[2], found[0])), np.lexsort((found[1], found[0])))[: 2 if which == FEW else 1]:
+        node = found[0][order]
+        keep.append(order[np.append(True, node[1:] != node[:-1])])
+    return found[:, np.unique(np.concatenate(keep))]
+
+
 def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, comps: tuple, number: int, bits: int, budget: int, far: int, similarity: float, which: int) -> np.ndarray:
     """Rows (node, other node, differing bits) for pairs of :func:`close_rows` whose sets' ``sizes`` allow the ``similarity`` and whose components (``comps``) differ.
 
@@ -231,9 +242,8 @@ def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, comps:
             keep = np.concatenate([least(own, d), least(own, other)]) if which == FEW else least(own, d)
             out.append(np.stack([own[keep], other[keep], d[keep]]))
         if len(out) > 64:
-            out = [np.unique(np.concatenate(out, axis=1), axis=1)]
-    found = np.concatenate(out, axis=1)
-    return np.unique(found, axis=1) if found.shape[1] else found
+            out = [best(np.concatenate(out, axis=1), which)]
+    return best(np.concatenate(out, axis=1), which)
 
 
 def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, similarity: float | None = None, which: int = ALL) -> DataFrame:

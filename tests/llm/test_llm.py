@@ -74,6 +74,22 @@ def test_near_dedup_expands_no_group(spark):
     assert [r["doc_id"] for r in simhash.near_dedup(df).collect()] == [0]
 
 
+def test_best_candidates():
+    """What a task leaves out is never what is chosen of all candidates."""
+    rng = np.random.default_rng(3)
+    found = np.stack([rng.integers(0, 9, 400), rng.integers(0, 50, 400), rng.integers(0, 5, 400)])
+    for which in (simhash.FEW, simhash.ONE, simhash.ALL):
+        rows = {tuple(r) for r in simhash.best(found, which).T.tolist()}
+        nearest = {min((r for r in found.T.tolist() if r[0] == k), key=lambda r: (r[2], r[1]))[1] for k in range(9)}
+        assert rows <= {tuple(r) for r in found.T.tolist()} and nearest <= {r[1] for r in rows}
+        for k in range(9):
+            own, all_own = [r for r in rows if r[0] == k], [r for r in found.T.tolist() if r[0] == k]
+            assert min((d, o) for _, o, d in own) == min((d, o) for _, o, d in all_own)
+            assert which == simhash.ONE or min(o for _, o, _ in own) == min(o for _, o, _ in all_own)
+            assert which == simhash.ALL or len(own) <= 2
+        assert simhash.best(found[:, :0], which).shape == (3, 0)
+
+
 def test_near_dedup_is_jaccard(spark):
     rng = np.random.default_rng(5)
     rows = []
