@@ -2,48 +2,111 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.session import checkpointed, digest, spark_gc
+from meshtide.session import checkpointed, digest
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+#: Edges that a task contracts at once (two longs each); rows that a task of a round gets, so that small rounds make few files.
+CHUNK_EDGES, TASK_ROWS = 1 << 20, 1 << 17
+
+
+def least_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0..n-1 the smallest one that the links u-v lead to."""
+    root = np.arange(n)
+    while len(u):
+        low = np.minimum(root[u], root[v])
+        np.minimum.at(root, root[u], low)
+        np.minimum.at(root, root[v], low)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    return root
+
+
+def _stars(batches):
+    """``node, root`` of the edges in some batches at a time: the smallest node that they lead to."""
+
+    def star(parts):
+        nodes, ends = np.unique(np.concatenate(parts), return_inverse=True)
+        half = len(ends) // 2
+        root = least_reachable(len(nodes), ends[:half], ends[half:])
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+    u, v, held = [], [], 0
+    for b in batches:
+        u.append(b.column(0).to_numpy())
+        v.append(b.column(1).to_numpy())
+        held += b.num_rows
+        if held >= CHUNK_EDGES:
+            yield star(u + v)
+            u, v, held = [], [], 0
+    if held:
+        yield star(u + v)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", cut: DataFrame | None = None, near: Column | None = None, max_rounds: int = 60) -> DataFrame:
     """Labels each node of an undirected edge table with its component's smallest node.
 
-    Alternating large-star and small-star rounds: every round hangs neighbours
+    Each task first contracts the edges it has to stars (node, smallest node that
+    they lead to). A node that several stars share is a border node; only the stars'
+    centres and what the border nodes say of them go on, so the loop that follows
+    works on borders alone. ``near`` names what lies together (a tile of space):
+    with it the edges are dealt by it first, and few nodes are border nodes.
+    ``cut(src, dst)`` names edges, in either direction, that do not link.
+
+    The loop alternates large-star and small-star rounds: every round hangs neighbours
     under smaller nodes, so long chains shrink geometrically and no node's
     neighbours are ever collected; both steps are a ``min`` per node (combined
     before the shuffle) and an equi-join that adaptive execution may split.
-    Each round is checkpointed and frees the shuffles of the one before; the loop ends when the edges no longer change.
+    Each round is checkpointed; the loop ends when the edges no longer change.
 
-    Null ends and self loops contribute a node each but no link. An empty table
-    gives an empty result. Columns of the result: ``node``, ``component``.
+    Null ends and self loops contribute a node each but no link, and so does a cut
+    edge to each of its ends. An empty table gives an empty result. Ids are
+    integers. Columns of the result: ``node``, ``component``.
     """
-    pairs = checkpointed(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")))  # the edges may be costly to make
-    alone = pairs.select(F.coalesce("u", "v").alias("node")).where(F.col("node").isNotNull())
-    e = checkpointed(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    if e.isEmpty():
-        return alone.distinct().select("node", F.col("node").alias("component"))
-    last = None
-    for _ in range(max_rounds):
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        hung = large.join(low, "v")
-        small = hung.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")).union(low.select(F.col("m").alias("u"), "v"))
-        e = checkpointed(small.distinct())
+    kind = edges.select(src).schema[0].dataType.simpleString()
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"), *([near.alias("near")] if near is not None else []))
+    pairs = pairs.withColumn("u", F.coalesce("u", "v")).withColumn("v", F.coalesce("v", "u")).where("u is not null")
+    if cut is not None:
+        gone = cut.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v")).select(low.alias("a"), high.alias("b"), F.lit(True).alias("gone")).distinct()
+        pairs = pairs.withColumn("a", low).withColumn("b", high).join(gone, ["a", "b"], "left")
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.when(F.col("gone") & (F.col("u") != F.col("v")), F.transform(ends, lambda x: F.struct(x["u"].alias("u"), x["u"].alias("v")))).otherwise(F.slice(ends, 1, 1))
+        pairs = pairs.withColumn("e", F.explode(ends)).select("e.u", "e.v", *(["near"] if near is not None else []))
+    if near is not None:
+        pairs = pairs.repartition("near")
+    stars = checkpointed(pairs.select("u", "v").mapInArrow(_stars, "node long, root long"))
+    border = stars.groupBy("node").agg(F.min("root").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    met = stars.join(border, "node").where("root <> low").select(F.col("low").alias("u"), F.col("root").alias("v"))
+    e = checkpointed(met.select(low.alias("u"), high.alias("v")).distinct())
+    n, last = digest(e)
+    while n:
+        e = checkpointed(_round(e).coalesce(max(1, -(-n // TASK_ROWS))))  # rounds never add edges
         now = digest(e)
-        if now == last:
+        if now == (n, last):
             break
-        last = now
-        spark_gc(e.sparkSession)  # a round's shuffles are small, but their files are many
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    found = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    found = found.union(e.select(F.col("u").alias("node"), F.col("u").alias("component")))
-    return found.union(alone.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))).distinct()
+        (n, last), max_rounds = now, max_rounds - 1
+        if not max_rounds:
+            raise RuntimeError("components did not settle")
+    of = e.select(F.col("v").alias("root"), F.col("u").alias("component"))
+    found = stars.join(of, "root", "left").groupBy("node").agg(F.min(F.coalesce("component", "root")).alias("component"))
+    return found.select(F.col("node").cast(kind).alias("node"), F.col("component").cast(kind).alias("component"))
+
+
+def _round(e: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges ``u < v``."""
+    both = e.union(e.select("v", "u"))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    low = large.groupBy("v").agg(F.min("u").alias("m"))
+    hung = large.join(low, "v")
+    return hung.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v")).union(low.select(F.col("m").alias("u"), "v")).distinct()
 
 
 def edge_flux(edges: DataFrame, nodes: DataFrame, weight: Column | None = None) -> DataFrame:

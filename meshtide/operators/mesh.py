@@ -112,7 +112,7 @@ def mesh_audit(triangles: DataFrame, vertices: DataFrame, exported: dict[str, Da
     mesh has null areas, which are not ok.
     """
     g, e = triangle_geometry(triangles, vertices), edge_incidence(triangles)
-    parts = connected_components(e.where("kind = 'interior'").select(F.col("left").alias("src"), F.col("right").alias("dst")).union(triangles.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"))))
+    parts = connected_components(e.where("kind = 'interior'").select(F.col("left").alias("src"), F.col("right").alias("dst")).union(triangles.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"))), near=F.floor(F.col("src") / 65_536))
     num = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("double")
 
     def checks(facts: DataFrame, *rules: tuple) -> DataFrame:

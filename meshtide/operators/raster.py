@@ -80,12 +80,20 @@ def point_in_runs(points: DataFrame, runs: DataFrame, x: str = "px", y: str = "p
     return p.join(r, (F.col("_row") == F.col("_r")) & (F.col("_x") >= F.col("x0")) & (F.col("_x") <= F.col("x1")), "left_semi").drop("_row", "_x")
 
 
-def run_components(runs: DataFrame) -> DataFrame:
-    """``row, x0, x1, component`` of the 4-neighbour regions; the nodes are runs, not pixels."""
+#: Side of the tiles in which runs are linked first, in rows and columns.
+TILE = 1024
+
+
+def run_components(runs: DataFrame, tile: int = TILE) -> DataFrame:
+    """``row, x0, x1, component`` of the 4-neighbour regions; the nodes are runs, not pixels.
+
+    Links between runs are contracted tile by tile, and only what meets at the
+    tiles' borders goes through shuffles.
+    """
     r = merged_runs(runs).withColumn("id", F.col("row").cast("long") * (1 << 32) + F.col("x0").cast("long"))
     up = r.select((F.col("row") + 1).alias("row"), F.col("x0").alias("y0"), F.col("x1").alias("y1"), F.col("id").alias("other"))
-    edges = r.join(up, "row").where("x0 <= y1 and y0 <= x1").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-    c = connected_components(edges)
+    edges = r.join(up, "row").where("x0 <= y1 and y0 <= x1").select(F.col("id").alias("src"), F.col("other").alias("dst"), F.xxhash64(F.floor(F.col("row") / tile), F.floor(F.col("x0") / tile)).alias("tile"))
+    c = connected_components(edges, near=F.col("tile"))
     return r.join(c, r["id"] == c["node"], "left").select("row", "x0", "x1", F.coalesce("component", "id").alias("component"))
 
 

@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
     Only where the session has none do we set one: beside the warehouse on a
-    cluster, in the temp folder for a local master.
+    cluster, in the temp folder for a local master. On a cluster whose warehouse is
+    a local folder too there is none that all executors share, and jobs that need
+    one are refused.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there and (on := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not there:
         local = spark.sparkContext.master.split("[")[0] == "local"
         base = f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not local and base.startswith(("file:", "/")):
+            raise ValueError(f"spark.checkpoint.dir is not set, and the warehouse {base} is a folder of the driver's machine alone")
         there = f"{base.rstrip('/')}/meshtide-{uuid.uuid4().hex}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(there)
@@ -55,13 +59,8 @@ def _tables(spark: SparkSession) -> list[str]:
     return sc._meshtide_tables
 
 
-def spark_gc(spark: SparkSession) -> None:
-    """Lets Spark's cleaner find the shuffle files of jobs that are over."""
-    spark._jvm.System.gc()
-
-
 def sweep(df: DataFrame) -> None:
-    """Deletes the tables that :func:`written` made and ``df`` does not read, and frees the shuffles of jobs that are over.
+    """Deletes the tables that :func:`written` made and ``df`` does not read.
 
     For a chain of jobs whose results are stored one by one, before each next job.
     """
@@ -72,7 +71,6 @@ def sweep(df: DataFrame) -> None:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
             _tables(spark).remove(path)
-    spark_gc(spark)
 
 
 def ship(spark: SparkSession) -> None:
