@@ -41,7 +41,7 @@ from meshtide.session import shared_dir, written
 #: An archive is closed when it has grown beyond so many bytes.
 ARCHIVE_BYTES = 128 << 20
 #: Ranges of one file that are no further apart are read at once, up to so many bytes; rows of a file are dealt by stretches of it.
-GAP, READ_BYTES, STRETCH = 64 << 10, 8 << 20, 32 << 20
+GAP, READ_BYTES, STRETCH = 64 << 10, 4 << 20, 16 << 20
 #: Tasks to which the rows of one repeated payload are dealt.
 SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
@@ -204,5 +204,8 @@ def read_records(folder: str, index: DataFrame, gap: int = GAP, most: int = READ
                 names = ["page", "target", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload", "intact", "reads"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
+    spark = index.sparkSession
+    stored = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-stored // stretch))  # by what is read, not by the index's own few bytes
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / stretch)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, "page string, target string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary, intact boolean, reads int")
