@@ -60,12 +60,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 MARKUP = frozenset("head script style noscript template iframe button select option textarea input svg canvas title object embed video audio map xmp noframes".split())
 #: Furniture by its tag, where the tree left it.
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
+#: Of these, the ones that some sites wrap around a whole page.
+WRAPPERS = frozenset("form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Whole classes or ids that name furniture. Words that also name content (banner, menu, share, login, legal, related ...) are left to the style tree.
 NAMES = frozenset((
     "ad ads adv advert adverts advertisement advertising sponsored promo navbar submenu sidebar masthead breadcrumb breadcrumbs"
-    " comments disqus gdpr newsletter pagination pager toolbar"
+    " comments disqus gdpr newsletter pagination pager respond toolbar"
 ).split())
 #: Known compounds, whole as well, written with - or _.
 COMPOUNDS = frozenset(f"{a}-{b}" for a, b in (
@@ -77,9 +79,14 @@ COMPOUNDS = frozenset(f"{a}-{b}" for a, b in (
     *((a, b) for a in ("site", "page") for b in ("footer", "sidebar", "breadcrumbs", "masthead")),
     *((a, b) for a in ("newsletter", "subscribe", "signup", "login") for b in ("form", "box", "popup", "modal", "overlay", "banner")),
     *((a, b) for a in ("related", "recommended") for b in ("posts", "articles", "links", "stories")),
+    *((a, b) for a in ("reader", "user", "visitor") for b in ("comments", "comment")),
+    *((a, b) for a in ("alert", "notice", "notification") for b in ("box", "bar", "banner", "popup")),
+    ("comment", "respond"),
 ))
 #: Never furniture by a class or id: the page, its content roots and headings; nor are inline elements.
 NEVER = frozenset("html body main article h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Classes and ids of an article inside an article that is a reader's.
+REPLIES = frozenset("comment reply".split())
 #: An open p ends where one of these starts.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: start tag -> open elements it ends, up to the nearest of the barriers
@@ -101,8 +108,8 @@ class Node:
         self.children: list[Node | str] = []
 
 
-def attributes(text: str, tag: str) -> tuple[str, bool]:
-    """The class name that goes into the node's name, and whether an attribute names furniture."""
+def attributes(text: str, tag: str, nested: bool = False) -> tuple[str, bool]:
+    """The class name that goes into the node's name, and whether an attribute names furniture; ``nested``: of an article inside another."""
     label, bad, named = "", False, tag not in NEVER and tag not in INLINE
     for key, *values in ATTRIBUTE.findall(text):
         value, key = max(values, key=len).lower(), key.lower()
@@ -112,16 +119,23 @@ def attributes(text: str, tag: str) -> tuple[str, bool]:
             bad |= value.strip() in ROLES
         else:
             bad |= named and any(token in NAMES or token.replace("_", "-") in COMPOUNDS for token in value.split())
+            bad |= nested and not REPLIES.isdisjoint(value.split())
     return label, bad
 
 
 def parse(text: str) -> Node:
-    """A tolerant DOM: elements with their children and texts; comments, scripts and styles left out."""
+    """A tolerant DOM: elements with their children and texts; comments, scripts and styles left out.
+
+    A form, menu or dialog that holds an article or main element, or over half of
+    the page's text, is a wrapper and no furniture.
+    """
     root = node = Node("", "", False, None)
-    pos, lower = 0, None
+    pos, lower, chars = 0, None, 0
+    wrappers: list[Node] = []
     while m := TOKEN.search(text, pos):
         if m.start() > pos:
             node.children.append(entities.unescape(text[pos : m.start()]))
+            chars += len(node.children[-1].strip())
         pos = m.end()
         if not m[2]:
             continue
@@ -139,9 +153,11 @@ def parse(text: str) -> Node:
             if x.tag in ended:
                 node = x.parent
             x = x.parent
-        label, bad = attributes(m[3], tag) if m[3] else ("", False)
+        label, bad = attributes(m[3], tag, tag == "article" and within(node, tag)) if m[3] else ("", False)
         child = Node(tag, f"{tag}.{label}" if label else tag, bad or tag in FURNITURE, node)
         node.children.append(child)
+        if tag in WRAPPERS and not bad:
+            wrappers.append(child)
         if tag in RAW:
             lower = lower or text.lower()
             at = lower.find(f"</{tag}", pos)
@@ -152,9 +168,33 @@ def parse(text: str) -> Node:
         rest = text[pos:]
         cut = re.search(r"<[/!a-zA-Z][^>]*\Z", rest)  # a tag that was cut off
         node.children.append(entities.unescape(rest[: cut.start()] if cut else rest))
+        chars += len(node.children[-1].strip())
+    for x in wrappers:
+        held, content = holding(x)
+        x.furniture = not content and 2 * held <= chars
     return root
 
 
+def within(node: Node | None, tag: str) -> bool:
+    """Whether a node or one around it has the tag."""
+    while node is not None and node.tag != tag:
+        node = node.parent
+    return node is not None
+
+
+def holding(top: Node) -> tuple[int, bool]:
+    """Characters of text below a node, and whether an article or main element that is no furniture is there."""
+    chars, content, stack = 0, False, list(top.children)
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            chars += len(x.strip())
+        else:
+            content |= x.tag in ("article", "main") and not x.furniture
+            stack += x.children
+    return chars, content
+
+
 def roots(top: Node) -> list[Node]:
     """The outermost article or main elements that are no furniture; else the whole page."""
     for wanted in (("article",), ("main",)):
