@@ -5,10 +5,11 @@ distinct fingerprints form a binary trie; the self-join walks pairs of trie
 nodes together from the root, adds up the bits in which they differ and drops a
 pair as soon as the sum exceeds the Hamming budget.
 
-On Spark the trie's top levels are spread over the cluster: every leaf of the
-top (a "shard") meets only the shards within the budget of it, each task walks
-one shard against its neighbours, and returns a spanning forest of the links it
-found, not the links. Memory of a task is a few shards of fingerprints.
+On Spark the trie's top levels are spread over the cluster: a leaf of the top (a
+"shard") meets only the shards within the budget of it that have rows, and each
+such pair of shards is a group of its own. A shard that is still large is cut into
+blocks, so that a group never holds more than two blocks of rows. A task returns a
+spanning forest of the links it found, not the links.
 
 Defined results: null text counts as empty; empty texts have signature zero and
 are linked like any other; repeated rows keep their own row in the result; null
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from meshtide.operators.graph import connected_components
 from meshtide.session import checkpointed, written
 
 SEED = 42
-#: Top trie levels that are spread over the cluster; deeper only where a shard would hold more than SHARD_ROWS.
-TOP_BITS, SHARD_ROWS = 8, 1 << 18
+#: Rows that a shard of the top of one trie (of each of several) holds on average, the levels of the top at most, and the rows of a block.
+SHARD_ROWS, TABLE_SHARD_ROWS, MOST_TOP_BITS, BLOCK_ROWS = 1 << 14, 1 << 16, 16, 1 << 18
 #: Rows of one side that are walked at once; pairs of rows that are compared at once.
 BLOCK, PAIRS = 2048, 1 << 17
 
@@ -257,41 +259,45 @@ def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, simil
     width = bits // 8
     extra = [F.lit(0).alias("n"), F.lit(0).cast("long").alias("comp")] if similarity is None else [F.col("n"), F.col("comp")]
     keyed = nodes.select("node", "sig", *extra, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("table", "key"))
-    top_bits, top = TOP_BITS, F.conv(F.hex(F.substring("key", width, 1)), 16, 10).cast("int")
-    if nodes.count() > SHARD_ROWS:  # a row for each top byte at most
-        most = keyed.groupBy("table", top.alias("s")).count().agg(F.max("count")).first()[0]
-        top_bits = min(16, TOP_BITS + max(0, math.ceil(math.log2(most / SHARD_ROWS))))
-    if tables > 1:
-        top_bits = max(2, top_bits - 5)  # many tables spread the work already
+    mean = SHARD_ROWS if tables == 1 else TABLE_SHARD_ROWS
+    top_bits = min(MOST_TOP_BITS, bits, max(3 if tables == 1 else 0, math.ceil(math.log2(max(1, nodes.count()) / mean))))
     wide = F.conv(F.hex(F.concat(F.substring("key", width, 1), F.substring("key", width - 1, 1))), 16, 10).cast("int")
-    shard = F.shiftright(wide, 16 - top_bits)
-    # each unordered pair of shards is walked by one of the two
+    keyed = keyed.withColumn("shard", F.shiftright(wide, 16 - top_bits))
+    sizes = checkpointed(keyed.groupBy("table", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))  # at most 2 ** MOST_TOP_BITS rows a table
+    own = F.broadcast(sizes)
+    there = F.broadcast(sizes.select("table", F.col("shard").alias("other"), F.col("blocks").alias("others")))
     near = F.array(*[F.lit(m) for m in masks(top_bits, budget)])
-    own = F.col("shard")
-    there = F.filter(F.transform(near, lambda m: own.bitwiseXOR(m)), lambda s: (s == own) | ((F.pmod(F.least(s, own) * 31 + F.greatest(s, own) * 17, F.lit(8)) < 4) == (s < own)))
-    rows = keyed.withColumn("shard", shard).select("table", "shard", "node", "key", "sig", "n", "comp", F.explode(there).alias("at"))
+    rows = keyed.join(own, ["table", "shard"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.transform(near, lambda m: F.col("shard").bitwiseXOR(m)))).join(there, ["table", "other"])
+    rows = rows.withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    here, far_side = F.struct("shard", "block"), F.struct(F.col("other").alias("shard"), F.col("other_block").alias("block"))
+    rows = rows.select("table", F.least(here, far_side).alias("low"), F.greatest(here, far_side).alias("high"), here.alias("here"), "node", "key", "sig", "n", "comp")
+    rows = rows.select("table", "low", "high", (F.col("here") == F.col("low")).alias("first"), (F.col("here") == F.col("high")).alias("second"), "node", "key", "sig", "n", "comp")
 
     def run(key, group):
-        cols = group.select(["shard", "node", "key", "sig", "n", "comp"]).combine_chunks()
-        n = cols.num_rows
-        shard_, node, count, comp = (cols[c].to_numpy() for c in ("shard", "node", "n", "comp"))
-        raw = np.frombuffer(b"".join(cols["key"].to_pylist()), np.uint8).reshape(n, width)
-        k = np.zeros((n, 8), np.uint8)
-        k[:, :width] = raw
+        cols = group.select(["first", "second", "node", "key", "sig", "n", "comp"]).combine_chunks()
+        size = cols.num_rows
+        first, second = (cols[c].to_numpy(zero_copy_only=False) for c in ("first", "second"))
+        node, count, comp = (cols[c].to_numpy() for c in ("node", "n", "comp"))
+        k = np.zeros((size, 8), np.uint8)
+        k[:, :width] = np.frombuffer(b"".join(cols["key"].to_pylist()), np.uint8).reshape(size, width)
         k = k.view("<u8").ravel()
-        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), "<u8").reshape(n, -1)
+        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), "<u8").reshape(size, -1)
         order = np.lexsort((node, k))
-        k, node, sig, shard_, count, comp = (v[order] for v in (k, node, sig, shard_, count, comp))
-        own = shard_ == key[1].as_py()
-        home = (k[own], node[own], sig[own])
+        sides = []
+        for side in (first, second):
+            at = order[side[order]]
+            sides.append((k[at], node[at], sig[at], count[at], comp[at]))
+        home, other = sides
         if similarity is None:
-            found = np.array(walk(home, (k, node, sig), bits, budget, far), np.int64).reshape(-1, 2).T
+            found = np.array(walk(home[:3], other[:3], bits, budget, far), np.int64).reshape(-1, 2).T
             found = np.concatenate([found, np.zeros_like(found[:1])])
         else:
-            found = candidates(home, (k, node, sig), ~own, (count[own], count), (comp[own], comp), key[0].as_py(), bits, budget, far, similarity, which)
+            apart = np.full(len(other[0]), not (first & second).all())
+            found = candidates(home[:3], other[:3], apart, (home[3], other[3]), (home[4], other[4]), key[0].as_py(), bits, budget, far, similarity, which)
         return pa.table({"src": found[0], "dst": found[1], "d": found[2]})
 
-    return rows.groupBy("table", "at").applyInArrow(run, "src long, dst long, d long")
+    return rows.groupBy("table", "low", "high").applyInArrow(run, "src long, dst long, d long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tables: int = 1, bits: int = 64, budget: int = 3, words: int = 1, far: int | None = None) -> DataFrame:
@@ -349,41 +355,86 @@ def set_signature(h: np.ndarray, words: int) -> bytes:
     return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
 
 
-def set_signatures(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) -> DataFrame:
-    """``id, same, sig, n`` for every row: the shingle set's name, its signature (each shingle once) and its size."""
+#: Sets of so many shingles at most find each other by what is left when shingles are taken out, not by signatures, which say little of them.
+SHORT = 14
+
+
+def longest_partner(similarity: float) -> int:
+    """Shingles of the largest set that may be similar to one of SHORT."""
+    return math.floor(SHORT / similarity + 1e-9)
+
+
+def set_signatures(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, keep: int = 0) -> DataFrame:
+    """``id, h, same, sig, n, short`` for every row: a hash of the text, the shingle set's name, its signature (each shingle once) and size, and the set itself if it has at most ``keep`` shingles."""
 
     def run(batches):
         for b in batches:
-            same, sig, n = [], [], []
-            for t in b.column(1).cast(pa.binary()):
+            same, sig, n, short = [], [], [], []
+            for t in b.column(2).cast(pa.binary()):
                 h = shingle_set(t.as_py(), size)
                 same.append(set_name(h))
                 sig.append(set_signature(h, words))
                 n.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(n, pa.int32())], ["id", "same", "sig", "n"])
+                short.append(h.tobytes() if len(h) <= keep else None)
+            made = [pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "h", "same", "sig", "n", "short"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, same binary, sig binary, n int")
+    rows = texts(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h long, same binary, sig binary, n int, short binary")
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, h, text``: ids may repeat with other texts, so the id and a hash of the text name a row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links ``src, dst`` between the small sets among ``nodes(node, short)``: exact, and each set once for each subset that links it.
+
+    Two sets are similar enough if and only if their intersection, of i shingles,
+    lacks at most i/s - i of theirs together. So every set names what is left of it
+    when so few shingles are taken out; of those that leave the same subset the one
+    that loses least is similar to each that any of them is similar to.
+    """
+    slack = 1 / similarity - 1
+
+    def run(batches):
+        for b in batches:
+            node, key, left, lost = [], [], [], []
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                for e in range(len(h) + 1):
+                    if e and e > (len(h) - e) * slack + 1e-9:
+                        break
+                    out = np.array(list(combinations(range(len(h)), e)), np.intp)
+                    sums = (h.sum(dtype=np.uint64) - h[out].sum(axis=1, dtype=np.uint64)).view(np.int64)
+                    node.append(np.full(len(sums), name))
+                    key.append(sums)
+                    left.append(np.full(len(sums), len(h) - e, np.int32))
+                    lost.append(np.full(len(sums), e, np.int32))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (node, key, left, lost)], ["node", "key", "left", "lost"])
+
+    kept = nodes.where("short is not null").select("node", "short").mapInArrow(run, "node long, key long, left int, lost int")
+    hubs = kept.groupBy("key", "left").agg(F.min(F.struct("lost", "node")).alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    hubs = checkpointed(hubs.select("key", "left", F.col("hub.lost").alias("hub_lost"), F.col("hub.node").alias("src")))
+    met = kept.join(hubs, ["key", "left"]).where((F.col("node") != F.col("src")) & (F.col("lost") + F.col("hub_lost") <= F.col("left") * slack + 1e-9))
+    return met.select("src", F.col("node").alias("dst")).distinct()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``node, shingles`` (sorted uint64 in bytes), ``sig`` (WIDE words) and ``n`` for each of ``wanted(node, same, low)``; ``low`` is the id of a row with that set."""
+    """``node, shingles`` (sorted uint64 in bytes), ``sig`` (WIDE words) and ``n`` for each of ``wanted(node, low)``; ``low`` names a row with that set."""
 
     def run(batches):
         for b in batches:
-            keep, sets, sig, n = [], [], [], []
-            for k, (t, same) in enumerate(zip(b.column(1).cast(pa.binary()), b.column(2), strict=True)):
-                h = shingle_set(t.as_py(), size)
-                if set_name(h) == same.as_py():  # ids may repeat with other texts
-                    keep.append(k)
-                    sets.append(h.tobytes())
-                    sig.append(set_signature(h, WIDE))
-                    n.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary()), pa.array(sig, pa.binary()), pa.array(n, pa.int32())], ["node", "shingles", "sig", "n"])
+            sets = [shingle_set(t.as_py(), size) for t in b.column(1).cast(pa.binary())]
+            made = [pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([set_signature(h, WIDE) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["node", "shingles", "sig", "n"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     few = wanted.count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("low"))).select("node", "text", "same")
+    of = wanted.select("node", F.col("low.id").alias("wanted_id"), F.col("low.h").alias("wanted_h"))
+    found = texts(docs, id_col, text_col).join(F.broadcast(of) if few else of, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("h") == F.col("wanted_h"))).select("node", "text")
     return found.mapInArrow(run, "node long, shingles binary, sig binary, n int").dropDuplicates(["node"])
 
 
@@ -418,36 +469,42 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` (all columns) that stay: of each group of near copies the one with the smallest id.
 
     Documents link if the Jaccard similarity of their sets of five-word shingles
-    (as 64-bit hashes) is at least ``similarity``. Candidates come from the tries
+    (as 64-bit hashes) is at least ``similarity``. Small sets (SHORT) find all their
+    partners exactly. For the others candidates come from the tries
     over signatures of the sets; each is confirmed by the sets themselves, so
     that a candidate may be missed, but no link is wrong. A group of g near copies
     is not expanded into its pairs: a first walk over all rows returns two
     candidates for each row, two more, over the rows that have candidates, the
     nearest one in another component, and a last one all that still join two
-    components, so that none is left out. Repeated rows of the id that stays all
-    stay; rows with a null id stay.
+    components, so that none is left out.
+
+    A row is known by its id and a hash of its text: rows that share an id but not
+    their text go or stay each for itself (of near copies with one id the one with
+    the smaller hash stays), and repeated rows, equal in both, all stay or all go.
+    Rows with a null id stay.
     """
     how = NEAR | options
     size, words = how["size"], how["words"]
-    sigs = checkpointed(set_signatures(docs, id_col, text_col, size, words))
-    nodes = sigs.groupBy("same").agg(F.min("id").alias("low"), F.first("sig").alias("sig"), F.first("n").alias("n"))  # rows with equal sets are one node
+    sigs = checkpointed(set_signatures(docs, id_col, text_col, size, words, longest_partner(similarity)))
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    nodes = sigs.groupBy("same").agg(F.min(name).alias("low"), F.max(name).alias("high"), *[F.first(c).alias(c) for c in ("sig", "n", "short")])  # rows with equal sets are one node
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    active, label, joined, sets = nodes.select("node", "sig", "n", F.lit(0).cast("long").alias("comp")), None, None, None
+    joined = checkpointed(short_links(nodes, similarity))
+    label = checkpointed(connected_components(joined))
+    active, sets = nodes.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp")), None
     for which in (FEW, ONE, ONE, ALL):
         far = allowed_bits(similarity, words) if which == FEW else allowed_bits(similarity, WIDE, WIDE_SLACK)
         pairs = checkpointed(chosen(links(active, how["tables"], how["bits"], how["budget"], far, similarity, which), which))
         if sets is None:
             ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-            wanted = checkpointed(nodes.join(ends, "node"))
-            sets = written(shingle_sets(docs, wanted.select("node", "same", "low"), id_col, text_col, size), "sets")
-        good = confirmed(pairs, sets, similarity)
-        joined = checkpointed(good if joined is None else joined.union(good))
+            sets = written(shingle_sets(docs, checkpointed(nodes.join(ends, "node").select("node", "low")), id_col, text_col, size), "sets")
+        joined = checkpointed(joined.union(confirmed(pairs, sets, similarity)))
         label = checkpointed(connected_components(joined))
         active = sets.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"))
-    member = wanted.select("node", "low").join(label, "node")
-    smallest = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    better = member.join(smallest, "component").where("low <> component_id").select("node")  # sets whose rows all go
-    lasting = wanted.select("node", "same", "low").join(better, "node", "left_semi").select("same", F.lit(True).alias("all_go"))
-    of = nodes.select("same", "low").join(lasting, "same", "left")
-    gone = sigs.join(of, "same").where(F.coalesce("all_go", F.lit(False)) | (F.col("id") != F.col("low"))).where(F.col("id").isNotNull()).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    member = nodes.select("node", "low").join(label, "node")
+    smallest = member.groupBy("component").agg(F.min("low").alias("best"))
+    better = member.join(smallest, "component").where("low <> best").select("node", F.lit(True).alias("all_go"))  # sets whose rows all go
+    of = nodes.join(better, "node", "left").where(F.col("all_go") | (F.col("low") != F.col("high"))).select("same", "low", F.coalesce("all_go", F.lit(False)).alias("all_go"))
+    gone = sigs.join(checkpointed(of), "same").where((F.col("all_go") | (name != F.col("low"))) & F.col("id").isNotNull()).select("id", "h").distinct()
+    gone = gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"))
+    return docs.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_h")), "left_anti")

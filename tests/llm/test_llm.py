@@ -55,6 +55,72 @@ def test_simhash_edges(spark, odd):
     assert {r["doc_id"] for r in simhash.near_dedup(many).collect()} == {0, 99}
 
 
+def test_near_dedup_knows_rows_by_id_and_text(spark):
+    rows = [(1, "a b c d e f g h i"), (2, "A b c d  e f g h i"), (2, "z y x w v u t s r q"), (3, "other words are here in this one"), (4, "p q r s t u v w x"), (4, "P q r s t u v w x"), (None, "a b c d e f g h i")]
+    kept = [tuple(r) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(r for r in kept if r[0] not in (4, None)) == [rows[0], rows[2], rows[3]]
+    assert sum(r[0] == 4 for r in kept) == 1 and rows[-1] in kept
+
+
+def test_near_dedup_links_short_texts(spark):
+    """400 pairs of 8 against 9 words (4 and 5 shingles, similarity 0.8 exactly), and chains of 11, 12 and 13 words."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(400):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 9)]
+        rows += [(10 * k, " ".join(w[:8])), (10 * k + 1, " ".join(w))]
+    for k in range(1000, 1060):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 13)]
+        rows += [(10 * k + j, " ".join(w[: 11 + j])) for j in range(3)]
+    kept = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {10 * k for k in (*range(400), *range(1000, 1060))}
+
+
+def brute_near(rows, similarity=0.8):
+    """Smallest id of each component of texts whose shingle sets have the similarity, by an inverted list."""
+    sets, holders = {}, {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty = [i for i in sets if not sets[i]]
+    for i in empty[1:]:
+        root[find(i)] = find(empty[0])
+    for i, own in sets.items():
+        common = {}
+        for x in own:
+            for o in holders[x]:
+                if o < i:
+                    common[o] = common.get(o, 0) + 1
+        for o, n in common.items():
+            if n >= similarity * (len(own) + len(sets[o]) - n):
+                a, b = sorted((find(i), find(o)))
+                root[b] = a
+    return {find(i) for i in sets}
+
+
+def test_near_dedup_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert {r["doc_id"] for r in simhash.near_dedup(d).collect()} == brute_near([(r["doc_id"], r["text"]) for r in d.collect()])
+
+
+def test_pair_groups_cut_large_shards(docs, monkeypatch):
+    """Blocks and a deep top change nothing."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 16)
+    got = simhash.components(docs).toPandas()
+    low, ids = brute_components(got.fp.to_numpy().astype(np.uint64)), got.id.to_numpy()
+    assert [ids[low == r].min() for r in low] == got.component_id.tolist()
+
+
 def test_near_dedup_edges(spark, odd):
     kept = simhash.near_dedup(odd)
     assert kept.columns == odd.columns and simhash.near_dedup(odd.limit(0)).count() == 0
@@ -453,6 +519,21 @@ def test_style_tree_on_small_hosts(spark, n):
     assert all(x["text"] == (f"text number {x['page_id']} of its own" if x["page_id"] < 100 else "same line text number 7 of its own") for x in r)
 
 
+def test_pages_in_wrappers_are_kept():
+    inner = "<div><p>First of the text.</p><p>Second of the text.</p></div>"
+    for page in (f"<body><form id=x>{inner}</form></body>", f"<form><nav>menu</nav>{inner}<footer>f</footer></form>", f"<body><div>top</div><dialog open>{inner}</dialog>", f"<form action=a><aside>s</aside><article>{inner}</article><form>mail</form></form>"):
+        assert html_text.main_text(page).removeprefix("top ") == "First of the text. Second of the text."
+    assert html_text.main_text(f"<body>{inner}<form><p>Your mail</p></form>") == "First of the text. Second of the text."
+    assert html_text.main_text("<body><nav>only a menu</nav>") == ""
+    long = "".join(f"<p>part {k}</p>" for k in range(20_000))
+    assert html_text.main_text(f"<form>{long}</form>") == " ".join(f"part {k}" for k in range(20_000))
+
+
+def test_comments_and_notices_inside_articles_go():
+    page = '<article><h1>Title</h1><div class="alert-box">We use cookies</div><p>Main.</p><article class="comment odd"><p>I agree!</p></article><div class="reader-comments">No!</div><div id="respond">Leave a reply</div><article class="part"><p>More.</p></article></article>'
+    assert html_text.main_text(page) == "Title Main. More."
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "[#INST] <##s>"), (2, 0, "assistant", "x"), (2, 1, None, None), (2, 1, "tool", "a b "), (3, 0, "system", ""), (3, 1, "user", " "), (None, None, "user", "q")]
     t = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, valid int")
