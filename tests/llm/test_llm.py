@@ -657,13 +657,69 @@ def test_toxicity_labels(spark):
     assert kept.columns == docs.columns and kept.count() <= 41 and toxicity.clean(docs.limit(0), labels).count() == 0
 
 
-def test_pipeline(spark, sf):
+def stage_by_stage(spark, folder):
+    """(name, rows of documents before, rows after) of each stage; the last one's rows are pieces."""
     import corpus_pipeline
-
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = d.columns
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        before = d.count()
-        d = stage(spark, d, sf)
-        assert d.columns == columns and d.count() <= before
-    assert corpus_pipeline.STAGES[-1][1](spark, d, sf).count() >= d.count()
+    from meshtide.session import written
+
+    d, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, d, folder)
+        if name != "packing":
+            assert after.columns == d.columns
+            after = written(after, "test")
+        out.append((name, d.collect(), after.collect()))
+        d = after
+    return out
+
+
+def test_pipeline_brute_force(spark, sf):
+    """Each stage's rows against a plain version of it, on what its predecessor kept."""
+    (_, docs, clean), (_, _, once), (_, _, apart), (_, _, mixed), (_, _, pieces) = stage_by_stage(spark, sf)
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    gone = {r["doc_id"] for r in docs} - {r["doc_id"] for r in clean}
+    toxic = [i for i, t in labels.items() if t == 1]
+    assert sum(i in gone for i in toxic) >= 0.5 * len(toxic) and sum(labels.get(i) == 0 for i in gone) <= 0.1 * len(docs)
+    first = {}
+    for r in sorted(clean, key=lambda r: r["doc_id"]):
+        first.setdefault(re.sub(r"[ \t-\r]+", " ", r["text"] or ""), r["doc_id"])
+    assert sorted(r["doc_id"] for r in once) == sorted(first.values())
+    assert {r["doc_id"] for r in apart} == brute_near([(r["doc_id"], r["text"]) for r in once])
+    assert set(mixed) <= set(apart) and mixed
+    end = 1
+    own = {}
+    for p in pieces:
+        own.setdefault(p["doc_id"], []).append(p)
+    assert set(own) == {r["doc_id"] for r in mixed}
+    for r in mixed:
+        ids = [*tokens.ids(r["text"] or "").tolist(), end]
+        at = 0
+        for p in sorted(own[r["doc_id"]], key=lambda p: p["start"]):
+            assert p["start"] == at and p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], "<u4").tobytes()) and p["doc_tokens"] == len(ids)
+            at += p["length"]
+        assert at == len(ids)
+    by = {}
+    for p in pieces:
+        by.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for spans in by.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null ids and texts, one id under several texts, repeated rows, an extra column; and no rows at all."""
+    rows = [(1, None, "en", "web", 3), (1, "one text of seven plain words here", None, None, None), (1, "one text of seven plain words here", None, None, None), (2, "one text of seven plain words here too", "en", "web", 1), (None, "with no id at all but words", "de", "x", 2), (3, "", "en", "web", 0), (4, "word " * 9000, "en", "web", 0)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, node string"
+    for n, part in (("some", rows), ("none", [])):
+        at = f"{tmp_path}/{n}"
+        spark.createDataFrame([(*r, "k") for r in part], kind).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if part else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        stages = stage_by_stage(spark, at)
+        assert len(stages) == 5 and all(len(after) <= len(before) for name, before, after in stages[:-1])
+        if part:
+            assert len(stages[0][2]) == len(part) and len(stages[1][2]) == 5 and {r["doc_id"] for r in stages[2][2]} == {1, 2, None, 4}
+        else:
+            assert not any(after for _, _, after in stages)
