@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.session import checkpointed, digest
+from meshtide.session import TASK_ROWS, checkpointed, digest, settled
 
 
-#: Edges that a task contracts at once (two longs each); rows that a task of a round gets, so that small rounds make few files.
-CHUNK_EDGES, TASK_ROWS = 1 << 20, 1 << 17
+#: Edges that a task contracts at once (two longs each).
+CHUNK_EDGES = 1 << 20
 
 
 def least_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -81,10 +81,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
         pairs = pairs.withColumn("e", F.explode(ends)).select("e.u", "e.v", *(["near"] if near is not None else []))
     if near is not None:
         pairs = pairs.repartition("near")
-    stars = checkpointed(pairs.select("u", "v").mapInArrow(_stars, "node long, root long"))
+    stars = settled(pairs.select("u", "v").mapInArrow(_stars, "node long, root long"))
     border = stars.groupBy("node").agg(F.min("root").alias("low"), F.count(F.lit(1)).alias("times")).where("times > 1")
     met = stars.join(border, "node").where("root <> low").select(F.col("low").alias("u"), F.col("root").alias("v"))
-    e = checkpointed(met.select(low.alias("u"), high.alias("v")).distinct())
+    e = settled(met.select(low.alias("u"), high.alias("v")).distinct())
     n, last = digest(e)
     while n:
         e = checkpointed(_round(e).coalesce(max(1, -(-n // TASK_ROWS))))  # rounds never add edges

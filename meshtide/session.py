@@ -42,6 +42,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table that one task gets.
+TASK_ROWS = 1 << 17
+
+
+def settled(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """:func:`checkpointed`, read by as few tasks as its rows need, so that the steps of a loop do not leave a file for each empty partition."""
+    df = checkpointed(df)
+    return df.coalesce(max(1, -(-df.count() // task_rows)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back (for wide rows)."""
     spark = df.sparkSession
