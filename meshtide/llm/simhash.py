@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.operators.graph import connected_components
-from meshtide.session import checkpointed, written
+from meshtide.session import checkpointed, settled, written
 
 SEED = 42
 #: Rows that a shard of the top of one trie (of each of several) holds on average, the levels of the top at most, and the rows of a block.
@@ -260,10 +260,10 @@ def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, simil
     extra = [F.lit(0).alias("n"), F.lit(0).cast("long").alias("comp")] if similarity is None else [F.col("n"), F.col("comp")]
     keyed = nodes.select("node", "sig", *extra, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("table", "key"))
     mean = SHARD_ROWS if tables == 1 else TABLE_SHARD_ROWS
-    top_bits = min(MOST_TOP_BITS, bits, max(3 if tables == 1 else 0, math.ceil(math.log2(max(1, nodes.count()) / mean))))
+    top_bits = min(MOST_TOP_BITS, bits, max(3 if tables == 1 else 2, math.ceil(math.log2(max(1, nodes.count()) / mean))))
     wide = F.conv(F.hex(F.concat(F.substring("key", width, 1), F.substring("key", width - 1, 1))), 16, 10).cast("int")
     keyed = keyed.withColumn("shard", F.shiftright(wide, 16 - top_bits))
-    sizes = checkpointed(keyed.groupBy("table", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))  # at most 2 ** MOST_TOP_BITS rows a table
+    sizes = settled(keyed.groupBy("table", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))  # at most 2 ** MOST_TOP_BITS rows a table
     own = F.broadcast(sizes)
     there = F.broadcast(sizes.select("table", F.col("shard").alias("other"), F.col("blocks").alias("others")))
     near = F.array(*[F.lit(m) for m in masks(top_bits, budget)])
@@ -418,7 +418,7 @@ def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
     kept = nodes.where("short is not null").select("node", "short").mapInArrow(run, "node long, key long, left int, lost int")
     hubs = kept.groupBy("key", "left").agg(F.min(F.struct("lost", "node")).alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    hubs = checkpointed(hubs.select("key", "left", F.col("hub.lost").alias("hub_lost"), F.col("hub.node").alias("src")))
+    hubs = settled(hubs.select("key", "left", F.col("hub.lost").alias("hub_lost"), F.col("hub.node").alias("src")))
     met = kept.join(hubs, ["key", "left"]).where((F.col("node") != F.col("src")) & (F.col("lost") + F.col("hub_lost") <= F.col("left") * slack + 1e-9))
     return met.select("src", F.col("node").alias("dst")).distinct()
 
@@ -489,22 +489,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     nodes = sigs.groupBy("same").agg(F.min(name).alias("low"), F.max(name).alias("high"), *[F.first(c).alias(c) for c in ("sig", "n", "short")])  # rows with equal sets are one node
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-    joined = checkpointed(short_links(nodes, similarity))
-    label = checkpointed(connected_components(joined))
+    joined = settled(short_links(nodes, similarity))
+    label = settled(connected_components(joined))
     active, sets = nodes.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp")), None
     for which in (FEW, ONE, ONE, ALL):
         far = allowed_bits(similarity, words) if which == FEW else allowed_bits(similarity, WIDE, WIDE_SLACK)
-        pairs = checkpointed(chosen(links(active, how["tables"], how["bits"], how["budget"], far, similarity, which), which))
+        pairs = settled(chosen(links(active, how["tables"], how["bits"], how["budget"], far, similarity, which), which))
         if sets is None:
             ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
             sets = written(shingle_sets(docs, checkpointed(nodes.join(ends, "node").select("node", "low")), id_col, text_col, size), "sets")
-        joined = checkpointed(joined.union(confirmed(pairs, sets, similarity)))
-        label = checkpointed(connected_components(joined))
+        joined = settled(joined.union(confirmed(pairs, sets, similarity)))
+        label = settled(connected_components(joined))
         active = sets.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"))
     member = nodes.select("node", "low").join(label, "node")
     smallest = member.groupBy("component").agg(F.min("low").alias("best"))
     better = member.join(smallest, "component").where("low <> best").select("node", F.lit(True).alias("all_go"))  # sets whose rows all go
     of = nodes.join(better, "node", "left").where(F.col("all_go") | (F.col("low") != F.col("high"))).select("same", "low", F.coalesce("all_go", F.lit(False)).alias("all_go"))
-    gone = sigs.join(checkpointed(of), "same").where((F.col("all_go") | (name != F.col("low"))) & F.col("id").isNotNull()).select("id", "h").distinct()
+    gone = sigs.join(settled(of), "same").where((F.col("all_go") | (name != F.col("low"))) & F.col("id").isNotNull()).select("id", "h").distinct()
     gone = gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"))
     return docs.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_h")), "left_anti")
