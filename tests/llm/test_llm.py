@@ -686,13 +686,12 @@ def test_pipeline_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in once) == sorted(first.values())
     assert {r["doc_id"] for r in apart} == brute_near([(r["doc_id"], r["text"]) for r in once])
     assert set(mixed) <= set(apart) and mixed
-    end = 1
     own = {}
     for p in pieces:
         own.setdefault(p["doc_id"], []).append(p)
     assert set(own) == {r["doc_id"] for r in mixed}
     for r in mixed:
-        ids = [*tokens.ids(r["text"] or "").tolist(), end]
+        ids = tokens.ids(r["text"] or "").tolist()
         at = 0
         for p in sorted(own[r["doc_id"]], key=lambda p: p["start"]):
             assert p["start"] == at and p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], "<u4").tobytes()) and p["doc_tokens"] == len(ids)
