@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TIDE_HOURS = 12.42
 
-# The score of a time window as (least, most, terms); a term is a coefficient and the facts it is multiplied with.
-WINDOW = (0, 100, (
-    (34,), (18, "move"), (16, "night"), (10, "turn"), (10, "flow"), (0.78 * 8 + 0.82 * 7 + 6, "shut"), (0.52 * 8 + 0.48 * 7, "open"),
-    (-16, "slack"), (-6, "day"), (5, "night ebb"), (3, "shut flood"),
-))
+
+@dataclass(frozen=True)
+class WindowWeights:
+    """Points of what is good and bad about a time; ``fishway`` and ``front`` are indices that a closed and an open gate give."""
+
+    base: float = 34
+    movement: float = 18
+    night: float = 16
+    turn: float = 10
+    flow: float = 10
+    fishway: float = 8
+    fishway_closed: float = 0.78
+    fishway_open: float = 0.52
+    front: float = 7
+    front_closed: float = 0.82
+    front_open: float = 0.48
+    closed: float = 6
+    slack: float = -16
+    day: float = -6
+    night_ebb: float = 5
+    closed_flood: float = 3
 
 
 def flag(condition: Column) -> Column:
@@ -21,23 +38,6 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
-def rated(table: tuple, facts: dict[str, Column]) -> Column:
-    """Value of a rating table ``(least, most, terms)``; a fact ``place/scale`` is 1 / (1 + facts[place] / scale)."""
-    least, most, terms = table
-
-    def fact(name: str) -> Column:
-        place, _, scale = name.partition("/")
-        return 1 / (1 + facts[place] / float(scale)) if scale else facts[place]
-
-    total = None
-    for coefficient, *names in terms:
-        value = F.lit(float(coefficient))
-        for name in names:
-            value = value * fact(name)
-        total = value if total is None else total + value
-    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), total))
-
-
 def parse_iso_with_zone(text: Column) -> Column:
     """Epoch seconds of an ISO time that states its zone; null otherwise."""
     return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text).cast("double"))
@@ -161,23 +161,29 @@ def palette(value: Column, low: Column, high: Column, colours: list[tuple[int, i
     return F.when(value.isNotNull(), F.transform(F.zip_with(a, b, lambda x, y: x + (y - x) * (t - k)), lambda x: F.rint(x).cast("int")))
 
 
-def _window_parts(hours: Column, hour: Column, phase: float) -> tuple[Column, Column, Column, Column]:
-    slope = tide_slope(hours, phase)
-    return slope, night_score(hour), near_turn(hours, phase=phase), F.least(F.lit(1.0), 0.25 + F.least(F.lit(1.0), F.abs(slope) * 2.35) * 0.75)
+def movement(slope: Column) -> Column:
+    """0..1: how fast the tide moves."""
+    return F.least(F.lit(1.0), F.abs(slope) * 2.35)
+
+
+def tidal_flow(slope: Column) -> Column:
+    """0.25..1: what the movement carries along."""
+    return F.least(F.lit(1.0), 0.25 + movement(slope) * 0.75)
 
 
-def window_score(hours: Column, hour: Column, closed: Column, phase: float = 0.0) -> Column:
+def window_score(hours: Column, hour: Column, closed: Column, phase: float = 0.0, w: WindowWeights = WindowWeights()) -> Column:
     """0..100 at a time of ``hours`` since the epoch, local decimal ``hour`` and a gate that is ``closed`` or not."""
-    slope, night, turn, flow = _window_parts(hours, hour, phase)
-    return rated(WINDOW, {
-        "move": F.least(F.lit(1.0), F.abs(slope) * 2.35), "night": night, "turn": flag(turn), "flow": flow, "shut": flag(closed), "open": 1 - flag(closed),
-        "slack": flag(F.abs(slope) < 0.015), "day": flag(night < 0.2), "night ebb": flag((slope < 0) & (night > 0.4)), "shut flood": flag((slope > 0) & closed),
-    })
+    slope, night, shut = tide_slope(hours, phase), night_score(hour), flag(closed)
+    of_time = w.movement * movement(slope) + w.night * night + w.turn * flag(near_turn(hours, phase=phase)) + w.flow * tidal_flow(slope)
+    of_gate = F.when(closed, w.fishway * w.fishway_closed + w.front * w.front_closed + w.closed).otherwise(w.fishway * w.fishway_open + w.front * w.front_open)
+    against = w.slack * flag(F.abs(slope) < 0.015) + w.day * flag(night < 0.2)
+    extra = w.night_ebb * flag((slope < 0) & (night > 0.4)) + w.closed_flood * flag(slope > 0) * shut
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), w.base + of_time + of_gate + against + extra))
 
 
 def window_reasons(hours: Column, hour: Column, closed: Column, gate: Column, phase: float = 0.0, most: int = 3) -> Column:
     """Up to ``most`` reasons for a score; ``gate`` is what to say of a gate that is not closed. The report's length is a parameter."""
-    slope, night, turn, flow = _window_parts(hours, hour, phase)
-    moving = F.concat(F.when(turn, "starting ").otherwise(""), F.when(slope > 0, "rising").otherwise("falling"))
+    slope, night, flow = tide_slope(hours, phase), night_score(hour), tidal_flow(tide_slope(hours, phase))
+    moving = F.concat(F.when(near_turn(hours, phase=phase), "starting ").otherwise(""), F.when(slope > 0, "rising").otherwise("falling"))
     reasons = F.array(F.when(closed, "gate closed").otherwise(gate), F.when(F.abs(slope) < 0.015, "slack").otherwise(moving), F.when(night > 0.8, "night").when(night > 0.3, "twilight"), F.when(flow > 0.65, "tidal flow"))
     return F.slice(F.array_distinct(F.array_compact(reasons)), 1, most)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Patterns of addresses and request fields in page sources, with the group that counts.
 STRINGS = (
@@ -25,43 +25,52 @@ STATED_WITHIN = 4096
 ENCODINGS = ("utf-8", "cp932", "shift_jis", "euc_jp")
 
 
-class _Resources(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.title, self.scripts, self.links, self.inside = "", [], [], False
+ATTRIBUTES = r"""((?:[^>"']|"[^"]*"|'[^']*')*)"""
+ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        self.inside = self.inside or tag == "title"
-        if tag == "script" and a.get("src"):
-            self.scripts.append(a["src"])
-        if tag == "a" and a.get("href"):
-            self.links.append(a["href"])
 
-    def handle_endtag(self, tag):
-        self.inside = self.inside and tag != "title"
+def _unescaped(text: Column) -> Column:
+    for name, sign in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
 
-    def handle_data(self, data):
-        if self.inside:
-            self.title += data
 
+def visible_markup(html: Column) -> Column:
+    """A page without its comments and without what stands inside scripts and styles; null counts as empty."""
+    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?(?:-->|\z)", "")
+    return F.regexp_replace(html, r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>|\z)", "$1$3")
 
-def html_resources(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``id, title, scripts, links`` with references resolved against the page's url; null html has an empty title and no links."""
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                p = _Resources()
-                p.feed(html or "")
-                resolve = lambda refs, base=url or "": [_joined(base, r) for r in refs]
-                rows.append((p.title.strip(), resolve(p.scripts), resolve(p.links)))
-            titles, scripts, links = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(titles, pa.string()), pa.array(scripts, pa.list_(pa.string())), pa.array(links, pa.list_(pa.string()))], ["id", "title", "scripts", "links"])
+def attribute_values(markup: Column, tag: str, attribute: str) -> Column:
+    """The non-empty values of an attribute of all elements with a tag, in page order, quoted or not."""
+    lists = F.regexp_extract_all(markup, F.lit(rf"(?is)<{tag}(?=[\s/>]){ATTRIBUTES}>"), F.lit(1))
+    value = rf"""(?is)(?:^|[\s"'/]){attribute}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    of = lambda a: _unescaped(F.concat(*[F.regexp_extract(a, value, k) for k in (1, 2, 3)]))
+    return F.filter(F.transform(lists, of), lambda v: v != "")
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, title string, scripts array<string>, links array<string>")
+
+def element_text(markup: Column, tag: str) -> Column:
+    """The trimmed text of the first element with a tag; empty if there is none."""
+    inner = F.regexp_extract(markup, rf"(?is)<{tag}(?=[\s/>]){ATTRIBUTES}>(.*?)</{tag}", 2)
+    return _unescaped(F.regexp_replace(F.regexp_replace(inner, "(?s)<[^>]*>", ""), r"^\s+|\s+$", ""))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def resolved(base: pa.Array, refs: pa.Array) -> pa.Array:
+    """References made absolute against a page's address; what cannot be resolved stays as it is."""
+    return pa.array([r if r is None else [_joined(b or "", x) for x in r] for b, r in zip(base.to_pylist(), refs.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+
+def html_resources(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wanted: dict[str, tuple[str, str]] | None = None, text_of: str = "title") -> DataFrame:
+    """``id, title`` and a list of resolved references for each of ``wanted`` (column name to tag and attribute; scripts and links if not given).
+
+    Only the references go through Python, to be resolved against the page's url;
+    null html has an empty title and no references.
+    """
+    wanted = wanted or {"scripts": ("script", "src"), "links": ("a", "href")}
+    m = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("_url"), visible_markup(F.col(html_col)).alias("_markup"))
+    found = m.select("id", "_url", element_text(F.col("_markup"), text_of).alias(text_of), *[attribute_values(F.col("_markup"), *where).alias(name) for name, where in wanted.items()])
+    return found.select("id", text_of, *[resolved("_url", name).alias(name) for name in wanted])
 
 
 def _joined(base: str, ref: str) -> str:
