@@ -156,6 +156,18 @@ def quantised(points: DataFrame, scale: float = 1000.0) -> DataFrame:
     return points.crossJoin(F.broadcast(centre)).withColumn("qx", F.rint((F.col("x") - F.col("ox")) * scale).cast("int")).withColumn("qy", F.rint((F.col("y") - F.col("oy")) * scale).cast("int")).drop("ox", "oy")
 
 
+def cut_components(cells: DataFrame, faces: DataFrame, gone: DataFrame) -> DataFrame:
+    """``cell_id, x, y, component`` of the ``cells(cell_id, x, y)`` that ``faces(face_id, left, right)`` link, without the faces ``gone(face_id)``.
+
+    A component is named by its smallest cell; a cell without neighbours is its own.
+    """
+    links = faces.where("left is not null and right is not null").select("face_id", F.col("left").alias("src"), F.col("right").alias("dst"))
+    cut = links.join(gone.select("face_id").distinct(), "face_id", "left_semi").select("src", "dst")
+    alone = cells.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"))
+    found = connected_components(links.select("src", "dst").union(alone), cut=cut, near=F.floor(F.col("src") / 65_536))
+    return cells.select("cell_id", "x", "y").join(found.withColumnRenamed("node", "cell_id"), "cell_id")
+
+
 def cut_faces(faces: DataFrame, line: tuple[float, float, float, float], marked: DataFrame | None = None, gates: int = 8) -> DataFrame:
     """``face_id, gate``: faces whose centroid-to-centroid path crosses ``line``, and the ``marked(face_id)`` ones.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.functions.geo import haversine, segment_distance, segments_cross
+from meshtide.session import settled
 
 
 def bucketed(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -158,6 +159,84 @@ def hotspots(candidates: DataFrame, n: int = 8, stand_gap: float = 85.0, target_
     return rows.groupBy("scene").applyInPandas(pick, f"scene {scene}, id {key}, score double, rank long")
 
 
+def _priority_round(active: DataFrame, places: list[tuple[str, str, float]]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``active(scene, id, score, ..., p)`` that nobody near them beats, and the others that are not too near one of those.
+
+    A cell's side is the gap over the root of two: all of a cell are too near each
+    other, and what is too near a row lies within two cells. So a row is compared
+    with the best row of each of 25 cells, and has to leave for one row of each at most.
+    """
+    cell = lambda df, x, y, gap: df.withColumn("gx", F.floor(F.col(x) / (gap / 2**0.5))).withColumn("gy", F.floor(F.col(y) / (gap / 2**0.5)))
+    won = active
+    for x, y, gap in places:
+        best = cell(active, x, y, gap).groupBy("scene", "gx", "gy").agg(F.min("p").alias("best"))
+        around = spread(best, 2).groupBy("scene", "gx", "gy").agg(F.min("best").alias("best"))
+        won = cell(won, x, y, gap).join(around, ["scene", "gx", "gy"]).where("p <= best").drop("gx", "gy", "best")
+    won = settled(won)
+    left = active.join(won.select("scene", "id"), ["scene", "id"], "left_anti")
+    return won, _not_near(left, won, places)
+
+
+def _not_near(rows: DataFrame, kept: DataFrame, places: list[tuple[str, str, float]]) -> DataFrame:
+    """The ``rows`` that are at least a gap from every one of ``kept`` in each of the places; of ``kept`` a cell holds one row at most."""
+    for x, y, gap in places:
+        side = gap / 2**0.5
+        grid = lambda c, side=side: F.floor(c / side)
+        k = spread(kept.select("scene", F.col(x).alias("kx"), F.col(y).alias("ky"), grid(F.col(x)).alias("gx"), grid(F.col(y)).alias("gy")), 2)
+        r = rows.withColumn("gx", grid(F.col(x))).withColumn("gy", grid(F.col(y)))
+        d = F.sqrt(F.pow(F.col(x) - F.col("kx"), 2) + F.pow(F.col(y) - F.col("ky"), 2))
+        near = r.select("scene", "id", x, y, "gx", "gy").join(k, ["scene", "gx", "gy"]).where(d < gap).select("scene", "id").distinct()
+        rows = rows.join(near, ["scene", "id"], "left_anti")
+    return rows
+
+
+def _first_apart(rows: DataFrame, n: int, places: list[tuple[str, str, float]]) -> DataFrame:
+    """The first ``n`` rows of each scene that a greedy walk by ``p`` keeps, each at least the gaps from all kept before."""
+    active, kept = settled(rows), rows.limit(0)
+    while not active.isEmpty():
+        won, left = _priority_round(active, places)
+        kept = settled(kept.unionByName(won))
+        rank = F.row_number().over(W.partitionBy("scene").orderBy("p"))
+        kept = kept.withColumn("k", rank).where(F.col("k") <= n)  # at most n rows of a scene go on
+        last = kept.where(F.col("k") == n).select("scene", F.col("p").alias("last"))
+        kept = settled(kept.drop("k"))
+        # kept rows only grow in number, so what is worse than the n-th can never be among the first n
+        active = settled(left.join(last, "scene", "left").where("last is null or p < last").drop("last"))
+    return kept
+
+
+def hotspots_apart(candidates: DataFrame, n: int = 8, stand_gap: float = 85.0, target_gap: float = 90.0, allowed: Column | None = None) -> DataFrame:
+    """:func:`hotspots` of all candidates, with no bound on their number: ``scene, id, score, rank``.
+
+    The greedy choice is the same as a maximal independent set by priority: in each
+    round every candidate that beats all within its reach is kept and its
+    neighbours go, until none is left that could be among a scene's first ``n``.
+    Candidates of one scene are spread over its grid cells, so no task holds a scene.
+    ``allowed`` is tested once more before anything is picked; null counts as not.
+    A null score, place or id is left out. Ids are distinct within a scene. Places
+    left after the first pass are filled on the stand's distance alone.
+    """
+    rows = candidates.select("scene", "id", "tx", "ty", "sx", "sy", "score", *([allowed.alias("allowed")] if allowed is not None else []))
+    if allowed is not None:
+        rows = rows.where("allowed").drop("allowed")
+    rows = rows.dropna(subset=["scene", "id", "tx", "ty", "sx", "sy", "score"]).withColumn("p", F.struct((-F.col("score")).alias("low"), "id"))
+    stand = [("sx", "sy", stand_gap)] if stand_gap > 0 else []
+    both = stand + ([("tx", "ty", target_gap)] if target_gap > 0 else [])
+    first = _first_apart(rows, n, both)
+    ranks = F.row_number().over(W.partitionBy("scene").orderBy("pass", "p"))
+    full = first.groupBy("scene").count().where(F.col("count") >= n).select("scene")
+    rest = rows.join(full, "scene", "left_anti").join(first.select("scene", "id"), ["scene", "id"], "left_anti")
+    more = _first_apart(_not_near(rest, first, stand), n, stand)
+    picked = first.withColumn("pass", F.lit(1)).unionByName(more.withColumn("pass", F.lit(2)))
+    return picked.withColumn("rank", ranks.cast("long")).where(F.col("rank") <= n).select("scene", "id", "score", "rank")
+
+
+def points_apart(points: DataFrame, n: int = 8, gap: float = 150.0) -> DataFrame:
+    """The first ``n`` of ``points(scene, id, x, y, score)`` by score that lie at least ``gap`` apart: ``scene, id, score, rank``."""
+    p = points.select("scene", "id", "score", *[F.col(c).alias(f"{k}{c}") for k in "st" for c in "xy"])
+    return hotspots_apart(p, n, gap, 0.0)
+
+
 def safe_hotspots(spots: DataFrame, exclusions: DataFrame, lines: DataFrame) -> DataFrame:
     """``spots(scene, id, tx, ty, sx, sy, score)`` with a rank anew, without those whose target or stand is excluded or whose path is blocked.
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.functions import flow, geo, scalar
-from meshtide.operators import ensemble, graph, mesh, quality, raster, series, spatial, web
+from meshtide.operators import ensemble, graph, mesh, quality, raster, series, sites, spatial, web
 from meshtide.plans import views as V
 from meshtide.plans.queries import _RULES, ORACLE_SQL, query, rounded
-from meshtide.session import table
+from meshtide.session import shared_dir, table
+from meshtide.streaming import stateful
 
 _WALLS = [(200.31, 150.77, 610.53, 480.19), (90.11, 820.37, 930.71, 640.93)]
 _WALLS_SQL = "walls(ax, ay, bx, by_) AS (VALUES " + ", ".join(map(str, _WALLS)) + ")"
@@ -190,3 +193,68 @@ def _balance(rows: pd.DataFrame) -> pd.DataFrame:
 def ensemble_user_function(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("case_id"), F.col("c_acctbal").alias("balance"))
     return rounded(ensemble.run_ensemble(c, _balance, "case_id long, total double"), 2)
+
+
+@query(f"""WITH e AS (SELECT user_id AS cell, ts, value AS h FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+w AS (SELECT *, coalesce(last_value(CASE WHEN h >= 60 THEN 1 WHEN h <= 20 THEN 0 END IGNORE NULLS) OVER (PARTITION BY cell ORDER BY ts, h ROWS UNBOUNDED PRECEDING), 0) AS wet FROM e),
+c AS (SELECT cell, ts, wet, lag(wet) OVER (PARTITION BY cell ORDER BY ts, h) AS before FROM w)
+SELECT cell, epoch_us(ts) AS us, wet::INT AS wet, CASE WHEN wet > before THEN 'wetting' WHEN wet < before THEN 'drying' END AS change FROM c WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 3600000 FROM e)""")
+def stream_wet_dry(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as a stream, in the order of their time; what the watermark of an hour has passed has been handed on when the stream ends."""
+    kind = table(spark, sf, "events").schema
+    events = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf)
+    depths = events.select(F.col("user_id").alias("cell"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("h"))
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = stateful.stream_hysteresis(depths, 60, 20).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start(f"{at}/rows")
+    q.awaitTermination()
+    r = spark.read.schema("cell long, ts timestamp, wet int, change string").parquet(f"{at}/rows")
+    return r.select("cell", F.unix_micros("ts").alias("us"), "wet", "change").where(F.floor(F.col("us") / 1000) < F.lit(table(spark, sf, "events").agg(F.unix_millis(F.max(F.col("ts").cast("timestamp")))).first()[0] - 3_600_000))
+
+
+_LABELS = """cc(node, component) USING KEY (node) AS (SELECT node, node FROM node UNION
+(SELECT u.node, min(v.component) FROM recurring.cc u JOIN link e ON e.src = u.node JOIN cc v ON v.node = e.dst WHERE v.component < u.component GROUP BY u.node))"""
+
+_BARRAGE = (-1.0, 20.2, 60.0, 24.9)
+_CUT_SQL = f"""cen AS (SELECT cell_id, (p.x + q.x + r.x) / 3 AS x, (p.y + q.y + r.y) / 3 AS y FROM tri JOIN vert p ON p.vertex_id = a JOIN vert q ON q.vertex_id = b JOIN vert r ON r.vertex_id = c),
+side AS (SELECT cell_id, ({_BARRAGE[2]} - {_BARRAGE[0]}) * (y - {_BARRAGE[1]}) - ({_BARRAGE[3]} - {_BARRAGE[1]}) * (x - {_BARRAGE[0]}) > 0 AS above FROM cen),
+node AS (SELECT cell_id AS node FROM tri), pair AS (SELECT "left" AS src, "right" AS dst FROM edge JOIN side s ON s.cell_id = "left" JOIN side t ON t.cell_id = "right" WHERE n = 2 AND s.above = t.above AND (lo * 1000000 + hi) % 41 > 0),
+link AS (FROM pair UNION ALL SELECT dst, src FROM pair)"""
+
+
+def _banks(spark: SparkSession, sf: str) -> DataFrame:
+    """``cell_id, x, y, component`` of the mesh, cut along a line and at every face whose number 41 divides."""
+    tri, v = V.mesh(spark, sf)
+    cells = mesh.triangle_geometry(tri, v)
+    c = lambda k, p: cells.select(F.col("cell_id").alias(k), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    f = mesh.face_geometry(mesh.edge_incidence(tri), v, cells).where("kind = 'interior'").join(c("left", "l"), "left").join(c("right", "r"), "right")
+    f = f.select((F.col("lo") * 1_000_000 + F.col("hi")).alias("face_id"), "left", "right", "lx", "ly", "rx", "ry", "mx", "my")
+    gone = mesh.cut_faces(f, _BARRAGE, f.where("face_id % 41 = 0"))
+    return mesh.cut_components(cells, f, gone)
+
+
+@query(f"WITH RECURSIVE {V.MESH}, {_CUT_SQL}, {_LABELS} SELECT node AS cell_id, component FROM cc")
+def mesh_cut_components(spark: SparkSession, sf: str) -> DataFrame:
+    return _banks(spark, sf).select("cell_id", "component")
+
+
+@query(f"""WITH RECURSIVE {V.MESH}, {_CUT_SQL}, {_LABELS}, b AS (SELECT node AS cell_id, x, y, component FROM cc JOIN cen ON cell_id = node), two AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) AS k FROM b GROUP BY 1 QUALIFY k <= 2),
+s AS (SELECT n_nationkey AS id, n_nationkey * 2.0 AS x, 22.0 + n_nationkey * 0.05 AS y, n_nationkey * 1.5 AS bearing FROM nation),
+d AS (SELECT id, cell_id, k, b.x - s.x AS dx, b.y - s.y AS dy, bearing, (b.x - s.x) * sin(radians(bearing)) - (b.y - s.y) * cos(radians(bearing)) AS along FROM s, b JOIN two USING (component))
+SELECT id, coalesce(arg_min(cell_id, {{'a': sqrt(dx * dx + dy * dy), 'b': cell_id}}) FILTER (k = 1 AND along < 0), -1) AS behind FROM d GROUP BY id""")
+def sites_behind_barrage(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest cell behind each site on the larger bank of the cut mesh."""
+    cells = _banks(spark, sf)
+    largest = cells.groupBy("component").count().orderBy(F.desc("count"), "component").limit(2).collect()  # two rows
+    k = F.col("n_nationkey")
+    s = table(spark, sf, "nation").select(k.alias("id"), (k * 2.0).alias("x"), (k * 0.05 + 22.0).alias("y"), (k * 1.5).alias("bearing"), F.lit(largest[0]["component"]).alias("up"), F.lit(largest[-1]["component"]).alias("down"))
+    return sites.opposite_side_pair(s, cells).select("id", F.coalesce("behind", F.lit(-1)).alias("behind"))
+
+
+@query(f"""WITH RECURSIVE {V.POINTS}, c AS (SELECT scene, id, x, y, score, row_number() OVER (PARTITION BY scene ORDER BY score DESC, id) AS k FROM points),
+g AS (SELECT scene, [{{'x': x, 'y': y, 'id': id, 'score': score}}] AS kept, 1::BIGINT AS k FROM c WHERE k = 1
+UNION ALL SELECT scene, kept, k FROM (SELECT g.scene, list_append(g.kept, {{'x': c.x, 'y': c.y, 'id': c.id, 'score': c.score}}) AS kept, c.k, row_number() OVER (PARTITION BY g.scene ORDER BY c.k) AS first
+ FROM g JOIN c ON c.scene = g.scene AND c.k > g.k WHERE len(g.kept) < 8 AND len([1 FOR q IN g.kept IF sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2) < 150]) = 0) WHERE first = 1),
+w AS (SELECT scene, arg_max(kept, len(kept)) AS kept FROM g GROUP BY 1)
+SELECT scene, q.id AS id, round(q.score, 6) + 0.0 AS score, rank FROM (SELECT scene, unnest(kept) AS q, unnest(range(1, len(kept) + 1)) AS rank FROM w)""")
+def spatial_points_apart(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(spatial.points_apart(V.points(spark, sf)))

@@ -1,43 +1,145 @@
-"""Structured Streaming jobs: hysteresis per cell, a run monitor, station summaries."""
+"""Structured Streaming jobs: hysteresis per cell, a run monitor, station summaries.
+
+The first two work in the order of event time: what arrives is held in state until
+the watermark has passed it, and an event-time timer then hands it on. So any order
+of arrival within the watermark gives the rows that a batch job gives; rows that
+come later than the watermark are dropped. Rows newer than the watermark are held
+back until it has passed them. They need a state store that transformWithState
+supports, so the functions choose RocksDB for the session.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    if "RocksDB" not in (spark.conf.get(PROVIDER, "") or ""):
+        spark.conf.set(PROVIDER, ROCKSDB)
+
+
+def _hysteresis(wet: float, dry: float):
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class InOrder(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.flag = handle.getValueState("flag", "wet int")
+            self.held = handle.getListState("held", "us long, h double")
+            self.timer = handle.getValueState("timer", "ms long")
+
+        def ring(self, us):
+            """A timer at the earliest held time, in place of the one there was."""
+            ms = us // 1000 + 1
+            if self.timer.exists():
+                if self.timer.get()[0] <= ms:
+                    return
+                self.handle.deleteTimer(self.timer.get()[0])
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+        def handleInputRows(self, key, rows, timerValues):
+            came = [(int(us), float(h)) for part in rows for us, h in zip(part["us"], part["h"], strict=True)]
+            if came:
+                self.held.appendList(came)
+                self.ring(min(came)[0])
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            held = sorted(self.held.get())
+            due = [x for x in held if x[0] <= passed]
+            left = held[len(due):]
+            self.timer.clear()
+            if left:
+                self.held.put(left)
+                self.ring(left[0][0])
+            else:
+                self.held.clear()
+            flag = self.flag.get()[0] if self.flag.exists() else None
+            out = []
+            for us, h in due:
+                now = 1 if h >= wet else 0 if h <= dry or flag is None else flag
+                out.append((key[0], us, now, None if flag is None or now == flag else "wetting" if now else "drying"))
+                flag = now
+            if due:
+                self.flag.update((flag,))
+            yield pd.DataFrame(out, columns=["cell", "us", "wet", "change"], dtype=object)
+
+        def close(self):
+            pass
+
+    return InOrder()
+
 
 def stream_hysteresis(depths: DataFrame, wet: float = 1e-3, dry: float = 5e-4, late: str = "1 hour") -> DataFrame:
-    """Transitions ``cell, ts, wet, change`` (wetting, drying or none) of a stream ``(cell, ts, h)``.
+    """Transitions ``cell, ts, wet, change`` (wetting, drying or none) of a stream ``(cell, ts, h)``, in the order of ``ts``.
 
-    The state of a cell is its last flag; rows of a batch are taken in time order,
-    rows later than the watermark are dropped.
+    Of rows with one time the lower depth comes first. The state of a cell is its
+    last flag and the rows that the watermark has not passed; rows with a null time
+    or depth are left out.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key, parts, state: GroupState):
-        flag = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("ts")
-        out = []
-        for ts, h in zip(rows["ts"], rows["h"], strict=True):
-            now = 1 if h >= wet else 0 if h <= dry or flag is None else flag
-            change = None if flag is None or now == flag else "wetting" if now else "drying"
-            out.append((key[0], ts, now, change))
-            flag = now
-        if flag is not None:
-            state.update((int(flag),))
-        yield pd.DataFrame(out, columns=["cell", "ts", "wet", "change"])
-
-    rows = depths.select("cell", "ts", "h").withWatermark("ts", late)
+    keep_state_in_rocksdb(depths.sparkSession)
+    rows = depths.where("ts is not null and h is not null").select("cell", "ts", F.unix_micros("ts").alias("us"), F.col("h").cast("double").alias("h")).withWatermark("ts", late)
     kind = depths.schema["cell"].dataType.simpleString()
-    return rows.groupBy("cell").applyInPandasWithState(run, f"cell {kind}, ts timestamp, wet int, change string", "flag int", "append", GroupStateTimeout.NoTimeout)
+    out = rows.groupBy("cell").transformWithStateInPandas(_hysteresis(wet, dry), f"cell {kind}, us long, wet int, change string", "append", "eventTime")
+    return out.select("cell", F.timestamp_micros("us").alias("ts"), "wet", "change")
+
+
+def _first_violation():
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Earliest(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.best = handle.getValueState("best", "us long, case_id string, reason string")
+            self.told = handle.getValueState("told", "done boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            if not self.told.exists():
+                came = [(int(us), c, r) for part in rows for us, c, r in zip(part["us"], part["case_id"], part["reason"], strict=True)]
+                before = tuple(self.best.get()) if self.best.exists() else None
+                first = min([*came, *([before] if before else [])])
+                if first != before:
+                    if before:
+                        self.handle.deleteTimer(before[0] // 1000 + 1)
+                    self.best.update(first)
+                    self.handle.registerTimer(first[0] // 1000 + 1)
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if not self.told.exists():
+                self.told.update((True,))
+                yield pd.DataFrame([(key[0], *self.best.get())], columns=["run_id", "us", "case_id", "reason"], dtype=object)
+                self.best.clear()
+
+        def close(self):
+            pass
+
+    return Earliest()
 
 
 def stream_violations(cases: DataFrame, limits: dict[str, float], late: str = "1 hour") -> DataFrame:
-    """The first case of each run whose diagnostics break a limit: ``run_id, ts, case_id, reason``."""
+    """The case of each run that is the first, by time, whose diagnostics break a limit: ``run_id, ts, case_id string, reason``.
+
+    A run is reported once, when the watermark has passed its earliest violation, so
+    one that arrives later but happened earlier still counts. Of cases at one time
+    the smaller id is taken. A missing diagnostic is a violation; rows with a null
+    time are left out.
+    """
+    keep_state_in_rocksdb(cases.sparkSession)
     reason = F.coalesce(*[F.when(F.col(k) > v, k) for k, v in limits.items()], *[F.when(F.col(k).isNull(), f"{k} missing") for k in limits])
-    rows = cases.withWatermark("ts", late).withColumn("reason", reason).where("reason is not null")
-    return rows.select("run_id", "ts", "case_id", "reason").dropDuplicatesWithinWatermark(["run_id"])
+    rows = cases.withColumn("reason", reason).withWatermark("ts", late).where(F.when(F.col("ts").isNotNull(), F.col("reason")).isNotNull())  # names ts, so that it stays above the watermark, which sound cases move as well
+    rows = rows.select("run_id", "ts", F.unix_micros("ts").alias("us"), F.coalesce(F.col("case_id").cast("string"), F.lit("")).alias("case_id"), "reason")
+    kind = cases.schema["run_id"].dataType.simpleString()
+    out = rows.groupBy("run_id").transformWithStateInPandas(_first_violation(), f"run_id {kind}, us long, case_id string, reason string", "append", "eventTime")
+    return out.select("run_id", F.timestamp_micros("us").alias("ts"), "case_id", "reason")
 
 
 def stream_summary(readings: DataFrame, width: str = "90 minutes", step: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -1,10 +1,15 @@
 """Jobs that need a mechanism of their own, against brute force."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from meshtide.operators import graph, raster
+from meshtide.operators import graph, raster, series, spatial
+from meshtide.sources import chunked, tables
+from meshtide.streaming import stateful
 
 
 def brute_components(edges):
@@ -51,3 +56,92 @@ def test_run_components_over_tiles(spark):
         for c, r in want.items():
             by_root.setdefault(r, set()).add(c)
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_root.values()))
+
+
+T0 = dt.datetime(2026, 1, 1)
+
+
+def streamed(spark, tmp_path, job, batches, kind, name):
+    """Rows of a streaming job over batches, each a file that is read on its own, in this order."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = job(source).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
+        assert q.awaitTermination(180)
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_stream_takes_late_rows_in_event_time(spark, tmp_path):
+    """The case of a row that comes after its successors but within the watermark, and shuffled batches of random depths."""
+    rng = np.random.default_rng(5)
+    depths = [(1, 0, 1.0), (1, 20, 1.0), (1, 10, 0.0), (1, 30, 0.0007)]
+    rows = [(c, T0 + dt.timedelta(minutes=m), h) for c, m, h in depths]
+    rows += [(c, T0 + dt.timedelta(minutes=int(m)), float(rng.choice([0.0002, 0.0007, 0.0015]))) for c in (2, 3) for m in range(0, 50, 2)]
+    order = rng.permutation(len(rows) - 4) + 4
+    batches = [rows[:2] + [rows[k] for k in order[:20]], [rows[2]] + [rows[k] for k in order[20:40]], [rows[3]] + [rows[k] for k in order[40:]], [(9, T0 + dt.timedelta(days=2), 1.0)]]
+    kind = "cell int, ts timestamp, h double"
+    got = streamed(spark, tmp_path, stateful.stream_hysteresis, batches, kind, "late").where("cell < 9").orderBy("cell", "ts").collect()
+    want = series.hysteresis(spark.createDataFrame(rows, kind), key="cell", order="ts").orderBy("cell", "ts").collect()
+    assert [(r["cell"], r["ts"], r["wet"]) for r in got] == [(r["cell"], r["ts"], r["wet"]) for r in want]
+    assert [r["change"] == "wetting" for r in got] == [r["newly_wet"] for r in want] and [r["change"] == "drying" for r in got] == [r["newly_dry"] for r in want]
+    assert [r["wet"] for r in got if r["cell"] == 1] == [1, 0, 1, 1]
+
+
+def test_stream_reports_the_earliest_violation(spark, tmp_path):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    batches = [[("a", at(30), 7, 2.0, 0.0), ("a", at(5), 1, 0.1, 0.0), ("b", at(3), 4, None, 0.0), (None, at(2), 3, 9.0, 0.0)], [("a", at(10), 2, 0.2, 1.0), ("a", at(10), 3, 3.0, 0.0), ("b", at(50), 5, 5.0, 0.0)], [("z", at(3000), 9, 0.0, 0.0)], [("z", at(6000), 9, 8.0, 0.0)], [("a", at(6100), 8, 9.0, 9.0)]]
+    got = streamed(spark, tmp_path, lambda d: stateful.stream_violations(d, {"cfl": 0.95, "mass": 1e-8}), batches, "run_id string, ts timestamp, case_id long, cfl double, mass double", "first").collect()
+    assert sorted((r["run_id"] or "", r["ts"], r["case_id"], r["reason"]) for r in got) == [("", at(2), "3", "cfl"), ("a", at(10), "2", "mass"), ("b", at(3), "4", "cfl missing"), ("z", at(6000), "9", "cfl")]
+
+
+def test_chunks_behind_a_manifest(spark, tmp_path):
+    """Round trip with the writer's manifest, pushdown seen in the partitions, broken chunks in quarantine."""
+    cells = spark.createDataFrame([(k, k + 0.5, k * 2.0, -k * 1.0) for k in range(95)], "index long, a double, b double, c double")
+    faces = spark.createDataFrame([(k, 1.0, 2.0) for k in range(25)], "index long, a double, b double")
+    chunks = tables.mesh_chunks(cells, "triangle", "index", 10).unionByName(tables.mesh_chunks(faces, "face", "index", 10))
+    manifest = chunked.write_chunks(chunks, str(tmp_path / "mesh"))
+    every = chunked.read_chunks(spark, manifest)
+    assert every.rdd.getNumPartitions() == 13 and every.where("problem is not null").count() == 0
+    some = every.where("kind = 'triangle' and index >= 30 and index < 45")
+    assert some.rdd.getNumPartitions() == 2 and sorted(r["index"] for r in some.collect()) == list(range(30, 45))
+    narrow = chunked.read_chunks(spark, manifest, "kind string, index long, c double, problem string", ["a", "b", "c"]).where("kind = 'triangle'")
+    assert sorted((r["index"], r["c"]) for r in narrow.collect()) == [(k, -float(k)) for k in range(95)]
+    entries = {(r["kind"], r["start"]): r for r in spark.read.json(manifest).collect()}
+    broken = entries["triangle", 20]["url"].removeprefix("file:")
+    with open(broken) as f:
+        text = f.read()
+    with open(broken, "w") as f:
+        f.write(text.replace("20.5", "20.6"))
+    kept = [r for k, r in entries.items() if k != ("face", 10)]
+    gap = str(tmp_path / "gap")
+    spark.createDataFrame(kept).coalesce(1).write.json(gap)
+    bad = chunked.read_chunks(spark, gap)
+    assert sorted((r["kind"], r["problem"]) for r in bad.where("problem is not null").collect()) == [("face", "starts at 20, not at 10"), ("triangle", "checksum")]
+    assert bad.where("problem is null").count() == 95 - 10 + 10
+    with pytest.raises(Exception, match="checksum"):
+        chunked.read_chunks(spark, manifest, strict=True).collect()
+    with pytest.raises(Exception, match="(?i)exist"):
+        chunked.write_chunks(chunks, str(tmp_path / "mesh"))
+
+
+def greedy(rows, n, stand_gap, target_gap):
+    out = []
+    for scene in sorted({r[0] for r in rows}):
+        own, kept = sorted((r for r in rows if r[0] == scene), key=lambda r: (-r[6], r[1])), []
+        for both in (True, False):
+            for r in own:
+                if len(kept) < n and r not in kept and all(np.hypot(r[4] - k[4], r[5] - k[5]) >= stand_gap and (not both or np.hypot(r[2] - k[2], r[3] - k[3]) >= target_gap) for k in kept):
+                    kept.append(r)
+        out += [(scene, r[1], k) for k, r in enumerate(kept, 1)]
+    return out
+
+
+@pytest.mark.parametrize(("n", "side"), [(8, 900), (8, 260), (400, 700)])
+def test_hotspots_apart_equal_the_greedy_walk(spark, n, side):
+    rng = np.random.default_rng(n + side)
+    rows = [(f"s{k % 2}", k, *(float(x) for x in rng.uniform(0, side, 4)), float(rng.integers(0, 50))) for k in range(400)]
+    df = spark.createDataFrame([*rows, ("s0", 999, 1.0, 1.0, 1.0, 1.0, None), (None, 998, 1.0, 1.0, 1.0, 1.0, 99.0), ("s1", 997, 5.0, 5.0, 5.0, 5.0, 1e9)], "scene string, id long, tx double, ty double, sx double, sy double, score double")
+    got = spatial.hotspots_apart(df, n, allowed=F.col("id") != 997).collect()
+    assert sorted((r["scene"], r["id"], r["rank"]) for r in got) == sorted(greedy(rows, n, 85, 90))
+    if n == 8:
+        assert spatial.hotspots_apart(df.limit(0)).count() == 0

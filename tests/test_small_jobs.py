@@ -161,10 +161,10 @@ def test_written_statistics(spark, tmp_path):
 
 def test_run_monitor(spark, tmp_path):
     t0 = dt.datetime(2026, 1, 1)
-    cases = [("r", t0, 1, 0.5, 0.0), ("r", t0 + dt.timedelta(minutes=1), 2, 0.99, 0.0), ("r", t0 + dt.timedelta(minutes=2), 3, 0.99, 1.0), ("q", t0, 4, 0.1, None), ("p", t0, 5, 0.1, 0.0)]
+    cases = [("r", t0, 1, 0.5, 0.0), ("r", t0 + dt.timedelta(minutes=1), 2, 0.99, 0.0), ("r", t0 + dt.timedelta(minutes=2), 3, 0.99, 1.0), ("q", t0, 4, 0.1, None), ("p", t0, 5, 0.1, 0.0), ("p", t0 + dt.timedelta(days=1), 6, 0.1, 0.0)]
     d = spark.createDataFrame(cases, "run_id string, ts timestamp, case_id int, cfl double, mass double")
     d.coalesce(1).write.parquet(str(tmp_path / "in"))
     found = stateful.stream_violations(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), {"cfl": 0.95, "mass": 1e-8})
     q = found.writeStream.format("memory").queryName("monitor").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
-    assert rows(spark.table("monitor").select("run_id", "case_id", "reason"), "run_id") == [("q", 4, "mass missing"), ("r", 2, "cfl")]
+    assert rows(spark.table("monitor").select("run_id", "case_id", "reason"), "run_id") == [("q", "4", "mass missing"), ("r", "2", "cfl")]
