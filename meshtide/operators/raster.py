@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.operators.graph import connected_components
+from meshtide.session import settled
 
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
 AROUND = tuple((dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1))
@@ -121,6 +122,78 @@ def region_outline(cells: DataFrame) -> DataFrame:
     return s.join(other, ["nx", "ny"], "left_anti").select("ix", "iy", "dx", "dy")
 
 
+#: Sides of a cell as (dx, dy, from corner, to corner), anticlockwise, so that the cell lies to the left.
+WALK = ((1, 0, (1, 0), (1, 1)), (0, 1, (1, 1), (0, 1)), (-1, 0, (0, 1), (0, 0)), (0, -1, (0, 0), (1, 0)))
+
+
+def outline_edges(cells: DataFrame) -> DataFrame:
+    """``id, next, ix, iy, ax, ay, bx, by``: the outline's sides with the side that follows; ids are distinct for coordinates within 2**28 of zero.
+
+    Where two cells touch at a corner alone, a side is followed by one of its own cell.
+    """
+    side = F.lit(None)
+    for k, (dx, dy, _, _) in enumerate(WALK):
+        side = F.when((F.col("dx") == dx) & (F.col("dy") == dy), k).otherwise(side)
+    corner = lambda end, axis: F.get(F.array(*[F.lit(w[end][axis]) for w in WALK]), F.col("side"))
+    e = region_outline(cells.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).distinct()).withColumn("side", side)
+    e = e.select(((F.col("iy") * (1 << 30) + F.col("ix")) * 4 + F.col("side")).alias("id"), "ix", "iy", *[(F.col(f"i{c}") + corner(end, axis)).alias(f"{name}{c}") for end, name in ((2, "a"), (3, "b")) for axis, c in enumerate("xy")])
+    after = e.select(F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("n"), F.col("ix").alias("nx"), F.col("iy").alias("ny"))
+    own = (F.col("nx") == F.col("ix")) & (F.col("ny") == F.col("iy"))
+    follow = e.join(after, ["bx", "by"]).groupBy("id").agg(F.min(F.struct((~own).alias("other"), "n"))["n"].alias("next"))  # two rows at most
+    return e.join(follow, "id")
+
+
+def _cycles(links: DataFrame) -> DataFrame:
+    """``id, ring, at, size`` of ``links(id, next)`` that form cycles: the smallest id of the cycle, the steps from it, the cycle's length.
+
+    Pointer jumping: each round doubles how far a row sees, so a cycle of n rows takes log n joins.
+    """
+    s = settled(links.select("id", F.col("next").alias("jump"), F.col("id").alias("low")))
+    seen = None
+    while (now := s.agg(F.sum(F.col("low").cast("decimal(38,0)"))).first()[0]) != seen:
+        seen, there = now, s.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
+        s = settled(s.join(there, "jump").select("id", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low")))
+    ring = s.select("id", F.col("low").alias("ring"))
+    # the cycles are cut before their smallest row; rows then count the steps to the end
+    s = settled(links.join(ring, "id").select("id", "ring", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("jump"), F.lit(1).cast("long").alias("left")))
+    while not s.where("jump is not null").isEmpty():
+        there = s.select(F.col("id").alias("jump"), F.col("jump").alias("_jump"), F.col("left").alias("_left"))
+        s = settled(s.join(there, "jump", "left").select("id", "ring", F.col("_jump").alias("jump"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")))
+    size = s.groupBy("ring").agg(F.count(F.lit(1)).alias("size"))
+    return s.join(size, "ring").select("id", "ring", (F.col("size") - F.col("left")).alias("at"), "size")
+
+
+def outline_rings(cells: DataFrame) -> DataFrame:
+    """``ix, ring, k, lng, lat``: the corners of closed rings around the 4-neighbour regions of ``cells(ix, iy)``.
+
+    ``ix`` is the region's component; ring 0 is its outside, anticlockwise, the
+    others are its holes, clockwise. Corners where the outline goes straight on are
+    left out. Coordinates are those of the cells' corners.
+    """
+    e = outline_edges(cells)
+    e = settled(e.join(_cycles(e), "id"))
+    before = e.select(F.col("next").alias("id"), (F.col("bx") - F.col("ax")).alias("px"), (F.col("by") - F.col("ay")).alias("py"))
+    turns = e.join(before, "id").where((F.col("bx") - F.col("ax") != F.col("px")) | (F.col("by") - F.col("ay") != F.col("py")))
+    label = e.where(F.col("id") == F.col("ring")).select("ring", "ix", "iy").join(cell_components(cells), ["ix", "iy"]).select("ring", "component")
+    area = e.groupBy("ring").agg(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("area"))
+    order = W.partitionBy("component").orderBy(F.col("area") < 0, "ring")  # a region has one outside
+    named = label.join(area, "ring").withColumn("number", F.row_number().over(order) - 1)
+    k = F.row_number().over(W.partitionBy("ring").orderBy("at")) - 1
+    return turns.withColumn("k", k).join(named, "ring").select(F.col("component").alias("ix"), F.col("number").alias("ring"), "k", F.col("ax").cast("double").alias("lng"), F.col("ay").cast("double").alias("lat"))
+
+
+def cells_of_rings(segments: DataFrame) -> DataFrame:
+    """``feature, row, x0, x1``: the runs of cells inside ``segments(feature, ring, ax, ay, bx, by)`` along cell borders, holes left out.
+
+    Of a row the upright segments that cross it, from left to right, are in turn
+    begin and end of a run.
+    """
+    up = segments.where("ax = bx and ay <> by").select("feature", F.col("ax").cast("long").alias("x"), F.least("ay", "by").cast("int").alias("y0"), (F.greatest("ay", "by") - 1).cast("int").alias("y1"))
+    at = up.select("feature", "x", F.explode(F.sequence("y0", "y1")).alias("row"))
+    w = W.partitionBy("feature", "row").orderBy("x")
+    return at.select("feature", "row", F.col("x").alias("x0"), (F.lead("x").over(w) - 1).alias("x1"), F.row_number().over(w).alias("n")).where("n % 2 = 1 and x1 >= x0").drop("n")
+
+
 def grid_confusion(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row: cells that differ, false negatives, false positives for ``(ix, iy, flag)`` grids; absent cells are false."""
     j = expected.select("ix", "iy", F.col("flag").alias("e")).join(actual.select("ix", "iy", F.col("flag").alias("a")), ["ix", "iy"], "full_outer")

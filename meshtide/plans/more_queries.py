@@ -14,6 +14,7 @@ from meshtide.operators import ensemble, graph, mesh, quality, raster, series, s
 from meshtide.plans import views as V
 from meshtide.plans.queries import _RULES, ORACLE_SQL, query, rounded
 from meshtide.session import shared_dir, table
+from meshtide.sources import tables
 from meshtide.streaming import stateful
 
 _WALLS = [(200.31, 150.77, 610.53, 480.19), (90.11, 820.37, 930.71, 640.93)]
@@ -258,3 +259,13 @@ w AS (SELECT scene, arg_max(kept, len(kept)) AS kept FROM g GROUP BY 1)
 SELECT scene, q.id AS id, round(q.score, 6) + 0.0 AS score, rank FROM (SELECT scene, unnest(kept) AS q, unnest(range(1, len(kept) + 1)) AS rank FROM w)""")
 def spatial_points_apart(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spatial.points_apart(V.points(spark, sf)))
+
+
+@query(f"""WITH {V.POINTS} SELECT DISTINCT floor(x / 18)::BIGINT AS ix, floor(y / 18)::BIGINT AS iy FROM points WHERE score > 0.035""")
+def raster_rings_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells to outlines, closed rings, GeoJSON polygons with holes, and back to cells."""
+    c = V.points(spark, sf).where("score > 0.035").select(F.floor(F.col("x") / 18).alias("ix"), F.floor(F.col("y") / 18).alias("iy")).distinct()
+    corners = raster.outline_rings(c).withColumns({"kind": F.lit("water_polygon"), "geom_type": F.lit("Polygon")})
+    features = tables.parsed_features(tables.geojson_features(corners))
+    runs = raster.cells_of_rings(tables.closed_segments(tables.rings(features)))
+    return runs.select(F.explode(F.sequence("x0", "x1")).alias("ix"), F.col("row").cast("long").alias("iy"))

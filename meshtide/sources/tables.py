@@ -100,11 +100,16 @@ def write_geojson(points: DataFrame, path: str) -> None:
     geojson_features(points).select(F.col("feature").alias("value")).write.mode("errorifexists").text(path)
 
 
+def parsed_features(lines: DataFrame, text: str = "feature") -> DataFrame:
+    """The columns of ``lines`` beside the text of a feature, and ``kind, props, geom_type, coordinates`` of it."""
+    one = FEATURES.removeprefix("features array<").removesuffix(">")
+    f = lines.withColumn("_f", F.from_json(text, one)).drop(text)
+    return f.select("*", F.col("_f.properties")["kind"].alias("kind"), F.col("_f.properties").alias("props"), F.col("_f.geometry.type").alias("geom_type"), F.col("_f.geometry.coordinates").alias("coordinates")).drop("_f")
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """``kind, props, geom_type, coordinates`` of line-wise features."""
-    one = FEATURES.removeprefix("features array<").removesuffix(">")
-    f = spark.read.text(path).select(F.from_json("value", one).alias("f"))
-    return f.select(F.col("f.properties")["kind"].alias("kind"), F.col("f.properties").alias("props"), F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    return parsed_features(spark.read.text(path), "value")
 
 
 def read_field_archive(spark: SparkSession, path: str, ids: str = "case_ids", depth: str = "water_depth_m", u: str = "velocity_u_ms", v: str = "velocity_v_ms") -> DataFrame:

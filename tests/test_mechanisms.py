@@ -145,3 +145,30 @@ def test_hotspots_apart_equal_the_greedy_walk(spark, n, side):
     assert sorted((r["scene"], r["id"], r["rank"]) for r in got) == sorted(greedy(rows, n, 85, 90))
     if n == 8:
         assert spatial.hotspots_apart(df.limit(0)).count() == 0
+
+
+def test_rings_close_and_nest(spark, tmp_path):
+    """A frame with an island in its hole, cells that touch at corners, and random cells: rings to GeoJSON files and back."""
+    frame = {(x, y) for x in range(7) for y in range(7)} - {(x, y) for x in range(1, 6) for y in range(1, 6)} | {(3, 3)}
+    rng = np.random.default_rng(8)
+    random = {(int(x) - 40, int(y) + 20) for x, y in rng.integers(0, 24, (260, 2))}
+    for n, cells in enumerate((frame, {(0, 0), (1, 1), (0, 2), (-1, 1)}, random)):
+        df = spark.createDataFrame([(*c, 1) for c in cells], "ix int, iy int, ring int")
+        corners = raster.outline_rings(df)
+        rows = corners.orderBy("ix", "ring", "k").collect()
+        rings = {}
+        for r in rows:
+            rings.setdefault((r["ix"], r["ring"]), []).append((r["lng"], r["lat"]))
+        for (_, ring), line in rings.items():
+            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(line, [*line[1:], line[0]], strict=True)) / 2
+            assert (area > 0) == (ring == 0) and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(line, [*line[1:], line[0]], strict=True))
+        total = sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(line, [*line[1:], line[0]], strict=True)) / 2 for line in rings.values())
+        assert total == len(cells)
+        if cells is frame:
+            assert sorted(len(x) for x in rings.values()) == [4, 4, 4] and len({k for k, _ in rings}) == 2
+        path = str(tmp_path / f"r{n}")
+        tables.write_geojson(corners.withColumns({"kind": F.lit("water"), "geom_type": F.lit("Polygon")}), path)
+        back = tables.read_features(spark, path).withColumn("ix", F.monotonically_increasing_id())
+        runs = raster.cells_of_rings(tables.closed_segments(tables.rings(back)))
+        assert sorted((r["x"], r["row"]) for r in runs.select("row", F.explode(F.sequence("x0", "x1")).alias("x")).collect()) == sorted(cells)
+    assert raster.outline_rings(df.limit(0)).count() == 0
