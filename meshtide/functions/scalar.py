@@ -143,6 +143,33 @@ def gate_area(width: Column, height: Column, opening: Column) -> Column:
     return width * height * F.least(F.lit(1.0), F.greatest(F.lit(0.0), opening))
 
 
+def structure_discharge(mode: Column, head_a: Column, head_b: Column, coefficient: Column, area: Column, width: Column, height: Column, opening: Column, fixed: Column) -> Column:
+    """Flow from a to b by the structure's mode: ``disabled``, ``fixed``, ``orifice`` (its area) or ``gate`` (width x height x opening); null for other modes."""
+    gate = orifice_discharge(head_a, head_b, coefficient, gate_area(width, height, opening))
+    return F.when(mode == "disabled", F.lit(0.0)).when(mode == "fixed", fixed).when(mode == "orifice", orifice_discharge(head_a, head_b, coefficient, area)).when(mode == "gate", gate)
+
+
+def exact_sum(x: Column) -> Column:
+    """A sum of doubles that does not depend on their order.
+
+    Each value is split without error into whole multiples of 2**-20, 2**-50 and
+    2**-80, which are added as integers; what lies below 2**-80 is left out, so the
+    sum is exact for values that are multiples of that and below 2**43. Nulls are left out.
+    """
+    parts, rest = [], x
+    for bits in (20, 30, 30):
+        scaled = rest * float(1 << bits)
+        parts.append(F.floor(scaled))
+        rest = scaled - parts[-1]
+    sums = [F.sum(p.cast("decimal(20,0)")) for p in parts]
+    return sums[0].cast("double") / 2.0**20 + sums[1].cast("double") / 2.0**50 + sums[2].cast("double") / 2.0**80
+
+
+def within_ulps(a: Column, b: Column, ulps: int = 8) -> Column:
+    """Equal to a few units in the last place of the larger of them and 1; null counts as unequal."""
+    return F.coalesce(F.abs(a - b) <= ulps * 2.0**-52 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b)), F.lit(False))
+
+
 def wide_channel_discharge(depth: Column, slope: Column, roughness: Column) -> Column:
     """Manning flow for each unit of width."""
     return F.pow(depth, 5 / 3) * F.sqrt(slope) / roughness

@@ -136,6 +136,20 @@ def stratified_design(spark, prior: DataFrame, n: int, seed: int = 0) -> DataFra
     return rows.select(order.alias("case_ix"), "name", F.round(F.col("low") + (F.col("high") - F.col("low")) * (F.col("stratum") + jitter) / n, 8).alias("value"))
 
 
+def design_categories(spark, categories: dict[str, list[str]], n: int, seed: int = 0) -> DataFrame:
+    """``case_ix, name, value``: each category rotates through its values, from the one that the seed names; an empty list gives none."""
+    rows = [(k, len(v), list(v)) for k, v in categories.items() if v]
+    c = spark.createDataFrame(rows, "name string, k int, labels array<string>")
+    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.explode(F.array().cast("array<int>"))
+    return c.withColumn("case_ix", i.cast("long")).select("case_ix", "name", F.get("labels", ((F.col("case_ix") + F.pmod(F.lit(seed), F.col("k"))) % F.col("k")).cast("int")).alias("value"))
+
+
+def case_name(case_ix: Column, prefix: str = "case-", digits: int = 4) -> Column:
+    """Names from 1 on, as ``case-0001``; larger numbers take the digits they need."""
+    number = (case_ix + 1).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))
+
+
 def run_ensemble(cases: DataFrame, solver, schema: str, key: str = "case_id") -> DataFrame:
     """Runs a user function on each case (pandas rows in, pandas rows out); an error becomes a failed row.
 

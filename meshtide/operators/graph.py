@@ -215,3 +215,20 @@ def integral(df: DataFrame, value: str = "value", weight: str = "weight") -> Dat
     """One row ``integral``: the sum of value times weight; negative weights are refused with null."""
     bad = F.sum(F.when(F.col(weight) < 0, 1).otherwise(0))
     return df.agg(F.when(bad == 0, F.sum(F.col(value) * F.col(weight))).alias("integral"))
+
+
+def structure_sources(structures: DataFrame) -> DataFrame:
+    """``cell_id, mass, momentum_x, momentum_y`` that ``structures(cell_a, cell_b, discharge, dir_x, dir_y, speed)`` take from a and give to b.
+
+    What leaves one cell enters the other, so each column sums to zero. Momentum is
+    the discharge times the speed in its direction (a unit vector is made of it);
+    a null or zero direction, or a null speed, carries none. Structures with a null
+    discharge, a null cell or one cell twice are left out.
+    """
+    norm = F.sqrt(F.pow("dir_x", 2) + F.pow("dir_y", 2))
+    q = F.col("discharge")
+    carried = q * F.signum(q) * F.coalesce("speed", F.lit(0.0))
+    along = lambda c: F.coalesce(carried * F.try_divide(F.col(c), norm), F.lit(0.0))
+    s = structures.where("discharge is not null and cell_a is not null and cell_b is not null and cell_a <> cell_b").select("cell_a", "cell_b", q.alias("m"), along("dir_x").alias("px"), along("dir_y").alias("py"))
+    ends = F.array(F.struct(F.col("cell_a").alias("cell_id"), (-F.col("m")).alias("m"), (-F.col("px")).alias("px"), (-F.col("py")).alias("py")), F.struct(F.col("cell_b").alias("cell_id"), "m", "px", "py"))
+    return s.select(F.explode(ends).alias("e")).groupBy("e.cell_id").agg(F.sum("e.m").alias("mass"), F.sum("e.px").alias("momentum_x"), F.sum("e.py").alias("momentum_y"))

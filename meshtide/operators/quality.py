@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meshtide.functions.scalar import criterion
+from meshtide.functions.scalar import criterion, exact_sum, within_ulps
 
 
 def error_norms(samples: DataFrame, group: str = "group") -> DataFrame:
@@ -64,6 +64,39 @@ def run_evaluation(cases: DataFrame, limits: dict[str, float], run: str = "run_i
     return a.select(run, F.explode(rows).alias("c")).select(run, "c.*").withColumn("ok", F.coalesce(F.col("value") <= F.col("limit"), F.lit(False)))
 
 
+def report_evaluation(cases: DataFrame, reports: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """``run_id, kind, check, value, target, ok``: what a run's report states, against its cases and against the limits.
+
+    ``cases(run_id, status, wall_s, sim_s, mass_error, cfl)``; ``reports(run_id, cases,
+    completed, failed, nan_count, negative_count, wall_total, wall_s, memory, max_cfl,
+    max_mass, sim_min, sim_max, min_depth, unchanged)``, a row for each run. Kind
+    ``reported``: the value recomputed from the rows (sums do not depend on their
+    order, extremes are those of completed cases) equals the stated one to 8 units
+    in the last place; counts exactly. Kind ``accepted``: stated values within ``limits``
+    (cases, completed_fraction, nan_count, negative_count, cfl, mass, wall, memory).
+    A run without a report, or a report without cases, fails all its checks; null counts as not fulfilled.
+    """
+    done = F.col("status") == "completed"
+    of_done = lambda f, c: f(F.when(done, c))
+    own = cases.groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("double").alias("own_cases"), F.count_if(done).cast("double").alias("own_completed"), F.count_if(F.col("status") == "failed").cast("double").alias("own_failed"), exact_sum(F.col("wall_s")).alias("own_wall_total"),
+        of_done(F.max, F.col("cfl")).alias("own_max_cfl"), of_done(F.max, F.abs("mass_error")).alias("own_max_mass"), of_done(F.min, F.col("sim_s")).alias("own_sim_min"), of_done(F.max, F.col("sim_s")).alias("own_sim_max"))
+    j = own.join(reports, "run_id", "full_outer")
+    row = lambda kind, name, value, target, ok: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("check"), value.cast("double").alias("value"), target.cast("double").alias("target"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    stated = [row("reported", c, F.col(f"own_{c}"), F.col(c), F.col(f"own_{c}") == F.col(c)) for c in ("cases", "completed", "failed")]
+    stated += [row("reported", c, F.col(f"own_{c}"), F.col(c), within_ulps(F.col(f"own_{c}"), F.col(c))) for c in ("wall_total", "max_cfl", "max_mass", "sim_min", "sim_max")]
+    slack = 8 * 2.0**-52 * F.greatest(F.lit(1.0), F.col("wall_s"), F.col("wall_total"))
+    stated.append(row("reported", "wall_covers_cases", F.col("wall_s"), F.col("wall_total"), F.col("wall_s") + slack >= F.col("wall_total")))
+    limit = {k: F.lit(float(v)) for k, v in limits.items()}
+    most = {"nan_count": "nan_count", "negative_count": "negative_count", "cfl": "max_cfl", "mass": "max_mass", "wall": "wall_s", "memory": "memory"}
+    accepted = [row("accepted", "attempted", F.col("cases"), limit["cases"], F.col("cases") == limit["cases"]), row("accepted", "completed_fraction", F.col("completed") / limit["cases"], limit["completed_fraction"], F.col("completed") / limit["cases"] >= limit["completed_fraction"])]
+    accepted.append(row("accepted", "failed", F.col("failed"), F.lit(0), F.col("failed") == 0))
+    accepted += [row("accepted", k, F.col(c), limit[k], F.col(c) <= limit[k]) for k, c in most.items()]
+    accepted += [row("accepted", "min_depth", F.col("min_depth"), F.lit(0), F.col("min_depth") >= 0), row("accepted", "unchanged", F.col("unchanged").cast("int"), F.lit(1), F.col("unchanged"))]
+    both = F.col("own_cases").isNotNull() & F.col("cases").isNotNull()
+    return j.select("run_id", both.alias("both"), F.explode(F.array(*stated, *accepted)).alias("c")).select("run_id", "c.kind", "c.check", "c.value", "c.target", (F.col("both") & F.col("c.ok")).alias("ok"))
+
+
 def tier_evaluation(results: DataFrame, tiers: DataFrame) -> DataFrame:
     """``tier, passed, next_tier``: results(tier, wall_s) against tiers(tier, ix, limit_s); the next tier opens if passed."""
     t = tiers.withColumn("next", F.lead("tier").over(W.orderBy("ix")))  # a handful of tiers

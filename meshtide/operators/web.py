@@ -138,15 +138,20 @@ def reachability(fetches: DataFrame, required: DataFrame) -> DataFrame:
     return j.select("station", F.coalesce("tries", F.lit(0)).alias("tries"), ok.alias("ok"), (F.coalesce("wanted", F.lit(False)) & (ok == 0)).alias("missing"))
 
 
-def flattened(df: DataFrame, id_col: str, json_col: str, depth: int = 8) -> DataFrame:
-    """``id, path, value``: the scalars of JSON texts with their paths, down to ``depth`` levels; deeper values come as JSON text."""
-    rows = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
-    out = None
-    for level in range(depth):
-        kind = F.schema_of_variant("v")
-        nested = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & (F.lit(level < depth - 1))
-        flat = rows.where(~nested).select("id", "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"))
-        out = flat if out is None else out.union(flat)
-        rows.createOrReplaceTempView("_flatten_level")
-        rows = df.sparkSession.sql("SELECT r.id, CASE WHEN e.key IS NULL THEN concat(r.path, '[', e.pos, ']') ELSE concat(r.path, '.', e.key) END AS path, e.value AS v FROM _flatten_level r, LATERAL variant_explode(r.v) e")
-    return out
+def flattened(df: DataFrame, id_col: str, json_col: str, levels: int = 1000) -> DataFrame:
+    """``id, path, value``: the scalars of JSON texts with their paths, at any depth.
+
+    A recursive query unfolds one level of all rows at a time; the texts are read
+    and parsed once. Texts that are not JSON, and empty objects and arrays, give no
+    row; JSON null gives the text ``null``. A text nested deeper than ``levels`` fails the job; nothing is cut.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many rows as there are scalars
+    rows = df.select(F.col(id_col).alias("id"), F.try_parse_json(json_col).alias("v")).where("v is not null")
+    return spark.sql(f"""
+        WITH RECURSIVE found(id, path, v) MAX RECURSION LEVEL {int(levels)} AS (
+          SELECT id, '$', v FROM {{rows}}
+          UNION ALL
+          SELECT f.id, CASE WHEN e.key IS NULL THEN concat(f.path, '[', e.pos, ']') ELSE concat(f.path, '.', e.key) END, e.value FROM found f, LATERAL variant_explode(f.v) e)
+        SELECT id, path, coalesce(try_variant_get(v, '$', 'string'), to_json(v)) AS value FROM found
+        WHERE NOT (startswith(schema_of_variant(v), 'OBJECT') OR startswith(schema_of_variant(v), 'ARRAY'))""", rows=rows)

@@ -278,7 +278,7 @@ h AS (SELECT id, min(cell_id) AS cell_id FROM z JOIN t ON z.x BETWEEN least(ax,
 SELECT id AS point_id, coalesce(cell_id, -1) AS cell_id FROM z LEFT JOIN h USING (id)""")
 def mesh_locate(spark: SparkSession, sf: str) -> DataFrame:
     p = V.points(spark, sf).select(F.col("id").alias("point_id"), (F.col("x") / 16).alias("x"), (F.col("y") / 40).alias("y"))
-    return mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0).withColumn("cell_id", F.coalesce("cell_id", F.lit(-1)))
+    return mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0).select("point_id", F.coalesce("cell_id", F.lit(-1)).alias("cell_id"))
 
 
 _KINDS = (("interior", "r IS NOT NULL"), ("boundary", "r IS NULL"))
@@ -406,7 +406,7 @@ def text_redact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS value, '$.k' AS path FROM events")
 def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
-    return web.flattened(table(spark, sf, "events"), "event_id", "props", 3).withColumnRenamed("id", "event_id")
+    return web.flattened(table(spark, sf, "events"), "event_id", "props").withColumnRenamed("id", "event_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(sign(l_extendedprice / 1e4 - l_quantity / 10) * 0.6 * (l_discount + 1) * sqrt(2 * 9.81 * abs(l_extendedprice / 1e4 - l_quantity / 10)), 6) + 0.0 AS q,

@@ -1,13 +1,16 @@
 """Jobs that need a mechanism of their own, against brute force."""
 
 import datetime as dt
+import json
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meshtide.operators import graph, raster, series, spatial
+from meshtide.functions import scalar
+from meshtide.operators import ensemble, graph, quality, raster, series, spatial, web
 from meshtide.sources import chunked, tables
 from meshtide.streaming import stateful
 
@@ -172,3 +175,56 @@ def test_rings_close_and_nest(spark, tmp_path):
         runs = raster.cells_of_rings(tables.closed_segments(tables.rings(back)))
         assert sorted((r["x"], r["row"]) for r in runs.select("row", F.explode(F.sequence("x0", "x1")).alias("x")).collect()) == sorted(cells)
     assert raster.outline_rings(df.limit(0)).count() == 0
+
+
+def test_sums_do_not_depend_on_their_order(spark):
+    rng = np.random.default_rng(3)
+    x = [float(v) for v in rng.uniform(-1, 1, 3000) * 10.0 ** rng.integers(-6, 9, 3000)]
+    got = {spark.createDataFrame([(v,) for v in rng.permutation(x)], "x double").repartition(n).agg(scalar.exact_sum(F.col("x"))).first()[0] for n in (1, 3, 7)}
+    assert len(got) == 1 and got.pop() == pytest.approx(math.fsum(x), rel=2e-16)
+    assert spark.createDataFrame([(None,)], "x double").agg(scalar.exact_sum(F.col("x"))).first()[0] is None
+
+
+def test_reports_against_their_cases(spark):
+    cases = spark.createDataFrame([("r", "completed", 0.1, 5.0, -1e-12, 0.5), ("r", "completed", 0.2, 7.0, 1e-13, 0.4), ("r", "failed", 0.3, None, None, None), ("q", "completed", 1.0, 1.0, 0.0, 0.1)], "run_id string, status string, wall_s double, sim_s double, mass_error double, cfl double")
+    kind = "run_id string, cases int, completed int, failed int, nan_count int, negative_count int, wall_total double, wall_s double, memory double, max_cfl double, max_mass double, sim_min double, sim_max double, min_depth double, unchanged boolean"
+    sound = ("r", 3, 2, 1, 0, 0, math.fsum([0.1, 0.2, 0.3]), 1.0, 9.0, 0.5, 1e-12, 5.0, 7.0, 0.2, True)
+    limits = {"cases": 3, "completed_fraction": 0.6, "nan_count": 0, "negative_count": 0, "cfl": 0.95, "mass": 1e-8, "wall": 60, "memory": 100}
+    failed = lambda r: {(x["run_id"], x["check"]) for x in quality.report_evaluation(cases, spark.createDataFrame([r], kind), limits).where("not ok").collect()}
+    base = failed(sound)
+    assert {c for r, c in base if r == "r"} == {"failed"} and len({c for r, c in base if r == "q"}) == 20  # q has no report
+    for at, name in ((1, "cases"), (2, "completed"), (3, "failed"), (6, "wall_total"), (9, "max_cfl"), (10, "max_mass"), (11, "sim_min"), (12, "sim_max")):
+        off = sound[at] + 1 if isinstance(sound[at], int) else sound[at] + 1e-9
+        assert ("r", name) in failed((*sound[:at], off, *sound[at + 1 :]))
+    for at, value, name in ((4, 1, "nan_count"), (5, 1, "negative_count"), (7, 61.0, "wall"), (8, 101.0, "memory"), (13, -0.1, "min_depth"), (14, None, "unchanged"), (7, 0.5, "wall_covers_cases"), (13, None, "min_depth")):
+        assert ("r", name) in failed((*sound[:at], value, *sound[at + 1 :]))
+
+
+def test_structures_take_and_give(spark):
+    rows = [(1, 2, 3.0, 3.0, 4.0, 2.0), (2, 3, -1.0, 1.0, 0.0, 2.0), (1, 3, 5.0, 0.0, 0.0, 1.0), (2, 2, 9.0, 1.0, 0.0, 1.0), (1, 2, None, 1.0, 0.0, 1.0)]
+    r = {x["cell_id"]: x for x in graph.structure_sources(spark.createDataFrame(rows, "cell_a int, cell_b int, discharge double, dir_x double, dir_y double, speed double")).collect()}
+    assert [r[k]["mass"] for k in (1, 2, 3)] == [-8.0, 4.0, 4.0] and [r[k]["momentum_x"] for k in (1, 2, 3)] == pytest.approx([-3.6, 1.6, 2.0]) and [r[k]["momentum_y"] for k in (1, 2, 3)] == pytest.approx([-4.8, 4.8, 0.0])
+    f = lambda mode: spark.range(1).select(scalar.structure_discharge(F.lit(mode), F.lit(2.0), F.lit(1.0), F.lit(0.5), F.lit(4.0), F.lit(2.0), F.lit(3.0), F.lit(1.7), F.lit(-7.0))).first()[0]
+    assert [f(m) for m in ("disabled", "fixed", "orifice", "gate", "other")] == [0.0, -7.0, pytest.approx(2 * (2 * 9.81) ** 0.5), pytest.approx(3 * (2 * 9.81) ** 0.5), None]
+
+
+def test_design_rotates_categories(spark):
+    d = ensemble.design_categories(spark, {"kind": ["a", "b", "c"], "none": []}, 7, 4).withColumn("case", ensemble.case_name(F.col("case_ix"))).orderBy("case_ix").collect()
+    assert [(r["case"], r["value"]) for r in d] == [(f"case-{k + 1:04}", "abc"[(k + 4) % 3]) for k in range(7)]
+    assert spark.range(1).select(ensemble.case_name(F.lit(123_455))).first()[0] == "case-123456"
+
+
+def test_json_of_any_depth(spark):
+    deep = "x"
+    for k in range(30):
+        deep = {"a": deep, "b": [k]} if k % 2 else [deep, None]
+    got = {(r["id"], r["path"]): r["value"] for r in web.flattened(spark.createDataFrame([(1, json.dumps(deep)), (2, "no json"), (3, None), (4, "7"), (5, '{"e": {}, "f": []}')], "id int, j string"), "id", "j").collect()}
+
+    def leaves(x, path):
+        if isinstance(x, dict):
+            return [y for k, v in x.items() for y in leaves(v, f"{path}.{k}")]
+        if isinstance(x, list):
+            return [y for k, v in enumerate(x) for y in leaves(v, f"{path}[{k}]")]
+        return [(path, "null" if x is None else str(x))]
+
+    assert got == {(1, p): v for p, v in leaves(deep, "$")} | {(4, "$"): "7"}
