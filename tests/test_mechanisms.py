@@ -180,7 +180,7 @@ def test_rings_close_and_nest(spark, tmp_path):
 def test_sums_do_not_depend_on_their_order(spark):
     rng = np.random.default_rng(3)
     x = [float(v) for v in rng.uniform(-1, 1, 3000) * 10.0 ** rng.integers(-6, 9, 3000)]
-    got = {spark.createDataFrame([(v,) for v in rng.permutation(x)], "x double").repartition(n).agg(scalar.exact_sum(F.col("x"))).first()[0] for n in (1, 3, 7)}
+    got = {spark.createDataFrame([(float(v),) for v in rng.permutation(x)], "x double").repartition(n).agg(scalar.exact_sum(F.col("x"))).first()[0] for n in (1, 3, 7)}
     assert len(got) == 1 and got.pop() == pytest.approx(math.fsum(x), rel=2e-16)
     assert spark.createDataFrame([(None,)], "x double").agg(scalar.exact_sum(F.col("x"))).first()[0] is None
 
