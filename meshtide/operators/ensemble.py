@@ -140,8 +140,8 @@ def design_categories(spark, categories: dict[str, list[str]], n: int, seed: int
     """``case_ix, name, value``: each category rotates through its values, from the one that the seed names; an empty list gives none."""
     rows = [(k, len(v), list(v)) for k, v in categories.items() if v]
     c = spark.createDataFrame(rows, "name string, k int, labels array<string>")
-    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.explode(F.array().cast("array<int>"))
-    return c.withColumn("case_ix", i.cast("long")).select("case_ix", "name", F.get("labels", ((F.col("case_ix") + F.pmod(F.lit(seed), F.col("k"))) % F.col("k")).cast("int")).alias("value"))
+    cases = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")), lambda i: i < n)
+    return c.withColumn("case_ix", F.explode(cases)).select("case_ix", "name", F.get("labels", ((F.col("case_ix") + F.pmod(F.lit(seed), F.col("k"))) % F.col("k")).cast("int")).alias("value"))
 
 
 def case_name(case_ix: Column, prefix: str = "case-", digits: int = 4) -> Column:
