@@ -63,10 +63,10 @@ def closure_check(edges: DataFrame, vertices: DataFrame, cells: DataFrame) -> Da
     return j.groupBy("cell_id").agg(F.sum(side * nx).alias("nx"), F.sum(side * ny).alias("ny"))
 
 
-def locate_in_mesh(points: DataFrame, triangles: DataFrame, vertices: DataFrame, bucket: float, tolerance: float = 1e-12) -> DataFrame:
-    """``point_id, cell_id, wa, wb, wc``: the containing triangle with the smallest id and the point's barycentric weights in it, null if none.
+def locate_in_mesh(points: DataFrame, triangles: DataFrame, vertices: DataFrame, bucket: float, tolerance: float = 1e-12, weights: bool = False) -> DataFrame:
+    """``point_id, cell_id``: the containing triangle with the smallest id, null if none. Triangles and points meet in grid buckets.
 
-    Triangles and points meet in grid buckets. The weights are those of the corners in the table's order.
+    With ``weights`` also ``wa, wb, wc``: the point's barycentric weights for the corners in the table's order.
     """
     t = with_corners(triangles, vertices).where("ax is not null and bx is not null and cx is not null").withColumn("d", doubled_area()).where("d <> 0")
     span = lambda k: F.sequence(F.floor(F.least(*[F.col(f"{c}{k}") for c in "abc"]) / bucket), F.floor(F.greatest(*[F.col(f"{c}{k}") for c in "abc"]) / bucket))
@@ -76,7 +76,7 @@ def locate_in_mesh(points: DataFrame, triangles: DataFrame, vertices: DataFrame,
     w2 = ((F.col("cx") - F.col("x")) * (F.col("ay") - F.col("y")) - (F.col("cy") - F.col("y")) * (F.col("ax") - F.col("x"))) / F.col("d")
     hit = p.join(t, ["gx", "gy"]).where((w1 >= -tolerance) & (w2 >= -tolerance) & (1 - w1 - w2 >= -tolerance)).groupBy("point_id").agg(F.min(F.struct("cell_id", w1.alias("wa"), w2.alias("wb"))).alias("h"))
     hit = hit.select("point_id", "h.cell_id", "h.wa", "h.wb", (1 - F.col("h.wa") - F.col("h.wb")).alias("wc"))
-    return points.select("point_id").join(hit, "point_id", "left")
+    return points.select("point_id").join(hit if weights else hit.select("point_id", "cell_id"), "point_id", "left")
 
 
 def _keyed(faces: DataFrame, side: str, by: tuple[str, ...]) -> DataFrame:

@@ -318,4 +318,4 @@ ORACLE_SQL["mesh_locate_weights"] = ORACLE_SQL["mesh_locate"].replace("SELECT id
 @query()
 def mesh_locate_weights(spark: SparkSession, sf: str) -> DataFrame:
     p = V.points(spark, sf).select(F.col("id").alias("point_id"), (F.col("x") / 16).alias("x"), (F.col("y") / 40).alias("y"))
-    return rounded(mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0).withColumn("cell_id", F.coalesce("cell_id", F.lit(-1))))
+    return rounded(mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0, weights=True).withColumn("cell_id", F.coalesce("cell_id", F.lit(-1))))
