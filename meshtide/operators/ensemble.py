@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshtide.operators.pieces import grouped_percentiles
+
 PROBABILITIES = (0.025, 0.25, 0.5, 0.75, 0.975)
 NAMES = ("p025", "q1", "median", "q3", "p975")
 
@@ -34,18 +36,34 @@ def active(profile: Activity) -> Column:
     return a if profile.wet is None else a & (F.col("depth") > profile.wet)
 
 
-def cell_statistics(field: DataFrame, profile: Activity = WET_6, dry: float = 1e-6, by: str = "cell_id") -> DataFrame:
-    """One row for each cell, in one shuffle: exact quantiles (linear between neighbours) of speed and depth, widths, wet probability, direction.
+#: Cases of a cell up to which one buffer holds its values.
+CELL_ROWS = 1 << 16
+
+
+def cell_statistics(field: DataFrame, profile: Activity = WET_6, dry: float = 1e-6, by: str = "cell_id", group_rows: int = CELL_ROWS) -> DataFrame:
+    """One row for each cell: exact quantiles (linear between neighbours) of speed and depth, widths, wet probability, direction.
 
-    Null values take no part; a cell without active rows has a null direction,
-    agreement 0 and support 0.
+    Cells of up to ``group_rows`` cases take one shuffle and a buffer of their own
+    values; of larger ones the values are counted in pieces, so memory does not grow
+    with the cases. Null values take no part; a cell without active rows has a null
+    direction, agreement 0 and support 0.
     """
     on = active(profile)
-    probabilities = F.array(*[F.lit(p) for p in PROBABILITIES])
-    rows = field.groupBy(by).agg(
-        F.percentile(speed(), probabilities).alias("s"), F.percentile("depth", probabilities).alias("d"),
+    means = [
         F.avg((F.col("depth") > dry).cast("double")).alias("wet_probability"), F.count(F.lit(1)).alias("cases"), F.count(F.when(on, 1)).alias("active"),
-        F.avg(F.when(on, F.col("u") / speed())).alias("mu"), F.avg(F.when(on, F.col("v") / speed())).alias("mv"))
+        F.avg(F.when(on, F.col("u") / speed())).alias("mu"), F.avg(F.when(on, F.col("v") / speed())).alias("mv")]
+    whole = [F.percentile(x, F.array(*[F.lit(p) for p in PROBABILITIES])).alias(n) for x, n in ((speed(), "s"), (F.col("depth"), "d"))]
+    sizes = field.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.where(F.col("_n") > group_rows).isEmpty():
+        rows = field.groupBy(by).agg(*whole, *means)
+    else:
+        sized = field.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+        few, many = sized.where(F.col("_n") <= group_rows), sized.where(F.col("_n") > group_rows)
+        large = many.groupBy(by).agg(*means)
+        for x, n in ((speed(), "s"), (F.col("depth"), "d")):
+            p = grouped_percentiles(many.select(by, x.alias("v")), by, PROBABILITIES, group_rows).select(F.col(by).alias("_of"), F.col("p").alias(n))
+            large = large.join(p, F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")
+        rows = few.groupBy(by).agg(*whole, *means).unionByName(large)
     length = F.coalesce(F.sqrt(F.col("mu") * F.col("mu") + F.col("mv") * F.col("mv")), F.lit(0.0))
     agreement = F.least(F.lit(1.0), length) if profile.clip else length
     q = [F.col(c)[k].alias(f"{name}_{n}") for c, name in (("s", "speed"), ("d", "depth")) for k, n in enumerate(NAMES)]

@@ -6,32 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meshtide.operators.pieces import GROUP_ROWS, cut, last_known
 
-def interpolate_at(samples: DataFrame, queries: DataFrame, extrapolation: str = "hold") -> DataFrame:
+
+def in_pieces(rows: DataFrame, key: str, order: str, group_rows: int) -> DataFrame:
+    """``rows`` with series of more than ``group_rows`` rows cut into pieces of time, or as they are where there are none."""
+    parts = cut(rows, key, order, group_rows)
+    return rows if parts is None else parts
+
+
+def interpolate_at(samples: DataFrame, queries: DataFrame, extrapolation: str = "hold", group_rows: int = GROUP_ROWS) -> DataFrame:
     """``series_id, t, value``: linear between the samples around each query time.
 
     ``samples(series_id, t, value)``, ``queries(series_id, t)``; before the first
     and after the last sample the value is held, or null for
     ``extrapolation='error'``. Samples with null values take no part; of repeated
-    times the largest value counts; a series without samples gives null.
+    times the largest value counts; a series without samples gives null. A series
+    of more than ``group_rows`` rows is worked on by many tasks.
     """
     s = samples.where("value is not null and t is not null").groupBy("series_id", "t").agg(F.max("value").alias("value"))
     rows = s.select("series_id", "t", F.struct("t", "value").alias("s"), F.lit(0).alias("q")).unionByName(queries.select("series_id", "t", F.lit(None).cast(s.select(F.struct("t", "value").alias("s")).schema["s"].dataType).alias("s"), F.lit(1).alias("q")))
-    before = W.partitionBy("series_id").orderBy("t", "q")
-    after = W.partitionBy("series_id").orderBy(F.desc("t"), "q")
-    rows = rows.withColumn("a", F.last("s", True).over(before)).withColumn("b", F.last("s", True).over(after)).where("q = 1")
+    rows = last_known(in_pieces(rows, "series_id", "t", group_rows), "series_id", "t", {"a": (F.col("s"), True)}, F.col("q"))
+    rows = last_known(rows, "series_id", "t", {"b": (F.col("s"), True)}, F.col("q"), backwards=True).where("q = 1")
     t, a, b = F.col("t"), F.col("a"), F.col("b")
     mid = F.when(a["t"] == b["t"], a["value"]).otherwise(a["value"] + (b["value"] - a["value"]) * (t - a["t"]) / (b["t"] - a["t"]))
     return rows.select("series_id", "t", (F.coalesce(mid, a["value"], b["value"]) if extrapolation == "hold" else mid).alias("value"))
 
 
-def hysteresis(depths: DataFrame, wet: float = 1e-3, dry: float = 5e-4, key: str = "cell", order: str = "step", value: str = "h") -> DataFrame:
-    """Adds ``wet`` (0/1), ``newly_wet`` and ``newly_dry``: wet at or above ``wet``, dry at or below ``dry``, unchanged between; dry at first."""
-    w = W.partitionBy(key).orderBy(order)
+def hysteresis(depths: DataFrame, wet: float = 1e-3, dry: float = 5e-4, key: str = "cell", order: str = "step", value: str = "h", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Adds ``wet`` (0/1), ``newly_wet`` and ``newly_dry``: wet at or above ``wet``, dry at or below ``dry``, unchanged between; dry at first.
+
+    A cell of more than ``group_rows`` rows is worked on by many tasks: a piece of its time hands on the last depth that decided.
+    """
     decisive = F.when(F.col(value) >= wet, 1).when(F.col(value) <= dry, 0)
-    rows = depths.withColumn("wet", F.coalesce(F.last(decisive, True).over(w), F.lit(0)))
-    last = F.lag("wet").over(w)
-    return rows.withColumn("newly_wet", F.coalesce((last == 0) & (F.col("wet") == 1), F.lit(False))).withColumn("newly_dry", F.coalesce((last == 1) & (F.col("wet") == 0), F.lit(False)))
+    wanted = {"wet": (decisive, True), "_was": (decisive, False), "_any": (F.lit(1), False)}
+    rows = last_known(in_pieces(depths, key, order, group_rows), key, order, wanted)
+    was = F.when(F.col("_any").isNotNull(), F.coalesce("_was", F.lit(0)))
+    rows = rows.withColumn("wet", F.coalesce("wet", F.lit(0)))
+    rows = rows.withColumn("newly_wet", F.coalesce((was == 0) & (F.col("wet") == 1), F.lit(False))).withColumn("newly_dry", F.coalesce((was == 1) & (F.col("wet") == 0), F.lit(False)))
+    return rows.drop("_was", "_any", "_piece", "_long")
 
 
 def regularised(rows: DataFrame, reference_depth: float = 1e-3, max_speed: float = 2.0) -> DataFrame:
@@ -44,11 +57,11 @@ def regularised(rows: DataFrame, reference_depth: float = 1e-3, max_speed: float
     return rows.select("*", F.when(on, u * k).otherwise(0.0).alias("u"), F.when(on, v * k).otherwise(0.0).alias("v"), F.when(on, F.col("h")).otherwise(0.0).alias("depth"), F.when(on, 0.0).otherwise(F.col("h") * F.col("area")).alias("removed"), (on & (s > max_speed)).alias("capped"))
 
 
-def order_violations(series: DataFrame, least: int = 2) -> DataFrame:
+def order_violations(series: DataFrame, least: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``series_id, n, violations, ok``: times that do not increase in input order (``ordinal``); too few samples are not ok."""
-    w = W.partitionBy("series_id").orderBy("ordinal")
-    bad = F.coalesce(F.col("t") <= F.lag("t").over(w), F.lit(False)) | F.col("t").isNull()
-    r = series.withColumn("bad", bad).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("violations"))
+    rows = last_known(in_pieces(series, "series_id", "ordinal", group_rows), "series_id", "ordinal", {"_was": (F.struct("t"), False)})
+    bad = F.coalesce(F.col("t") <= F.col("_was.t"), F.lit(False)) | F.col("t").isNull()
+    r = rows.withColumn("bad", bad).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("violations"))
     return r.withColumn("ok", (F.col("violations") == 0) & (F.col("n") >= least))
 
 

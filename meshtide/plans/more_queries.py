@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.functions import flow, geo, scalar
-from meshtide.operators import ensemble, graph, mesh, quality, raster, series, sites, spatial, web
+from meshtide.operators import ensemble, graph, mesh, pieces, quality, raster, series, sites, spatial, web
 from meshtide.plans import views as V
 from meshtide.plans.queries import _RULES, ORACLE_SQL, query, rounded
 from meshtide.session import shared_dir, table
@@ -319,3 +319,19 @@ ORACLE_SQL["mesh_locate_weights"] = ORACLE_SQL["mesh_locate"].replace("SELECT id
 def mesh_locate_weights(spark: SparkSession, sf: str) -> DataFrame:
     p = V.points(spark, sf).select(F.col("id").alias("point_id"), (F.col("x") / 16).alias("x"), (F.col("y") / 40).alias("y"))
     return rounded(mesh.locate_in_mesh(p, *V.mesh(spark, sf), bucket=2.0, weights=True).withColumn("cell_id", F.coalesce("cell_id", F.lit(-1))))
+
+
+@query("""WITH e AS (SELECT event_id AS step, value AS h, last_value(CASE WHEN value >= 60 THEN 1 WHEN value <= 20 THEN 0 END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS x FROM events), w AS (SELECT step, coalesce(x, 0) AS wet FROM e)
+SELECT step, wet, coalesce(lag(wet) OVER o = 0 AND wet = 1, false) AS newly_wet, coalesce(lag(wet) OVER o = 1 AND wet = 0, false) AS newly_dry FROM w WINDOW o AS (ORDER BY step)""")
+def series_one_long(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as one series, worked on in pieces of its order."""
+    e = table(spark, sf, "events").select(F.lit(1).alias("cell"), F.col("event_id").alias("step"), F.col("value").alias("h"))
+    return series.hysteresis(e, 60, 20, group_rows=1_000).select("step", "wet", "newly_wet", "newly_dry")
+
+
+@query("SELECT l_returnflag AS flag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) + 0.0 AS {n}" for p, n in zip(ensemble.PROBABILITIES, ensemble.NAMES, strict=True)) + " FROM lineitem GROUP BY 1")
+def ensemble_long_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact percentiles of three groups that hold all rows, in pieces of their values."""
+    v = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"))
+    p = pieces.grouped_percentiles(v, "flag", ensemble.PROBABILITIES, 1_000)
+    return rounded(p.select("flag", *[F.col("p")[k].alias(n) for k, n in enumerate(ensemble.NAMES)]))
