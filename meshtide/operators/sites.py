@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meshtide.functions.geo import METRES_PER_LNG, segment_distance
 from meshtide.operators.mesh import doubled_area
+from meshtide.operators.nearest import BOX, LEAF, box_gap, box_reach, nearest
 from meshtide.operators.raster import point_in_runs
 from meshtide.operators.spatial import best_stand, point_in_polygon
 
@@ -169,19 +170,32 @@ def cast_candidate_ring(targets: DataFrame, water: DataFrame, band: float, avoid
     return dry.groupBy("id.id").agg(best).select("id", "b.x", "b.y", "b.d", "b.cost")
 
 
-def opposite_side_pair(sites: DataFrame, cells: DataFrame, turn: float = 0.15) -> DataFrame:
+def opposite_side_pair(sites: DataFrame, cells: DataFrame, turn: float = 0.15, leaf: int = LEAF) -> DataFrame:
     """``id, behind, ahead`` for ``sites(id, x, y, bearing, up, down)`` and ``cells(cell_id, x, y, component)``.
 
     ``behind`` is the nearest cell of component ``up`` against the bearing (degrees
     from north, y downwards); ``ahead`` the cell of ``down`` along it with the least
     distance plus ``turn`` times its bearing's error. Null where there is none; ties go to the smaller cell.
     """
-    c = cells.select("cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "component")
-    dx, dy, at = F.col("cx") - F.col("x"), F.col("cy") - F.col("y"), F.radians("bearing")
-    along = dx * F.sin(at) - dy * F.cos(at)
-    d = F.sqrt(dx * dx + dy * dy)
-    error = F.abs(F.pmod(F.degrees(F.atan2(dx, -dy)) - F.col("bearing") + 180, F.lit(360.0)) - 180)
-    j = lambda side: sites.join(c, F.col("component") == F.col(side))
-    behind = j("up").where(along < 0).groupBy("id").agg(F.min(F.struct(d.alias("d"), "cell_id")).alias("b")).select("id", F.col("b.cell_id").alias("behind"))
-    ahead = j("down").where(along > 0).groupBy("id").agg(F.min(F.struct((d + turn * error).alias("d"), "cell_id")).alias("b")).select("id", F.col("b.cell_id").alias("ahead"))
+    x, y, at = F.col("x"), F.col("y"), F.radians("bearing")
+    spots = cells.groupBy("component", F.col("x").alias("cx"), F.col("y").alias("cy")).agg(F.min("cell_id").alias("cell_id"))
+    things = spots.select("cell_id", "cx", "cy", F.col("component").alias("part"), *[F.col(c).alias(k) for k, c in zip(BOX, ("cx", "cy", "cx", "cy"), strict=True)])
+    along = lambda cx, cy: (cx - x) * F.sin(at) - (cy - y) * F.cos(at)
+
+    def corners(x0: Column, y0: Column, x1: Column, y1: Column) -> list[Column]:
+        return [along(cx, cy) for cx in (x0, x1) for cy in (y0, y1)]
+
+    def found(side: str, sign: int, most: float, extra: Callable[[Column, Column], Column]) -> DataFrame:
+        def cost(c: Callable[[str], Column]) -> Column:
+            dx, dy = c("cx") - x, c("cy") - y
+            return F.when(along(c("cx"), c("cy")) * sign > 0, F.sqrt(dx * dx + dy * dy) + extra(dx, dy))
+
+        low = lambda *b: F.when(F.greatest(*[k * sign for k in corners(*b)]) > -1e-9, box_gap(x, y)(*b))
+        high = lambda *b: F.when(F.least(*[k * sign for k in corners(*b)]) > 1e-9, box_reach(x, y)(*b) + most)
+        points = sites.select("id", F.col(side).alias("part"), "x", "y", "bearing")
+        return nearest(points, things, cost, low, ["cell_id"], high, leaf)
+
+    error = lambda dx, dy: F.abs(F.pmod(F.degrees(F.atan2(dx, -dy)) - F.col("bearing") + 180, F.lit(360.0)) - 180)
+    behind = found("up", -1, 0.0, lambda dx, dy: F.lit(0.0)).select("id", F.col("found.cell_id").alias("behind"))
+    ahead = found("down", 1, 180.0 * turn, lambda dx, dy: turn * error(dx, dy)).select("id", F.col("found.cell_id").alias("ahead"))
     return sites.select("id").join(behind, "id", "left").join(ahead, "id", "left")

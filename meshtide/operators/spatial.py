@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.functions.geo import haversine, segment_distance, segments_cross
+from meshtide.operators.nearest import BOX, LEAF, box_gap, nearest
 from meshtide.session import settled
 
 
@@ -97,22 +101,57 @@ def polyline_measure(vertices: DataFrame) -> DataFrame:
     return s.withColumn("start", F.coalesce(F.sum("length").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).withColumn("total", F.sum("length").over(W.partitionBy("line_id")))
 
 
-def nearest_axis(points: DataFrame, measured: DataFrame) -> DataFrame:
-    """``id, line_id, ix, d, offset, progress, tx, ty, nx, ny``: nearest segment of the measured polylines with its tangent and left normal; offset is positive to its left."""
-    d, t = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    j = points.select("id", "x", "y").crossJoin(measured)  # every point with the few axes of a scene
-    side = F.signum((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax")))
+def nearest_axis(points: DataFrame, measured: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """``id, line_id, ix, d, offset, progress, tx, ty, nx, ny``: nearest segment of the measured polylines with its tangent and left normal; offset is positive to its left.
+
+    Ties go to the smaller line, then segment; points without coordinates have no row.
+    Points of the same place are looked up once, and of equal segments the first is taken.
+    """
+    at = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    segments = measured.groupBy("ax", "ay", "bx", "by").agg(F.min(F.struct("line_id", "ix", "length", "start", "total")).alias("s")).select("ax", "ay", "bx", "by", "s.*")
+    segments = segments.select("*", F.lit(0).alias("part"), F.least("ax", "bx").alias(BOX[0]), F.least("ay", "by").alias(BOX[1]), F.greatest("ax", "bx").alias(BOX[2]), F.greatest("ay", "by").alias(BOX[3]))
+    places = at.select(F.struct("x", "y").alias("id"), F.lit(0).alias("part"), "x", "y").distinct()
+    x, y = F.col("x"), F.col("y")
+    n = nearest(places, segments, lambda c: segment_distance(x, y, c("ax"), c("ay"), c("bx"), c("by"))[0], box_gap(x, y), ["line_id", "ix"], leaf=leaf)
+    n = at.select("id", "x", "y").join(n.select("x", "y", F.col("cost").alias("d"), "found.*"), ["x", "y"])
+    _, t = segment_distance(x, y, F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    side = F.signum((F.col("bx") - F.col("ax")) * (y - F.col("ay")) - (F.col("by") - F.col("ay")) * (x - F.col("ax")))
     tx, ty = F.try_divide(F.col("bx") - F.col("ax"), F.col("length")), F.try_divide(F.col("by") - F.col("ay"), F.col("length"))
-    facts = F.struct(d.alias("d"), "line_id", "ix", (side * d).alias("offset"), ((F.col("start") + t * F.col("length")) / F.col("total")).alias("progress"), tx.alias("tx"), ty.alias("ty"))
-    n = j.groupBy("id").agg(F.min(facts).alias("b"))  # reduced in each task before the shuffle
-    return n.select("id", "b.line_id", "b.ix", "b.d", "b.offset", "b.progress", "b.tx", "b.ty", (-F.col("b.ty")).alias("nx"), F.col("b.tx").alias("ny"))
+    return n.select("id", "line_id", "ix", "d", (side * F.col("d")).alias("offset"), F.try_divide(F.col("start") + t * F.col("length"), F.col("total")).alias("progress"), tx.alias("tx"), ty.alias("ty"), (-ty).alias("nx"), tx.alias("ny"))
+
+
+def sphere_gap(lat: Column, lng: Column, radius: float) -> Callable[[Column, Column, Column, Column], Column]:
+    """A lower bound of the great-circle distance of a point to a box (x is the longitude, in -180..180), for :func:`nearest`."""
+    around = lambda v: F.abs(F.pmod(v + 180, F.lit(360.0)) - 180)
+
+    def gap(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        north = F.radians(F.greatest(y0 - lat, lat - y1, F.lit(0.0)))
+        turn = F.when((lng >= x0) & (lng <= x1), 0.0).otherwise(F.radians(F.least(around(x0 - lng), around(x1 - lng))))
+        to_meridian = F.asin(F.least(F.lit(1.0), F.cos(F.radians(lat)) * F.sin(turn)))
+        to_pole = math.pi / 2 - F.radians(F.abs(lat))
+        return radius * F.greatest(north, F.when(turn < math.pi / 2, to_meridian).otherwise(to_pole)) * (1 - 1e-9)
+
+    return gap
+
+
+def nearest_boundary(stations: DataFrame, boundary: DataFrame, radius: float = 6371008.8, leaf: int = LEAF) -> DataFrame:
+    """``id, nearest, d`` for ``(id, lat, lng)`` stations and boundary points; ties go to the smaller boundary id.
+
+    Longitudes lie in -180..180. Stations with an id of their own each; without coordinates they have no row.
+    """
+    at = stations.where("lat is not null and lng is not null")
+    points = boundary.where("lat is not null and lng is not null").groupBy(F.col("lat").cast("double").alias("b_lat"), F.col("lng").cast("double").alias("b_lng")).agg(F.min("id").alias("b_id"))
+    things = points.select("*", F.lit(0).alias("part"), *[F.col(c).alias(k) for k, c in zip(BOX, ("b_lng", "b_lat", "b_lng", "b_lat"), strict=True)])
+    places = at.select(F.struct("lat", "lng").alias("id"), F.lit(0).alias("part"), "lat", "lng").distinct()
+    lat, lng = F.col("lat"), F.col("lng")
+    n = nearest(places, things, lambda c: haversine(lat, lng, c("b_lat"), c("b_lng"), radius), sphere_gap(lat, lng, radius), ["b_id"], leaf=leaf)
+    return at.select("id", "lat", "lng").join(n.select("lat", "lng", F.col("cost").alias("d"), F.col("found.b_id").alias("nearest")), ["lat", "lng"]).select("id", "nearest", "d")
 
 
-def nearest_boundary(stations: DataFrame, boundary: DataFrame, radius: float = 6371008.8) -> DataFrame:
-    """``id, nearest, d, distances`` for ``(id, lat, lng)`` stations and the few boundary points; ties go to the smaller boundary id."""
+def boundary_distances(stations: DataFrame, boundary: DataFrame, radius: float = 6371008.8) -> DataFrame:
+    """``id, b_id, d``: the distance of every station to every boundary point, one row each; the output is all pairs by definition."""
     b = boundary.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
-    j = stations.crossJoin(b).select("id", "b_id", haversine(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng"), radius).alias("d"))
-    return j.groupBy("id").agg(F.min_by("b_id", F.struct("d", "b_id")).alias("nearest"), F.min("d").alias("d"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("b_id", "d")))).alias("distances"))
+    return stations.crossJoin(b).select("id", "b_id", haversine(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng"), radius).alias("d"))
 
 
 def drop_near(samples: DataFrame, reference: DataFrame, distance: float = 22.0) -> DataFrame:

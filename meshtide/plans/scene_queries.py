@@ -310,7 +310,21 @@ SELECT id, arg_min(k, d) AS nearest, round(min(d), 3) + 0.0 AS d FROM d GROUP BY
 def spatial_nearest_boundary(spark: SparkSession, sf: str) -> DataFrame:
     p = V.points(spark, sf).select("id", (33.85 + F.col("id") % 500 / 10000.0).alias("lat"), (130.65 + F.col("id") % 700 / 10000.0).alias("lng"))
     b = spark.createDataFrame([(1, 33.86, 130.66), (2, 33.87, 130.69), (3, 33.89, 130.71)], "id int, lat double, lng double")
-    return rounded(spatial.nearest_boundary(p, b).select("id", "nearest", "d"), 3)
+    return rounded(spatial.nearest_boundary(p, b), 3)
+
+
+_CUSTOMERS = "SELECT c_custkey AS id, c_custkey * 37 % 1301 / 10.0 - 60 AS lat, c_custkey * 91 % 3593 / 10.0 - 179.5 AS lng FROM customer"
+
+
+@query(f"""WITH b AS ({_CUSTOMERS}), p AS (SELECT o_orderkey AS id, o_orderkey * 53 % 1499 / 10.0 - 75 AS lat, o_orderkey * 29 % 3583 / 10.0 - 179.5 AS lng FROM orders),
+d AS (SELECT p.id, b.id AS k, 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(b.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - p.lng) / 2), 2)))) AS d FROM p, b)
+SELECT id, round(min(d), 3) + 0.0 AS d FROM d GROUP BY 1""")
+def spatial_nearest_of_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The distance of each of many points on the globe to the nearest of many others."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    b = table(spark, sf, "customer").select(c.alias("id"), (c * 37 % 1301 / 10.0 - 60).alias("lat"), (c * 91 % 3593 / 10.0 - 179.5).alias("lng"))
+    p = table(spark, sf, "orders").select(o.alias("id"), (o * 53 % 1499 / 10.0 - 75).alias("lat"), (o * 29 % 3583 / 10.0 - 179.5).alias("lng"))
+    return rounded(spatial.nearest_boundary(p, b).select("id", "d"), 3)
 
 
 @query(f"WITH {V.RUNS} SELECT row, l_ix AS run_ix, x0, x1 FROM (SELECT row, x0, x1, (row_number() OVER (PARTITION BY row ORDER BY x0, x1) - 1)::INT AS l_ix FROM runs)")
