@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.operators.pieces import grouped_percentiles
+from meshtide.session import shared_dir, written
 
 PROBABILITIES = (0.025, 0.25, 0.5, 0.75, 0.975)
 NAMES = ("p025", "q1", "median", "q3", "p975")
@@ -168,21 +172,69 @@ def case_name(case_ix: Column, prefix: str = "case-", digits: int = 4) -> Column
     return F.concat(F.lit(prefix), F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number))
 
 
-def run_ensemble(cases: DataFrame, solver, schema: str, key: str = "case_id") -> DataFrame:
+def finite(*names: str):
+    """A rule of :func:`run_ensemble`: these columns hold finite numbers."""
+    return lambda rows: all(np.isfinite(pd.to_numeric(rows[n], errors="coerce")).all() for n in names)
+
+
+#: What the rows of a case must hold to count, for results with depth, u, v, mass_error, cfl and converged.
+FIELD_RULES = {
+    "field is not finite": finite("depth", "u", "v"),
+    "negative depth": lambda rows: (rows["depth"] >= -1e-12).all(),
+    "diagnostics are not finite": finite("mass_error", "cfl"),
+    "case did not converge": lambda rows: rows["converged"].eq(True).all(),
+}
+
+
+def run_ensemble(cases: DataFrame, solver, schema: str, key: str = "case_id", rules: dict | None = None, fail_fast: bool = False) -> DataFrame:
     """Runs a user function on each case (pandas rows in, pandas rows out); an error becomes a failed row.
 
     ``schema`` names the function's columns; ``status`` and ``failure_reason`` are added.
+    A result counts only if it is a table with rows and all columns of ``schema``, each
+    row of this case, and passes every rule (message: function of the case's rows); else
+    the case fails with the first message. With ``fail_fast`` cases that have not begun
+    when a case has failed are not run and have no row: the failed one leaves a mark in
+    the shared folder, and all rows are written once, so that they do not change when they are read again.
     """
-    import pandas as pd
-
     names = [c.strip().split()[0] for c in schema.split(",")]
+    mark = f"{shared_dir(cases.sparkSession)}/stop-{uuid.uuid4().hex}" if fail_fast else None
+
+    def checked(rows: pd.DataFrame, case) -> pd.DataFrame:
+        if not isinstance(rows, pd.DataFrame):
+            raise TypeError("the result is no table")
+        if missing := [n for n in names if n not in rows]:
+            raise ValueError(f"missing columns: {', '.join(missing)}")
+        if rows.empty:
+            raise ValueError("no rows")
+        if not (rows[key].eq(case) | (rows[key].isna() & pd.isna(case))).all():
+            raise ValueError("rows of another case")
+        for message, holds in (rules or {}).items():
+            if not holds(rows):
+                raise ValueError(message)
+        return rows[names]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if mark and _marked(mark):
+            return pd.DataFrame(columns=[*names, "status", "failure_reason"])
         try:
-            return solver(rows).assign(status="completed", failure_reason=None)
+            return checked(solver(rows), rows[key].iloc[0]).assign(status="completed", failure_reason=None)
         except Exception as e:  # a user's function may fail in any way; the case reports it
+            if mark:
+                _marked(mark, leave=True)
             out = pd.DataFrame([dict.fromkeys(names)])
             out[key] = rows[key].iloc[0]
             return out.assign(status="failed", failure_reason=f"{type(e).__name__}: {e}")
 
-    return cases.groupBy(key).applyInPandas(run, f"{schema}, status string, failure_reason string")
+    results = cases.groupBy(key).applyInPandas(run, f"{schema}, status string, failure_reason string")
+    return written(results, "cases") if fail_fast else results
+
+
+def _marked(path: str, leave: bool = False) -> bool:
+    """Whether the mark is there; ``leave`` puts it there."""
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path)
+    if leave:
+        files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        files.open_output_stream(at).close()
+    return files.get_file_info(at).type != fs.FileType.NotFound

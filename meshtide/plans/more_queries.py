@@ -335,3 +335,15 @@ def ensemble_long_cells(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"))
     p = pieces.grouped_percentiles(v, "flag", ensemble.PROBABILITIES, 1_000)
     return rounded(p.select("flag", *[F.col("p")[k].alias(n) for k, n in enumerate(ensemble.NAMES)]))
+
+
+def _mean_balance(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"case_id": rows["case_id"].iloc[:1], "depth": rows["balance"].mean() - 4500})
+
+
+@query("""WITH m AS (SELECT c_nationkey AS case_id, avg(c_acctbal) - 4500 AS depth FROM customer GROUP BY 1)
+SELECT case_id, CASE WHEN depth >= 0 THEN round(depth, 2) + 0.0 END AS depth, CASE WHEN depth >= 0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN depth < 0 THEN 'ValueError: negative depth' END AS failure_reason FROM m""")
+def ensemble_validated_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """A user function for each nation, whose result counts only if it passes a rule."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("case_id"), F.col("c_acctbal").alias("balance"))
+    return rounded(ensemble.run_ensemble(c, _mean_balance, "case_id long, depth double", rules={"negative depth": ensemble.FIELD_RULES["negative depth"]}), 2)
