@@ -99,6 +99,14 @@ def field_bounds(stats: DataFrame, columns: list[str]) -> DataFrame:
     return stats.agg(*[f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
+def diagnostic_bounds(cases: DataFrame) -> DataFrame:
+    """One row ``completed, median_mass, max_mass, max_cfl`` of the completed ``cases(status, mass_error, cfl)``; mass errors by size, nulls and NaN left out."""
+    done = cases.where("status = 'completed'").withColumn("_mass", F.abs("mass_error"))
+    (median,) = exact_percentiles(done, "_mass", (0.5,))
+    real = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
+    return done.agg(F.count(F.lit(1)).alias("completed"), F.lit(median).cast("double").alias("median_mass"), real("_mass").alias("max_mass"), real("cfl").alias("max_cfl"))
+
+
 def exact_percentiles(rows: DataFrame, column: str, probabilities: tuple[float, ...], small: int = 100_000, cuts: int = 200) -> list[float | None]:
     """Exact percentiles (linear between neighbours) of a whole column; null values and NaN take no part, no values give None.
 
@@ -142,12 +150,16 @@ def color_range(stats: DataFrame, column: str, eligible: Column | None = None) -
 
 
 def reconcile_cases(expected: DataFrame, results: DataFrame) -> DataFrame:
-    """``case_id, n, verdict``: ok, missing, unknown, duplicate or failed. Null ids are unknown."""
+    """``case_id, n, verdict``: ok, missing, unknown, duplicate or failed. Null ids are unknown.
+
+    If ``results`` has ``failure_reason``, also ``reason``: that of the failed row (the smallest text of several), ``unspecified`` if it has none.
+    """
+    said = [F.min(F.when(F.col("status") == "failed", F.coalesce("failure_reason", F.lit("unspecified")))).alias("reason")] if "failure_reason" in results.columns else []
     e = expected.select("case_id").distinct().withColumn("wanted", F.lit(True))
-    r = results.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("bad"))
+    r = results.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("bad"), *said)
     j = e.join(r, "case_id", "full_outer")
     verdict = F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "unknown").when(F.col("n") > 1, "duplicate").when(F.col("bad") == 1, "failed").otherwise("ok")
-    return j.select("case_id", F.coalesce("n", F.lit(0)).alias("n"), verdict.alias("verdict"))
+    return j.select("case_id", F.coalesce("n", F.lit(0)).alias("n"), verdict.alias("verdict"), *["reason" for _ in said])
 
 
 def stratified_design(spark, prior: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -167,6 +167,20 @@ def node_rate(edges: DataFrame, nodes: DataFrame, capacities: DataFrame, boundar
     return total.join(capacities.select("node_id", "capacity"), "node_id", "left").select("node_id", outflow.alias("outflow"), "source", "boundary", F.when(F.col("capacity") != 0, (F.col("source") - outflow) / F.col("capacity")).alias("rate"))
 
 
+def rate_totals(rates: DataFrame, capacities: DataFrame) -> DataFrame:
+    """One row ``source, boundary, mass_rate, imbalance`` of :func:`node_rate`: sums over all nodes.
+
+    ``mass_rate`` is the sum of capacity times rate; inner fluxes cancel, so
+    ``imbalance = mass_rate - (source - boundary)`` is rounding alone, unless a node without
+    capacity keeps a flux. ``boundary`` counts what leaves.
+    """
+    held = F.col("capacity") * F.col("rate")
+    r = rates.join(capacities.select("node_id", "capacity"), "node_id", "left")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    r = r.agg(total(F.col("source")).alias("source"), total(F.col("boundary")).alias("boundary"), total(held).alias("mass_rate"))
+    return r.withColumn("imbalance", F.col("mass_rate") - (F.col("source") - F.col("boundary")))
+
+
 def stable_step(edges: DataFrame, capacities: DataFrame, boundaries: DataFrame | None = None, safety: float = 0.9) -> DataFrame:
     """One row ``dt``: the smallest safety*capacity/(sum of weights) over the nodes with weight; null if none has."""
     deg = edges.select(F.explode(F.array("left", "right")).alias("node_id"), "w")
@@ -211,6 +225,16 @@ def distribute_by_length(totals: DataFrame, faces: DataFrame) -> DataFrame:
     return faces.select("id", "ix", "length").join(s, "id").join(totals.select("id", "total"), "id", "left").select("id", "ix", F.when(F.col("whole") > 0, F.col("total") * F.col("length") / F.col("whole")).alias("share"))
 
 
+def share_sums(shares: DataFrame, totals: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """``id, total, shared, ok``: whether the shares of each of ``totals(id, total)`` sum to it, relative to the larger of 1 and the total.
+
+    Totals without faces have a null ``shared`` and are not ok.
+    """
+    s = shares.groupBy("id").agg(F.sum("share").alias("shared"))
+    ok = F.abs(F.col("shared") - F.col("total")) <= tolerance * F.greatest(F.lit(1.0), F.abs("total"))
+    return totals.select("id", "total").join(s, "id", "left").select("id", "total", "shared", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
 def integral(df: DataFrame, value: str = "value", weight: str = "weight") -> DataFrame:
     """One row ``integral``: the sum of value times weight; negative weights are refused with null."""
     bad = F.sum(F.when(F.col(weight) < 0, 1).otherwise(0))

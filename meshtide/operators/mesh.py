@@ -48,6 +48,32 @@ def face_geometry(edges: DataFrame, vertices: DataFrame, cells: DataFrame) -> Da
     return j.select(*edges.columns, dist("lo_x", "hi_x", "lo_y", "hi_y").alias("length"), ((F.col("lo_x") + F.col("hi_x")) / 2).alias("mx"), ((F.col("lo_y") + F.col("hi_y")) / 2).alias("my"), dist("left_cx", "right_cx", "left_cy", "right_cy").alias("centre_distance"))
 
 
+def face_normals(edges: DataFrame, vertices: DataFrame, cells: DataFrame) -> DataFrame:
+    """Adds the unit normal ``nx, ny`` of each edge, from its left to its right cell, or out of the mesh; null for edges without length.
+
+    ``edges`` as :func:`edge_incidence` gives them, ``cells(cell_id, x, y)`` with centroids.
+    """
+    v = lambda k: vertices.select(F.col("vertex_id").alias(k), F.col("x").alias(f"{k}_x"), F.col("y").alias(f"{k}_y"))
+    j = edges.join(v("lo"), "lo").join(v("hi"), "hi").join(cells.select(F.col("cell_id").alias("left"), F.col("x").alias("cx"), F.col("y").alias("cy")), "left")
+    dx, dy = F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y")
+    length = F.sqrt(dx * dx + dy * dy)
+    away = F.signum(dy * ((F.col("lo_x") + F.col("hi_x")) / 2 - F.col("cx")) - dx * ((F.col("lo_y") + F.col("hi_y")) / 2 - F.col("cy")))
+    return j.select(*edges.columns, F.try_divide(away * dy, length).alias("nx"), F.try_divide(-away * dx, length).alias("ny"))
+
+
+def marked_boundary(edges: DataFrame, markers: DataFrame) -> DataFrame:
+    """``lo, hi, cell_id, marker, problem``: boundary edges with the marker of ``markers(a, b, marker)``, ends in any order, and the markers that fit none.
+
+    Boundary edges without a marker have null there. ``problem``: ``duplicate`` (several
+    markers for one edge; the smallest is given), ``interior`` (marks an edge inside the mesh,
+    or one with over two cells), ``unmatched`` (marks no edge at all).
+    """
+    m = markers.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "marker").groupBy("lo", "hi").agg(F.min("marker").alias("marker"), F.count(F.lit(1)).alias("times"))
+    j = edges.select("lo", "hi", F.col("left").alias("cell_id"), F.col("kind")).join(m, ["lo", "hi"], "full_outer")
+    problem = F.when(F.col("times").isNull(), None).when(F.col("kind").isNull(), "unmatched").when(F.col("kind") != "boundary", "interior").when(F.col("times") > 1, "duplicate")
+    return j.where("kind = 'boundary' or times is not null").select("lo", "hi", F.when(F.col("kind") == "boundary", F.col("cell_id")).alias("cell_id"), "marker", problem.alias("problem"))
+
+
 def cell_neighbours(edges: DataFrame) -> DataFrame:
     """``cell_id, neighbours`` (sorted)."""
     i = edges.where("kind = 'interior'")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meshtide.functions.scalar import criterion, exact_sum, within_ulps
+from meshtide.session import settled
 
 
 def error_norms(samples: DataFrame, group: str = "group") -> DataFrame:
@@ -30,6 +31,15 @@ def wetting_front(profile: DataFrame, threshold: float = 1e-8, group: str = "gro
     return profile.groupBy(group).agg(F.max(wet).alias("front_max"), F.min(wet).alias("front_min"))
 
 
+def front_errors(fronts: DataFrame, references: DataFrame, length: float, front: str = "front_max", group: str = "group") -> DataFrame:
+    """``group, front, reference, absolute_error, normalized_error`` of ``fronts`` against ``references(group, reference)``; null for dry groups and those without a reference."""
+    if not length > 0:
+        raise ValueError("the characteristic length must be positive")
+    j = fronts.select(group, F.col(front).cast("double").alias("front")).join(references.select(group, F.col("reference").cast("double").alias("reference")), group, "left")
+    error = F.abs(F.col("front") - F.col("reference"))
+    return j.select(group, "front", "reference", error.alias("absolute_error"), (error / length).alias("normalized_error"))
+
+
 def mode_projection(profile: DataFrame, mode: int, length: float, group: str = "group") -> DataFrame:
     """Least-squares amplitude on cos(mode*pi*x/length) and weighted mean of ``profile(group, x, value, weight)``."""
     c, w = F.cos(mode * math.pi * F.col("x") / length), F.col("weight")
@@ -49,9 +59,13 @@ def count_by(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("unspecified")).alias(key)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def blockers(df: DataFrame, key: str, rules: list[tuple[str, str, Column]]) -> DataFrame:
-    """``key, code, path``: one row for each rule (code, path, passes) that a row does not pass; null counts as not passing."""
-    failed = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))) for code, path, ok in rules])
+def blockers(df: DataFrame, key: str, rules: list[tuple]) -> DataFrame:
+    """``key, code, path``: one row for each rule (code, path, passes) that a row does not pass; null counts as not passing.
+
+    Rules of four, (code, path, message, passes), also give ``message``, a text or a Column over the row.
+    """
+    said = lambda m: m if isinstance(m, Column) else F.lit(m)
+    failed = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), *[said(m).alias("message") for m in message])) for code, path, *message, ok in rules])
     return df.select(key, F.explode(F.filter(failed, lambda x: x.isNotNull())).alias("b")).select(key, "b.*")
 
 
@@ -104,16 +118,60 @@ def tier_evaluation(results: DataFrame, tiers: DataFrame) -> DataFrame:
     return t.join(results, "tier", "left").select("tier", ok.alias("passed"), F.when(ok, F.col("next")).alias("next_tier"))
 
 
+def tier_report(reports: DataFrame, tiers: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """``tier, problems, failed, completion, passed, next_tier``: each tier's report against all limits.
+
+    ``reports(tier, requested, completed, failed, listed, nan_count, negative_count, cfl,
+    mass, wall_s, memory, min_depth)``, ``tiers(tier, ix, cases, wall_s, memory)``;
+    ``limits`` holds completion, nan_count, negative_count, cfl and mass for all tiers.
+    ``problems`` names what makes a report unusable (missing, accounting of
+    cases, values that are not finite), ``failed`` the limits it does not meet, both in
+    the order of their definition. A tier passes without either, and then the next
+    tier in the order opens. A null value meets no limit.
+    """
+    t = tiers.select("tier", F.col("cases").alias("_cases"), F.col("wall_s").alias("_wall"), F.col("memory").alias("_memory"), F.lead("tier").over(W.orderBy("ix")).alias("_next"))  # a handful of tiers
+    r = reports.withColumnRenamed("failed", "failed_cases").withColumn("_there", F.lit(True))
+    c, finite = F.col, lambda k: c(k).isNotNull() & ~F.isnan(c(k).cast("double")) & (F.abs(c(k)) < float("inf"))
+    needs = {"missing": c("_there"), "requested": c("requested") == c("_cases"), "accounting": (c("completed") >= 0) & (c("failed_cases") >= 0) & (c("completed") + c("failed_cases") == c("requested")), "failures": c("listed") == c("failed_cases")}
+    needs |= {k: finite(k) for k in ("wall_s", "memory", "cfl", "mass", "min_depth")} | {k: c(k) >= 0 for k in ("nan_count", "negative_count")}
+    completion = F.try_divide(c("completed").cast("double"), c("requested"))
+    meets = {"completion": completion >= limits["completion"], **{k: c(k) <= limits[k] for k in ("nan_count", "negative_count", "cfl")}, "mass": F.abs("mass") <= limits["mass"]}
+    meets |= {"wall": c("wall_s") <= c("_wall"), "memory": c("memory") <= c("_memory"), "min_depth": c("min_depth") >= 0}
+    without = lambda rules: F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
+    j = t.join(r, "tier", "left").select("tier", without(needs).alias("problems"), without(meets).alias("failed"), completion.alias("completion"), "_next")
+    passed = (F.size("problems") == 0) & (F.size("failed") == 0)
+    return j.select("tier", "problems", "failed", "completion", passed.alias("passed"), F.when(passed, c("_next")).alias("next_tier"))
+
+
+def ranked_by(rows: DataFrame, score: str) -> DataFrame:
+    """``rows`` with ``rank``: one more than the rows with a larger ``score``; equal scores share it, nulls come last.
+
+    Equal scores are counted first. Ranges of scores are summed apart, and only one
+    count for each range is ordered as a whole.
+    """
+    counts = settled(rows.groupBy(F.col(score).alias("_score")).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(F.desc("_score")).withColumn("_part", F.spark_partition_id()))
+    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_all"))
+    before = parts.select("_part", (F.sum("_all").over(W.orderBy("_part")) - F.col("_all")).alias("_before"))  # a row for each shuffle partition
+    within = F.sum("_n").over(W.partitionBy("_part").orderBy(F.desc("_score"))) - F.col("_n")
+    ranks = counts.withColumn("_within", within).join(F.broadcast(before), "_part").select("_score", (F.col("_before") + F.col("_within") + 1).alias("rank"))
+    return rows.join(ranks, F.col(score).eqNullSafe(F.col("_score")), "left").drop("_score")
+
+
 def suitability(candidates: DataFrame, weights: DataFrame) -> DataFrame:
     """Ranks ``candidates(candidate, objective, capability)`` (full 1, partial 0.35, none 0) by ``weights(objective, weight)``.
 
-    Scores that agree to nine digits share a rank. One row a candidate is ranked, not the rows of objectives.
+    ``score, unmet, partial`` (numbers of objectives), ``unmet_objectives`` and ``partial_objectives``
+    (sorted, of those with weight) and ``rank``. Scores that agree to nine digits share a
+    rank. Capabilities for objectives without a weight do not count; a candidate without any is at 0.
     """
     value = F.when(F.col("capability") == "full", 1.0).when(F.col("capability") == "partial", 0.35).otherwise(0.0)
-    names = candidates.select("candidate").distinct()
-    every = names.crossJoin(F.broadcast(weights)).join(candidates, ["candidate", "objective"], "left").withColumn("v", value)
-    r = every.groupBy("candidate").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("score"), F.count_if(F.col("v") == 0).alias("unmet"), F.count_if(F.col("v") == 0.35).alias("partial"))
-    return r.withColumn("rank", F.rank().over(W.orderBy(F.desc(F.round("score", 9)))))
+    wanted = weights.agg(F.sum("weight").alias("whole"), F.collect_set("objective").alias("every"), F.collect_set(F.when(F.col("weight") > 0, F.col("objective"))).alias("weighty"))
+    met = candidates.join(F.broadcast(weights), "objective", "left").withColumn("v", F.when(F.col("weight").isNotNull(), value).otherwise(0.0))
+    by = met.groupBy("candidate").agg(F.coalesce(F.sum(F.col("v") * F.col("weight")), F.lit(0.0)).alias("points"), F.collect_set(F.when(F.col("v") > 0, F.col("objective"))).alias("some"), F.collect_set(F.when(F.col("v") == 0.35, F.col("objective"))).alias("half"))
+    r = by.join(F.broadcast(wanted)).select(
+        "candidate", (F.col("points") / F.col("whole")).alias("score"), F.size(F.array_except("every", "some")).cast("long").alias("unmet"), F.size("half").cast("long").alias("partial"),
+        F.sort_array(F.array_except("weighty", "some")).alias("unmet_objectives"), F.sort_array(F.array_intersect("half", "weighty")).alias("partial_objectives"))
+    return ranked_by(r.withColumn("_key", F.round("score", 9)), "_key").drop("_key")
 
 
 def evaluate_registry(registry: DataFrame, results: DataFrame, track: str) -> DataFrame:

@@ -81,6 +81,15 @@ def point_in_runs(points: DataFrame, runs: DataFrame, x: str = "px", y: str = "p
     return p.join(r, (F.col("_row") == F.col("_r")) & (F.col("_x") >= F.col("x0")) & (F.col("_x") <= F.col("x1")), "left_semi").drop("_row", "_x")
 
 
+def mask_counts(points: DataFrame, runs: DataFrame, x: str = "px", y: str = "py", rounding: str = "floor") -> DataFrame:
+    """One row ``points, kept, outside, not_finite``: what the mask of ``runs`` does to the points; null coordinates are not finite."""
+    finite = F.coalesce((F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf")), F.lit(False))
+    sorted_out = points.agg(F.count(F.lit(1)).alias("points"), F.count_if(~finite).alias("not_finite"))
+    kept = point_in_runs(points.where(finite), runs, x, y, rounding).agg(F.count(F.lit(1)).alias("kept"))
+    both = sorted_out.join(F.broadcast(kept))
+    return both.select("points", "kept", (F.col("points") - F.col("kept") - F.col("not_finite")).alias("outside"), "not_finite")
+
+
 #: Side of the tiles in which runs are linked first, in rows and columns.
 TILE = 1024
 
@@ -105,6 +114,25 @@ def dilated(points: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataF
     return c.select("cx", "cy", F.explode(offsets).alias("o")).select((F.col("cx") + F.col("o.a")).alias("ix"), (F.col("cy") + F.col("o.b")).alias("iy")).distinct()
 
 
+def padded_grid(points: DataFrame, cell: float, x: str = "x", y: str = "y", least: int = 30, pad: int = 3, most_cells: int = 260_000) -> DataFrame:
+    """``ix, iy, x0, y0, nx, ny``: cells of the points and the eight around each, in a grid of its own padded by ``pad`` cells.
+
+    The grid begins at ``x0, y0`` and has ``nx`` by ``ny`` cells. Points with null or not
+    finite coordinates do not count. Fewer than ``least`` points, fewer than three cells a
+    side or more than ``most_cells`` in all give no region, so no row.
+    """
+    p = points.where((F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf")))
+    low = lambda k: F.min(k) - pad * cell
+    size = lambda k: (F.ceil((F.max(k) + pad * cell - low(k)) / cell) + 1).cast("long")
+    grid = p.agg(F.count(F.lit(1)).alias("n"), low(x).alias("x0"), low(y).alias("y0"), size(x).alias("nx"), size(y).alias("ny"))
+    grid = grid.where(F.expr(f"n >= {int(least)} and nx >= 3 and ny >= 3 and nx * ny <= {int(most_cells)}")).drop("n")
+    at = p.select(F.col(x).alias("_x"), F.col(y).alias("_y")).join(F.broadcast(grid))  # one row
+    c = at.select(F.floor((F.col("_x") - F.col("x0")) / cell).alias("cx"), F.floor((F.col("_y") - F.col("y0")) / cell).alias("cy"), "x0", "y0", "nx", "ny").distinct()
+    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in AROUND])
+    near = c.withColumn("o", F.explode(offsets)).select((F.col("cx") + F.col("o.a")).alias("ix"), (F.col("cy") + F.col("o.b")).alias("iy"), "x0", "y0", "nx", "ny")
+    return near.where("ix >= 0 and iy >= 0 and ix < nx and iy < ny").distinct()
+
+
 def closed_holes(cells: DataFrame, least: int = 5) -> DataFrame:
     """Adds empty cells inside the occupied box that have at least ``least`` occupied neighbours, in one pass over the original."""
     box = cells.agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("iy").alias("c"), F.max("iy").alias("d"))
@@ -114,12 +142,19 @@ def closed_holes(cells: DataFrame, least: int = 5) -> DataFrame:
     return cells.select("ix", "iy").union(inside.join(cells, ["ix", "iy"], "left_anti"))
 
 
-def region_outline(cells: DataFrame) -> DataFrame:
-    """``ix, iy, dx, dy``: each side of a cell whose neighbour is empty."""
+def region_outline(cells: DataFrame, grid: tuple[int, int] | None = None) -> DataFrame:
+    """``ix, iy, dx, dy``: each side of a cell whose neighbour is empty.
+
+    With ``grid`` (cells in x and y, from 0) also ``open``: whether the side lies on the grid's border, where what is beyond it is unknown.
+    """
     sides = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in SIDES])
     s = cells.select("ix", "iy", F.explode(sides).alias("s")).select("ix", "iy", "s.dx", "s.dy", (F.col("ix") + F.col("s.dx")).alias("nx"), (F.col("iy") + F.col("s.dy")).alias("ny"))
     other = cells.select(F.col("ix").alias("nx"), F.col("iy").alias("ny"))
-    return s.join(other, ["nx", "ny"], "left_anti").select("ix", "iy", "dx", "dy")
+    outline = s.join(other, ["nx", "ny"], "left_anti").select("ix", "iy", "dx", "dy")
+    if grid is None:
+        return outline
+    beyond = lambda k, n: (F.col(f"i{k}") + F.col(f"d{k}") < 0) | (F.col(f"i{k}") + F.col(f"d{k}") >= n)
+    return outline.withColumn("open", beyond("x", grid[0]) | beyond("y", grid[1]))
 
 
 #: Sides of a cell as (dx, dy, from corner, to corner), anticlockwise, so that the cell lies to the left.
@@ -201,6 +236,13 @@ def grid_confusion(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.agg(F.count_if(e != a).alias("different"), F.count_if(e & ~a).alias("false_negative"), F.count_if(~e & a).alias("false_positive"))
 
 
+def confusion_details(expected: DataFrame, actual: DataFrame, most: int = 20) -> DataFrame:
+    """``ix, iy, expected, actual`` of the first ``most`` cells that differ, row by row (``iy``, then ``ix``); a report, :func:`grid_confusion` counts all."""
+    j = expected.select("ix", "iy", F.col("flag").alias("e")).join(actual.select("ix", "iy", F.col("flag").alias("a")), ["ix", "iy"], "full_outer")
+    e, a = F.coalesce("e", F.lit(False)), F.coalesce("a", F.lit(False))
+    return j.select("ix", "iy", e.alias("expected"), a.alias("actual")).where("expected <> actual").orderBy("iy", "ix").limit(most)
+
+
 def densified(segments: DataFrame, spacing: float) -> DataFrame:
     """``segment_id, k, x, y``: points at most ``spacing`` apart, both ends included, for ``segments(segment_id, ax, ay, bx, by)``."""
     length = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))

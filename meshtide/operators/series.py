@@ -57,6 +57,23 @@ def regularised(rows: DataFrame, reference_depth: float = 1e-3, max_speed: float
     return rows.select("*", F.when(on, u * k).otherwise(0.0).alias("u"), F.when(on, v * k).otherwise(0.0).alias("v"), F.when(on, F.col("h")).otherwise(0.0).alias("depth"), F.when(on, 0.0).otherwise(F.col("h") * F.col("area")).alias("removed"), (on & (s > max_speed)).alias("capped"))
 
 
+def step_diagnostics(rows: DataFrame, reference_depth: float = 1e-3, wet: float = 1e-3, order: str = "step") -> DataFrame:
+    """One row for each step of regularised ``rows(step, h, hu, hv, area, wet, newly_wet, newly_dry, u, v, removed, capped)``.
+
+    Counts of wet, newly wet, newly dry and capped cells, the volume taken out of dry
+    cells (``removed``) and the most that the wet threshold could take
+    (``removable``), and the largest speeds of wet cells before and after the cap, 0 if no cell is wet.
+    """
+    on = F.col("wet") == 1
+    before = F.sqrt(F.col("hu") * F.col("hu") + F.col("hv") * F.col("hv")) / F.greatest(F.col("h"), F.lit(reference_depth))
+    after = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+    top = lambda x: F.coalesce(F.max(F.when(on, x)), F.lit(0.0))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    return rows.groupBy(order).agg(
+        F.count_if(on).alias("wet_cells"), F.count_if("newly_wet").alias("newly_wet"), F.count_if("newly_dry").alias("newly_dry"), F.count_if("capped").alias("capped"),
+        total(F.col("removed")).alias("removed"), total(F.when(on, 0.0).otherwise(wet * F.col("area"))).alias("removable"), top(before).alias("speed_before"), top(after).alias("speed_after"))
+
+
 def order_violations(series: DataFrame, least: int = 2, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``series_id, n, violations, ok``: times that do not increase in input order (``ordinal``); too few samples are not ok."""
     rows = last_known(in_pieces(series, "series_id", "ordinal", group_rows), "series_id", "ordinal", {"_was": (F.struct("t"), False)})
@@ -87,6 +104,32 @@ def series_summary(readings: DataFrame, key: str = "series_id") -> DataFrame:
     return by_flag.groupBy(key).agg(F.sum("n").alias("n"), F.min("a").alias("first"), F.max("b").alias("last"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("flag", "n")))).alias("flags"))
 
 
+# Fixed value: names of fields that hold a discharge.
+DISCHARGE_FIELDS = "(?i)dsch|discharge|flow|流量"
+
+
+def field_names(scalars: DataFrame, key: str = "id") -> DataFrame:
+    """``id, fields, discharge_fields``: sorted distinct names, at every level, in the paths that :func:`web.flattened` gives.
+
+    Names are counted once a key before they are put in a list. A name that holds a dot counts as several; places in arrays are no names.
+    """
+    name = F.explode(F.split(F.regexp_replace(F.regexp_replace("path", r"\[\d+\]", ""), r"^\$\.?", ""), r"\."))
+    names = scalars.select(F.col(key), name.alias("name")).where("name <> ''").distinct()
+    return names.groupBy(key).agg(F.array_sort(F.collect_list("name")).alias("fields")).withColumn("discharge_fields", F.filter("fields", lambda x: x.rlike(DISCHARGE_FIELDS)))
+
+
+# Least score of each grade of a window, best first; below the last it is D.
+GRADES = ((80, "A"), (65, "B"), (50, "C"))
+
+
+def grade(score: Column) -> Column:
+    """The letter of a window's score; null has none."""
+    letter = F.when(score.isNotNull(), "D")
+    for least, name in reversed(GRADES):
+        letter = F.when(score >= least, name).otherwise(letter)
+    return letter
+
+
 def prime_windows(scores: DataFrame, now: Column | None = None, step: int = 1800, horizon: int = 86400) -> DataFrame:
     """Best, second and avoid windows of ``scores(series_id, t, score)`` (t in seconds, one row for each step).
 

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -130,6 +131,31 @@ def distinct_in_order(df: DataFrame, group: str, value: str, position: str) -> D
     return df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.min(position).alias(position))
 
 
+def first_values(df: DataFrame, group: str, value: str, position: str, most: int) -> DataFrame:
+    """``group, values``: for each group the first ``most`` distinct values in order of their first occurrence; groups of nulls alone are left out."""
+    d = distinct_in_order(df, group, value, position)
+    d = d.withColumn("_ix", F.row_number().over(W.partitionBy(group).orderBy(position, value))).where(F.col("_ix") <= most)
+    return d.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_ix", value))), lambda x: x[value]).alias("values"))
+
+
+def reach_report(fetches: DataFrame, required: DataFrame) -> DataFrame:
+    """One row ``status, unreachable, stations, reached, candidates`` for ``fetches(station, status, candidates array<string>)``.
+
+    ``unreachable`` lists, sorted, the ``required(station)`` that no fetch with status 200
+    reached; ``status`` is ``passed`` if there are none, else ``partial``. ``candidates``
+    counts the distinct candidate strings of all fetches, which :func:`found_candidates` lists.
+    """
+    r = reachability(fetches, required).agg(F.sort_array(F.collect_list(F.when(F.col("missing"), F.col("station")))).alias("unreachable"), F.count_if(F.col("tries") > 0).alias("stations"), F.count_if(F.col("ok") > 0).alias("reached"))
+    n = found_candidates(fetches).agg(F.count(F.lit(1)).alias("candidates"))
+    return r.join(F.broadcast(n)).select(F.when(F.size("unreachable") == 0, "passed").otherwise("partial").alias("status"), "unreachable", "stations", "reached", "candidates")
+
+
+def found_candidates(fetches: DataFrame) -> DataFrame:
+    """``candidate, fetches``: the distinct strings of ``fetches(candidates array<string>)`` and how many fetches hold each."""
+    each = fetches.select(F.explode(F.array_distinct("candidates")).alias("candidate")).where("candidate is not null")
+    return each.groupBy("candidate").agg(F.count(F.lit(1)).alias("fetches"))
+
+
 def reachability(fetches: DataFrame, required: DataFrame) -> DataFrame:
     """``station, tries, ok, missing``: tries, those with status 200, and whether a required station was never reached."""
     r = fetches.groupBy("station").agg(F.count(F.lit(1)).alias("tries"), F.count_if(F.col("status") == 200).alias("ok"))
