@@ -216,6 +216,19 @@ def station_identity(master: DataFrame, expected: DataFrame) -> DataFrame:
     return j.agg(F.bool_or(name).alias("name_ok"), F.bool_or(river).alias("river_ok"), F.bool_or(name & river).alias("ok")).select("code", "name_ok", "river_ok", "ok")
 
 
+def payload_identity(payloads: DataFrame, expected: DataFrame) -> DataFrame:
+    """``code, name_found, river_found, address_found, ok`` of each ``expected(code, name, river, address)``: whether one of its ``payloads(code, text)`` contains them.
+
+    ``ok`` asks for name and river in one payload. Codes without a payload, null texts and null
+    expectations are not found; a payload is read where it lies, only its verdicts are grouped.
+    """
+    e = expected.select("code", "name", "river", "address").distinct()
+    holds = lambda c: F.coalesce(F.contains("text", c), F.lit(False))
+    j = e.join(payloads.select("code", "text"), "code", "left").select("code", "name", "river", "address", holds("name").alias("n"), holds("river").alias("r"), holds("address").alias("a"))
+    g = j.groupBy("code", "name", "river", "address").agg(F.bool_or("n").alias("name_found"), F.bool_or("r").alias("river_found"), F.bool_or("a").alias("address_found"), F.bool_or(F.col("n") & F.col("r")).alias("ok"))
+    return g.select("code", "name_found", "river_found", "address_found", "ok")
+
+
 def key_differences(found: Column, wanted: Column) -> tuple[Column, Column]:
     """Missing and unexpected keys of a key array against the wanted ones; both are empty if the sets are equal."""
     return F.array_except(wanted, found), F.array_except(found, wanted)

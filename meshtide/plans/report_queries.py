@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshtide.functions import geo
 from meshtide.operators import ensemble, graph, mesh, quality, raster, series, web
 from meshtide.plans import views as V
 from meshtide.plans.queries import query, rounded
@@ -200,3 +201,41 @@ def web_reach_report(spark: SparkSession, sf: str) -> DataFrame:
     f = _fetches(spark, sf)
     required = f.where("status = 404").select("station").union(spark.createDataFrame([("nowhere.example",)], "station string"))
     return web.reach_report(f, required).withColumn("unreachable", F.array_join("unreachable", ","))
+
+
+@query(f"""WITH {V.MESH} SELECT cell_id, string_agg(o, ',' ORDER BY o) AS neighbours FROM (SELECT "left" AS cell_id, "right" AS o FROM edge WHERE n = 2 UNION ALL SELECT "right", "left" FROM edge WHERE n = 2) GROUP BY 1""")
+def mesh_neighbour_lists(spark: SparkSession, sf: str) -> DataFrame:
+    n = mesh.cell_neighbours(mesh.edge_incidence(V.mesh(spark, sf)[0]))
+    return n.select("cell_id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS "group", o_totalprice AS h, o_totalprice % 1000 AS error FROM orders), p AS (SELECT *, lead(h) OVER w AS h2, lead(error) OVER w AS e2 FROM l WINDOW w AS (PARTITION BY "group" ORDER BY h DESC))
+SELECT "group", round(h, 4) + 0.0 AS h, round(CASE WHEN h > h2 AND h2 > 0 AND error > 0 AND e2 > 0 THEN ln(error / e2) / ln(h / h2) END, 4) + 0.0 AS "order" FROM p""")
+def series_convergence_orders(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("group"), F.col("o_totalprice").alias("h"), (F.col("o_totalprice") % 1000).alias("error"))
+    return rounded(series.convergence_orders(o).select("group", "h", "order"), 4)
+
+
+@query(f"""WITH {V.RUNS}, {V.PIXELS}, {V.POINTS} SELECT id FROM points WHERE (round_even(y / 2, 0)::INT, round_even(x, 0)::INT) IN (SELECT row, x FROM pixels)""")
+def raster_points_half_even(spark: SparkSession, sf: str) -> DataFrame:
+    p = V.points(spark, sf).select("id", "x", (F.col("y") / 2).alias("y"))
+    return raster.point_in_runs(p, raster.merged_runs(V.runs(spark, sf)), "x", "y", "half_even").select("id")
+
+
+@query(f"""WITH {V.POINTS} SELECT id, round(33.85 + id % 500 / 10000.0, 6) + 0.0 AS lat, round(130.65 + id % 700 / 10000.0, 6) + 0.0 AS lng FROM points""")
+def geo_mercator_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    p = V.points(spark, sf).select("id", (33.85 + F.col("id") % 500 / 10000.0).alias("lat"), (130.65 + F.col("id") % 700 / 10000.0).alias("lng"))
+    lat, lng = geo.web_mercator_inverse(*geo.web_mercator(F.col("lat"), F.col("lng")))
+    return rounded(p.select("id", lat.alias("lat"), lng.alias("lng")))
+
+
+@query("""WITH e AS (SELECT n_nationkey AS code, n_name AS name, r_name AS river, CASE WHEN n_nationkey % 3 > 0 THEN n_name || ' ' || r_regionkey END AS address FROM nation JOIN region ON r_regionkey = n_regionkey),
+p AS (SELECT c_nationkey AS code, c_name || CASE WHEN c_custkey % 4 = 0 THEN ' ' || n_name || ' ' || n_regionkey ELSE '' END || CASE WHEN c_custkey % 6 = 0 AND c_nationkey % 5 > 0 THEN ' ' || r_name ELSE '' END AS t FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_nationkey <> 7)
+SELECT e.code, coalesce(bool_or(contains(t, name)), false) AS name_found, coalesce(bool_or(contains(t, river)), false) AS river_found, coalesce(bool_or(contains(t, address)), false) AS address_found, coalesce(bool_or(contains(t, name) AND contains(t, river)), false) AS ok FROM e LEFT JOIN p ON p.code = e.code GROUP BY 1""")
+def quality_payload_identity(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+    expected = n.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.col("r_name").alias("river"), F.when(F.col("n_nationkey") % 3 > 0, F.concat("n_name", F.lit(" "), "r_regionkey")).alias("address"))
+    c = table(spark, sf, "customer").where("c_nationkey <> 7").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    named = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(" "), "n_name", F.lit(" "), "n_regionkey")).otherwise("")
+    river = F.when((F.col("c_custkey") % 6 == 0) & (F.col("c_nationkey") % 5 > 0), F.concat(F.lit(" "), "r_name")).otherwise("")
+    return quality.payload_identity(c.select(F.col("c_nationkey").alias("code"), F.concat("c_name", named, river).alias("text")), expected)

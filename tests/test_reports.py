@@ -139,3 +139,11 @@ def test_first_values_and_candidates(spark):
     assert tuple(web.reach_report(f, need).first()) == ("partial", ["t", "w"], 3, 1, 2)
     assert tuple(web.reach_report(f, need.where("station = 's'")).first()) == ("passed", [], 3, 1, 2)
     assert rows(web.found_candidates(f), "candidate") == [("x", 1), ("y", 2)]
+
+
+def test_identity_in_payloads(spark):
+    e = spark.createDataFrame([(1, "ann", "rhine", "x 1"), (2, "bo", "elbe", None), (3, "cy", "oder", "y"), (4, None, "ems", "z")], "code int, name string, river string, address string")
+    p = spark.createDataFrame([(1, '{"n":"ann","r":"rhine"}'), (1, "x 1"), (2, "bo"), (2, "elbe"), (2, None), (4, "ems z"), (9, "cy oder")], "code int, text string")
+    got = rows(quality.payload_identity(p, e), "code")
+    assert got == [(1, True, True, True, True), (2, True, True, False, False), (3, False, False, False, False), (4, False, True, True, False)]
+    assert [r[1:] for r in rows(quality.payload_identity(p.limit(0), e), "code")] == [(False,) * 4] * 4
