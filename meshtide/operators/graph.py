@@ -147,7 +147,9 @@ def node_rate(edges: DataFrame, nodes: DataFrame, capacities: DataFrame, boundar
     ``boundaries(node_id, kind, coefficient, value)``: kind ``dirichlet`` lets
     ``coefficient*(node value - value)`` out of the node, kind ``flux`` lets
     ``value`` out; other kinds are ignored. ``multipliers(edge_id, multiplier)``
-    scales edges, 1 where absent. Null or zero capacity gives a null rate.
+    scales edges, 1 where absent. Null or zero capacity gives a null rate;
+    capacities that are stated twice count once. A node of several rows has each
+    of its values: edges and boundaries count for each of them.
     Columns: ``node_id``, ``outflow``, ``source``, ``boundary``, ``rate``.
     """
     e = edges
@@ -164,7 +166,7 @@ def node_rate(edges: DataFrame, nodes: DataFrame, capacities: DataFrame, boundar
         rows = rows.union(b.select("node_id", zero, zero, out))
     total = rows.groupBy("node_id").agg(F.sum("inner").alias("inner"), F.sum("source").alias("source"), F.sum("boundary").alias("boundary"))
     outflow = F.col("inner") + F.col("boundary")
-    return total.join(capacities.select("node_id", "capacity"), "node_id", "left").select("node_id", outflow.alias("outflow"), "source", "boundary", F.when(F.col("capacity") != 0, (F.col("source") - outflow) / F.col("capacity")).alias("rate"))
+    return total.join(capacities.select("node_id", "capacity").distinct(), "node_id", "left").select("node_id", outflow.alias("outflow"), "source", "boundary", F.when(F.col("capacity") != 0, (F.col("source") - outflow) / F.col("capacity")).alias("rate"))
 
 
 def rate_totals(rates: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -172,10 +174,10 @@ def rate_totals(rates: DataFrame, capacities: DataFrame) -> DataFrame:
 
     ``mass_rate`` is the sum of capacity times rate; inner fluxes cancel, so
     ``imbalance = mass_rate - (source - boundary)`` is rounding alone, unless a node without
-    capacity keeps a flux. ``boundary`` counts what leaves.
+    capacity keeps a flux. ``boundary`` counts what leaves. Capacities that are stated twice count once.
     """
     held = F.col("capacity") * F.col("rate")
-    r = rates.join(capacities.select("node_id", "capacity"), "node_id", "left")
+    r = rates.join(capacities.select("node_id", "capacity").distinct(), "node_id", "left")
     total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
     r = r.agg(total(F.col("source")).alias("source"), total(F.col("boundary")).alias("boundary"), total(held).alias("mass_rate"))
     return r.withColumn("imbalance", F.col("mass_rate") - (F.col("source") - F.col("boundary")))

@@ -181,7 +181,7 @@ t AS (SELECT node_id, sum(i) AS i, sum(o) AS o FROM (SELECT "left" AS node_id, f
 SELECT node_id, round(i + o, 8) + 0.0 AS outflow, 0.0::DOUBLE AS source, round(o, 8) + 0.0 AS boundary, round(-(i + o) / (node_id % 7 + 1), 8) + 0.0 AS rate FROM t""")
 def graph_node_rate(spark: SparkSession, sf: str) -> DataFrame:
     n = V.nodes(spark, sf)
-    b = n.where("node_id % 5 = 0").select("node_id", F.when(F.col("node_id") % 2 == 0, "dirichlet").otherwise("flux").alias("kind"), F.lit(2.0).alias("coefficient"), F.when(F.col("node_id") % 2 == 0, 1.0).otherwise(0.5).alias("value"))
+    b = n.where("node_id % 5 = 0").select("node_id", F.when(F.col("node_id") % 2 == 0, "dirichlet").otherwise("flux").alias("kind"), F.lit(2.0).alias("coefficient"), F.when(F.col("node_id") % 2 == 0, 1.0).otherwise(0.5).alias("value")).distinct()
     cap = n.select("node_id", (F.col("node_id") % 7 + 1).cast("double").alias("capacity"))
     return rounded(graph.node_rate(V.edges(spark, sf), n, cap, b), 8)
 

@@ -3,8 +3,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from meshtide.operators import sites
+from meshtide.operators import graph, sites
 
 
 def steps_of(df, name):
@@ -35,3 +36,15 @@ def test_cast_ring_stays_in_its_row(spark):
     got = {r.id: tuple(r)[1:] for r in got_df.collect()}
     assert got.keys() == want.keys() and 0 < len(got) < 100
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+REPEATED_NODES = [(1, 2.0), (1, 3.0), (2, 1.0)]
+
+
+def test_rate_of_repeated_nodes(spark):
+    n = spark.createDataFrame(REPEATED_NODES, "node_id long, value double")
+    e = spark.createDataFrame([(9, 1, 2, 2.0)], "edge_id long, left long, right long, w double")
+    cap = n.select("node_id", F.lit(4.0).alias("capacity"))
+    b = spark.createDataFrame([(1, "flux", 0.0, 0.5)], "node_id long, kind string, coefficient double, value double")
+    got = sorted(tuple(r) for r in graph.node_rate(e, n, cap, b).collect())
+    assert got == [(1, 7.0, 0.0, 1.0, -1.75), (2, -6.0, 0.0, 0.0, 1.5)]
