@@ -48,3 +48,9 @@ def test_rate_of_repeated_nodes(spark):
     b = spark.createDataFrame([(1, "flux", 0.0, 0.5)], "node_id long, kind string, coefficient double, value double")
     got = sorted(tuple(r) for r in graph.node_rate(e, n, cap, b).collect())
     assert got == [(1, 7.0, 0.0, 1.0, -1.75), (2, -6.0, 0.0, 0.0, 1.5)]
+
+
+def test_totals_of_repeated_capacities(spark):
+    rates = spark.createDataFrame([(1, 7.0, 0.0, 1.0, -1.75), (2, -6.0, 0.0, 0.0, 1.5)], "node_id long, outflow double, source double, boundary double, rate double")
+    cap = spark.createDataFrame([(1, 4.0), (1, 4.0), (2, 4.0)], "node_id long, capacity double")
+    assert tuple(graph.rate_totals(rates, cap).first()) == (0.0, 1.0, -1.0, 0.0)
