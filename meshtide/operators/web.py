@@ -30,9 +30,16 @@ ATTRIBUTES = r"""((?:[^>"']|"[^"]*"|'[^']*')*)"""
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
-def _unescaped(text: Column) -> Column:
+#: References that count without their semicolon too, unless an attribute's value goes on behind them.
+BARE = ("&quot;", "&lt;", "&gt;", "&amp;")
+
+
+def _unescaped(text: Column, in_attribute: bool = False) -> Column:
     for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
+        if name in BARE:
+            text = F.regexp_replace(text, f"{name}|{name[:-1]}" + ("(?![=A-Za-z0-9])" if in_attribute else ""), sign)
+        else:
+            text = F.replace(text, F.lit(name), F.lit(sign))
     return text
 
 
@@ -46,7 +53,7 @@ def attribute_values(markup: Column, tag: str, attribute: str) -> Column:
     """The non-empty values of an attribute of all elements with a tag, in page order, quoted or not."""
     lists = F.regexp_extract_all(markup, F.lit(rf"(?is)<{tag}(?=[\s/>]){ATTRIBUTES}>"), F.lit(1))
     value = rf"""(?is)(?:^|[\s"'/]){attribute}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    of = lambda a: _unescaped(F.concat(*[F.regexp_extract(a, value, k) for k in (1, 2, 3)]))
+    of = lambda a: _unescaped(F.concat(*[F.regexp_extract(a, value, k) for k in (1, 2, 3)]), in_attribute=True)
     return F.filter(F.transform(lists, of), lambda v: v != "")
 
 

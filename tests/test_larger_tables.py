@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meshtide.operators import graph, sites
+from meshtide.operators import graph, sites, web
 
 
 def steps_of(df, name):
@@ -54,3 +54,10 @@ def test_totals_of_repeated_capacities(spark):
     rates = spark.createDataFrame([(1, 7.0, 0.0, 1.0, -1.75), (2, -6.0, 0.0, 0.0, 1.5)], "node_id long, outflow double, source double, boundary double, rate double")
     cap = spark.createDataFrame([(1, 4.0), (1, 4.0), (2, 4.0)], "node_id long, capacity double")
     assert tuple(graph.rate_totals(rates, cap).first()) == (0.0, 1.0, -1.0, 0.0)
+
+
+def test_references_without_semicolon(spark):
+    html = '<title>a &amp; b &amp&lt c &quotd&amp</title><a href="/x?a=1&amp;b=2&ampc=3&amp=4&amp">x</a>'
+    r = web.html_resources(spark.createDataFrame([(1, "https://h.org/", html)], "page_id long, url string, html string")).first()
+    assert r.title == 'a & b &< c "d&'
+    assert r.links == ["https://h.org/x?a=1&b=2&ampc=3&amp=4&"]
