@@ -155,8 +155,17 @@ def boundary_distances(stations: DataFrame, boundary: DataFrame, radius: float =
 
 
 def drop_near(samples: DataFrame, reference: DataFrame, distance: float = 22.0) -> DataFrame:
-    """``samples`` without those at most ``distance`` from a reference point."""
-    return samples.join(pairs_within(samples, reference, distance).select("id"), "id", "left_anti")
+    """``samples`` without those at most ``distance`` from a reference point.
+
+    All of a cell of side ``distance`` over the root of two are near each other, so a
+    sample whose cell has a reference point goes at once; only the others meet points pair by pair.
+    """
+    side = distance / 2**0.5 * (1 - 1e-6)  # what rounding of a coordinate may add
+    cell = lambda c: F.floor(F.when(F.abs(F.col(c)) < side * 1e9, F.col(c)) / side)
+    held = reference.select(cell("x").alias("_gx"), cell("y").alias("_gy")).distinct()
+    samples = samples.withColumn("_gx", cell("x")).withColumn("_gy", cell("y")).join(held, ["_gx", "_gy"], "left_anti").drop("_gx", "_gy")
+    finite = samples.where((F.abs(F.col("x")) < float("inf")) & (F.abs(F.col("y")) < float("inf")))
+    return samples.join(pairs_within(finite, reference, distance).select("id"), "id", "left_anti")
 
 
 def ranked(df: DataFrame, by: str, score: str = "score", tie: str = "id") -> DataFrame:

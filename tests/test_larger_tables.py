@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meshtide.operators import graph, raster, sites, web
+from meshtide.operators import graph, raster, sites, spatial, web
 
 
 def steps_of(df, name):
@@ -103,3 +103,16 @@ def test_points_meet_runs_of_their_bucket(spark, rounding):
     assert sorted(r.id for r in got.collect()) == [k for k, x, y in p if any(row == snap(y) and x0 <= snap(x) <= x1 for row, x0, x1 in RUNS)]
     join = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi" in line)
     assert "_bx" in join  # dealt by columns too, not by rows alone
+
+
+def test_drop_near_meets_few_pairs(spark, monkeypatch):
+    seen, real = [], spatial.pairs_within
+    monkeypatch.setattr(spatial, "pairs_within", lambda left, right, d: seen.append(left.count()) or real(left, right, d))
+    odd = [(500, float("nan"), 1.0), (501, float("inf"), 1.0), (502, None, 1.0), (503, 1.0, float("-inf"))]
+    s = [(k, k * 7 % 83 * 2.5, k * 13 % 61 * 1.5) for k in range(300)] + odd
+    r = [(k, k * 5 % 23 * 3.25, k * 11 % 31 * 2.0) for k in range(300)] + [(900, 150.0, 22.0)] + odd
+    kind = "id long, x double, y double"
+    got = {x.id for x in spatial.drop_near(spark.createDataFrame(s, kind), spark.createDataFrame(r, kind)).collect()}
+    near = lambda p, q: None not in (*p, *q) and math.dist(p, q) <= 22
+    assert got == {k for k, *p in s if not any(near(p, q) for _, *q in r)}
+    assert seen == [seen[0]] and seen[0] < 250  # where cells are full, no pairs are made
