@@ -67,7 +67,8 @@ def mesh(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     corner = F.floor(k / n) * (n + 1) + k % n
     tri = c.select(F.explode(F.array(F.struct((k * 2).alias("cell_id"), corner.alias("a"), (corner + 1).alias("b"), (corner + n + 2).alias("c")), F.struct((k * 2 + 1).alias("cell_id"), corner.alias("a"), (corner + n + 1).alias("b"), (corner + n + 2).alias("c")))).alias("t")).select("t.*")
     v = tri.select(F.explode(F.array("a", "b", "c")).alias("vertex_id")).distinct().select("vertex_id", (F.col("vertex_id") % (n + 1)).cast("double").alias("x"), (F.floor(F.col("vertex_id") / (n + 1)) * 1.5).cast("double").alias("y"))
-    return tri, v
+    # Spark takes exploded rows to be as many as the customers and would broadcast them
+    return tri.hint("merge"), v.hint("merge")
 
 
 MESH = """corner AS (SELECT c_custkey AS k, c_custkey // 50 * 51 + c_custkey % 50 AS p FROM customer),

@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from meshtide.operators import graph, raster, sites, spatial, web
+from meshtide.operators import graph, mesh, raster, sites, spatial, web
+from meshtide.plans import views
 
 
 def steps_of(df, name):
@@ -132,3 +133,8 @@ def test_lattice_lines_meet_their_own_region(spark):
     joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert len(joins) == 1 and "region" in joins[0]
     assert got.count() > 100
+
+
+def test_mesh_rows_are_not_broadcast(spark, sf):
+    plan = mesh.triangle_geometry(*views.mesh(spark, sf))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
