@@ -74,22 +74,196 @@ def blocked_paths(paths: DataFrame, lines: DataFrame) -> DataFrame:
     return paths.join(*path_conflict(lines), "left_semi")
 
 
+def prefers(ideal: float):
+    """Marks a weight that rises up to the distance ``ideal`` and falls beyond it, so that :func:`best_stand` needs no other pairs.
+
+    On either side it changes by more than a score's rounding where the square of the difference to
+    ``ideal`` is greater by :data:`SLACK`; the two sides need not be alike.
+    """
+
+    def mark(weight: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        weight.ideal = ideal
+        return weight
+
+    return mark
+
+
+@prefers(34.0)
 def stand_weight(d: Column) -> Column:
     return 0.70 + 0.30 * F.exp(-0.5 * F.pow((d - 34) / 30, 2))
 
 
+#: Squares of differences to the ideal distance that are nearer than this are told apart by the score alone.
+SLACK = 1e-8
+#: Targets of a tile on average and at most, samples at most that one task takes up at once.
+TILE_TARGETS, PART_TARGETS, PART_SAMPLES = 1 << 12, 1 << 15, 1 << 20
+#: Rows of the largest arrays in :func:`_on_ring`, and tiles that are broadcast.
+ARRAY_ROWS, BROADCAST_TILES = 1 << 20, 50_000
+
+
+def _ranges(start, count):
+    """Numbers from each ``start`` on, ``count`` of each, and which start they came from."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(start)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + start[owner]
+
+
+def _on_ring(px, py, qx, qy, ideal: float, least: float, reach: float):
+    """Pairs (target, sample) of positions: the samples of each target ``least`` to ``reach`` away whose distance is nearest to ``ideal`` from below and from above, within SLACK.
+
+    Samples lie in strips of as many each, by y within a strip. A few places on the ring give first
+    bounds; of each strip only the samples between the two circles of these bounds are then looked at.
+    """
+    import numpy as np
+
+    strips = max(1, math.isqrt(len(qx)) // 2)
+    strip = np.empty(len(qx), int)
+    strip[np.argsort(qx, kind="stable")] = np.arange(len(qx)) * strips // len(qx)
+    bottom, height = qy.min() - 2, float(np.ptp(qy)) + 4
+    order = np.lexsort((qy, strip))
+    qx, qy, strip = qx[order], qy[order], strip[order]
+    key = strip * height + (qy - bottom)
+    at = lambda k, y, side: np.searchsorted(key, k * height + np.clip(y - bottom, 0, height - 1e-9), side)
+    first = np.searchsorted(strip, np.arange(strips))
+    x0, x1 = np.minimum.reduceat(qx, first), np.maximum.reduceat(qx, first)
+    eps = 1e-9 * reach + 8 * float(np.spacing(key[-1] + height))
+
+    def misfit(t, q):
+        dx, dy = px[t] - qx[q], py[t] - qy[q]
+        d = np.sqrt(dx * dx + dy * dy)
+        return np.where((d >= least) & (d <= reach), np.abs(d - ideal), np.inf), (d > ideal).astype(int)
+
+    below, above, every = np.full(len(px), ideal - least), np.full(len(px), reach - ideal), np.arange(len(px))
+    for turn in np.arange(16) * math.pi / 8:
+        x, y = px + min(reach, max(least, ideal)) * math.cos(turn), py + min(reach, max(least, ideal)) * math.sin(turn)
+        q = at(np.maximum(0, np.searchsorted(x0, x, "right") - 1), y, "left")
+        for near in (q - 1, q):
+            m, beyond = misfit(every, np.clip(near, 0, len(qx) - 1))
+            below, above = np.where(beyond, below, np.minimum(below, m)), np.where(beyond, np.minimum(above, m), above)
+    outer, inner = np.minimum(reach, ideal + np.maximum(0, above)) + eps, np.maximum(0, np.maximum(least, ideal - np.maximum(0, below)) - eps)
+    left, right = np.searchsorted(x1, px - outer), np.searchsorted(x0, px + outer, "right")
+    found = [(every[:0], order[:0])]
+    for some in np.split(every, np.searchsorted(np.cumsum(np.maximum(0, right - left)), np.arange(ARRAY_ROWS // 4, int(np.maximum(0, right - left).sum()), ARRAY_ROWS // 4))):
+        if not len(some):
+            continue
+        t, k = _ranges(left[some], np.maximum(0, right - left)[some])
+        t = some[t]
+        dx0, dx1 = np.maximum(0, np.maximum(x0[k] - px[t], px[t] - x1[k])), np.maximum(np.abs(px[t] - x0[k]), np.abs(px[t] - x1[k]))
+        far, near = np.sqrt(np.maximum(0, outer[t] ** 2 - dx0**2)) + eps, np.sqrt(np.maximum(0, inner[t] ** 2 - dx1**2)) - eps
+        a0, a1, b0, b1 = at(k, py[t] - far, "left"), at(k, py[t] - near, "right"), at(k, py[t] + near, "left"), at(k, py[t] + far, "right")
+        start, end = np.stack((a0, np.maximum(a1, b0)), 1).ravel(), np.stack((a1, b1), 1).ravel()
+        t, count = np.repeat(t, 2), np.maximum(0, end - start)
+        # a target of many samples is looked through piece by piece
+        cuts = np.searchsorted(np.cumsum(count), np.arange(ARRAY_ROWS, int(count.sum()), ARRAY_ROWS))
+        best, rows = np.full(2 * len(some), np.inf), []
+        for part in np.split(np.arange(len(t)), cuts):
+            o, q = _ranges(start[part], count[part])
+            u = t[part][o]
+            m, beyond = misfit(u, q)
+            place = 2 * (u - some[0]) + beyond
+            np.minimum.at(best, place, m)
+            ok = np.isfinite(m) & (m**2 <= best[place] ** 2 + SLACK)
+            rows.append((u[ok], q[ok], m[ok], place[ok]))
+        u, q, m, place = (np.concatenate(c) for c in zip(*rows, strict=True))
+        ok = m**2 <= best[place] ** 2 + SLACK
+        found.append((u[ok], order[q[ok]]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _first_in_reach(px, py, qx, qy, least: float, reach: float):
+    """Pairs (target, sample) of positions: the first sample that is ``least`` to ``reach`` away from each target."""
+    import numpy as np
+
+    rest, start, found = np.arange(len(px)), 0, []
+    while len(rest) and start < len(qx):
+        end = start + max(1, ARRAY_ROWS // len(rest))
+        dx, dy = px[rest, None] - qx[None, start:end], py[rest, None] - qy[None, start:end]
+        d = np.sqrt(dx * dx + dy * dy)
+        hit = (d >= least) & (d <= reach)
+        some = hit.any(axis=1)
+        found.append((rest[some], start + hit[some].argmax(axis=1)))
+        rest, start = rest[~some], end
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (rest[:0], rest[:0])
+
+
+def _likely_stands(targets: DataFrame, samples: DataFrame, reach: float, least: float, ideal: float) -> DataFrame:
+    """Pairs of ``targets(id, px, py, s)`` and ``samples(other, qx, qy)`` that hold the best of each target.
+
+    A tile's targets meet the samples within reach of the tile in a task of their own; a crowded tile is
+    dealt to several, each with a part of the targets and a part of the samples. Of a target with a positive
+    score only the samples nearest to ``ideal`` remain; where all score alike (zero, infinite, not a number), the first.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n, x0, y0, x1, y1 = targets.agg(F.count(F.lit(1)), F.min("px"), F.min("py"), F.max("px"), F.max("py")).first()
+    side = max(reach, math.sqrt(max(x1 - x0, reach) * max(y1 - y0, reach) * TILE_TARGETS / n)) if n else reach
+    t = bucketed(targets, side, "px", "py")
+    # a place is as good as another one there, and the smaller id wins
+    q = bucketed(samples.groupBy("qx", "qy").agg(F.min("other").alias("other")), side, "qx", "qy").withColumnsRenamed({"gx": "hx", "gy": "hy"})
+    parts = lambda df, name, most: df.agg(F.ceil(F.sum("n") / most).cast("int").alias(name))
+    held = spread(q.groupBy(F.col("hx").alias("gx"), F.col("hy").alias("gy")).agg(F.count(F.lit(1)).alias("n")))
+    tiles = parts(t.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("n")).groupBy("gx", "gy"), "a_parts", PART_TARGETS).join(parts(held.groupBy("gx", "gy"), "b_parts", PART_SAMPLES), ["gx", "gy"])
+    tiles = settled(tiles)
+    small = F.broadcast if tiles.count() <= BROADCAST_TILES else (lambda df: df)
+    around = spread(tiles.select(F.col("gx").alias("tx"), F.col("gy").alias("ty"), "gx", "gy", "a_parts", "b_parts")).withColumnsRenamed({"gx": "hx", "gy": "hy"})
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    t = t.join(small(tiles), ["gx", "gy"]).withColumn("a", deal("id", "a_parts")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("b_parts") - 1))).drop("a_parts", "b_parts")
+    edge = reach * (1 + 1e-9)
+    inside = lambda c, g: F.col(c).between(F.col(g) * side - edge - F.abs(F.col(c)) * 1e-12, (F.col(g) + 1) * side + edge + F.abs(F.col(c)) * 1e-12)
+    q = q.join(small(around), ["hx", "hy"]).where(inside("qx", "tx") & inside("qy", "ty")).withColumn("b", deal("other", "b_parts")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("a_parts") - 1)))
+    q = q.select(F.col("tx").alias("gx"), F.col("ty").alias("gy"), "a", "b", "other", "qx", "qy")
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        import numpy as np
+
+        left, right = left.select(["id", "px", "py", "s"]), right.select(["other", "qx", "qy"])
+        if not len(left) or not len(right):
+            return pa.table([*left.slice(0, 0).columns, *right.slice(0, 0).columns], names=[*left.column_names, *right.column_names])
+        px, py, s = (left[c].to_numpy() for c in ("px", "py", "s"))
+        alike = ~((s > 1e-290) & (s < np.inf))
+        pairs = []
+        for which in (False, True):
+            mine = np.flatnonzero(alike == which)
+            if len(mine):
+                chosen = right.take(pc.sort_indices(right["other"])) if which else right
+                qx, qy = chosen["qx"].to_numpy(), chosen["qy"].to_numpy()
+                mine = mine[np.lexsort((py[mine], np.floor(px[mine])))]  # neighbours look into the same strips
+                i, j = _first_in_reach(px[mine], py[mine], qx, qy, least, reach) if which else _on_ring(px[mine], py[mine], qx, qy, ideal, least, reach)
+                out = left.take(pa.array(mine[i]))
+                for c in chosen.column_names:
+                    out = out.append_column(c, chosen[c].take(pa.array(j)))
+                pairs.append(out)
+        return pa.concat_tables(pairs)
+
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, names in ((targets, ("id", "px", "py", "s")), (samples, ("other", "qx", "qy"))) for c in names)
+    keys = ("gx", "gy", "a", "b")
+    return t.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(pick, kind)
+
+
 def best_stand(targets: DataFrame, samples: DataFrame, reach: float = 100.0, least: float = 2.0, weight=stand_weight, blocked_by: DataFrame | None = None) -> DataFrame:
     """``target, stand, d, score``: for each ``targets(id, x, y, score)`` the sample with the best weighted score; the smaller sample id wins ties.
 
-    Pairs meet in grid buckets and are reduced where they arise, so that only the
-    best of each task and target is shuffled.
+    With a weight that :func:`prefers` a distance, only the samples nearest to that distance are
+    scored. Other weights, negative scores and blocked paths need all pairs within reach; these meet in grid buckets
+    and are reduced where they arise, so that only the best of each task and target is shuffled.
     """
-    t = spread(bucketed(targets.select("id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("score").alias("s")), reach, "px", "py"))
-    p = t.join(bucketed(samples.select(F.col("id").alias("other"), F.col("x").alias("qx"), F.col("y").alias("qy")), reach, "qx", "qy"), ["gx", "gy"])
-    p = p.withColumn("d", F.sqrt(F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2))).where(F.col("d").between(least, reach))
+    t = targets.select("id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), F.col("score").cast("double").alias("s")).where("s is not null")
+    q = samples.select(F.col("id").alias("other"), F.col("x").cast("double").alias("qx"), F.col("y").cast("double").alias("qy"))
+    d = F.sqrt(F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2))
+    ideal = getattr(weight, "ideal", None)
+    every = ideal is None or blocked_by is not None
+    all_of = t if every else t.where(f"s < 0 and s > double('-inf')")
+    p = spread(bucketed(all_of, reach, "px", "py")).join(bucketed(q, reach, "qx", "qy"), ["gx", "gy"]).drop("gx", "gy")
+    if not every:
+        finite = lambda df, *c: df.where(" and ".join(f"abs({k}) < double('inf')" for k in c))
+        likely = _likely_stands(finite(t.where("s >= 0 or s = double('-inf')"), "px", "py"), finite(q, "qx", "qy").where("other is not null"), reach, least, ideal)
+        p = likely.unionByName(p.select(*likely.columns)) if not all_of.isEmpty() else likely
+    p = p.withColumn("d", d).where(F.col("d").between(least, reach))
     if blocked_by is not None:
         p = p.join(*path_conflict(blocked_by), "left_anti")
-    best = p.where("s is not null").groupBy("id").agg(F.min(F.struct((-F.col("s") * weight(F.col("d"))).alias("k"), "other", "d")).alias("b"))
+    best = p.groupBy("id").agg(F.min(F.struct((-F.col("s") * weight(F.col("d"))).alias("k"), "other", "d")).alias("b"))
     return best.select(F.col("id").alias("target"), F.col("b.other").alias("stand"), "b.d", (-F.col("b.k")).alias("score"))
 
 

@@ -138,3 +138,38 @@ def test_lattice_lines_meet_their_own_region(spark):
 def test_mesh_rows_are_not_broadcast(spark, sf):
     plan = mesh.triangle_geometry(*views.mesh(spark, sf))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def _best_by_hand(targets, stands, weight):
+    want = {}
+    for i, x, y, s in targets:
+        pairs = [(math.hypot(x - u, y - v), k) for k, u, v in stands]
+        pairs = [(-s * weight(d) if s == s else 0.0, k) for d, k in pairs if 2 <= d <= 100]
+        if pairs:
+            want[i] = min(pairs)[1]
+    return want
+
+
+def test_best_stand_scores_only_what_may_be_best(spark):
+    """Of 1,600 stands around each target the weight is asked for those nearest to its best distance alone."""
+    targets = [(k, 100.0 + k % 7 * 0.3, 100.0 + k // 7 * 0.3, 0.5 + k / 100) for k in range(40)]
+    stands = [(k * 37 % 1600, 60.0 + k % 40 * 2.0, 60.0 + k // 40 * 2.0) for k in range(1600)]
+    near = lambda d: F.when(F.abs(d - 34) > 5, F.raise_error("scored a pair that cannot be best")).otherwise(spatial.stand_weight(d))
+    near.ideal = 34.0
+    got = {r.target: r.stand for r in spatial.best_stand(spark.createDataFrame(targets, "id long, x double, y double, score double"), spark.createDataFrame(stands, "id long, x double, y double"), weight=near).collect()}
+    assert got == _best_by_hand(targets, stands, lambda d: 0.7 + 0.3 * math.exp(-0.5 * ((d - 34) / 30) ** 2))
+
+
+@pytest.mark.parametrize("parts", [1 << 20, 16])
+def test_best_stand_of_any_score(spark, monkeypatch, parts):
+    """Zero, negative and missing scores, stands in one place, a weight whose sides differ, and tiles dealt to many tasks."""
+    monkeypatch.setattr(spatial, "PART_TARGETS", parts)
+    monkeypatch.setattr(spatial, "PART_SAMPLES", parts)
+    targets = [(k, k * 37 % 101 * 4.0, k * 91 % 89 * 4.0, (0.0, -0.5, float("nan"), 0.3, 1.0)[k % 5]) for k in range(150)] + [(900, 5000.0, 5000.0, 1.0), (901, 0.0, 0.0, 1.0), (902, None, 0.0, 1.0)]
+    stands = [(k * 17 % 241, k * 53 % 97 * 5.0, k * 29 % 83 * 5.0) for k in range(120)] + [(1000 + k, 34.0, 0.0) for k in range(5)] + [(-1, None, 3.0), (-2, float("nan"), 3.0)]
+    t, s = spark.createDataFrame([*targets, (903, 0.0, 0.0, None)], "id long, x double, y double, score double"), spark.createDataFrame(stands, "id long, x double, y double")
+    got = {r.target: r.stand for r in spatial.best_stand(t, s, weight=sites.near_stand_weight).collect()}
+    weight = lambda d: (0.66 + 0.34 * math.exp(-0.5 * ((d - 34) / 30) ** 2)) * (0.55 if d < 5 else 1.0)
+    assert got == _best_by_hand([r for r in targets if r[0] not in (900, 902)], [r for r in stands if r[0] >= 0], weight)
+    assert got[901] == 1000 and 900 not in got
+    assert spatial.best_stand(t.limit(0), s).count() == 0 and spatial.best_stand(t, s.limit(0)).count() == 0
