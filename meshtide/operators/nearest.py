@@ -19,8 +19,10 @@ from meshtide.session import checkpointed, settled
 BITS, STEP = 24, 2
 #: Things that a box holds undivided.
 LEAF = 32
-#: A level of at most so many boxes is broadcast; points then meet it where they are.
-BROADCAST_BOXES = 50_000
+#: A level of at most so many bytes is broadcast; points then meet it where they are.
+BROADCAST_BYTES = 1 << 26
+#: Points of a task; each looks into many boxes, so tasks are smaller than their bytes suggest.
+TASK_POINTS = 1 << 14
 BOX = ("box_x0", "box_y0", "box_x1", "box_y1")
 
 Cost = Callable[[Callable[[str], Column]], Column]
@@ -36,7 +38,7 @@ def box_tree(things: DataFrame, order: list[str], leaf: int = LEAF) -> tuple[lis
 
     ``things`` has the columns of ``BOX`` and ``part``; a thing belongs to the box of its
     centre. Boxes of more than ``leaf`` things are split further, so a crowded place gets
-    more levels and an empty one none. A level has ``part, parent, node, is_leaf``, the box around all of its
+    more levels and an empty one none; of a box of the finest grid ``chunks`` tells how many leaves' worth it holds. A level has ``part, parent, node, is_leaf``, the box around all of its
     things and ``pick``, one of them (the first by ``order``). Things without a box are left out.
     """
     inside = things.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in BOX]))
@@ -52,21 +54,22 @@ def box_tree(things: DataFrame, order: list[str], leaf: int = LEAF) -> tuple[lis
         facts = [c for c in things.columns if c not in (*BOX, "part")]
         pick = F.min_by(F.struct(*facts), F.struct(*order)).alias("pick")
         level = here.groupBy("part", "parent", "node").agg(F.count(F.lit(1)).alias("n"), *box, pick)
-        level = settled(level.withColumn("is_leaf", (F.col("n") <= leaf) | F.lit(bits == BITS)).drop("n"))
-        levels.append(F.broadcast(level) if level.count() <= BROADCAST_BOXES else level)
-        keys = level.select("part", "node", "is_leaf")
+        level = settled(level.withColumn("is_leaf", (F.col("n") <= leaf) | F.lit(bits == BITS)))
+        width = 8 * (12 + len(facts))
+        levels.append((F.broadcast if level.count() <= BROADCAST_BYTES // width else lambda df: df)(level.drop("n")))
+        keys = level.select("part", "node", "is_leaf", F.ceil(F.col("n") / leaf).alias("chunks"))
         here = here.drop("parent").join(keys, ["part", "node"])
-        done.append(here.where("is_leaf").select(*things.columns, "node", F.lit(bits).alias("depth")))
+        done.append(here.where("is_leaf").select(*things.columns, "node", F.lit(bits).alias("depth"), "chunks"))
         if level.where("not is_leaf").isEmpty():
             break
-        rest = here.where("not is_leaf").drop("node", "is_leaf")
+        rest = here.where("not is_leaf").drop("node", "is_leaf", "chunks")
     return levels, reduce(DataFrame.unionByName, done)
 
 
 def nearest(points: DataFrame, things: DataFrame, cost: Cost, low: Callable[[Column, Column, Column, Column], Column], order: list[str], high: Callable[[Column, Column, Column, Column], Column] | None = None, leaf: int = LEAF) -> DataFrame:
     """``points`` with the thing of least cost in the same ``part``: columns ``cost`` and ``found`` (a struct of the thing).
 
-    ``points`` has ``id`` (one row for each), ``part`` and what costs are made of; ``things``
+    ``points`` has ``part``, what costs are made of and what else is to be handed on; ``things``
     has ``part`` and the columns of ``BOX``. ``cost`` takes a function from the name of a
     thing's column to that column; a null cost means that the two do not go together.
     ``low`` gives the least cost that anything in a box can have (null: nothing in it goes
@@ -77,23 +80,32 @@ def nearest(points: DataFrame, things: DataFrame, cost: Cost, low: Callable[[Col
     """
     levels, leaves = box_tree(things, order, leaf)
     facts, box = [c for c in things.columns if c not in (*BOX, "part")], [F.col(c) for c in BOX]
-    entries = checkpointed(points).join(levels[0].select("part", F.lit(-1).cast("long").alias("node"), F.lit(False).alias("is_leaf")), "part")
+    entries = checkpointed(points.withColumn("_point", F.monotonically_increasing_id()))
+    entries = entries.repartition(max(1, -(-entries.count() // TASK_POINTS)), "_point")
+    entries = entries.join(levels[0].select("part", F.lit(-1).cast("long").alias("node"), F.lit(False).alias("is_leaf")), "part")
     entries = entries.select("*", F.lit(0).alias("depth"), F.lit(0.0).alias("low"), F.lit(None).cast("double").alias("bound"))
+    within = F.col("bound").isNull() | (F.col("low") <= F.col("bound") * (1 + 1e-9))
     for step, level in enumerate(levels):
         below = level.select(F.col("part").alias("in_part"), (F.lit(-1).cast("long") if step == 0 else F.col("parent")).alias("parent"), F.col("node").alias("child"), F.col("is_leaf").alias("child_leaf"), *BOX, "pick")
         # one join keeps the leaves found so far and opens the other boxes
         e = entries.join(below, (F.col("part") == F.col("in_part")) & (F.col("node") == F.col("parent")) & ~F.col("is_leaf"), "left")
         opened = F.col("child").isNotNull()
-        e = e.withColumn("low", F.when(opened, low(*box).cast("double")).otherwise(F.col("low"))).where("low is not null")
+        # a box beyond the bound so far cannot lower it either, so it goes before the entries of a point meet
+        # explode, so that the bound is worked out once and not again for every filter on it
+        lows = F.explode(F.array(F.when(opened, low(*box).cast("double")).otherwise(F.col("low")))).alias("low")
+        e = e.select(*[c for c in e.columns if c != "low"], lows).where("low is not null").where(within)
         best = F.least("bound", cost(lambda c: F.col("pick")[c]), *([] if high is None else [high(*box)])).cast("double")
         e = e.withColumn("bound", F.when(opened, best).otherwise(F.col("bound"))).withColumn("depth", F.when(opened, step * STEP).otherwise(F.col("depth")))
         e = e.withColumn("node", F.coalesce("child", "node")).withColumn("is_leaf", F.coalesce("child_leaf", "is_leaf")).select(*entries.columns)
-        entries = e.withColumn("bound", F.min("bound").over(W.partitionBy("id"))).where(F.col("bound").isNull() | (F.col("low") <= F.col("bound") * (1 + 1e-9)))
-    pairs = entries.drop("low", "bound", "is_leaf").join(leaves.select("part", "node", "depth", F.struct(*facts).alias("thing")), ["part", "node", "depth"])
-    pairs = pairs.withColumn("cost", cost(lambda c: F.col("thing")[c])).where("cost is not null")
-    key = F.struct("cost", *[F.col("thing")[c].alias(c) for c in order])
-    own = [c for c in points.columns if c != "id"]
-    best = pairs.groupBy("id").agg(*[F.first(c).alias(c) for c in own], F.min("cost").alias("cost"), F.min_by("thing", key).alias("found"))
+        entries = e.withColumn("bound", F.min("bound").over(W.partitionBy("_point"))).where(within)
+    # the things of a leaf travel as one array, so that of each entry only its best thing goes on
+    chunk = F.pmod(F.xxhash64(*order), F.col("chunks"))
+    leaves = leaves.groupBy("part", "node", "depth", chunk.alias("chunk")).agg(F.collect_list(F.struct(*facts)).alias("things"))
+    pairs = entries.drop("low", "bound", "is_leaf").join(leaves.drop("chunk").hint("merge"), ["part", "node", "depth"])
+    costs = F.transform("things", lambda t, i: F.struct(cost(lambda c: t[c]).alias("cost"), *[t[c].alias(c) for c in order], i.alias("_at")))
+    pairs = pairs.withColumn("key", F.array_min(F.filter(costs, lambda k: k["cost"].isNotNull()))).where("key is not null")
+    pairs = pairs.withColumn("thing", F.col("things")[F.col("key._at")]).drop("things")
+    best = pairs.groupBy("_point").agg(*[F.first(c).alias(c) for c in points.columns], F.min("key.cost").alias("cost"), F.min_by("thing", F.struct("key.cost", *[F.col("key")[c].alias(c) for c in order])).alias("found"))
     return best.select(*points.columns, "cost", "found")
 
 

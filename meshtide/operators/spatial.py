@@ -284,7 +284,7 @@ def nearest_axis(points: DataFrame, measured: DataFrame, leaf: int = LEAF) -> Da
     at = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     segments = measured.groupBy("ax", "ay", "bx", "by").agg(F.min(F.struct("line_id", "ix", "length", "start", "total")).alias("s")).select("ax", "ay", "bx", "by", "s.*")
     segments = segments.select("*", F.lit(0).alias("part"), F.least("ax", "bx").alias(BOX[0]), F.least("ay", "by").alias(BOX[1]), F.greatest("ax", "bx").alias(BOX[2]), F.greatest("ay", "by").alias(BOX[3]))
-    places = at.select(F.struct("x", "y").alias("id"), F.lit(0).alias("part"), "x", "y").distinct()
+    places = at.select(F.lit(0).alias("part"), "x", "y").distinct()
     x, y = F.col("x"), F.col("y")
     n = nearest(places, segments, lambda c: segment_distance(x, y, c("ax"), c("ay"), c("bx"), c("by"))[0], box_gap(x, y), ["line_id", "ix"], leaf=leaf)
     n = at.select("id", "x", "y").join(n.select("x", "y", F.col("cost").alias("d"), "found.*"), ["x", "y"])
@@ -316,7 +316,7 @@ def nearest_boundary(stations: DataFrame, boundary: DataFrame, radius: float = 6
     at = stations.where("lat is not null and lng is not null")
     points = boundary.where("lat is not null and lng is not null").groupBy(F.col("lat").cast("double").alias("b_lat"), F.col("lng").cast("double").alias("b_lng")).agg(F.min("id").alias("b_id"))
     things = points.select("*", F.lit(0).alias("part"), *[F.col(c).alias(k) for k, c in zip(BOX, ("b_lng", "b_lat", "b_lng", "b_lat"), strict=True)])
-    places = at.select(F.struct("lat", "lng").alias("id"), F.lit(0).alias("part"), "lat", "lng").distinct()
+    places = at.select(F.lit(0).alias("part"), "lat", "lng").distinct()
     lat, lng = F.col("lat"), F.col("lng")
     n = nearest(places, things, lambda c: haversine(lat, lng, c("b_lat"), c("b_lng"), radius), sphere_gap(lat, lng, radius), ["b_id"], leaf=leaf)
     return at.select("id", "lat", "lng").join(n.select("lat", "lng", F.col("cost").alias("d"), F.col("found.b_id").alias("nearest")), ["lat", "lng"]).select("id", "nearest", "d")

@@ -86,3 +86,16 @@ def test_nothing_to_find(spark):
     p = spark.createDataFrame([(1, 1.0, 2.0)], "id int, lat double, lng double")
     assert spatial.nearest_boundary(p, p.limit(0)).count() == 0 and spatial.nearest_boundary(p.limit(0), p).count() == 0
     assert tuple(spatial.nearest_boundary(p, p).first()) == (1, 1, 0.0)
+
+
+def test_deep_levels_are_broadcast_and_leaves_meet_points_whole(spark):
+    """65,536 boxes in one level still meet the points where they are; of each box a point takes its best thing on, not a row for each."""
+    k = F.col("k")
+    things = spark.range(1 << 16).withColumnRenamed("id", "k").withColumns({"x": (k % 256).cast("double"), "y": F.floor(k / 256).cast("double")})
+    things = things.select("k", "x", "y", F.lit(0).alias("part"), *[F.col(c).alias(b) for b, c in zip(nearest.BOX, "xyxy", strict=True)])
+    points = spark.createDataFrame([(j, 0, j * 7.31 % 255, j * 11.93 % 255) for j in range(40)], "id long, part int, px double, py double")
+    apart = lambda c: F.hypot(F.col("px") - c("x"), F.col("py") - c("y"))
+    levels, _ = nearest.box_tree(things, ["k"], 1)
+    assert levels[-1].count() > 50_000 and all("broadcast" in level._jdf.queryExecution().logical().toString() for level in levels)
+    found = nearest.nearest(points, things, apart, nearest.box_gap(F.col("px"), F.col("py")), ["k"], leaf=1)
+    assert {r["id"]: r["found"]["k"] for r in found.collect()} == {r.id: round(r.px) + 256 * round(r.py) for r in points.collect()}
