@@ -22,54 +22,67 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(PROVIDER, ROCKSDB)
 
 
+def _packed(us, h) -> tuple[bytes]:
+    return (us.astype("<i8").tobytes() + h.astype("<f8").tobytes(),)
+
+
+def _unpacked(chunks):
+    import numpy as np
+
+    us = [np.frombuffer(c, "<i8", len(c) // 16) for c in chunks]
+    return np.concatenate(us), np.concatenate([np.frombuffer(c, "<f8", len(c) // 16, len(c) // 2) for c in chunks])
+
+
 def _hysteresis(wet: float, dry: float):
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class InOrder(StatefulProcessor):
+        """Each call to the state costs a round trip, so rows are held in packed chunks and a cell's flag (-1: none) and timer (0: none) in one value."""
+
         def init(self, handle):
             self.handle = handle
-            self.flag = handle.getValueState("flag", "wet int")
-            self.held = handle.getListState("held", "us long, h double")
-            self.timer = handle.getValueState("timer", "ms long")
-
-        def ring(self, us):
-            """A timer at the earliest held time, in place of the one there was."""
-            ms = us // 1000 + 1
-            if self.timer.exists():
-                if self.timer.get()[0] <= ms:
-                    return
-                self.handle.deleteTimer(self.timer.get()[0])
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
+            self.now = handle.getValueState("now", "flag int, ms long")
+            self.held = handle.getListState("held", "chunk binary")
 
         def handleInputRows(self, key, rows, timerValues):
-            came = [(int(us), float(h)) for part in rows for us, h in zip(part["us"], part["h"], strict=True)]
-            if came:
-                self.held.appendList(came)
-                self.ring(min(came)[0])
+            parts = [(p["us"].to_numpy("int64"), p["h"].to_numpy("float64")) for p in rows]
+            us, h = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0), None)
+            if len(us):
+                self.held.appendValue(_packed(us, h))
+                # a timer at the earliest held time, in place of the one there was
+                flag, was = self.now.get() or (-1, 0)
+                ms = int(us.min()) // 1000 + 1
+                if not was or ms < was:
+                    if was:
+                        self.handle.deleteTimer(was)
+                    self.handle.registerTimer(ms)
+                    self.now.update((flag, ms))
             yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             passed = timerValues.getCurrentWatermarkInMs() * 1000
-            held = sorted(self.held.get())
-            due = [x for x in held if x[0] <= passed]
-            left = held[len(due):]
-            self.timer.clear()
-            if left:
-                self.held.put(left)
-                self.ring(left[0][0])
+            us, h = _unpacked([c for (c,) in self.held.get()])
+            order = np.lexsort((h, us))
+            us, h = us[order], h[order]
+            n = int(np.searchsorted(us, passed, "right"))
+            ms = 0
+            if n < len(us):
+                self.held.put([_packed(us[n:], h[n:])])
+                ms = int(us[n]) // 1000 + 1
+                self.handle.registerTimer(ms)
             else:
                 self.held.clear()
-            flag = self.flag.get()[0] if self.flag.exists() else None
-            out = []
-            for us, h in due:
-                now = 1 if h >= wet else 0 if h <= dry or flag is None else flag
-                out.append((key[0], us, now, None if flag is None or now == flag else "wetting" if now else "drying"))
-                flag = now
-            if due:
-                self.flag.update((flag,))
-            yield pd.DataFrame(out, columns=["cell", "us", "wet", "change"], dtype=object)
+            flag, _ = self.now.get()
+            us, h = us[:n], h[:n]
+            told = np.where(h >= wet, 1, np.where(h <= dry, 0, -1))
+            since = np.maximum.accumulate(np.where(told >= 0, np.arange(n), -1))
+            now = np.where(since >= 0, told[since], max(flag, 0)) if n else told
+            before = np.r_[flag, now[:-1]] if n else now
+            change = np.where((before < 0) | (now == before), None, np.where(now > before, "wetting", "drying"))
+            self.now.update((int(now[-1]) if n else flag, ms))
+            yield pd.DataFrame({"cell": pd.Series([key[0]] * n, dtype=object), "us": us, "wet": now.astype("int32"), "change": change.astype(object)})
 
         def close(self):
             pass

@@ -173,3 +173,58 @@ def test_best_stand_of_any_score(spark, monkeypatch, parts):
     assert got == _best_by_hand([r for r in targets if r[0] not in (900, 902)], [r for r in stands if r[0] >= 0], weight)
     assert got[901] == 1000 and 900 not in got
     assert spatial.best_stand(t.limit(0), s).count() == 0 and spatial.best_stand(t, s.limit(0)).count() == 0
+
+
+class _State:
+    """A value and list state that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.calls, self.most = [], 0, 0
+
+    def _call(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+        self.most = max(self.most, len(rows))
+
+    exists = lambda self: (self._call(self.rows), bool(self.rows))[1]
+    appendValue = lambda self, row: self._call([*self.rows, row])
+    appendList = lambda self, rows: self._call([*self.rows, *rows])
+    put = lambda self, rows: self._call(list(rows))
+    update = lambda self, row: self._call([row])
+    clear = lambda self: self._call([])
+
+
+def test_held_rows_travel_in_chunks():
+    """A cell's rows are held as a chunk for each batch, and a cell costs few calls to the state."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from meshtide.streaming import stateful
+
+    class Value(_State):
+        get = lambda self: (self._call(self.rows), self.rows[0] if self.rows else None)[1]
+
+    class Many(_State):
+        get = lambda self: (self._call(self.rows), iter(self.rows))[1]
+
+    values, lists, timers = [], [], []
+    handle = SimpleNamespace(getValueState=lambda *_: values.append(Value()) or values[-1], getListState=lambda *_: lists.append(Many()) or lists[-1], registerTimer=timers.append, deleteTimer=timers.remove)
+    p = stateful._hysteresis(0.6, 0.2)
+    p.init(handle)
+    rng = np.random.default_rng(1)
+    us, h = rng.permutation(1000) // 3 * 1_000_000, np.round(rng.random(1000), 1)
+    for part in (slice(0, 400), slice(400, 1000)):
+        list(p.handleInputRows((7,), iter([pd.DataFrame({"us": us[part], "h": h[part]})]), None))
+    assert lists[0].most == 2 and timers == [1]
+    got = []
+    for upto in (100_000, 10**9):
+        timers.clear()
+        got += [tuple(r) for f in p.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda upto=upto: upto), None) for r in f.itertuples(index=False)]
+        assert timers == ([101_001] if upto == 100_000 else [])
+    want, flag = [], None
+    for t, x in sorted(zip(us.tolist(), h.tolist(), strict=True)):
+        now = 1 if x >= 0.6 else 0 if x <= 0.2 or flag is None else flag
+        want.append((7, t, now, None if flag is None or now == flag else "wetting" if now else "drying"))
+        flag = now
+    assert got == want and sum(s.calls for s in values + lists) <= 14
