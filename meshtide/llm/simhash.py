@@ -5,11 +5,17 @@ distinct fingerprints form a binary trie; the self-join walks pairs of trie
 nodes together from the root, adds up the bits in which they differ and drops a
 pair as soon as the sum exceeds the Hamming budget.
 
-On Spark the trie's top levels are spread over the cluster: a leaf of the top (a
-"shard") meets only the shards within the budget of it that have rows, and each
-such pair of shards is a group of its own. A shard that is still large is cut into
-blocks, so that a group never holds more than two blocks of rows. A task returns a
-spanning forest of the links it found, not the links.
+The bits of a key are a ring of budget + 1 parts. Of two keys within the budget one
+part is equal, and from one of the parts on, the first l parts differ in less than l
+bits together. So each table has a trie for each part, over keys turned until they
+begin with it, and a walk drops a pair that differs in more than that: few pairs of
+nodes are left at any depth, and together the tries find every pair.
+
+On Spark rows are cut into blocks, and each pair of blocks is a group that walks the
+tries of all tables. Where that would copy a row more often than there are tries, the
+top levels of each trie are dealt out instead (equal tops meet, so a row has one copy
+for each trie), and only a top that is still large is cut into blocks. A task returns
+a spanning forest of the links it found, not the links.
 
 Defined results: null text counts as empty; empty texts have signature zero and
 are linked like any other; repeated rows keep their own row in the result; null
@@ -30,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.operators.graph import connected_components
-from meshtide.session import checkpointed, settled, written
+from meshtide.session import checkpointed, release, settled, written
 
 SEED = 42
-#: Rows that a shard of the top of one trie (of each of several) holds on average, the levels of the top at most, and the rows of a block.
-SHARD_ROWS, TABLE_SHARD_ROWS, MOST_TOP_BITS, BLOCK_ROWS = 1 << 14, 1 << 16, 16, 1 << 18
-#: Rows of one side that are walked at once; pairs of rows that are compared at once.
-BLOCK, PAIRS = 2048, 1 << 17
+#: Rows of a block, blocks at least, and rows that need only one; rows that a dealt-out top of a trie holds on average, and its levels at most.
+BLOCK_ROWS, BLOCKS, FEW_ROWS, SHARD_ROWS, MOST_TOP_BITS = 1 << 18, 8, 1 << 13, 1 << 14, 16
+#: Pairs of nodes that are walked at once; pairs of rows that are compared at once.
+NODE_PAIRS, PAIRS = 1 << 18, 1 << 17
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:
@@ -105,12 +111,18 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"id {kind}, sig binary, fp long")
 
 
-def masks(bits: int, budget: int) -> list[int]:
-    """All ``bits``-wide numbers with at most ``budget`` ones."""
-    found = {0}
-    for _ in range(min(budget, bits)):
-        found |= {m | 1 << i for m in found for i in range(bits)}
-    return sorted(found)
+def ring(bits: int, budget: int) -> list[tuple[int, list[int]]]:
+    """For each of budget + 1 parts of a key: its first bit (0: the highest), and how many bits may differ down to each level of the trie that begins with it."""
+    starts = [bits * r // (budget + 1) for r in range(budget + 2)]
+    width = [b - a for a, b in zip(starts, starts[1:], strict=False)]
+    return [(starts[r], [n for n in range(budget + 1) for _ in range(width[(r + n) % (budget + 1)])]) for r in range(budget + 1)]
+
+
+def turned(keys: np.ndarray, bits: int, start: int) -> np.ndarray:
+    """``bits``-wide keys, turned left by ``start`` bits."""
+    if not start:
+        return keys
+    return ((keys << np.uint64(start)) | (keys >> np.uint64(bits - start))) & np.uint64((1 << bits) - 1)
 
 
 def trie_levels(keys: np.ndarray, bits: int):
@@ -127,22 +139,45 @@ def trie_levels(keys: np.ndarray, bits: int):
         node = np.cumsum(first, dtype=np.int32) - 1
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two sorted distinct key arrays that differ in at most ``budget`` bits."""
-    i, j, d = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int8)
-    for ca, cb in zip(trie_levels(a, bits), trie_levels(b, bits), strict=True):
-        left, right = (ca[0][i], ca[1][i]), (cb[0][j], cb[1][j])
-        near = d < budget  # may differ once more
+def near_leaves(a: list[np.ndarray], b: list[np.ndarray], allowed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves of two tries, given by their levels, that differ down to each level in at most the ``allowed`` bits, some at once."""
+    todo = [(0, np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.int8))]
+    while todo:
+        level, i, j, d = todo.pop()
+        if level == len(allowed):
+            yield i, j
+            continue
+        if len(i) > NODE_PAIRS:
+            todo += [(level, i[at], j[at], d[at]) for at in (slice(len(i) // 2, None), slice(len(i) // 2))]
+            continue
+        left, right = (a[level][0][i], a[level][1][i]), (b[level][0][j], b[level][1][j])
+        there, near = [(x >= 0, y >= 0) for x, y in zip(left, right, strict=True)], d < allowed[level]  # near: may differ once more
         parts = []
         for x in (0, 1):
             for y in (0, 1):
-                ok = (left[x] >= 0) & (right[y] >= 0)
-                if x != y:
-                    ok &= near
-                ok = np.flatnonzero(ok)
+                ok = there[x][0] & there[y][1]
+                ok = np.flatnonzero(ok if x == y else ok & near)
                 parts.append((left[x][ok], right[y][ok], d[ok] + np.int8(x != y)))
         i, j, d = (np.concatenate(p) for p in zip(*parts, strict=True))
-    return i, j
+        if len(i):
+            todo.append((level + 1, i, j, d))
+
+
+def depth(keys: np.ndarray, bits: int) -> int:
+    """Levels of the trie over sorted keys below which a subtree has about one key."""
+    keys = np.unique(keys)
+    for level in range(min(bits, max(len(keys).bit_length() - 1, 1)), bits):
+        prefix = keys >> np.uint64(bits - level)
+        count = np.diff(np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1], [True]])))
+        if (count**2).sum() <= 1.25 * len(keys):
+            return level
+    return bits
+
+
+def trie_pairs(a: np.ndarray, b: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two sorted distinct key arrays that differ in at most ``budget`` bits."""
+    found = list(near_leaves(list(trie_levels(a, bits)), list(trie_levels(b, bits)), [budget] * bits))
+    return tuple(np.concatenate([np.zeros(0, np.int32), *(f[k] for f in found)]) for k in (0, 1))
 
 
 def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -160,52 +195,70 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def close_rows(home: tuple, near: tuple, bits: int, budget: int, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs of rows (home, near) of different nodes within ``budget`` and ``far``, and their differing bits, at most PAIRS at once.
+def leaf_rows(first: np.ndarray, size: np.ndarray, begin: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For pairs of runs (``size`` rows from ``first``, ``count`` from ``begin``): every row of one with every row of the other, some at once."""
+    met = size * count
+    one = met == 1
+    yield first[one], begin[one]
+    first, begin, count, met = (v[~one] for v in (first, begin, count, met))
+    ends = np.cumsum(met)
+    for cut in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        stop = min(cut + PAIRS, int(ends[-1]))
+        at = slice(np.searchsorted(ends, cut, "right"), np.searchsorted(ends, stop) + 1)
+        pick = np.repeat(np.arange(at.start, at.stop), np.minimum(ends[at], stop) - np.maximum(ends[at] - met[at], cut))
+        off = np.arange(cut, stop) - (ends[pick] - met[pick])
+        yield first[pick] + off // count[pick], begin[pick] + off % count[pick]
+
 
-    ``home`` and ``near``: (key, node, signature words) arrays, ``near`` with the
-    shard itself. ``far``: differing bits allowed in whole signatures.
+def close_rows(rows: dict, home: np.ndarray, near: np.ndarray, table: int, start: int, allowed: list[int], far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows (one of ``home``, one of ``near``) of different nodes that a walk of one trie finds, and their differing bits, at most PAIRS at once.
+
+    ``rows``: arrays with the ``node`` and signature words (``sig``) of each;
+    ``table`` and ``start``: which trie; ``far``: differing bits allowed in whole
+    signatures.
     """
-    keys, start = np.unique(near[0], return_index=True)
-    count = np.diff(np.append(start, len(near[0])))
-    for at in range(0, len(home[0]), BLOCK):
-        own, first = np.unique(home[0][at : at + BLOCK], return_index=True)
-        size = np.diff(np.append(first, len(home[0][at : at + BLOCK])))
-        i, j = trie_pairs(own, keys, bits, budget)
-        ends = np.cumsum(size[i].astype(np.int64) * count[j])  # rows with equal keys: every row of one side with every row of the other
-        for cut in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
-            number = np.arange(cut, min(cut + PAIRS, int(ends[-1])))
-            pick = np.searchsorted(ends, number, "right")
-            ii, jj = i[pick], j[pick]
-            off = number - (ends[pick] - size[ii] * count[jj])
-            x, y = at + first[ii] + off // count[jj], start[jj] + off % count[jj]
-            d = np.bitwise_count(home[2][x] ^ near[2][y]).sum(axis=1)
-            ok = (home[1][x] != near[1][y]) & (d <= far)
+    bits = len(allowed)
+    key = np.zeros((len(rows["node"]), 8), np.uint8)
+    key[:, : bits // 8] = rows["sig"].view(np.uint8)[:, table * bits // 8 : (table + 1) * bits // 8]
+    key = turned(key.view("<u8").ravel(), bits, start)
+    sides = [side[np.argsort(key[side])] for side in ((home,) if home is near else (home, near))]
+    levels = max(depth(key[side], bits) for side in sides)  # rows that meet there are compared themselves
+    tries = []
+    for side in sides:
+        own, first = np.unique(key[side] >> np.uint64(bits - levels), return_index=True)
+        tries.append((side, first, np.diff(np.append(first, len(side))), list(trie_levels(own, levels))))
+    (home, first, size, a), (near, begin, count, b) = tries[0], tries[-1]
+    node, sig, home_key, near_key = rows["node"], rows["sig"], key[home], key[near]
+    for i, j in near_leaves(a, b, allowed[:levels]):
+        for x, y in leaf_rows(first[i], size[i], begin[j], count[j]):
+            ok = np.flatnonzero(np.bitwise_count(home_key[x] ^ near_key[y]) <= allowed[-1])
+            x, y = home[x[ok]], near[y[ok]]
+            d = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1)
+            ok = (node[x] != node[y]) & (d <= far)
             yield x[ok], y[ok], d[ok]
 
 
-def walk(home: tuple, near: tuple, bits: int, budget: int, far: int) -> list[tuple[int, int]]:
-    """Spanning-forest links (node, node) between the rows of one shard and of its neighbours."""
-    pairs_u, pairs_v = [], []
-    for x, y, _ in close_rows(home, near, bits, budget, far):
-        pairs_u.append(home[1][x])
-        pairs_v.append(near[1][y])
-        if len(x):  # keep a forest only
-            u, v = np.concatenate(pairs_u), np.concatenate(pairs_v)
-            names, ids = np.unique(np.concatenate([u, v]), return_inverse=True)
-            root = forest(len(names), ids[: len(u)], ids[len(u) :])
-            own_ids = np.flatnonzero(root != np.arange(len(names)))
-            pairs_u, pairs_v = [names[own_ids]], [names[root[own_ids]]]
-    return list(zip(np.concatenate(pairs_u).tolist(), np.concatenate(pairs_v).tolist(), strict=True)) if pairs_u else []
+def walk(rows: dict, home: np.ndarray, near: np.ndarray, tries: list[tuple], far: int) -> np.ndarray:
+    """Spanning-forest links (node, node) between the rows of two blocks, or of one; ``tries``: table, start and allowed bits of each."""
+    u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for trie in tries:
+        for x, y, _ in close_rows(rows, home, near, *trie, far):
+            if len(x):  # keep a forest only
+                u, v = np.concatenate([u, rows["node"][x]]), np.concatenate([v, rows["node"][y]])
+                names, ids = np.unique(np.concatenate([u, v]), return_inverse=True)
+                root = forest(len(names), ids[: len(u)], ids[len(u) :])
+                own = np.flatnonzero(root != np.arange(len(names)))
+                u, v = names[own], names[root[own]]
+    return np.stack([u, v])
 
 
 #: Which candidate pairs come back: two for each row (its nearest and its smallest partner), one for each row (the nearest in another component), or all between components.
 FEW, ONE, ALL = range(3)
 
 
-def least(group: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Index of the least ``value`` of each group."""
-    order = np.lexsort((value, group))
+def least(group: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Index of the least row of each group, by the first of ``by``, then the next."""
+    order = np.lexsort((*by[::-1], group))
     return order[np.append(True, group[order][1:] != group[order][:-1])] if len(order) else order
 
 
@@ -220,34 +273,57 @@ def best(found: np.ndarray, which: int) -> np.ndarray:
     return found[:, np.unique(np.concatenate(keep))]
 
 
-def candidates(home: tuple, near: tuple, apart: np.ndarray, sizes: tuple, comps: tuple, number: int, bits: int, budget: int, far: int, similarity: float, which: int) -> np.ndarray:
-    """Rows (node, other node, differing bits) for pairs of :func:`close_rows` whose sets' ``sizes`` allow the ``similarity`` and whose components (``comps``) differ.
+def candidates(rows: dict, home: np.ndarray, near: np.ndarray, tries: list[tuple], budget: int, far: int, similarity: float, which: int) -> np.ndarray:
+    """Rows (node, other node, differing bits) for pairs of :func:`close_rows` whose sets' sizes (``n``) allow the ``similarity`` and whose components (``comp``) differ.
 
-    ``apart``: whether a near row is of another shard; ``number``: the table's. Of
-    ALL pairs, one that an earlier table finds as well is left to that table.
+    Of ALL pairs, one that an earlier table finds as well is left to that table.
     """
+    node, n, comp, sig = (rows[c] for c in ("node", "n", "comp", "sig"))
     out = [np.zeros((3, 0), np.int64)]
-    for x, y, d in close_rows(home, near, bits, budget, far):
-        a, b = sizes[0][x], sizes[1][y]
-        ok = (apart[y] | (home[1][x] < near[1][y])) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
-        if which != FEW:
-            ok &= comps[0][x] != comps[1][y]
-        if which == ALL:
-            differ = (home[2][x] ^ near[2][y]).view(f"<u{bits // 8}")[:, :number]
-            ok &= ~(np.bitwise_count(differ) <= budget).any(axis=1)
-        x, y, d = x[ok], y[ok], d[ok].astype(np.int64)
-        u, v = home[1][x], near[1][y]
-        if which == ALL:
-            out.append(np.stack([u, v, d]))
-            continue
-        for own, other in ((u, v), (v, u)):
-            keep = np.concatenate([least(own, d), least(own, other)]) if which == FEW else least(own, d)
-            out.append(np.stack([own[keep], other[keep], d[keep]]))
-        if len(out) > 64:
-            out = [best(np.concatenate(out, axis=1), which)]
+    for table, start, allowed in tries:
+        for x, y, d in close_rows(rows, home, near, table, start, allowed, far):
+            ok = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+            if home is near:
+                ok &= node[x] < node[y]
+            if which != FEW:
+                ok &= comp[x] != comp[y]
+            if which == ALL:
+                differ = (sig[x] ^ sig[y]).view(f"<u{len(allowed) // 8}")[:, :table]
+                ok &= ~(np.bitwise_count(differ) <= budget).any(axis=1)
+            u, v, d = node[x[ok]], node[y[ok]], d[ok].astype(np.int64)
+            if which == ALL:
+                out.append(np.stack([u, v, d]))
+            else:
+                for own, other in ((u, v), (v, u)):
+                    keep = np.concatenate([least(own, d, other), least(own, other)]) if which == FEW else least(own, d, other)
+                    out.append(np.stack([own[keep], other[keep], d[keep]]))
+            if len(out) > 64:
+                out = [best(np.concatenate(out, axis=1), which)]
     return best(np.concatenate(out, axis=1), which)
 
 
+def dealt(nodes: DataFrame, tables: int, bits: int, budget: int) -> tuple[DataFrame, int | None]:
+    """``nodes`` with ``cell, low, high, block``: a copy for each group (cell, low, high) that the row's block meets, and the levels of the tops, if tops are dealt out.
+
+    Without tops there is one cell, whose groups walk all tries; else a cell's number
+    is that of its trie (table, then part), followed by the bits of the top.
+    """
+    rows, parts = nodes.count(), ring(bits, budget)
+    blocks = 1 if rows <= FEW_ROWS else max(BLOCKS, math.ceil(rows / BLOCK_ROWS))
+    if blocks <= tables * len(parts):
+        levels, cut = None, nodes.select("*", F.lit(0).alias("cell"), F.lit(blocks).alias("blocks"))
+    else:
+        width, levels = bits // 8, min(MOST_TOP_BITS, bits // len(parts), max(1, math.ceil(math.log2(rows / SHARD_ROWS))))
+        keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat(*[F.substring("sig", t * width + k, F.lit(1)) for k in range(width, 0, -1)]))
+        tops = nodes.select("*", F.posexplode(keys).alias("table", "key")).withColumn("key", F.conv(F.hex("key"), 16, -10).cast("long"))
+        tops = tops.withColumn("top", F.array(*[F.shiftrightunsigned("key", bits - start - levels).bitwiseAND((1 << levels) - 1) for start, _ in parts]))
+        tops = tops.select(*nodes.columns, "table", F.posexplode("top").alias("part", "top")).withColumn("cell", ((F.col("table") * len(parts) + F.col("part")) * (1 << levels) + F.col("top")).cast("int"))
+        sizes = settled(tops.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))  # at most 2 ** MOST_TOP_BITS rows a trie
+        cut = tops.select(*nodes.columns, "cell").join(F.broadcast(sizes), "cell")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *nodes.columns), levels
+
+
 def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, similarity: float | None = None, which: int = ALL) -> DataFrame:
     """Links ``src, dst`` (a spanning forest for each task) between the rows of ``nodes(node long, sig binary)``.
 
@@ -256,48 +332,27 @@ def links(nodes: DataFrame, tables: int, bits: int, budget: int, far: int, simil
     sets, and ``comp``, their component so far, and pairs come back that may be so
     similar, with the bits ``d`` in which they differ.
     """
-    width = bits // 8
-    extra = [F.lit(0).alias("n"), F.lit(0).cast("long").alias("comp")] if similarity is None else [F.col("n"), F.col("comp")]
-    keyed = nodes.select("node", "sig", *extra, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring("sig", t * width + 1, F.lit(width)))).alias("table", "key"))
-    mean = SHARD_ROWS if tables == 1 else TABLE_SHARD_ROWS
-    top_bits = min(MOST_TOP_BITS, bits, max(3 if tables == 1 else 2, math.ceil(math.log2(max(1, nodes.count()) / mean))))
-    wide = F.conv(F.hex(F.concat(F.substring("key", width, 1), F.substring("key", width - 1, 1))), 16, 10).cast("int")
-    keyed = keyed.withColumn("shard", F.shiftright(wide, 16 - top_bits))
-    sizes = settled(keyed.groupBy("table", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))  # at most 2 ** MOST_TOP_BITS rows a table
-    own = F.broadcast(sizes)
-    there = F.broadcast(sizes.select("table", F.col("shard").alias("other"), F.col("blocks").alias("others")))
-    near = F.array(*[F.lit(m) for m in masks(top_bits, budget)])
-    rows = keyed.join(own, ["table", "shard"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.transform(near, lambda m: F.col("shard").bitwiseXOR(m)))).join(there, ["table", "other"])
-    rows = rows.withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    here, far_side = F.struct("shard", "block"), F.struct(F.col("other").alias("shard"), F.col("other_block").alias("block"))
-    rows = rows.select("table", F.least(here, far_side).alias("low"), F.greatest(here, far_side).alias("high"), here.alias("here"), "node", "key", "sig", "n", "comp")
-    rows = rows.select("table", "low", "high", (F.col("here") == F.col("low")).alias("first"), (F.col("here") == F.col("high")).alias("second"), "node", "key", "sig", "n", "comp")
+    extra = [] if similarity is None else ["n", "comp"]
+    rows, levels = dealt(nodes.select("node", "sig", *extra), tables, bits, budget)
+    every = [(t, *part) for t in range(tables) for part in ring(bits, budget)]
 
     def run(key, group):
-        cols = group.select(["first", "second", "node", "key", "sig", "n", "comp"]).combine_chunks()
-        size = cols.num_rows
-        first, second = (cols[c].to_numpy(zero_copy_only=False) for c in ("first", "second"))
-        node, count, comp = (cols[c].to_numpy() for c in ("node", "n", "comp"))
-        k = np.zeros((size, 8), np.uint8)
-        k[:, :width] = np.frombuffer(b"".join(cols["key"].to_pylist()), np.uint8).reshape(size, width)
-        k = k.view("<u8").ravel()
-        sig = np.frombuffer(b"".join(cols["sig"].to_pylist()), "<u8").reshape(size, -1)
-        order = np.lexsort((node, k))
-        sides = []
-        for side in (first, second):
-            at = order[side[order]]
-            sides.append((k[at], node[at], sig[at], count[at], comp[at]))
-        home, other = sides
+        cell, low, high = (k.as_py() for k in key)
+        cols = group.select(["block", "node", *extra]).combine_chunks()
+        at = {c: cols[c].to_numpy() for c in ("node", *extra)}
+        at["sig"] = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u8").reshape(group.num_rows, -1)
+        block = cols["block"].to_numpy()
+        home = np.flatnonzero(block == low)
+        near = home if low == high else np.flatnonzero(block == high)
+        tries = every if levels is None else every[cell >> levels :][:1]
         if similarity is None:
-            found = np.array(walk(home[:3], other[:3], bits, budget, far), np.int64).reshape(-1, 2).T
+            found = walk(at, home, near, tries, far)
             found = np.concatenate([found, np.zeros_like(found[:1])])
         else:
-            apart = np.full(len(other[0]), not (first & second).all())
-            found = candidates(home[:3], other[:3], apart, (home[3], other[3]), (home[4], other[4]), key[0].as_py(), bits, budget, far, similarity, which)
+            found = candidates(at, home, near, tries, budget, far, similarity, which)
         return pa.table({"src": found[0], "dst": found[1], "d": found[2]})
 
-    return rows.groupBy("table", "low", "high").applyInArrow(run, "src long, dst long, d long")
+    return rows.groupBy("cell", "low", "high").applyInArrow(run, "src long, dst long, d long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, tables: int = 1, bits: int = 64, budget: int = 3, words: int = 1, far: int | None = None) -> DataFrame:
@@ -495,16 +550,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for which in (FEW, ONE, ONE, ALL):
         far = allowed_bits(similarity, words) if which == FEW else allowed_bits(similarity, WIDE, WIDE_SLACK)
         pairs = settled(chosen(links(active, how["tables"], how["bits"], how["budget"], far, similarity, which), which))
+        release(docs.sparkSession)
         if sets is None:
             ends = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
             sets = written(shingle_sets(docs, checkpointed(nodes.join(ends, "node").select("node", "low")), id_col, text_col, size), "sets")
         joined = settled(joined.union(confirmed(pairs, sets, similarity)))
         label = settled(connected_components(joined))
+        release(docs.sparkSession)
         active = sets.join(label, "node", "left").select("node", "sig", "n", F.coalesce("component", "node").alias("comp"))
     member = nodes.select("node", "low").join(label, "node")
     smallest = member.groupBy("component").agg(F.min("low").alias("best"))
     better = member.join(smallest, "component").where("low <> best").select("node", F.lit(True).alias("all_go"))  # sets whose rows all go
     of = nodes.join(better, "node", "left").where(F.col("all_go") | (F.col("low") != F.col("high"))).select("same", "low", F.coalesce("all_go", F.lit(False)).alias("all_go"))
     gone = sigs.join(settled(of), "same").where((F.col("all_go") | (name != F.col("low"))) & F.col("id").isNotNull()).select("id", "h").distinct()
-    gone = gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h"))
-    return docs.join(gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_h")), "left_anti")
+    gone = settled(gone.select(F.col("id").alias("_gone_id"), F.col("h").alias("_gone_h")))
+    release(docs.sparkSession)
+    few = gone.count() <= BROADCAST_ROWS  # else the texts are shuffled once
+    return docs.join(F.broadcast(gone) if few else gone, (F.col(id_col) == F.col("_gone_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_h")), "left_anti")

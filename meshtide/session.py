@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -83,6 +84,12 @@ def sweep(df: DataFrame) -> None:
             _tables(spark).remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes shuffle files only once nothing there refers to them, which a chain of wide jobs should not leave to chance."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers, unless they find it themselves."""
     on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
